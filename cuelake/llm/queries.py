@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .language import fit_language_model, fold, predict_language
 from .near_dup import NearDupParams, near_duplicates
 from .order_minhash import edited_fingerprints, likeness, signature
 from .url_filter import judge_urls
+from .vector_search import nearest
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,17 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+    model = fit_language_model(docs.where("not held_out").select("text", "lang"))
+    return predict_language(docs.drop("lang"), model, ["doc_id", "held_out"])
+
+
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = edited_fingerprints(table(spark, sf_dir, "documents"))
     return found.select(
@@ -33,6 +46,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op3_language_id": op3_language_id,
+    "op6_vector_search": op6_vector_search,
     "op5_order_minhash": op5_order_minhash,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
