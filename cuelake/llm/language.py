@@ -118,11 +118,16 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], dims: int, classes: int
 
 
 def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of least negative log-likelihood, by golden section over its logarithm."""
-    if not len(y):
+    """The temperature of least negative log-likelihood, by golden section over its logarithm.
+
+    Targets keep 1/(n+2) for the other classes, so that a sample without errors doesn't call for certainty.
+    """
+    if not len(y) or logits.shape[1] < 2:
         return 1.0
-    loss = lambda lt: -np.log(np.maximum(_softmax(logits / np.exp(lt))[np.arange(len(y)), y], 1e-12)).mean()
-    lo, hi, g = -3.0, 3.0, (5**0.5 - 1) / 2
+    target = np.full(logits.shape, 1 / (len(y) + 2) / (logits.shape[1] - 1))
+    target[np.arange(len(y)), y] = 1 - 1 / (len(y) + 2)
+    loss = lambda lt: -(target * np.log(np.maximum(_softmax(logits / np.exp(lt)), 1e-12))).sum(axis=1).mean()
+    lo, hi, g = -3.0, 5.0, (5**0.5 - 1) / 2
     while hi - lo > 1e-3:
         a, b = hi - g * (hi - lo), lo + g * (hi - lo)
         lo, hi = (lo, b) if loss(a) < loss(b) else (a, hi)

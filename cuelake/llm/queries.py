@@ -11,6 +11,7 @@ from .common import table
 from .language import fit_language_model, fold, predict_language
 from .near_dup import NearDupParams, near_duplicates
 from .order_minhash import edited_fingerprints, likeness, signature
+from .packing import PackingParams, pack
 from .url_filter import judge_urls
 from .vector_search import nearest
 
@@ -40,11 +41,23 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), PackingParams(tokenizer_path("word_bpe_49k.json")))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_retrieval_packing": op1_retrieval_packing,
     "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
     "op6_vector_search": op6_vector_search,
