@@ -12,10 +12,17 @@ from .language import fit_language_model, fold, predict_language
 from .near_dup import NearDupParams, near_duplicates
 from .order_minhash import edited_fingerprints, likeness, signature
 from .packing import PackingParams, pack
+from .substring_dedup import remove_repeated_substrings
 from .url_filter import judge_urls
 from .vector_search import nearest
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_substrings(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["length"])
+    return cut.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), NearDupParams(shingle_words=4))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op6_vector_search": op6_vector_search,
     "op5_order_minhash": op5_order_minhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
