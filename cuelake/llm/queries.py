@@ -9,14 +9,26 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .language import fit_language_model, fold, predict_language
+from .mixing import form_topic, mix, word_count
 from .near_dup import NearDupParams, near_duplicates
 from .order_minhash import edited_fingerprints, likeness, signature
 from .packing import PackingParams, pack
+from .secret_scan import fit_secret_model, scan_secrets
 from .substring_dedup import remove_repeated_substrings
 from .url_filter import judge_urls
 from .vector_search import nearest
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", form_topic(F.col("text")).alias("topic"), word_count(F.col("text")).alias("tokens"))
+    return mix(docs, {"source": 0.7, "lang": 0.5, "topic": 0.8})
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("path"))
+    return scan_secrets(docs, fit_secret_model(docs.select("text", "path")))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeated_substrings(table(spark, sf_dir, "documents"))
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["length"])
@@ -69,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op6_vector_search": op6_vector_search,
     "op5_order_minhash": op5_order_minhash,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
