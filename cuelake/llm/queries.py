@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .language import fit_language_model, fold, predict_language
 from .mixing import form_topic, mix, word_count
+from .mixing_lm import score_texts
 from .near_dup import NearDupParams, near_duplicates
 from .order_minhash import edited_fingerprints, likeness, signature
 from .packing import PackingParams, pack
@@ -51,6 +52,12 @@ def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id"), 10) == 0)
+    score = -F.col("bits") * F.log10(F.lit(2.0))
+    return score_texts(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", score.alias("score"), "bits_per_byte")
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = edited_fingerprints(table(spark, sf_dir, "documents"))
     return found.select(
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
     "op6_vector_search": op6_vector_search,
+    "op4_context_mixing": op4_context_mixing,
     "op5_order_minhash": op5_order_minhash,
     "op7_source_mixing": op7_source_mixing,
     "op8_secret_scan": op8_secret_scan,
