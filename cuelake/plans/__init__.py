@@ -1,0 +1,6 @@
+"""Registered queries over the given tables, and their SQL."""
+
+from . import scalar_queries  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
