@@ -6,7 +6,7 @@ Cues are rows ``(doc_id, cue_idx, start_sec, end_sec, text)``.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import TIMING, collapse, cps, srt_timestamp, strip
@@ -16,7 +16,10 @@ from .transcripts import drop_overlaps
 FAILED_TEXT = "[TRANSCRIPTION FAILED]"
 # Where a long cue may be cut, in order of preference.
 SENTENCE_END, SOFT_PUNCTUATION = ".!?。！？…", ",、，·:;：；"
-_BY_CUE = Window.partitionBy("doc_id").orderBy("cue_idx")
+
+
+def by_cue() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("cue_idx")
 
 
 def parse_srt(docs: DataFrame, preserve_newlines: bool = False) -> DataFrame:
@@ -47,14 +50,14 @@ def _joined(rows: DataFrame, block: Column, separator: str) -> DataFrame:
 
 def render_srt(cues: DataFrame) -> DataFrame:
     """One SRT text a document, numbered from 1 in cue order."""
-    rows = cues.withColumn("i", F.row_number().over(_BY_CUE))
+    rows = cues.withColumn("i", F.row_number().over(by_cue()))
     block = F.concat(F.col("i").cast("string"), F.lit("\n"), srt_timestamp(F.col("start_sec")), F.lit(" --> "), srt_timestamp(F.col("end_sec")), F.lit("\n"), F.col("text"), F.lit("\n"))
     return _joined(rows, block, "\n")
 
 
 def order_violations(cues: DataFrame, strict: bool = False) -> DataFrame:
     """Cues that end before they start or start before the one before ends (1e-6 s of tolerance); an error if strict and there are any."""
-    rows = cues.withColumn("prev_end", F.lag("end_sec", 1, -1.0).over(_BY_CUE))
+    rows = cues.withColumn("prev_end", F.lag("end_sec", 1, -1.0).over(by_cue()))
     bad = rows.where((F.col("end_sec") < F.col("start_sec")) | (F.col("start_sec") < F.col("prev_end") - 1e-6))
     if strict and not bad.isEmpty():
         raise ValueError("cues are not monotonic")
@@ -132,10 +135,7 @@ def _break(text: str, limit: int) -> int:
     return limit
 
 
-@F.pandas_udf("array<string>")
-def split_pieces(text: pd.Series, limit: pd.Series) -> pd.Series:
-    """Texts cut into pieces of at most ``limit`` characters (one more where a break falls there)."""
-
+def _split(text: pd.Series, limit: pd.Series) -> pd.Series:
     def one(t: str, most: int) -> list[str]:
         rest, out = t.strip(), []
         while len(rest) > most:
@@ -147,6 +147,11 @@ def split_pieces(text: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series([one(t, max(1, int(m))) for t, m in zip(text, limit, strict=True)], dtype=object)
 
 
+def split_pieces(text: Column, limit: Column) -> Column:
+    """Texts cut into pieces of at most ``limit`` characters (one more where a break falls there)."""
+    return F.pandas_udf(_split, "array<string>")(text, limit)
+
+
 def split_long_cues(cues: DataFrame, p: CueParams = CueParams()) -> DataFrame:
     """Cues cut by reading speed, duration and length; only cues that a trigger hits reach Python."""
     keys = ["doc_id", "cue_idx"]
@@ -164,15 +169,16 @@ def split_report(cues: DataFrame, pieces: DataFrame, p: CueParams = CueParams())
     counts = pieces.groupBy("doc_id", "cue_idx").agg(F.count("*").alias("n_pieces")).where("n_pieces > 1")
     duration, n = F.greatest(F.col("end_sec") - F.col("start_sec"), F.lit(1e-9)), F.length("text")
     rate = cps(n, duration)
+    tenth = lambda x: F.floor(x * 10 + 0.5) / 10
     reasons = []
     if p.cps_threshold:
-        reasons.append(F.when(rate > p.cps_threshold, F.format_string("CPS %.1f > %s", rate, F.lit(f"{p.cps_threshold:g}"))))
+        reasons.append(F.when(rate > p.cps_threshold, F.format_string("CPS %.1f > %s", tenth(rate), F.lit(f"{p.cps_threshold:g}"))))
     if p.max_duration:
-        reasons.append(F.when(duration > p.max_duration, F.format_string("duration %.1fs > %ss", duration, F.lit(str(p.max_duration)))))
+        reasons.append(F.when(duration > p.max_duration, F.format_string("duration %.1fs > %ss", tenth(duration), F.lit(str(p.max_duration)))))
     if p.max_chars:
         reasons.append(F.when(n > p.max_chars, F.format_string("chars %d > %d", n, F.lit(p.max_chars))))
     why = F.array_join(F.array_compact(F.array(*reasons)), ", ")
-    why = F.when(why == "", F.format_string("CPS %.1f", rate)).otherwise(why)
+    why = F.when(why == "", F.format_string("CPS %.1f", tenth(rate))).otherwise(why)
     return cues.join(counts, ["doc_id", "cue_idx"]).select("doc_id", "cue_idx", "n_pieces", rate.alias("cps"), why.alias("reasons"))
 
 

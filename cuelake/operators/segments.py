@@ -8,13 +8,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import hms
 from ..params import VadParams
 
-BY_TIME = Window.partitionBy("job_id").orderBy("start_ms")
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("job_id").orderBy("start_ms")
 
 
 def framed(samples: DataFrame, window: int, context: int) -> DataFrame:
@@ -54,8 +56,8 @@ def threshold_sweep(frames: DataFrame, thresholds: list[float], frame_ms: int =
 
 def merge_silences(segments: DataFrame, min_silence: int) -> DataFrame:
     """Joins neighbours whose gap is at most ``min_silence``; the end is the last one's."""
-    gap = F.col("start_ms") - F.lag("end_ms").over(BY_TIME)
-    island = F.sum(F.when(gap > min_silence, 1).otherwise(0)).over(BY_TIME)
+    gap = F.col("start_ms") - F.lag("end_ms").over(by_time())
+    island = F.sum(F.when(gap > min_silence, 1).otherwise(0)).over(by_time())
     return segments.withColumn("island", island).groupBy("job_id", "island").agg(F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "start_ms").alias("end_ms")).drop("island")
 
 
@@ -82,8 +84,8 @@ def absorb_short(segments: DataFrame, min_speech: int, max_absorb_gap: int | Non
     No merge crosses a gap above the cap, so a job falls into independent islands at such gaps. Islands of
     one segment or without a short one pass by; only the others are folded, one island a group.
     """
-    gap = F.col("start_ms") - F.lag("end_ms").over(BY_TIME)
-    island = F.sum(F.when(gap > max_absorb_gap, 1).otherwise(0)).over(BY_TIME) if max_absorb_gap is not None else F.lit(0)
+    gap = F.col("start_ms") - F.lag("end_ms").over(by_time())
+    island = F.sum(F.when(gap > max_absorb_gap, 1).otherwise(0)).over(by_time()) if max_absorb_gap is not None else F.lit(0)
     own = Window.partitionBy("job_id", "island")
     rows = segments.select("job_id", "start_ms", "end_ms", island.alias("island"))
     rows = rows.withColumns({"n": F.count("*").over(own), "shortest": F.min(F.col("end_ms") - F.col("start_ms")).over(own)})
@@ -118,7 +120,7 @@ def merge_stages(frames: DataFrame, p: VadParams, frame_ms: int = 500) -> dict[s
 
 def segment_stats(segments: DataFrame, durations: DataFrame) -> DataFrame:
     """Per job: count and lengths of segments, short ones, gaps (leading and trailing too), gaps of at most a second. ``durations(job_id, duration_ms)``."""
-    gap = F.col("start_ms") - F.lag("end_ms", 1, 0).over(BY_TIME)
+    gap = F.col("start_ms") - F.lag("end_ms", 1, 0).over(by_time())
     length = F.col("end_ms") - F.col("start_ms")
     small = lambda g: (g > 0) & (g <= 1000)
     sums = segments.withColumns({"gap": gap, "length": length}).groupBy("job_id").agg(
@@ -149,7 +151,7 @@ def over_limit(segments: DataFrame, limit_ms: int = 30_000) -> DataFrame:
 
 def chunk_offsets(segments: DataFrame, totals: DataFrame, rate: int = 16_000) -> DataFrame:
     """Chunk rows of final segments: id, file name, sample offsets clamped to ``totals(job_id, n_samples)``, the offset forms, duration and status."""
-    rows = segments.join(totals, "job_id").withColumn("chunk_id", F.row_number().over(BY_TIME))
+    rows = segments.join(totals, "job_id").withColumn("chunk_id", F.row_number().over(by_time()))
     rows = rows.withColumns({
         "start_sample": F.greatest(F.lit(0), F.bround(F.col("start_ms") / 1000 * rate)).cast("long"),
         "end_sample": F.least(F.col("n_samples"), F.bround(F.col("end_ms") / 1000 * rate)).cast("long"),

@@ -5,15 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, dedup_form, repetition, strip
 from ..params import FilterParams
 
 DUPLICATE, REPEATED = "possible_duplicate_hallucination", "possible_infinite_repetition"
-_BY_CHUNK = Window.partitionBy("job_id").orderBy("chunk_id")
-_BEFORE = _BY_CHUNK.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def by_chunk() -> WindowSpec:
+    return Window.partitionBy("job_id").orderBy("chunk_id")
+
+
+def before() -> WindowSpec:
+    return by_chunk().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def work_items(chunks: DataFrame, force: bool = False) -> DataFrame:
@@ -60,7 +66,7 @@ def drop_overlaps(entries: DataFrame) -> DataFrame:
     Dropped entries don't move that end, so the rule is a fold; it runs inside one row a job, and only
     for jobs where some entry starts before the latest end so far.
     """
-    latest = F.max("end_ms").over(_BEFORE)
+    latest = F.max("end_ms").over(before())
     marked = entries.withColumn("_over", F.coalesce((F.col("start_ms") < latest).cast("int"), F.lit(0)))
     marked = marked.withColumn("late", F.max("_over").over(Window.partitionBy("job_id"))).drop("_over")
     clean = marked.where("late = 0").drop("late")
@@ -119,22 +125,22 @@ def suppress_echoes(chunks: DataFrame, p: FilterParams = FilterParams()) -> Data
     text, failed = F.coalesce("text", F.lit("")), F.col("status") == "failed"
     rows = chunks.withColumns({"_form": dedup_form(text), "_blank": strip(text) == "", "_unit": repetition(text)})
     stripped = F.col("_unit").isNotNull() & F.lit(p.strip_repetition)
-    last = F.last(F.when(~failed & ~stripped, F.struct("_form", "_blank")), ignorenulls=True).over(_BEFORE)
+    last = F.last(F.when(~failed & ~stripped, F.struct("_form", "_blank")), ignorenulls=True).over(before())
     rows = rows.withColumn("_last", last)
     echo = F.lit(p.dedup_repeated) & ~failed & ~F.col("_blank") & F.coalesce(~F.col("_last._blank") & (F.col("_form") == F.col("_last._form")), F.lit(False))
     rows = rows.withColumn("_echo", echo)
     repeated = ~failed & ~F.col("_echo") & F.col("_unit").isNotNull()
     genuine = F.when(~failed & ~F.col("_echo") & ~(repeated & F.lit(p.strip_repetition)), text)
     flags = F.array_compact(F.array(F.when(F.col("_echo"), DUPLICATE), F.when(repeated, REPEATED)))
-    rows = rows.withColumns({"flags": flags, "context": F.coalesce(F.last(genuine, ignorenulls=True).over(_BEFORE), F.lit("")), "text": F.when(F.col("_echo") | (repeated & F.lit(p.strip_repetition)), "").otherwise(text)})
+    rows = rows.withColumns({"flags": flags, "context": F.coalesce(F.last(genuine, ignorenulls=True).over(before()), F.lit("")), "text": F.when(F.col("_echo") | (repeated & F.lit(p.strip_repetition)), "").otherwise(text)})
     return rows.drop("_form", "_blank", "_unit", "_last", "_echo")
 
 
 def aborted_jobs(chunks: DataFrame, p: FilterParams = FilterParams()) -> DataFrame:
     """Jobs with ``max_failures`` failed chunks in a row: job_id, longest_run."""
     # chunk ids may have holes, so runs are counted by place among all chunks
-    placed = chunks.select("job_id", "chunk_id", "status", F.row_number().over(_BY_CHUNK).alias("place")).where("status = 'failed'")
-    island = F.col("place") - F.row_number().over(_BY_CHUNK)
+    placed = chunks.select("job_id", "chunk_id", "status", F.row_number().over(by_chunk()).alias("place")).where("status = 'failed'")
+    island = F.col("place") - F.row_number().over(by_chunk())
     runs = placed.withColumn("island", island).groupBy("job_id", "island").agg(F.count("*").alias("run"))
     return runs.groupBy("job_id").agg(F.max("run").alias("longest_run")).where(F.col("longest_run") >= p.max_failures)
 

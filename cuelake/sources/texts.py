@@ -10,7 +10,7 @@ from ..functions.text import collapse
 
 def read_chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
     """``<job>/chunks/chunk_NNNN(.fixed).txt`` files as (job_id, chunk_id, kind, text)."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "chunk_*.txt").text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "chunk_*.txt").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     name = r"([^/]+)/(?:chunks/)?chunk_(\d+)(\.fixed)?\.txt$"
     g = lambda i: F.regexp_extract("path", name, i)
     return files.select(g(1).alias("job_id"), g(2).cast("int").alias("chunk_id"), F.when(g(3) == "", "raw").otherwise("fixed").alias("kind"), F.col("value").alias("text"))
