@@ -5,8 +5,9 @@
    that share it. Equal windows have equal minimizers, so only runs whose minimizer occurs twice
    anywhere can matter; the others are dropped after comparing hashes alone.
 3. The bytes of the remaining runs are dealt to ranges of the minimizer. In a range equal strings of all blocks
-   collapse to their least document. Where a minimizer still has several strings, their suffixes are
-   sorted by column-wise multi-string construction: each round prepends one symbol to a suffix of every
+   collapse to their least document. Where a minimizer still has several strings, those of their windows
+   whose hash no other window has are set aside, and the suffixes of what is left are sorted by
+   column-wise multi-string construction: each round prepends one symbol to a suffix of every
    string and places the new suffixes by the last-to-first mapping of the collection's Burrows-Wheeler
    transform. Neighbours of the final order that agree in ``length`` bytes are one class; its least
    document holds for all its windows.
@@ -251,25 +252,50 @@ def least_documents(v: np.ndarray, text: np.ndarray, start: np.ndarray, windows:
             held = 0
         held += int(size[s])
     cuts.append(len(several))
+    hasher = ByteHasher()
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         own = several[a:b]
         if not len(own):
             continue
-        who, length = column_wise_suffixes(text, start[own], size[own])
+        part = _cut_strings(text, start[own], size[own])
+        w = windows[own]
+        ends = np.cumsum(w)
+        string = np.repeat(np.arange(len(own)), w)
+        nth = np.arange(ends[-1]) - (ends - w)[string]
+        at = (np.cumsum(size[own]) - size[own])[string] + nth
+        digest = hasher.ranges(hasher.prefix(part), at, at + p.length)
+        order = np.argsort(digest, kind="stable")
+        twin = np.zeros(len(order), bool)
+        twin[1:] = digest[order][1:] == digest[order][:-1]
+        twin[:-1] |= twin[1:]
+        met = np.empty(len(order), bool)
+        met[order] = twin
+        del digest, order, twin
+        # Runs of windows that another window may equal become the strings to sort.
+        begin = met.copy()
+        begin[1:] &= ~met[:-1] | (string[1:] != string[:-1])
+        stop = met.copy()
+        stop[:-1] &= ~met[1:] | (string[1:] != string[:-1])
+        lo, hi = np.flatnonzero(begin), np.flatnonzero(stop)
+        if not len(lo):
+            continue
+        long = hi - lo + p.length
+        who, length = column_wise_suffixes(part, at[lo], long)
         full = length >= p.length
-        who, offset = own[who[full]], size[own[who[full]]] - length[full]
-        from_ = start[who] + offset
-        equal = v[who[1:]] == v[who[:-1]]
+        who, offset = who[full], (long[who] - length)[full]
+        window = lo[who] + offset
+        from_, kind, source = at[window], v[own[string[window]]], doc[own[string[window]]]
+        equal = kind[1:] == kind[:-1]
         for c in range(0, len(equal), 200_000):
-            at = np.flatnonzero(equal[c : c + 200_000]) + c
-            x, y = from_[at + 1], from_[at]
+            pair = np.flatnonzero(equal[c : c + 200_000]) + c
+            x, y = from_[pair + 1], from_[pair]
             for j in range(p.length):
-                good = text[x + j] == text[y + j]
-                equal[at[~good]] = False
-                at, x, y = at[good], x[good], y[good]
+                good = part[x + j] == part[y + j]
+                equal[pair[~good]] = False
+                pair, x, y = pair[good], x[good], y[good]
         group = np.concatenate(([0], np.cumsum(~equal)))
-        at = np.flatnonzero(np.concatenate(([True], ~equal)))
-        out[first[who] + offset] = np.minimum.reduceat(doc[who], at)[group]
+        heads = np.flatnonzero(np.concatenate(([True], ~equal)))
+        out[first[own[string[window]]] + nth[window]] = np.minimum.reduceat(source, heads)[group]
     return out
 
 
