@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import table
 from .language import fit_language_model, fold, predict_language
 from .mixing import form_topic, mix, word_count
@@ -96,4 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_suffix_dedup": oracles.OP9,
+    "op10_minhash_near_dedup": oracles.OP10,
+}
