@@ -27,6 +27,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts and sets to Python in Arrow batches of at most ``rows`` rows; a shorter setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

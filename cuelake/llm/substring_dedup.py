@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, drop_table, materialise, mix64
+from .common import ByteHasher, drop_table, materialise, mix64, short_batches
 
 
 @dataclass(frozen=True)
@@ -384,6 +384,7 @@ def remove_repeated_substrings(docs: DataFrame, params: SubstringParams = Substr
     empty. Rows with a null doc_id are returned whole and compare with nothing; rows that repeat a doc_id
     don't cut each other. An empty table gives an empty result; further columns are ignored.
     """
+    short_batches(docs.sparkSession)
     p = params
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     binary = F.col("text").cast("binary")
