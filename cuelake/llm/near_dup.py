@@ -7,9 +7,10 @@ defaults, less above.
 
 Plan: one scan makes sketches; equal sets collapse to their least id before anything is shuffled by
 table key. In each bucket the members are compared with one member a round; what is linked merges,
-and later rounds compare only across components. When a round finds no new link, all pairs of a bucket
-that still lie in different components are compared, so no link of a bucket is lost and dense groups
-never expand into all pairs.
+and later rounds compare only across components. Last, the members of buckets that still hold several
+components are compared across them, so no link of a bucket is lost and dense groups never expand into
+all pairs. There, shingles that no other such member has bound what two sets can share; pairs that
+the bound refutes are never made, and a pair of several buckets is made in the first of them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, drop_table, hashed_words, materialise, mix64, odd_constants, passes
+from .common import ByteHasher, drop_table, hashed_words, materialise, mix64, odd_constants, passes, short_batches
 from .components import components
 
 
@@ -100,6 +101,28 @@ def _set_maker(k: int):
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        each = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), pa.array(np.repeat(batch.column("id").to_numpy(), [len(x) for x in each]))], ["shingle", "id"])
+
+
+def _across(placed: DataFrame, sets: DataFrame, sides: DataFrame, p: NearDupParams) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that may be linked, each once."""
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rest = materialise(placed.join(mixed, "key").select("key", "i", "j", "id", "component", "n"))
+    own = sets.join(rest.select("id").distinct(), "id").mapInArrow(_exploded, "shingle long, id long")
+    private = own.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("private"))
+    free = rest.select("id", "n").distinct().join(private, "id", "left").select("id", (F.col("n") - F.coalesce("private", F.lit(0))).alias("free"), "n")
+    free = free.where(f"100 * free >= {p.percent} * n").join(sides, "id").select("id", "free", "sides")
+    rest = rest.join(free, "id")
+    fits = f"{100 + p.percent} * least(x.free, y.free) >= {p.percent} * (x.n + y.n)"
+    earlier = lambda at, shift: f"exists(sequence(1, greatest(x.{at}, 1)), t -> t <= x.{at} and x.sides[{shift} + t - 1] = y.sides[{shift} + t - 1])"
+    first = f"not {earlier('i', 0)} and not {earlier('j', p.side)}"
+    on = F.expr(f"x.key = y.key and x.id > y.id and x.component <> y.component and {fits} and {first}")
+    return rest.alias("x").join(rest.alias("y"), on).select(F.expr("x.id").alias("a"), F.expr("y.id").alias("b"))
+
+
 def _confirmer(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,6 +148,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     nothing; rows with a null doc_id get a null component and are kept. Repeated rows each come back, and
     rows that share a doc_id are one node of the links; an empty table gives an empty result; further columns are ignored.
     """
+    short_batches(docs.sparkSession)
     p = params
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = materialise(docs.mapInArrow(_sketcher(p), "doc_id long, n_shingles long, set_a long, set_b long, sides array<long>"))
@@ -132,7 +156,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     reps = materialise(usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sides").alias("sides")))
 
     left, right = F.slice("sides", 1, p.side), F.slice("sides", p.side + 1, p.side)
-    keyed = reps.select("id", right.alias("right"), F.posexplode(left).alias("i", "l")).select("id", "i", "l", F.posexplode("right").alias("j", "r")).select(F.xxhash64("i", "j", "l", "r").alias("key"), "id")
+    keyed = reps.select("id", right.alias("right"), F.posexplode(left).alias("i", "l")).select("id", "i", "l", F.posexplode("right").alias("j", "r")).select(F.xxhash64("i", "j", "l", "r").alias("key"), F.col("i").cast("byte").alias("i"), F.col("j").cast("byte").alias("j"), "id")
     # A member's place in its bucket is its id xor the key: every table has another first member.
     rank = F.col("id").bitwiseXOR(F.col("key"))
     shared = keyed.groupBy("key").agg(F.min(rank).alias("lo"), F.max(rank).alias("hi")).where("lo < hi").select("key")
@@ -148,10 +172,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     for last in (False, False, False, True):
         placed = members.join(where, "id")
         if last:
-            mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-            rest = materialise(placed.join(mixed, "key").select("key", "id", "component", "n"))
-            x, y = rest.alias("x"), rest.alias("y")
-            pairs = x.join(y, F.expr("x.key = y.key and x.id > y.id and x.component <> y.component")).where(f"100 * least(x.n, y.n) >= {p.percent} * greatest(x.n, y.n)").select(F.expr("x.id").alias("a"), F.expr("y.id").alias("b")).distinct()
+            pairs = _across(placed, sets, reps.select("id", "sides"), p).distinct()
         else:
             first = placed.groupBy("key").agg(F.min(F.struct("component", "id", "n")).alias("lo"), F.max("component").alias("hi")).where("lo.component < hi")
             pairs = placed.join(first, "key").where(f"component <> lo.component and 100 * least(n, lo.n) >= {p.percent} * greatest(n, lo.n)").groupBy(F.col("id").alias("a"), F.col("component")).agg(F.min("lo.id").alias("b")).select("a", "b")
