@@ -9,8 +9,9 @@ Plan: one scan makes sketches; equal sets collapse to their least id before anyt
 table key. In each bucket the members are compared with one member a round; what is linked merges,
 and later rounds compare only across components. Last, the members of buckets that still hold several
 components are compared across them, so no link of a bucket is lost and dense groups never expand into
-all pairs. There, shingles that no other such member has bound what two sets can share; pairs that
-the bound refutes are never made, and a pair of several buckets is made in the first of them.
+all pairs. There, the counts of 64 parts of each set, without shingles that no other such member has,
+bound what two sets can share; pairs that the bound refutes are never made, and a pair of several
+buckets is made in the first of them.
 """
 
 from __future__ import annotations
@@ -107,19 +108,33 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), pa.array(np.repeat(batch.column("id").to_numpy(), [len(x) for x in each]))], ["shingle", "id"])
 
 
+_PARTS = 64  # parts that shingles fall into by hash; two sets share no more of a part than the smaller count there
+
+
+def _part_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        each = [np.bincount(np.frombuffer(x.as_buffer(), np.int64) % _PARTS, minlength=_PARTS).tolist() for x in batch.column("shingles")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(each, pa.list_(pa.int32()))], ["id", "whole"])
+
+
 def _across(placed: DataFrame, sets: DataFrame, sides: DataFrame, p: NearDupParams) -> DataFrame:
     """Pairs (a, b) of one bucket and different components that may be linked, each once."""
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = materialise(placed.join(mixed, "key").select("key", "i", "j", "id", "component", "n"))
     own = sets.join(rest.select("id").distinct(), "id").mapInArrow(_exploded, "shingle long, id long")
-    private = own.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("private"))
-    free = rest.select("id", "n").distinct().join(private, "id", "left").select("id", (F.col("n") - F.coalesce("private", F.lit(0))).alias("free"), "n")
-    free = free.where(f"100 * free >= {p.percent} * n").join(sides, "id").select("id", "free", "sides")
+    part = F.pmod("shingle", F.lit(_PARTS))
+    lone = own.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").select("id", part.alias("part"))
+    lone = lone.groupBy("id").agg(F.array(*[F.count_if(F.col("part") == i).cast("int") for i in range(_PARTS)]).alias("lone"))
+    whole = sets.join(rest.select("id").distinct(), "id").mapInArrow(_part_counts, "id long, whole array<int>")
+    shared = F.transform("whole", lambda x, i: x - F.coalesce(F.col("lone")[i], F.lit(0)))
+    free = whole.join(lone, "id", "left").select("id", shared.alias("parts")).withColumn("free", F.aggregate("parts", F.lit(0), lambda acc, x: acc + x))
+    free = free.join(rest.select("id", "n").distinct(), "id").where(f"100 * free >= {p.percent} * n").join(sides, "id").select("id", "free", "parts", "sides")
     rest = rest.join(free, "id")
     fits = f"{100 + p.percent} * least(x.free, y.free) >= {p.percent} * (x.n + y.n)"
     earlier = lambda at, shift: f"exists(sequence(1, greatest(x.{at}, 1)), t -> t <= x.{at} and x.sides[{shift} + t - 1] = y.sides[{shift} + t - 1])"
     first = f"not {earlier('i', 0)} and not {earlier('j', p.side)}"
-    on = F.expr(f"x.key = y.key and x.id > y.id and x.component <> y.component and {fits} and {first}")
+    close = f"{100 + p.percent} * aggregate(zip_with(x.parts, y.parts, (a, b) -> least(a, b)), 0, (s, v) -> s + v) >= {p.percent} * (x.n + y.n)"
+    on = F.expr(f"x.key = y.key and x.id > y.id and x.component <> y.component and {fits} and {first} and {close}")
     return rest.alias("x").join(rest.alias("y"), on).select(F.expr("x.id").alias("a"), F.expr("y.id").alias("b"))
 
 
@@ -148,7 +163,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     nothing; rows with a null doc_id get a null component and are kept. Repeated rows each come back, and
     rows that share a doc_id are one node of the links; an empty table gives an empty result; further columns are ignored.
     """
-    short_batches(docs.sparkSession)
+    short_batches(docs.sparkSession, 100)  # a pair of long documents' sets is large
     p = params
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = materialise(docs.mapInArrow(_sketcher(p), "doc_id long, n_shingles long, set_a long, set_b long, sides array<long>"))
