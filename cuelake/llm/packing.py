@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, passes
+from .common import materialise, passes, short_batches
 
 
 @dataclass(frozen=True)
@@ -34,11 +34,16 @@ class PackingParams:
     k1: float = 1.2
     b: float = 0.75
     min_df: int = 4  # least document frequency of a token that places a tail
-    cached_words: int = 300_000
+    cached_words: int = 700_000
 
 
 class WordTokens:
-    """Token ids of words, encoded once each: the tokenizer never joins text across ASCII white space."""
+    """Token ids of words, encoded once each.
+
+    The tokenizer lower-cases and never joins text across ASCII white space, nor a letter or digit with
+    full stops and commas after it; so a word's ids are those of its lower-cased stem and of that tail.
+    Many stems are encoded as one text and told apart by their offsets.
+    """
 
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
@@ -49,18 +54,36 @@ class WordTokens:
 
     def _clear(self) -> None:
         self.at: dict[bytes, int] = {}
+        self.stems: dict[bytes, tuple[int, ...]] = {}
         self.pool, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, bytes]:
+        low = word if b"<|" in word else word.lower()  # a special token's name keeps its case
+        stem = low.rstrip(b".,")
+        return (stem, low[len(stem) :]) if stem and stem[-1:].isalnum() else (low, b"")
+
+    def _learn(self, stems: list[bytes], together: int = 500) -> None:
+        groups = [[w.decode("utf-8", "replace") for w in stems[a : a + together]] for a in range(0, len(stems), together)]
+        for g, e, a in zip(groups, self.tokenizer.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False), range(0, len(stems), together), strict=True):
+            ids = e.ids
+            begins = np.cumsum([0, *(len(w) + 1 for w in g)])
+            cut = np.searchsorted([o[0] for o in e.offsets], begins).tolist()
+            self.stems.update((stems[a + i], tuple(ids[cut[i] : cut[i + 1]])) for i in range(len(g)))
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of each)."""
         split = [t.split() for t in texts]
         words = [w for ws in split for w in ws]
-        fresh = list(set(words).difference(self.at))
+        fresh = set(words).difference(self.at)
         if self.at and len(self.at) + len(fresh) > self.limit:
             self._clear()
-            fresh = list(set(words))
+            fresh = set(words)
         if fresh:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
+            fresh = list(fresh)
+            parts = [self._parts(w) for w in fresh]
+            self._learn(list({x for p in parts for x in p if x}.difference(self.stems)))
+            got = [self.stems.get(a, ()) + self.stems.get(b, ()) for a, b in parts]
             lens = np.fromiter(map(len, got), np.int64, len(got))
             self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh)), strict=True))
             self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(lens)))
@@ -249,6 +272,7 @@ def pack(docs: DataFrame, p: PackingParams) -> DataFrame:
     sequence the offsets leave no gap and no sequence is longer than the window. Null and empty texts
     are their end id alone; rows that repeat a doc_id are packed each; an empty table gives no piece.
     """
+    short_batches(docs.sparkSession)
     tokens = materialise(tokenise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), p))
     whole = F.col("doc_tokens") - F.col("doc_tokens") % p.window
     tails = tokens.where(F.col("doc_tokens") % p.window > 0).select("doc_id", "doc_tokens", F.expr(f"substring(ids, int((doc_tokens - doc_tokens % {p.window}) * width) + 1)").alias("tail"), "width")
