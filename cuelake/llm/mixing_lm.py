@@ -2,14 +2,16 @@
 
 The model reads the lower-cased bytes of a text and an end byte, bit by bit. Each predictor looks up a
 hashed context (the last four bytes; the last two and the end of the word before; the word so far) and
-the bits of the current byte seen so far in a table of logits, which is counted over all learning
-documents. A gated set of weights (one per bit position) combines them, is trained online after every
+the bits of the current byte seen so far, as logits of counts over all learning documents. A gated set of weights (one per bit position) combines them, is trained online after every
 bit, and an adaptive probability map refines the mixed probability. Weights and map start afresh in every
 lane of ``lane_bytes`` of a document; contexts reach back across lanes, so every byte's probability
 depends on the text before it alone. Many lanes advance together as vectors.
 
 Word counts of the base are exact: blocks of documents send the hashes of their words to ranges of the
-hash, which return corpus counts. So nothing the size of the vocabulary meets in one place.
+hash, which return corpus counts. So nothing the size of the vocabulary meets in one place. Contexts go
+the same way: a block sends each of its (context, next byte) pairs once, by a key of 56 bits of the
+context's hash and the byte, and gets back the eight logits on the byte's path. So the counted contexts
+grow with the corpus, and none is hot: a range gets a pair at most once from each block.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from .common import ByteHasher, hashed_words, materialise, mix64, passes, short_
 
 @dataclass(frozen=True)
 class MixingLmParams:
-    row_bits: tuple[int, int, int] = (16, 16, 16)  # context slots of each predictor
+    row_bits: tuple[int, ...] = (16, 16, 16)  # context slots of tables that are given whole
     block_bytes: int = 4_000_000
     range_bytes: int = 64_000_000
+    context_range_bytes: int = 24_000_000
     lane_bytes: int = 256
     lanes: int = 8192
     rate: float = 0.006
@@ -45,8 +48,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def context_slots(buf: np.ndarray, p: MixingLmParams, only: int | None = None) -> list[np.ndarray]:
-    """Slot of each predictor's context (or of one predictor's) before every byte of ``buf``; texts in it end with byte 0, which resets contexts."""
+def contexts(buf: np.ndarray, k: int) -> np.ndarray:
+    """Hash of predictor ``k``'s context before every byte of ``buf``; texts in it end with byte 0, which resets contexts."""
     n = len(buf)
     hasher = _hasher()
     sums, at = hasher.prefix(buf), np.arange(n)
@@ -57,9 +60,29 @@ def context_slots(buf: np.ndarray, p: MixingLmParams, only: int | None = None) -
     word[1:][cut[:-1]] = at[1:][cut[:-1]]
     word = np.maximum.accumulate(word)  # first byte of the word
     last = lambda d: hasher.ranges(sums, np.maximum(at - d, origin), at)
-    before = hasher.ranges(sums, np.maximum(word - 3, origin), np.maximum(word - 1, origin))
-    contexts = (lambda: last(4), lambda: last(2) + before * np.uint64(0x9E3779B97F4A7C15), lambda: hasher.ranges(sums, word, at))
-    return [(mix64(contexts[k]()) >> np.uint64(64 - p.row_bits[k])).astype(np.int32) for k in (range(len(contexts)) if only is None else [only])]
+    before = lambda: hasher.ranges(sums, np.maximum(word - 3, origin), np.maximum(word - 1, origin))
+    found = (lambda: last(4), lambda: last(2) + before() * np.uint64(0x9E3779B97F4A7C15), lambda: hasher.ranges(sums, word, at))
+    return mix64(found[k]())
+
+
+PREDICTORS = 3
+
+
+def _joined(texts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(t.replace(b"\0", b"\1") + b"\0" for t in texts), np.uint8)
+
+
+def block_pairs(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys of the distinct pairs of context and byte of predictor ``k``, place in them of every byte)."""
+    keys = []
+    for lo, hi in passes([len(t) + 1 for t in texts]):
+        buf = _joined(texts[lo:hi])
+        keys.append(contexts(buf, k) & ~np.uint64(255) | buf)
+    at, v = pd.factorize(np.concatenate(keys))
+    order = np.argsort(v)
+    place = np.empty(len(v), np.int32)
+    place[order] = np.arange(len(v), dtype=np.int32)
+    return v[order], place[at]
 
 
 _HASHERS: dict[int, ByteHasher] = {}
@@ -141,42 +164,71 @@ def _word_counter(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "range", "counts", "tokens", "distinct"])
 
 
-_PART = 20  # bits of a table's cells that travel in one row
+def _squeeze(x: np.ndarray) -> bytes:
+    """The bytes of ``x``, those of like weight together, compressed."""
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
 
-def _bit_counts(p: MixingLmParams):
-    """Counts of (context slot, byte) of each predictor over the learning documents of some blocks, by parts of the table."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+def _unsqueeze(x: bytes, dtype: type, width: int) -> np.ndarray:
+    """Rows of ``width`` bytes, back as they were (one number a row, or a row of int8)."""
+    import zstandard
+
+    raw = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(width, -1).T)
+    return raw.view(dtype) if dtype is np.int8 else raw.view(dtype)[:, 0]
+
+
+def _context_sender(ranges: int):
+    """Each block's pairs of context and byte, with their counts in its learning documents, by ranges of the key."""
 
-        own = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("held", "lens", "text")), strict=True) if not all(r[0])]
-        for k in range(len(p.row_bits) if own else 0):  # one table in memory at a time
-            total = np.zeros(1 << (p.row_bits[k] + 8), np.uint32)
-            for held, lens, text in own:
-                texts = [t for t, h in zip(_texts(lens, text), held, strict=True) if not h]
-                for lo, hi in passes([len(t) + 1 for t in texts]):
-                    buf = np.frombuffer(b"".join(t.replace(b"\0", b"\1") + b"\0" for t in texts[lo:hi]), np.uint8)
-                    np.add.at(total, (context_slots(buf, p, k)[0] << 8) | buf, np.uint32(1))
-            for part in range(-(-len(total) >> _PART)):
-                cells = total[part << _PART : (part + 1) << _PART]
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part]), pa.array([zstandard.ZstdCompressor(level=1).compress(cells.tobytes())], pa.binary())], ["k", "part", "cells"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, held, lens, text in zip(*(batch.column(c).to_pylist() for c in ("block", "held", "lens", "text")), strict=True):
+                texts = _texts(lens, text)
+                learn = np.repeat(~np.array(held, bool), [len(t) + 1 for t in texts])
+                for k in range(PREDICTORS):
+                    v, at = block_pairs(texts, k)
+                    n = np.bincount(at[learn], minlength=len(v)).astype(np.uint32)
+                    bound = np.searchsorted(_range_of(v, ranges), np.arange(ranges + 1))
+                    rows = [(k, r, block, _squeeze(np.diff(v[a:b], prepend=np.uint64(0))), _squeeze(n[a:b])) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], c) for i, c in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["k", "range", "block", "v", "n"])
 
     return run
 
 
-def _logits(p: MixingLmParams):
-    """Summed counts of a part as logits of each node (bits of a byte so far, with a leading 1), in eighths."""
+def _range_of(v: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of a key, by its context alone: its upper 32 bits."""
+    return (v >> np.uint64(32)).astype(np.int64) * ranges >> 32
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
 
-        n = sum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32).astype(np.float64) for x in pdf["cells"]).reshape(-1, 256)
-        out = np.zeros(n.shape)
-        for bits in range(8):
-            halves = n.reshape(len(n), 1 << bits, 2, -1).sum(axis=3)
-            out[:, 1 << bits : 2 << bits] = np.log((halves[:, :, 1] + p.prior) / (halves[:, :, 0] + p.prior))
-        return pd.DataFrame([(pdf["k"].iloc[0], pdf["part"].iloc[0], np.clip(np.rint(out * 8), -127, 127).astype(np.int8).tobytes())], columns=["k", "part", "cells"])
+def path_logits(v: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
+    """Logit of a 1, in eighths, at each of the eight bits of every pair's byte; ``v`` are all pairs of their contexts, sorted."""
+    out = np.empty((len(v), 8), np.int8)
+    starts = lambda bits: np.flatnonzero(np.concatenate(([True], np.diff(v >> np.uint64(bits)) != 0)))
+    spread = lambda at: np.repeat(np.add.reduceat(n, at), np.diff(at, append=len(v))).astype(np.float64)
+    whole = spread(starts(8))
+    for j in range(8):
+        own = spread(starts(7 - j))
+        sign = np.where(v >> np.uint64(7 - j) & np.uint64(1), 8.0, -8.0)
+        out[:, j] = np.clip(np.rint(sign * np.log((own + prior) / (whole - own + prior))), -127, 127)
+        whole = own
+    return out
+
+
+def _context_counter(p: MixingLmParams):
+    """Path logits of the corpus for every pair that a block sent."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        each = [np.cumsum(_unsqueeze(x, np.uint64, 8), dtype=np.uint64) for x in pdf["v"]]
+        at, v = pd.factorize(np.concatenate(each))
+        n = np.bincount(at, weights=np.concatenate([_unsqueeze(x, np.uint32, 4) for x in pdf["n"]]), minlength=len(v)).astype(np.int64)
+        order = np.argsort(v)
+        paths = np.empty((len(v), 8), np.int8)
+        paths[order] = path_logits(v[order], n[order], p.prior)
+        ends = np.cumsum([len(x) for x in each])
+        rows = [(block, k, r, _squeeze(paths[at[b - len(x) : b]])) for block, k, r, x, b in zip(pdf["block"], pdf["k"], pdf["range"], each, ends, strict=True)]
+        return pd.DataFrame(rows, columns=["block", "k", "range", "counts"])
 
     return run
 
@@ -185,22 +237,25 @@ _BUCKETS = 3  # of the adaptive map, on each side of an even chance (the two inm
 
 
 class ContextMixer:
-    """Bits of texts under the model; ``tables`` are the predictors' logits in eighths."""
+    """Bits of texts under the model; ``tables`` are the predictors' logits in eighths, given whole by slot and node."""
 
     def __init__(self, tables: list[np.ndarray], p: MixingLmParams):
         self.tables, self.p = tables, p
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """-log2 probability of each text (an end byte included)."""
-        out = np.zeros(len(texts))
-        for lo, hi in passes([len(t) + 1 for t in texts]):
-            buf = np.frombuffer(b"".join(t.replace(b"\0", b"\1") + b"\0" for t in texts[lo:hi]), np.uint8)
-            ends = np.cumsum([len(t) + 1 for t in texts[lo:hi]])
-            slots = context_slots(buf, self.p)
-            lane = self._lanes(ends)
-            for a in range(0, len(lane[0]), self.p.lanes):
-                doc, start, size = (x[a : a + self.p.lanes] for x in lane)
-                np.add.at(out[lo:hi], doc, self._advance(buf, slots, start, size))
+        buf = _joined(texts)
+        nodes = (np.int64(256) | buf)[:, None] >> np.arange(8, 0, -1)
+        inputs = [(t[(contexts(buf, k) >> np.uint64(64 - b)).astype(np.int64)[:, None] << 8 | nodes], np.arange(len(buf))) for k, (t, b) in enumerate(zip(self.tables, self.p.row_bits, strict=True))]
+        return self.mixed(texts, inputs)
+
+    def mixed(self, texts: list[bytes], inputs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The same from path logits of each predictor, and the row in them of every byte."""
+        out, buf = np.zeros(len(texts)), _joined(texts)
+        lane = self._lanes(np.cumsum([len(t) + 1 for t in texts]))
+        for a in range(0, len(lane[0]), self.p.lanes):
+            doc, start, size = (x[a : a + self.p.lanes] for x in lane)
+            np.add.at(out, doc, self._advance(buf, inputs, start, size))
         return out
 
     def _lanes(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,79 +268,67 @@ class ContextMixer:
         order = np.argsort(-size, kind="stable")
         return doc[order], start[order], size[order]
 
-    def _advance(self, buf: np.ndarray, slots: list[np.ndarray], start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """-log2 probability of every lane. Vectors are reused; the tables' eighths are part of the weights."""
-        p, k, n = self.p, len(self.tables), len(start)
-        weights = np.full((8, k, n), p.first_weight / 8, np.float32)
-        refine = np.zeros((8, (2 * _BUCKETS - 1) * n), np.float32)  # a correction for each bit and range of the mixed logit
-        cost, across = np.zeros(n), np.arange(n) + (_BUCKETS - 1) * n
-        takes = [t.take for t in self.tables]
-        top, low, scale = np.float32(11.9), np.float32(-11.9), np.float32(_BUCKETS / 12)
+    def _advance(self, buf: np.ndarray, inputs: list[tuple[np.ndarray, np.ndarray]], start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """-log2 probability of every lane. The bits of a byte have weights and corrections of their own, so all eight advance at once."""
+        p, k, n = self.p, len(inputs), len(start)
+        cells = 2 * _BUCKETS - 1
+        weights = np.full((k, 8, n), p.first_weight / 8, np.float32)  # the inputs' eighths are part of the weights
+        refine = np.zeros(8 * cells * n, np.float32)  # a correction for each bit and range of the mixed logit
+        across = (np.arange(8)[:, None] * cells + _BUCKETS - 1) * n + np.arange(n)
+        cost = np.zeros(n)
+        top, scale = np.float32(11.9), np.float32(_BUCKETS / 12)
         rate, map_rate, one = np.float32(p.rate / 8), np.float32(p.map_rate), np.float32(1)
         most = int(size[0]) if n else 0
         active = np.searchsorted(-size, -np.arange(most), "left")  # lanes that still have a byte
-        rows, spots, nodes, places = np.empty((k, n), np.int64), np.empty((k, n), np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
-        raw, inputs, parts = np.empty(n, np.int8), np.empty((k, n), np.float32), np.empty((k, n), np.float32)
-        logits, errors, chances = (np.empty(n, np.float32) for _ in range(3))
+        m = -1
         for t in range(most):
-            m = int(active[t])
+            if m != active[t]:
+                m = int(active[t])
+                x, part = np.empty((k, 8, m), np.float32), np.empty((k, 8, m), np.float32)
+                logit, error, place = np.empty((8, m), np.float32), np.empty((8, m), np.float32), np.empty((8, m), np.int64)
+                w, lane = weights[:, :, :m], across[:, :m]
             now = start[:m] + t
-            byte = buf[now]
-            bits = np.unpackbits(byte[None, :], axis=0)
-            ones = bits.astype(np.float32)
-            row, spot, node, place = rows[:, :m], spots[:, :m], nodes[:m], places[:m]
-            for i in range(k):
-                np.left_shift(slots[i][now], 8, out=row[i])
-            node[:] = 1
-            x, part, logit, error, chance = inputs[:, :m], parts[:, :m], logits[:m], errors[:m], chances[:m]
-            chance[:] = one
-            value, lane = raw[:m], across[:m]
-            looked = [(take, spot[i], x[i]) for i, take in enumerate(takes)]
-            for j in range(8):
-                w, flat = weights[j][:, :m], refine[j]
-                np.add(row, node, out=spot)
-                for take, where, to in looked:
-                    take(where, None, value, "clip")
-                    to[:] = value
-                np.multiply(w, x, part)
-                np.add.reduce(part, 0, None, logit)
-                np.minimum(logit, top, logit)
-                np.maximum(logit, low, logit)
-                np.multiply(logit, scale, error)
-                place[:] = error
-                place *= n
-                place += lane
-                own = flat.take(place, None, None, "clip")
-                logit += own
-                np.negative(logit, out=error)
-                np.exp(error, out=error)
-                error += one
-                np.reciprocal(error, out=error)
-                np.subtract(ones[j], error, out=error)
-                np.abs(error, out=logit)  # 1 - |error| is the chance of the bit
-                np.subtract(one, logit, out=logit)
-                chance *= logit
-                own += map_rate * error
-                flat[place] = own
-                error *= rate
-                np.multiply(x, error, out=part)
-                w += part
-                node <<= 1
-                node += bits[j]
-            cost[:m] -= np.log2(np.maximum(chance, 1e-30))
+            ones = np.unpackbits(buf[now][None, :], axis=0)
+            for i, (paths, at) in enumerate(inputs):
+                x[i] = paths.take(at.take(now), 0).T
+            np.multiply(w, x, part)
+            np.add.reduce(part, 0, None, logit)
+            np.minimum(logit, top, logit)
+            np.maximum(logit, -top, logit)
+            np.multiply(logit, scale, error)
+            place[:] = error
+            place *= n
+            place += lane
+            own = refine.take(place, None, None, "clip")
+            logit += own
+            np.negative(logit, out=error)
+            np.exp(error, out=error)
+            error += one
+            np.reciprocal(error, out=error)
+            np.subtract(ones, error, out=error)
+            np.abs(error, out=logit)  # 1 - |error| is the chance of the bit
+            np.subtract(one, logit, out=logit)
+            cost[:m] -= np.log2(np.maximum(np.multiply.reduce(logit, 0), 1e-30))
+            own += map_rate * error
+            refine[place] = own
+            error *= rate
+            np.multiply(x, error, out=part)
+            w += part
         return cost
 
 
 _SCORES = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, bits double"
 
 
-def _scorer(tables: list[np.ndarray], tokens: int, distinct: int, end_count: int, p: MixingLmParams):
+def _scorer(tokens: int, distinct: int, end_count: int, p: MixingLmParams):
     def run(key, packed: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         row = packed.iloc[0]
         texts = _texts(row["lens"], row["text"])
         words, first = _block_words(texts)
         v, at = np.unique(words, return_inverse=True)
-        n = np.concatenate([np.frombuffer(x, np.int64) for x in counted.sort_values("range")["counts"]]) if len(counted) else np.zeros(0, np.int64)
+        counted = counted.sort_values(["k", "range"])
+        n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in counted["counts"][counted["k"] < 0])])
+        inputs = [(np.concatenate([_unsqueeze(x, np.int8, 8) for x in counted["counts"][counted["k"] == k]]), block_pairs(texts, k)[1]) for k in range(PREDICTORS)]
         whole = np.log10(tokens + p.alpha * (distinct + 1))
         logs = np.concatenate(([0.0], np.cumsum(np.log10(n + p.alpha)[at] - whole)))
         known = np.concatenate(([0], np.cumsum((n > 0)[at])))
@@ -293,7 +336,7 @@ def _scorer(tables: list[np.ndarray], tokens: int, distinct: int, end_count: int
         base = logs[first[1:]] - logs[first[:-1]] + np.log10(end_count + p.alpha) - whole
         return pd.DataFrame({
             "doc_id": pd.array(row["ids"], "Int64"), "held_out": list(row["held"]), "n_bytes": [len(t) for t in texts], "n_tokens": size + 1,
-            "n_known": known[first[1:]] - known[first[:-1]] + (end_count > 0), "train_tokens": tokens, "base_score": base, "bits": ContextMixer(tables, p).bits(texts),
+            "n_known": known[first[1:]] - known[first[:-1]] + (end_count > 0), "train_tokens": tokens, "base_score": base, "bits": ContextMixer([], p).mixed(texts, inputs),
         })
 
     return run
@@ -304,7 +347,7 @@ def score_texts(docs: DataFrame, params: MixingLmParams = MixingLmParams()) -> D
 
     Returns doc_id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score (log10), bits (total, end
     byte included) and bits_per_byte. Null texts are empty; byte 0 counts as byte 1; a null held_out is
-    false. Rows that repeat count each. Without any learning document the tables are flat and the base
+    false. Rows that repeat count each. Without any learning document all logits are 0 and the base
     knows no token. An empty table gives an empty result.
     """
     short_batches(docs.sparkSession)
@@ -316,15 +359,8 @@ def score_texts(docs: DataFrame, params: MixingLmParams = MixingLmParams()) -> D
     counted = materialise(blocks.mapInArrow(_word_sender(ranges), "range long, block long, v binary, n binary").groupBy("range").applyInPandas(_word_counter, "block long, range long, counts binary, tokens long, distinct long"))
     tokens, distinct = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = tokens + learners, distinct + (learners > 0)
-    parts = blocks.select("held", "lens", "text").mapInArrow(_bit_counts(p), "k long, part long, cells binary").groupBy("k", "part").applyInPandas(_logits(p), "k long, part long, cells binary")
-    tables = [np.zeros(1 << (b + 8), np.int8) for b in p.row_bits]
-    for r in parts.collect():  # bounded by row_bits
-        cells = np.frombuffer(r["cells"], np.int8)
-        tables[r["k"]][r["part"] << _PART : (r["part"] << _PART) + len(cells)] = cells
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-
-    def score(key, packed: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        return _scorer(shared.value, tokens, distinct, learners, p)(key, packed, found)
-
-    scored = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(score, _SCORES)
+    context_ranges = max(1, -(-size // p.context_range_bytes))
+    paths = blocks.mapInArrow(_context_sender(context_ranges), "k long, range long, block long, v binary, n binary").groupBy("k", "range").applyInPandas(_context_counter(p), "block long, k long, range long, counts binary")
+    found = counted.select("block", F.lit(-1).cast("long").alias("k"), "range", "counts").unionByName(paths)
+    scored = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_scorer(tokens, distinct, learners, p), _SCORES)
     return scored.withColumn("bits_per_byte", F.col("bits") / F.greatest(F.col("n_bytes"), F.lit(1)))

@@ -81,3 +81,42 @@ def test_learning_helps(spark):
 
 def test_empty(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string, held_out boolean"), SMALL).count() == 0
+
+
+def test_contexts_are_counted_apart_however_many():
+    """200,000 contexts, more than any table of 65,536 slots, each with one byte of its own: the pairs' logits are exact."""
+    from cuelake.llm.mixing_lm import path_logits
+
+    rng = np.random.default_rng(7)
+    context = np.unique(rng.integers(0, 2**56, 200_000, dtype=np.uint64))
+    byte, n = rng.integers(0, 256, len(context)).astype(np.uint64), rng.integers(0, 5, len(context))
+    got = path_logits(context << np.uint64(8) | byte, n, 0.4)
+    ones = (byte[:, None] >> np.arange(7, -1, -1).astype(np.uint64) & np.uint64(1)).astype(bool)
+    expected = np.rint(8 * np.log((n + 0.4) / 0.4))[:, None] * np.where(ones, 1, -1)
+    assert (got == expected).all()
+
+
+def test_scores_equal_brute_force_counts(spark):
+    """Scores through Spark equal those from a dictionary of all contexts of all blocks."""
+    from cuelake.llm import mixing_lm as lm
+
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcde \n") for _ in range(rng.randint(0, 400))), i % 5 == 0) for i in range(60)]
+    p = MixingLmParams(block_bytes=2000, range_bytes=2000, context_range_bytes=1500, lane_bytes=64, lanes=16)
+    got = {r.doc_id: r.bits for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3), p).collect()}
+    counts = [Counter() for _ in range(lm.PREDICTORS)]
+    joined = {d: lm._joined([t.encode()]) for d, t, _ in rows}
+    for d, _, held in rows:
+        for k in range(lm.PREDICTORS):
+            if not held:
+                counts[k].update((c >> 8, b) for c, b in zip(lm.contexts(joined[d], k).tolist(), joined[d].tolist()))
+    for d, t, _ in rows:
+        inputs = []
+        for k in range(lm.PREDICTORS):
+            paths = np.zeros((len(joined[d]), 8), np.int8)
+            for i, (c, b) in enumerate(zip(lm.contexts(joined[d], k).tolist(), joined[d].tolist())):
+                for j in range(8):
+                    n = [sum(counts[k][c >> 8, x] for x in range((b >> 8 - j) << 8 - j, ((b >> 8 - j) + 1) << 8 - j) if x >> 7 - j & 1 == y) for y in (0, 1)]
+                    paths[i, j] = np.clip(np.rint(8 * math.log((n[1] + p.prior) / (n[0] + p.prior))), -127, 127)
+            inputs.append((paths, np.arange(len(paths))))
+        assert got[d] == pytest.approx(ContextMixer([], p).mixed([t.encode()], inputs)[0], rel=1e-5)
