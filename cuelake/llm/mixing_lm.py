@@ -1,11 +1,11 @@
 """Text scoring by online logistic context mixing, and a smoothed unigram base beside it.
 
 The model reads the lower-cased bytes of a text and an end byte, bit by bit. Each predictor looks up a
-hashed context (the last four bytes; the last two and the end of the word before; the word so far) and
-the bits of the current byte seen so far, as logits of counts over all learning documents. A gated set of weights (one per bit position) combines them, is trained online after every
-bit, and an adaptive probability map refines the mixed probability. Weights and map start afresh in every
-lane of ``lane_bytes`` of a document; contexts reach back across lanes, so every byte's probability
-depends on the text before it alone. Many lanes advance together as vectors.
+hashed context (the last four bytes; the last two and the end of the word before; the word so far; the
+last three) and the bits of the current byte seen so far, as logits of counts over all learning documents. A gated set of weights (one per bit position) combines them, is trained online after every
+bit, and an adaptive probability map refines the mixed probability. Weights and map start with a document
+and are carried through to its end, so every byte's probability depends on the text before it alone. Many
+documents advance together as vectors; a block takes as many steps as its longest document has bytes.
 
 Word counts of the base are exact: blocks of documents send the hashes of their words to ranges of the
 hash, which return corpus counts. So nothing the size of the vocabulary meets in one place. Contexts go
@@ -31,14 +31,14 @@ from .common import ByteHasher, hashed_words, materialise, mix64, passes, short_
 
 @dataclass(frozen=True)
 class MixingLmParams:
-    row_bits: tuple[int, ...] = (16, 16, 16)  # context slots of tables that are given whole
+    row_bits: tuple[int, ...] = (16, 16, 16, 16)  # context slots of tables that are given whole
     block_bytes: int = 4_000_000
     range_bytes: int = 64_000_000
     context_range_bytes: int = 24_000_000
-    lane_bytes: int = 256
+    lane_bytes: int = 256  # not read: a lane is a whole document
     lanes: int = 8192
     rate: float = 0.006
-    first_weight: float = 0.36
+    first_weight: float = 0.25
     map_rate: float = 0.02
     prior: float = 0.4  # pseudo-count of a bit
     alpha: float = 0.1  # of the base
@@ -61,11 +61,11 @@ def contexts(buf: np.ndarray, k: int) -> np.ndarray:
     word = np.maximum.accumulate(word)  # first byte of the word
     last = lambda d: hasher.ranges(sums, np.maximum(at - d, origin), at)
     before = lambda: hasher.ranges(sums, np.maximum(word - 3, origin), np.maximum(word - 1, origin))
-    found = (lambda: last(4), lambda: last(2) + before() * np.uint64(0x9E3779B97F4A7C15), lambda: hasher.ranges(sums, word, at))
+    found = (lambda: last(4), lambda: last(2) + before() * np.uint64(0x9E3779B97F4A7C15), lambda: hasher.ranges(sums, word, at), lambda: last(3))
     return mix64(found[k]())
 
 
-PREDICTORS = 3
+PREDICTORS = 4
 
 
 def _joined(texts: list[bytes]) -> np.ndarray:
@@ -233,7 +233,7 @@ def _context_counter(p: MixingLmParams):
     return run
 
 
-_BUCKETS = 3  # of the adaptive map, on each side of an even chance (the two inmost are one)
+_TOP = 12  # the adaptive map has a cell for each whole logit up to this, of either sign
 
 
 class ContextMixer:
@@ -259,25 +259,22 @@ class ContextMixer:
         return out
 
     def _lanes(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first byte, bytes) of every lane, the longest first."""
-        begins = np.concatenate(([0], ends[:-1]))
-        n = -(-(ends - begins) // self.p.lane_bytes)
-        doc = np.repeat(np.arange(len(ends)), n)
-        start = begins[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * self.p.lane_bytes
-        size = np.minimum(ends[doc] - start, self.p.lane_bytes)
-        order = np.argsort(-size, kind="stable")
-        return doc[order], start[order], size[order]
+        """(text, first byte, bytes) of every text, the longest first."""
+        size = np.diff(ends, prepend=0)
+        doc = np.argsort(-size, kind="stable")
+        return doc, ends[doc] - size[doc], size[doc]
 
     def _advance(self, buf: np.ndarray, inputs: list[tuple[np.ndarray, np.ndarray]], start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """-log2 probability of every lane. The bits of a byte have weights and corrections of their own, so all eight advance at once."""
+        """-log2 probability of every lane. The bits of a byte have weights and maps of their own, so all eight advance at once."""
         p, k, n = self.p, len(inputs), len(start)
-        cells = 2 * _BUCKETS - 1
+        cells = 2 * _TOP + 1
         weights = np.full((k, 8, n), p.first_weight / 8, np.float32)  # the inputs' eighths are part of the weights
-        refine = np.zeros(8 * cells * n, np.float32)  # a correction for each bit and range of the mixed logit
-        across = (np.arange(8)[:, None] * cells + _BUCKETS - 1) * n + np.arange(n)
+        grid = np.arange(-_TOP, _TOP + 1, dtype=np.float32)
+        refined = np.tile(np.repeat(1 / (1 + np.exp(-grid)), n), 8)  # a chance for each bit and whole logit
+        across = (np.arange(8)[:, None] * cells + _TOP) * n + np.arange(n)
         cost = np.zeros(n)
-        top, scale = np.float32(11.9), np.float32(_BUCKETS / 12)
-        rate, map_rate, one = np.float32(p.rate / 8), np.float32(p.map_rate), np.float32(1)
+        top = np.float32(_TOP - 0.1)
+        rate, map_rate, one = np.float32(p.rate / 64), np.float32(p.map_rate), np.float32(1)
         most = int(size[0]) if n else 0
         active = np.searchsorted(-size, -np.arange(most), "left")  # lanes that still have a byte
         m = -1
@@ -288,29 +285,31 @@ class ContextMixer:
                 logit, error, place = np.empty((8, m), np.float32), np.empty((8, m), np.float32), np.empty((8, m), np.int64)
                 w, lane = weights[:, :, :m], across[:, :m]
             now = start[:m] + t
-            ones = np.unpackbits(buf[now][None, :], axis=0)
+            ones = np.unpackbits(buf[now][None, :], axis=0).astype(np.float32)
             for i, (paths, at) in enumerate(inputs):
                 x[i] = paths.take(at.take(now), 0).T
             np.multiply(w, x, part)
             np.add.reduce(part, 0, None, logit)
             np.minimum(logit, top, logit)
             np.maximum(logit, -top, logit)
-            np.multiply(logit, scale, error)
+            np.rint(logit, error)
             place[:] = error
             place *= n
             place += lane
-            own = refine.take(place, None, None, "clip")
-            logit += own
+            own = refined.take(place, None, None, "clip")
             np.negative(logit, out=error)
             np.exp(error, out=error)
             error += one
             np.reciprocal(error, out=error)
+            np.multiply(error, np.float32(0.75), out=logit)
+            logit += np.float32(0.25) * own
             np.subtract(ones, error, out=error)
-            np.abs(error, out=logit)  # 1 - |error| is the chance of the bit
-            np.subtract(one, logit, out=logit)
+            logit += ones
+            logit -= one
+            np.abs(logit, out=logit)  # chance of the bit
             cost[:m] -= np.log2(np.maximum(np.multiply.reduce(logit, 0), 1e-30))
-            own += map_rate * error
-            refine[place] = own
+            own += map_rate * (ones - own)
+            refined[place] = own
             error *= rate
             np.multiply(x, error, out=part)
             w += part

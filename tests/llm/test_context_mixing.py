@@ -120,3 +120,28 @@ def test_scores_equal_brute_force_counts(spark):
                     paths[i, j] = np.clip(np.rint(8 * math.log((n[1] + p.prior) / (n[0] + p.prior))), -127, 127)
             inputs.append((paths, np.arange(len(paths))))
         assert got[d] == pytest.approx(ContextMixer([], p).mixed([t.encode()], inputs)[0], rel=1e-5)
+
+
+def test_state_is_carried_through_a_document():
+    """A text of many lanes costs what one learner pays that never starts afresh, with four predictors and 25 cells a bit."""
+    from cuelake.llm.mixing_lm import PREDICTORS
+
+    assert PREDICTORS == 4
+    rng = np.random.default_rng(4)
+    p, text = MixingLmParams(), bytes(rng.integers(97, 103, 1500, dtype=np.uint8))
+    buf = np.frombuffer(text + b"\0", np.uint8)
+    paths = [rng.integers(-30, 30, (len(buf), 8)).astype(np.int8) for _ in range(4)]
+    w, chart = np.full((8, 4), p.first_weight), np.tile(1 / (1 + np.exp(-np.arange(-12, 13.0))), (8, 1))
+    bits = 0.0
+    for t, byte in enumerate(buf.tolist()):
+        for j in range(8):
+            y, x = byte >> 7 - j & 1, np.array([q[t, j] / 8 for q in paths])
+            dot = float(np.clip(w[j] @ x, -11.9, 11.9))
+            mixed, cell = 1 / (1 + math.exp(-dot)), round(dot) + 12
+            final = 0.75 * mixed + 0.25 * chart[j, cell]
+            bits -= math.log2(final if y else 1 - final)
+            chart[j, cell] += p.map_rate * (y - chart[j, cell])
+            w[j] += p.rate * (y - mixed) * x
+    short = b"abc"  # another text beside it, before and after
+    around = [(np.concatenate([np.zeros((4, 8), np.int8), q, np.zeros((4, 8), np.int8)]), np.arange(len(buf) + 8)) for q in paths]
+    assert ContextMixer([], p).mixed([short, text, short], around)[1] == pytest.approx(bits, rel=1e-3)
