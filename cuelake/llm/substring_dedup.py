@@ -4,7 +4,9 @@
 2. The least k-mer hash (minimizer) of every ``length``-byte window splits a document into runs of windows
    that share it. Equal windows have equal minimizers, so only runs whose minimizer occurs twice
    anywhere can matter; the others are dropped after comparing hashes alone.
-3. The bytes of the remaining runs are dealt to ranges of the minimizer. In a range equal strings of all blocks
+3. The bytes of the remaining runs are dealt to ranges of the minimizer. A minimizer of many strings (a
+   common phrase in varied surroundings) would fill one range; its windows are dealt one by one instead,
+   by the hash of the whole window, so equal ones still meet and a block sends each once. In a range equal strings of all blocks
    collapse to their least document. Where a minimizer still has several strings, those of their windows
    whose hash no other window has are set aside, and the suffixes of what is left are sorted by
    column-wise multi-string construction: each round prepends one symbol to a suffix of every
@@ -13,8 +15,8 @@
    document holds for all its windows.
 4. The least documents return to the blocks, where the covered bytes are cut out.
 
-The transform is kept in arrays of one task, not in files: a range is small whatever the corpus is,
-since their number follows its bytes. Common prefixes are needed at one depth only, so they are
+The transform is kept in arrays of one task, not in files: ranges follow the corpus's bytes in number, and
+no minimizer brings more than ``hot_strings`` strings to one. Common prefixes are needed at one depth only, so they are
 compared once, after the last round.
 """
 
@@ -41,6 +43,7 @@ class SubstringParams:
     range_bytes: int = 16_000_000
     run_windows: int = 64  # longer runs are split
     sort_symbols: int = 3_000_000  # symbols that one column-wise construction holds
+    hot_strings: int = 4096  # a minimizer of more strings has its windows dealt by their own hashes
 
 
 def _zip(x: np.ndarray | bytes) -> bytes:
@@ -128,33 +131,48 @@ def _range_of(v: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _minimizers(p: SubstringParams, ranges: int):
-    """Per block and range: the distinct minimizers, those of several runs first."""
+    """Per block and range: the distinct minimizers and the number of strings of each (2 at least where a string comes twice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ByteHasher()
         for batch in batches:
             for block, lens, text in zip(*(batch.column(c).to_pylist() for c in ("block", "lens", "text")), strict=True):
-                v, n = np.unique(window_runs(*_opened(text, lens), p, hasher)[2], return_counts=True)
+                buf, starts, sizes = _opened(text, lens)
+                pos, windows, every = window_runs(buf, starts, sizes, p, hasher)
+                v, at, n = np.unique(every, return_inverse=True, return_counts=True)
+                often = np.flatnonzero(n[at] > 3)
+                if len(often):
+                    digest = hasher.ranges(hasher.prefix(buf), pos[often], pos[often] + windows[often] + p.length - 1) + windows[often].astype(np.uint64)
+                    order = np.lexsort((digest, at[often]))
+                    at, digest = at[often][order], digest[order]
+                    other = np.concatenate(([True], (at[1:] != at[:-1]) | (digest[1:] != digest[:-1])))
+                    several = np.bincount(at[other], minlength=len(v))
+                    n = np.where(several > 0, np.maximum(several, 2), n)
+                n = np.minimum(n, 65535).astype(np.uint16)
                 bound = np.searchsorted(_range_of(v, ranges), np.arange(ranges + 1))
-                rows = [(r, block, v[a:b], n[a:b] > 1) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary()), pa.array([np.packbits(r[3]).tobytes() for r in rows], pa.binary())], ["range", "block", "v", "twice"])
+                rows = [(r, block, v[a:b], n[a:b]) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary()), pa.array([_zip(r[3]) for r in rows], pa.binary())], ["range", "block", "v", "strings"])
 
     return run
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The minimizers of a range that several blocks have, or one block several times, for each block."""
-    each = [np.frombuffer(x, np.uint64) for x in pdf["v"]]
-    twice = [v[np.unpackbits(np.frombuffer(x, np.uint8))[: len(v)].astype(bool)] for v, x in zip(each, pdf["twice"], strict=True)]
-    v, n = np.unique(np.concatenate([*each, *twice]), return_counts=True)
-    v = v[n > 1]
-    rows = []
-    for block, own in zip(pdf["block"], each, strict=True):
-        at = np.minimum(np.searchsorted(v, own), max(len(v) - 1, 0))
-        found = own[v[at] == own] if len(v) else own[:0]
-        if len(found):
-            rows.append((block, found.tobytes()))
-    return pd.DataFrame(rows, columns=["block", "v"])
+def _shared(p: SubstringParams):
+    """The minimizers of a range that several blocks have, or one block several times, for each block; and which of them have too many strings."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        each = [np.frombuffer(x, np.uint64) for x in pdf["v"]]
+        v, at = np.unique(np.concatenate(each), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([_unzip(x, "u2") for x in pdf["strings"]]), minlength=len(v))
+        rows, spot = [], 0
+        for block, own in zip(pdf["block"], each, strict=True):
+            count = n[at[spot : spot + len(own)]]
+            spot += len(own)
+            found = count > 1
+            if found.any():
+                rows.append((block, own[found].tobytes(), np.packbits(count[found] > p.hot_strings).tobytes()))
+        return pd.DataFrame(rows, columns=["block", "v", "hot"])
+
+    return run
 
 
 def _cut_strings(buf: np.ndarray, pos: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -176,12 +194,22 @@ def _sender(p: SubstringParams, ranges: int):
         buf, starts, lens = _opened(packed["text"].iloc[0], packed["lens"].iloc[0])
         ids = _unzip(packed["ids"].iloc[0], "i8")
         pos, n, v = window_runs(buf, starts, lens, p, hasher)
-        known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in shared["v"]]))
-        hit = known[np.minimum(np.searchsorted(known, v), len(known) - 1)] == v
-        pos, n, v = pos[hit], n[hit], v[hit]
+        each = [np.frombuffer(x, np.uint64) for x in shared["v"]]
+        hot = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)].astype(bool) for x, k in zip(shared["hot"], each, strict=True)])
+        known = np.concatenate(each)
+        order = np.argsort(known)
+        known, hot = known[order], hot[order]
+        at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+        hit = known[at] == v
+        pos, n, v, hot = pos[hit], n[hit], v[hit], hot[at[hit]]
+        prefix = hasher.prefix(buf)
+        if hot.any():
+            ends = np.cumsum(n[hot])
+            alone = np.repeat(pos[hot] - (ends - n[hot]), n[hot]) + np.arange(ends[-1])
+            pos, n = np.concatenate((pos[~hot], alone)), np.concatenate((n[~hot], np.ones(len(alone), np.int64)))
+            v = np.concatenate((v[~hot], mix64(hasher.ranges(prefix, alone, alone + p.length))))
         doc = ids[np.searchsorted(starts, pos, "right") - 1]
         size = n + p.length - 1
-        prefix = hasher.prefix(buf)
         digest = hasher.ranges(prefix, pos, pos + size) + n.astype(np.uint64)
         order = np.lexsort((doc, digest, v))
         fresh = np.ones(len(order), bool)
@@ -391,7 +419,7 @@ def remove_repeated_substrings(docs: DataFrame, params: SubstringParams = Substr
     unknown = rows.where("doc_id is null").select("doc_id", F.length(binary).cast("long").alias("n_bytes"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"), binary.alias("kept"))
     blocks = materialise(rows.where("doc_id is not null").mapInArrow(_blocks(p), "block long, n_bytes long, ids binary, lens binary, text binary"), "none")
     ranges = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // p.range_bytes))
-    shared = blocks.mapInArrow(_minimizers(p, ranges), "range long, block long, v binary, twice binary").groupBy("range").applyInPandas(_shared, "block long, v binary")
+    shared = blocks.mapInArrow(_minimizers(p, ranges), "range long, block long, v binary, strings binary").groupBy("range").applyInPandas(_shared(p), "block long, v binary, hot binary")
     sent = materialise(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_sender(p, ranges), _SENT), "none")
     least = sent.where("kind = 'text'").groupBy("range").applyInPandas(_resolver(p), "block long, range long, values binary, repeats binary, n long")
     back = sent.where("kind = 'runs'").select("kind", "block", "range", "a", "b", "c").union(least.select(F.lit("least"), "block", "range", F.col("values"), F.col("repeats"), F.lit(None).cast("binary")))

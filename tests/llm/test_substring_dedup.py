@@ -60,3 +60,40 @@ def test_null_ids_and_empty(spark):
     df = spark.createDataFrame([(None, t), (None, None), (1, t), (1, t)], "doc_id long, text string")
     assert sorted((str(r.doc_id), len(r.kept)) for r in remove_repeated_substrings(df).collect()) == [("1", 60), ("1", 60), ("None", 0), ("None", 60)]
     assert remove_repeated_substrings(df.limit(0)).count() == 0
+
+
+def phrase_rows(n):
+    """A phrase of 30 bytes in varied surroundings, and some copies of it with theirs."""
+    rng = random.Random(8)
+    noise = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    texts = [noise(45) + "the same phrase stands in each" + noise(45) for _ in range(n)]
+    return list(enumerate(texts + [noise(20) + t[20:100] + noise(20) for t in texts[: n // 10]]))
+
+
+def test_hot_minimizers_equal_brute_force(spark):
+    rows = phrase_rows(200)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = remove_repeated_substrings(df, SubstringParams(block_bytes=3000, range_bytes=5000, hot_strings=20)).collect()
+    assert sorted((r.doc_id, r.n_bytes, sum(s.length for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got) == brute(rows, 50)
+    assert sum(len(r.spans) for r in got) >= 20
+
+
+def test_no_minimizer_fills_a_range():
+    """Of one minimizer no more than ``hot_strings`` strings reach a range, however many documents hold its phrase."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from cuelake.llm import substring_dedup as sd
+
+    p, ranges = SubstringParams(hot_strings=50), 2
+    texts = [t.encode() for _, t in phrase_rows(400)]
+    blocks = []
+    for b in range(4):
+        own = texts[b::4]
+        blocks.append({"block": b, "ids": sd._zip(np.arange(b, len(texts), 4)), "lens": sd._zip(np.array([len(t) for t in own])), "text": sd._zip(b"\0".join([*own, b""]))})
+    frame = pd.DataFrame(blocks)
+    counted = pa.Table.from_batches(list(sd._minimizers(p, ranges)(iter([pa.RecordBatch.from_pandas(frame)])))).to_pandas()
+    shared = pd.concat([sd._shared(p)(x) for _, x in counted.groupby("range")])
+    sent = pd.concat([sd._sender(p, ranges)((b,), frame[frame["block"] == b], shared[shared["block"] == b]) for b in range(4)])
+    v = np.concatenate([sd._unzip(x, "u8") for x in sent[sent["kind"] == "text"]["a"]])
+    assert np.unique(v, return_counts=True)[1].max() <= 50
