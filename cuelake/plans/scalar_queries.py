@@ -135,6 +135,13 @@ def d2(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "documents").select("doc_id", T.template_prompt(F.lit(TEMPLATE), F.substring("text", 1, 50), F.when(F.col("doc_id") % 4 == 0, "auto").otherwise(F.col("lang")), terms).alias("prompt"))
 
 
+@query("d2_template_prompt_whole")
+def d2_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the whole text as context."""
+    terms = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(" "))).otherwise(F.array("source", F.lit(" "), F.lit("{{context}}")))
+    return V.table(spark, sf, "documents").select("doc_id", T.template_prompt(F.lit(TEMPLATE), F.col("text"), F.when(F.col("doc_id") % 4 == 0, "auto").otherwise(F.col("lang")), terms).alias("prompt"))
+
+
 @query("d3_request_payload", "SELECT doc_id, lang AS model, text AS prompt FROM documents")
 def d3(spark: SparkSession, sf: str) -> DataFrame:
     """Chat-completions payloads, read back field by field."""
@@ -167,6 +174,12 @@ def d7(spark: SparkSession, sf: str) -> DataFrame:
     return V.lines(spark, sf).select("job_id", "chunk_id", T.repetition(text).alias("unit")).where("unit is not null")
 
 
+@query("d7_repetition_whole")
+def d7_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Repetition in all lines as they are, whole."""
+    return V.lines(spark, sf).select("job_id", "chunk_id", T.repetition(F.col("text")).alias("unit")).where("unit is not null")
+
+
 @query("d8_dedup_form", with_views("lines", f"SELECT job_id, chunk_id, {dedup_sql('text')} AS form FROM lines"))
 def d8(spark: SparkSession, sf: str) -> DataFrame:
     return V.lines(spark, sf).select("job_id", "chunk_id", T.dedup_form(F.col("text")).alias("form"))

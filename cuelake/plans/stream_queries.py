@@ -50,6 +50,14 @@ def j2(spark: SparkSession, sf: str) -> DataFrame:
     return _run(J.filter_echoes(_results(spark, sf, folder).withColumn("text", text)), folder).select("job_id", "chunk_id", "status", "text")
 
 
+@query("j2_stateful_echo_filter_whole")
+def j2_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over the lines' own texts, whole."""
+    folder = shared_folder(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return _run(J.filter_echoes(_results(spark, sf, folder)), folder).select("job_id", "chunk_id", "status", "text")
+
+
 @query("j3_rerender", with_views("timed", f"{_LIVE} {srt_sql('live')}"))
 def j3(spark: SparkSession, sf: str) -> DataFrame:
     """Captions rendered batch by batch, the last one of each job."""

@@ -130,6 +130,34 @@ def d12(spark: SparkSession, sf: str) -> DataFrame:
     return _filtered(spark, sf, True).select("job_id", "chunk_id", "context")
 
 
+# The same over all lines as they are, whole. DuckDB's expressions have no back-references, so there is no SQL.
+
+
+def _whole(spark: SparkSession, sf: str, strip: bool) -> DataFrame:
+    out = X.suppress_echoes(timed(spark, sf).select("job_id", "chunk_id", "status", "text"), FilterParams(strip_repetition=strip))
+    return out.select("job_id", "chunk_id", "text", F.array_join("flags", ",").alias("flags"), "context")
+
+
+@query("d9_echo_suppression_whole")
+def d9_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _whole(spark, sf, False)
+
+
+@query("d10_repetition_suppression_whole")
+def d10_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _whole(spark, sf, True)
+
+
+@query("d11_flags_whole")
+def d11_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _whole(spark, sf, False).groupBy("flags").agg(F.count("*").alias("n"))
+
+
+@query("d12_context_whole")
+def d12_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _whole(spark, sf, True).select("job_id", "chunk_id", "context")
+
+
 _STATUS2 = "CASE WHEN job_id % 9 = 0 AND chunk_id BETWEEN 3 AND 9 THEN 'failed' ELSE status END"
 
 
