@@ -211,6 +211,21 @@ def i4(spark: SparkSession, sf: str) -> DataFrame:
     return E.mean_cer(E.paired_cer(V.evals(spark, sf))).select("lang_id", "n", *[F.round(r, 6).alias(r) for r in _RATES])
 
 
+@query("i2_cer_whole")
+def i2_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return V.all_evals(spark, sf).select("sample_id", F.round(T.cer(F.col("ref"), F.col("hyp_auto")), 6).alias("cer"))
+
+
+@query("i3_paired_cer_whole")
+def i3_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return E.paired_cer(V.all_evals(spark, sf)).select("sample_id", "lang_id", *[F.round(r, 6).alias(r) for r in _RATES])
+
+
+@query("i4_mean_cer_whole")
+def i4_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return E.mean_cer(E.paired_cer(V.all_evals(spark, sf))).select("lang_id", "n", *[F.round(r, 6).alias(r) for r in _RATES])
+
+
 @query("i5_misdetections", "SELECT code, count(*) AS n, count_if(name IS NOT NULL AND lower(name) <> lower(detected)) AS n_wrong, count_if(name IS NULL) AS n_unmapped FROM (SELECT ['ko', 'ja', 'zh', 'xx'][doc_id % 4 + 1] AS code, ['Korean', 'japanese', 'Chinese', 'Korean', NULL][doc_id % 5 + 1] AS d, coalesce(d, '') AS detected, CASE code WHEN 'ko' THEN 'Korean' WHEN 'ja' THEN 'Japanese' WHEN 'zh' THEN 'Chinese' END AS name FROM documents) GROUP BY code")
 def i5(spark: SparkSession, sf: str) -> DataFrame:
     pick = lambda xs: F.array(*[F.lit(x) for x in xs])

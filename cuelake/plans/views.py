@@ -44,7 +44,15 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ASCII reference and hypothesis pairs."""
-    rows = table(spark, sf_dir, "conversations").where(F.length("text") == F.octet_length("text"))
+    return _pairs(table(spark, sf_dir, "conversations").where(F.length("text") == F.octet_length("text")))
+
+
+def all_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of all turns that have a text. ``evals`` and its SQL hold those in ASCII only."""
+    return _pairs(table(spark, sf_dir, "conversations").where("text is not null"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
     sub = lambda a, b: F.replace("text", F.lit(a), F.lit(b))
     return rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("sample_id"), (F.col("conv_id") % 3).alias("lang_id"), F.col("text").alias("ref"), sub("th", "t").alias("hyp_auto"), sub("on", "no").alias("hyp_hinted"))
 
