@@ -1,8 +1,7 @@
-"""Shared helpers of the training-data operators: scratch tables and text batches."""
+"""Shared helpers of the training-data operators: scratch tables, packed numbers and text batches."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,20 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The shared folder of the cluster (spark.checkpoint.dir).
+
+    Where none is set, a local session gets one of its own; on a cluster that would be a folder of one
+    machine, so there it is an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand whole texts and sets to Python in Arrow batches of at most ``rows`` rows; a shorter setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+_WRITTEN: set[str] = set()
 
 
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -39,16 +42,41 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _WRITTEN.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop_path(df.sparkSession, folder)
+        _WRITTEN.difference_update([p for p in _WRITTEN if folder.endswith(p.rsplit("/", 1)[1])])
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this process; results of the operators that were not written yet are lost with them."""
+    while _WRITTEN:
+        drop_path(spark, _WRITTEN.pop())
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """The bytes of ``x``, those of like weight together, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"")
+
+
+def unsqueeze(x: bytes, dtype: type, width: int) -> np.ndarray:
+    """Rows of ``width`` bytes, back as they were (one number a row, or a row of int8)."""
+    import zstandard
+
+    raw = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(width, -1).T)
+    return raw.view(dtype) if dtype is np.int8 else raw.view(dtype)[:, 0]
 
 
 def passes(lengths: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:

@@ -2,26 +2,23 @@
 
 1. Documents are packed into blocks of about ``block_bytes``, each one row of a scratch table.
 2. The least k-mer hash (minimizer) of every ``length``-byte window splits a document into runs of windows
-   that share it. Equal windows have equal minimizers, so only runs whose minimizer occurs twice
-   anywhere can matter; the others are dropped after comparing hashes alone.
-3. The bytes of the remaining runs are dealt to ranges of the minimizer. A minimizer of many strings (a
-   common phrase in varied surroundings) would fill one range; its windows are dealt one by one instead,
-   by the hash of the whole window, so equal ones still meet and a block sends each once. In a range equal strings of all blocks
-   collapse to their least document. Where a minimizer still has several strings, those of their windows
-   whose hash no other window has are set aside, and the suffixes of what is left are sorted by
-   column-wise multi-string construction: each round prepends one symbol to a suffix of every
-   string and places the new suffixes by the last-to-first mapping of the collection's Burrows-Wheeler
-   transform. Neighbours of the final order that agree in ``length`` bytes are one class; its least
-   document holds for all its windows.
-4. The least documents return to the blocks, where the covered bytes are cut out.
-
-The transform is kept in arrays of one task, not in files: ranges follow the corpus's bytes in number, and
-no minimizer brings more than ``hot_strings`` strings to one. Common prefixes are needed at one depth only, so they are
-compared once, after the last round.
+   that share it. Equal windows have equal minimizers, so only runs whose minimizer occurs twice anywhere
+   can matter; blocks learn which those are from ranges of the minimizer, by hashes of 48 bits.
+3. The bytes of these runs are the strings. They are dealt to ranges of the minimizer. A minimizer of many
+   strings (a common phrase in varied surroundings) would fill one range; its windows are dealt one by one
+   instead, by the hash of the whole window, so equal ones still meet. Strings of equal hash collapse to
+   their least document once their bytes are found equal.
+4. In a range the strings go through column-wise multi-string construction (``SuffixFiles``): each round
+   prepends one symbol to a suffix of every string, and updates the collection's Burrows-Wheeler transform
+   and the common prefixes of neighbouring suffixes in sequential files of the shared folder. Suffixes
+   between which no common prefix is shorter than ``length`` are one class of equal windows; its least
+   document holds for all of them.
+5. The least documents return to the blocks, where the covered bytes are cut out.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,18 +29,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, drop_table, materialise, mix64, short_batches
+from .common import ByteHasher, drop_path, drop_table, materialise, mix64, passes, scratch_dir, squeeze, unsqueeze
 
 
 @dataclass(frozen=True)
 class SubstringParams:
     length: int = 50
     k: int = 16
-    block_bytes: int = 2_000_000
+    block_bytes: int = 8_000_000
     range_bytes: int = 16_000_000
     run_windows: int = 64  # longer runs are split
-    sort_symbols: int = 3_000_000  # symbols that one column-wise construction holds
     hot_strings: int = 4096  # a minimizer of more strings has its windows dealt by their own hashes
+    chunk: int = 1 << 18  # symbols of a file that a round holds at once
 
 
 def _zip(x: np.ndarray | bytes) -> bytes:
@@ -70,13 +67,14 @@ def _blocks(p: SubstringParams):
 
         size = 0
         for batch in batches:
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if ids and size + len(t) > p.block_bytes:
-                    yield row()
-                    block, ids, texts, size = block + 1, [], [], 0
-                ids.append(d)
-                texts.append(t)
-                size += len(t) + 1
+            for lo, hi in passes(batch.column("n").to_numpy()):
+                for d, t in zip(batch.column("doc_id")[lo:hi].to_pylist(), batch.column("text")[lo:hi].cast(pa.binary()).to_pylist(), strict=True):
+                    if ids and size + len(t) > p.block_bytes:
+                        yield row()
+                        block, ids, texts, size = block + 1, [], [], 0
+                    ids.append(d)
+                    texts.append(t)
+                    size += len(t) + 1
         if ids:
             yield row()
 
@@ -84,7 +82,7 @@ def _blocks(p: SubstringParams):
 
 
 def window_runs(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, p: SubstringParams, hasher: ByteHasher, slice_windows: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, minimizer) of each run of windows with one minimizer; texts start at ``starts`` in ``buf``."""
+    """(first window, number of windows, 48-bit minimizer) of each run of windows with one minimizer; texts start at ``starts`` in ``buf``."""
     out: list[tuple[np.ndarray, ...]] = []
     total = len(buf) - p.length + 1
     edge = np.zeros(max(len(buf) + 1, 1), np.int8)
@@ -115,19 +113,69 @@ def window_runs(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, p: Substr
         pieces = -(-n // p.run_windows)
         rep = np.repeat(np.arange(len(pos)), pieces)
         step = (np.arange(len(rep)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * p.run_windows
-        out.append((pos[rep] + step + lo, np.minimum(n[rep] - step, p.run_windows), mix64(least[pos[rep]] + np.uint64(0x51ED270B))))
+        out.append((pos[rep] + step + lo, np.minimum(n[rep] - step, p.run_windows), mix64(least[pos[rep]] + np.uint64(0x51ED270B)) >> np.uint64(16)))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _digests(hasher: ByteHasher, buf: np.ndarray, pos: np.ndarray, size: np.ndarray, slice_bytes: int = 1_000_000) -> np.ndarray:
+    """Hashes of the strings ``buf[pos : pos + size]``; prefix sums of one slice of ``buf`` at a time."""
+    out = np.empty(len(pos), np.uint64)
+    order = np.argsort(pos, kind="stable")
+    start = pos[order]
+    cuts = np.searchsorted(start, np.arange(0, len(buf) + slice_bytes, slice_bytes))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            own = order[a:b]
+            lo, hi = int(start[a]), int((pos[own] + size[own]).max())
+            out[own] = hasher.ranges(hasher.prefix(buf[lo:hi]), pos[own] - lo, pos[own] + size[own] - lo) + size[own].astype(np.uint64)
+    return out
+
+
+def equal_strings(buf: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray, chunk: int = 200_000) -> np.ndarray:
+    """Whether the strings of ``size`` (8 at least) bytes at ``x`` and ``y`` are equal, eight bytes at a time."""
+    out = np.ones(len(x), bool)
+    if not len(x):
+        return out
+    eights = np.ndarray(len(buf) - 7, "<u8", np.ascontiguousarray(buf), strides=(1,))
+    for c in range(0, len(x), chunk):
+        rows = np.arange(c, min(len(x), c + chunk))
+        step = 0
+        while len(rows):
+            at = np.minimum(step, size[rows] - 8)
+            good = eights[x[rows] + at] == eights[y[rows] + at]
+            out[rows[~good]] = False
+            step += 8
+            rows = rows[good & (size[rows] > step)]
+    return out
+
+
+def distinct_strings(buf: np.ndarray, v: np.ndarray, pos: np.ndarray, size: np.ndarray, doc: np.ndarray, hasher: ByteHasher) -> tuple[np.ndarray, np.ndarray]:
+    """(a string of the least document for each distinct string, in the order of ``v``; for every string its number among those).
+
+    Strings of one hash are equal only if their bytes are. Where unequal strings share a hash, equal ones may
+    stay apart; the construction brings them together.
+    """
+    digest = _digests(hasher, buf, pos, size)
+    order = np.lexsort((doc, digest, v))
+    x, y = order[1:], order[:-1]
+    same = (v[x] == v[y]) & (digest[x] == digest[y]) & (size[x] == size[y])
+    at = np.flatnonzero(same)
+    same[at] = equal_strings(buf, pos[x[at]], pos[y[at]], size[x[at]])
+    fresh = np.concatenate((np.ones(min(1, len(order)), bool), ~same))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return order[fresh], number
+
+
 def _opened(text: bytes, lens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = _unzip(lens, "i8")
     return _unzip(text), np.cumsum(sizes + 1) - sizes - 1, sizes
 
 
 def _range_of(v: np.ndarray, ranges: int) -> np.ndarray:
-    return (v >> np.uint64(32)).astype(np.int64) * ranges >> 32
+    return (v >> np.uint64(16)).astype(np.int64) * ranges >> 32
 
 
 def _minimizers(p: SubstringParams, ranges: int):
@@ -139,230 +187,349 @@ def _minimizers(p: SubstringParams, ranges: int):
             for block, lens, text in zip(*(batch.column(c).to_pylist() for c in ("block", "lens", "text")), strict=True):
                 buf, starts, sizes = _opened(text, lens)
                 pos, windows, every = window_runs(buf, starts, sizes, p, hasher)
-                v, at, n = np.unique(every, return_inverse=True, return_counts=True)
-                often = np.flatnonzero(n[at] > 3)
+                order = np.argsort(every)
+                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), every[order][1:] != every[order][:-1])))
+                v, n = every[order][first], np.diff(first, append=len(order))
+                often = order[np.repeat(n > 3, n)]
                 if len(often):
-                    digest = hasher.ranges(hasher.prefix(buf), pos[often], pos[often] + windows[often] + p.length - 1) + windows[often].astype(np.uint64)
-                    order = np.lexsort((digest, at[often]))
-                    at, digest = at[often][order], digest[order]
+                    digest = _digests(hasher, buf, pos[often], windows[often] + p.length - 1)
+                    at = np.repeat(np.arange(len(v)), n)[np.repeat(n > 3, n)]
+                    turn = np.lexsort((digest, at))
+                    at, digest = at[turn], digest[turn]
                     other = np.concatenate(([True], (at[1:] != at[:-1]) | (digest[1:] != digest[:-1])))
                     several = np.bincount(at[other], minlength=len(v))
                     n = np.where(several > 0, np.maximum(several, 2), n)
                 n = np.minimum(n, 65535).astype(np.uint16)
                 bound = np.searchsorted(_range_of(v, ranges), np.arange(ranges + 1))
-                rows = [(r, block, v[a:b], n[a:b]) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary()), pa.array([_zip(r[3]) for r in rows], pa.binary())], ["range", "block", "v", "strings"])
+                rows = [(r, block, squeeze(np.diff(v[a:b], prepend=np.uint64(0))), squeeze(n[a:b])) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["range", "block", "v", "strings"])
 
     return run
 
 
+def _values(x: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(x, np.uint64, 8), dtype=np.uint64)
+
+
 def _shared(p: SubstringParams):
     """The minimizers of a range that several blocks have, or one block several times, for each block; and which of them have too many strings."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        each = [np.frombuffer(x, np.uint64) for x in pdf["v"]]
-        v, at = np.unique(np.concatenate(each), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([_unzip(x, "u2") for x in pdf["strings"]]), minlength=len(v))
+        each = [_values(x) for x in pdf["v"]]
+        every, strings = np.concatenate(each), np.concatenate([unsqueeze(x, np.uint16, 2) for x in pdf["strings"]])
+        order = np.argsort(every)
+        first = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
+        total = np.empty(len(every), np.int64)
+        total[order] = np.repeat(np.add.reduceat(strings[order].astype(np.int64), first), np.diff(first, append=len(order)))
         rows, spot = [], 0
         for block, own in zip(pdf["block"], each, strict=True):
-            count = n[at[spot : spot + len(own)]]
+            count = total[spot : spot + len(own)]
             spot += len(own)
             found = count > 1
             if found.any():
-                rows.append((block, own[found].tobytes(), np.packbits(count[found] > p.hot_strings).tobytes()))
+                rows.append((block, squeeze(np.diff(own[found], prepend=np.uint64(0))), np.packbits(count[found] > p.hot_strings).tobytes()))
         return pd.DataFrame(rows, columns=["block", "v", "hot"])
 
     return run
 
 
+@dataclass
+class _Strings:
+    """The strings of a block that may occur elsewhere: windows (first, number), the lead of each distinct one, and its range."""
+
+    buf: np.ndarray
+    starts: np.ndarray
+    lens: np.ndarray
+    ids: np.ndarray
+    pos: np.ndarray
+    n: np.ndarray
+    v: np.ndarray
+    doc: np.ndarray
+    lead: np.ndarray
+    number: np.ndarray
+    bound: np.ndarray
+
+
+def _block_strings(packed: pd.DataFrame, shared: pd.DataFrame, p: SubstringParams, ranges: int) -> _Strings:
+    hasher = ByteHasher()
+    buf, starts, lens = _opened(packed["text"].iloc[0], packed["lens"].iloc[0])
+    ids = _unzip(packed["ids"].iloc[0], "i8")
+    pos, n, v = window_runs(buf, starts, lens, p, hasher)
+    each = [_values(x) for x in shared["v"]]
+    hot = np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)].astype(bool) for x, k in zip(shared["hot"], each, strict=True)]])
+    known = np.concatenate([np.zeros(0, np.uint64), *each])
+    order = np.argsort(known)
+    known, hot = known[order], hot[order]
+    at = np.minimum(np.searchsorted(known, v), max(len(known) - 1, 0))
+    hit = known[at] == v if len(known) else np.zeros(len(v), bool)
+    pos, n, v, hot = pos[hit], n[hit], v[hit], hot[at[hit]]
+    if hot.any():
+        ends = np.cumsum(n[hot])
+        alone = np.repeat(pos[hot] - (ends - n[hot]), n[hot]) + np.arange(ends[-1])
+        pos, n = np.concatenate((pos[~hot], alone)), np.concatenate((n[~hot], np.ones(len(alone), np.int64)))
+        v = np.concatenate((v[~hot], mix64(_digests(hasher, buf, alone, np.full(len(alone), p.length))) >> np.uint64(16)))
+    doc = ids[np.searchsorted(starts, pos, "right") - 1]
+    lead, number = distinct_strings(buf, v, pos, n + p.length - 1, doc, hasher)
+    return _Strings(buf, starts, lens, ids, pos, n, v, doc, lead, number, np.searchsorted(_range_of(v[lead], ranges), np.arange(ranges + 1)))
+
+
 def _cut_strings(buf: np.ndarray, pos: np.ndarray, size: np.ndarray) -> np.ndarray:
     ends = np.cumsum(size)
     return buf[np.repeat(pos - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-_SENT = "kind string, block long, range long, a binary, b binary, c binary, d binary"
-
-
 def _sender(p: SubstringParams, ranges: int):
-    """Rows ``text``: the distinct strings of a block for a range; one row ``runs``: where they lie in the block."""
+    """The distinct strings of a block for each range: minimizer, windows, least document, bytes."""
 
     def run(key, packed: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        cols = ["kind", "block", "range", "a", "b", "c", "d"]
+        cols = ["block", "range", "v", "n", "doc", "text"]
         if not len(packed) or not len(shared):
             return pd.DataFrame([], columns=cols)
-        block, hasher = int(key[0]), ByteHasher()
-        buf, starts, lens = _opened(packed["text"].iloc[0], packed["lens"].iloc[0])
-        ids = _unzip(packed["ids"].iloc[0], "i8")
-        pos, n, v = window_runs(buf, starts, lens, p, hasher)
-        each = [np.frombuffer(x, np.uint64) for x in shared["v"]]
-        hot = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)].astype(bool) for x, k in zip(shared["hot"], each, strict=True)])
-        known = np.concatenate(each)
-        order = np.argsort(known)
-        known, hot = known[order], hot[order]
-        at = np.minimum(np.searchsorted(known, v), len(known) - 1)
-        hit = known[at] == v
-        pos, n, v, hot = pos[hit], n[hit], v[hit], hot[at[hit]]
-        prefix = hasher.prefix(buf)
-        if hot.any():
-            ends = np.cumsum(n[hot])
-            alone = np.repeat(pos[hot] - (ends - n[hot]), n[hot]) + np.arange(ends[-1])
-            pos, n = np.concatenate((pos[~hot], alone)), np.concatenate((n[~hot], np.ones(len(alone), np.int64)))
-            v = np.concatenate((v[~hot], mix64(hasher.ranges(prefix, alone, alone + p.length))))
-        doc = ids[np.searchsorted(starts, pos, "right") - 1]
-        size = n + p.length - 1
-        digest = hasher.ranges(prefix, pos, pos + size) + n.astype(np.uint64)
-        order = np.lexsort((doc, digest, v))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (v[order][1:] != v[order][:-1]) | (digest[order][1:] != digest[order][:-1])
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(fresh) - 1
-        lead = order[fresh]  # of each string, the run of the least document; strings are in the order of v, so of ranges
-        bound = np.searchsorted(_range_of(v[lead], ranges), np.arange(ranges + 1))
-        rows = [("runs", block, -1, _zip(pos), _zip(n.astype(np.uint8)), _zip(number), _zip(bound))]
-        for r, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)):
+        s, rows = _block_strings(packed, shared, p, ranges), []
+        for r, (a, b) in enumerate(zip(s.bound[:-1], s.bound[1:], strict=True)):
             if b > a:
-                own = lead[a:b]
-                rows.append(("text", block, r, _zip(v[own]), _zip(n[own].astype(np.uint8)), _zip(doc[own]), _zip(_cut_strings(buf, pos[own], size[own]))))
+                own = s.lead[a:b]
+                rows.append((int(key[0]), r, squeeze(np.diff(s.v[own], prepend=np.uint64(0))), _zip(s.n[own].astype(np.uint8)), squeeze(s.doc[own]), _zip(_cut_strings(s.buf, s.pos[own], s.n[own] + p.length - 1))))
         return pd.DataFrame(rows, columns=cols)
 
     return run
 
 
-def column_wise_suffixes(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(string, length) of all suffixes of the strings ``text[start : start + size]`` in order; ends sort first, by string.
+_ALPHABET = 257  # 0: a string begins here; then 1 + byte
+
 
-    Round j places the suffixes of length j. ``bwt`` holds, in suffix order, the symbol before each suffix
-    (1 + byte; 0 when there is none), and a stable sort of it is the last-to-first mapping.
+def _by_symbol(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the order of symbols, amount of each symbol)."""
+    return np.argsort(symbols, kind="stable"), np.bincount(symbols, minlength=_ALPHABET)
+
+
+class SuffixFiles:
+    """Transform and common prefixes of the suffixes of strings, built column by column in sequential files.
+
+    After round j the files hold, in the order of all suffixes of at most j symbols (the m empty ones first,
+    by string), the symbol before each suffix (2 bytes) and the length of the prefix that it shares with the one before it
+    (1 byte). A round reads both from start to end to place the suffixes of length j (last-to-first
+    mapping: a suffix's rank among those that follow the same symbol) and to take the least common prefix since the
+    last occurrence of their symbol; then it reads them again and writes them with the new entries put in.
+    In memory are two numbers a string, one chunk of each file, and tables of the alphabet's size.
     """
-    m = len(size)
-    owner, length = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
-    bwt = text[start + size - 1].astype(np.uint16) + 1
-    active, at = np.arange(m), np.arange(m)
-    for j in range(1, int(size.max()) + 1):
-        place = np.empty(len(bwt), np.int64)
-        place[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
-        spot = place[at] - int((bwt == 0).sum()) + m
-        n = len(bwt) + len(active)
-        old = np.ones(n, bool)
-        old[spot] = False
-        more = size[active] > j
-        symbol = np.zeros(len(active), np.uint16)
-        symbol[more] = text[start[active[more]] + size[active[more]] - 1 - j].astype(np.uint16) + 1
-        for name, new in (("bwt", symbol), ("owner", active), ("length", j)):
-            before = {"bwt": bwt, "owner": owner, "length": length}[name]
-            merged = np.empty(n, before.dtype)
-            merged[old] = before
-            merged[spot] = new
-            if name == "bwt":
-                bwt = merged
-            elif name == "owner":
-                owner = merged
-            else:
-                length = merged
-        active, at = active[more], spot[more]
-    return owner, length
-
-
-def least_documents(v: np.ndarray, text: np.ndarray, start: np.ndarray, windows: np.ndarray, doc: np.ndarray, p: SubstringParams) -> np.ndarray:
-    """For every window of every string (in order) the least document that holds it; strings are distinct and sorted by ``v``."""
-    first = np.cumsum(windows) - windows
-    out = np.repeat(doc, windows)
-    same = np.zeros(len(v), bool)
-    same[1:] = v[1:] == v[:-1]
-    shared = same.copy()
-    shared[:-1] |= same[1:]
-    several = np.flatnonzero(shared)
+
+    def __init__(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, folder: str, chunk: int):
+        from pyarrow.fs import FileSystem
+
+        self.fs, self.folder = FileSystem.from_uri(folder)
+        self.fs.create_dir(self.folder, recursive=True)
+        self.text, self.start, self.size, self.chunk = text, start, size, chunk
+        self.m = self.n = len(size)
+        self.rounds = 0
+        last = text[start + size - 1].astype(np.uint16) + np.uint16(1)
+        self.count = np.bincount(last, minlength=_ALPHABET)
+        self._write(0, iter([(last, np.zeros(self.m, np.uint8))]))
+        self.active, self.at = np.arange(self.m), np.arange(self.m)
+
+    def _name(self, kind: str, number: int) -> str:
+        return f"{self.folder}/{kind}-{number}"
+
+    def _write(self, number: int, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
+        with self.fs.open_output_stream(self._name("bwt", number)) as b, self.fs.open_output_stream(self._name("lcp", number)) as c:
+            for symbols, common in parts:
+                b.write(symbols.tobytes())
+                c.write(common.tobytes())
+
+    def read(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place of the first, symbols, common prefixes) of each chunk."""
+        with self._open() as (b, c):
+            for lo in range(0, self.n, self.chunk):
+                k = min(self.chunk, self.n - lo)
+                yield lo, np.frombuffer(b.read(2 * k), np.uint16), np.frombuffer(c.read(k), np.uint8)
+
+    def _open(self):
+        from contextlib import ExitStack, contextmanager
+
+        @contextmanager
+        def both():
+            with ExitStack() as stack:
+                yield tuple(stack.enter_context(self.fs.open_input_stream(self._name(kind, self.rounds))) for kind in ("bwt", "lcp"))
+
+        return both()
+
+    def first(self) -> np.ndarray:
+        """Place of the first suffix that begins with each symbol."""
+        return self.m + np.cumsum(self.count) - self.count - (np.arange(_ALPHABET) > 0) * self.count[0]
+
+    def insert(self) -> None:
+        """One round: the next symbol of every string that has one."""
+        place, common, changed, value = self._placed()
+        order = np.argsort(place)
+        self.active, place, common = self.active[order], place[order], common[order]
+        j = self.rounds + 1
+        more = self.size[self.active] > j
+        symbol = np.zeros(len(place), np.uint16)
+        own = self.active[more]
+        symbol[more] = self.text[self.start[own] + self.size[own] - 1 - j].astype(np.uint16) + np.uint16(1)
+        turn = np.argsort(changed)
+        self._merge(place, symbol, common, changed[turn], value[turn])
+        self.count += np.bincount(symbol, minlength=_ALPHABET)
+        self.active, self.at = own, place[more]
+
+    def _placed(self) -> tuple[np.ndarray, ...]:
+        """Places and common prefixes of the new suffixes; places and common prefixes of those old ones that a new one now precedes."""
+        first, seen = self.first(), np.zeros(_ALPHABET, np.int64)
+        since, pending = np.full(_ALPHABET, 255, np.uint8), np.zeros(_ALPHABET, bool)
+        place, common = np.empty(len(self.at), np.int64), np.zeros(len(self.at), np.uint8)
+        bounds = np.searchsorted(self.at, np.arange(0, self.n + self.chunk, self.chunk))
+        changed, value = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+        for c, (lo, symbols, prefix) in enumerate(self.read()):
+            asked = slice(bounds[c], bounds[c + 1])
+            k = len(symbols)
+            order, amount = _by_symbol(symbols)
+            begin = np.cumsum(amount) - amount
+            new = np.zeros(k, bool)
+            new[self.at[asked] - lo] = True
+            sorted_new = new[order]
+            follows = np.concatenate((np.zeros(min(1, k), bool), sorted_new[:-1]))
+            have = np.flatnonzero(amount)
+            follows[begin[have]] = pending[have]
+            spot = np.flatnonzero(sorted_new | follows)  # in the order of symbols
+            spot = spot[symbols[order[spot]] > 0]
+            x = order[spot]
+            sym = symbols[x].astype(np.int64)
+            inner = spot > begin[sym]
+            least = np.full(len(x), 255, np.uint8)
+            ended = np.append(prefix, np.uint8(255))
+            q = np.flatnonzero(inner)
+            q = q[np.argsort(x[q])]
+            if len(q):
+                pair = np.empty(2 * len(q), np.int64)
+                pair[0::2], pair[1::2] = order[spot[q] - 1] + 1, x[q] + 1
+                least[q] = np.minimum.reduceat(ended, pair)[0::2]
+            q = np.flatnonzero(~inner)
+            if len(q):
+                upto = np.minimum.accumulate(prefix)
+                least[q] = np.minimum(upto[x[q]], since[sym[q]])
+            got = np.where(inner | (seen[sym] > 0), least + np.uint8(1), 0).astype(np.uint8)
+            where = first[sym] + seen[sym] + spot - begin[sym]
+            fresh = sorted_new[spot]
+            inverse = np.empty(k, np.int64) if fresh.any() else None
+            if inverse is not None:
+                inverse[x[fresh]] = np.flatnonzero(fresh)
+                mine = inverse[self.at[asked] - lo]
+                place[asked], common[asked] = where[mine], got[mine]
+            changed.append(where[~fresh])
+            value.append(got[~fresh])
+            seen += amount
+            last = order[begin[have] + amount[have] - 1]
+            tail = np.minimum(since, prefix.min())
+            turn = np.argsort(last)
+            tail[have[turn]] = np.minimum.accumulate(np.minimum.reduceat(ended, last[turn] + 1)[::-1])[::-1]
+            since = tail
+            pending[have] = sorted_new[begin[have] + amount[have] - 1]
+        return place, common, np.concatenate(changed), np.concatenate(value)
+
+    def _merge(self, place: np.ndarray, symbol: np.ndarray, common: np.ndarray, changed: np.ndarray, value: np.ndarray) -> None:
+        total = self.n + len(place)
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            with self._open() as (b, c):
+                for lo in range(0, total, self.chunk):
+                    hi = min(total, lo + self.chunk)
+                    i, e = np.searchsorted(place, (lo, hi))
+                    u, w = np.searchsorted(changed, (lo, hi))
+                    old = np.ones(hi - lo, bool)
+                    old[place[i:e] - lo] = False
+                    k = hi - lo - (e - i)
+                    symbols, prefix = np.empty(hi - lo, np.uint16), np.empty(hi - lo, np.uint8)
+                    symbols[old], prefix[old] = np.frombuffer(b.read(2 * k), np.uint16), np.frombuffer(c.read(k), np.uint8)
+                    symbols[~old], prefix[~old] = symbol[i:e], common[i:e]
+                    prefix[changed[u:w] - lo] = value[u:w]
+                    yield symbols, prefix
+
+        self._write(self.rounds + 1, parts())
+        for kind in ("bwt", "lcp"):
+            self.fs.delete_file(self._name(kind, self.rounds))
+        self.rounds, self.n = self.rounds + 1, total
+
+    def build(self) -> SuffixFiles:
+        while len(self.active):
+            self.insert()
+        return self
+
+    def classes(self, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(suffix length, strings that have it, class) for every suffix of ``length`` symbols or more: equal in the first ``length`` symbols, one class."""
+        step, group = np.empty(self.n, np.int32), np.empty(self.n, np.int32)
+        first, seen, heads = self.first(), np.zeros(_ALPHABET, np.int64), 0
+        for lo, symbols, prefix in self.read():
+            order, amount = _by_symbol(symbols)
+            nth = np.empty(len(order), np.int64)
+            nth[order] = np.arange(len(order)) - np.repeat(np.cumsum(amount) - amount, amount)
+            step[lo : lo + len(order)] = first[symbols] + seen[symbols] + nth
+            seen += amount
+            group[lo : lo + len(order)] = heads + np.cumsum(prefix < length)
+            heads = int(group[lo + len(order) - 1])
+        who = np.argsort(-self.size, kind="stable")
+        at = who.copy()  # the empty suffix of a string stands at the string's number
+        many = np.searchsorted(-self.size[who], -np.arange(1, self.rounds + 1), "right")
+        for j, k in enumerate(many.tolist(), 1):
+            at = step[at[:k]]
+            if j >= length:
+                yield j, who[:k], group[at]
+
+    def close(self) -> None:
+        self.fs.delete_dir(self.folder)
+
+
+def least_documents(text: np.ndarray, start: np.ndarray, windows: np.ndarray, doc: np.ndarray, p: SubstringParams, folder: str) -> np.ndarray:
+    """For every window of every string (in order) the least document of all strings that hold it."""
     size = windows + p.length - 1
-    cuts, held = [0], 0
-    for i, s in enumerate(several):
-        if held > p.sort_symbols and not same[s]:
-            cuts.append(i)
-            held = 0
-        held += int(size[s])
-    cuts.append(len(several))
-    hasher = ByteHasher()
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        own = several[a:b]
-        if not len(own):
-            continue
-        part = _cut_strings(text, start[own], size[own])
-        w = windows[own]
-        ends = np.cumsum(w)
-        string = np.repeat(np.arange(len(own)), w)
-        nth = np.arange(ends[-1]) - (ends - w)[string]
-        at = (np.cumsum(size[own]) - size[own])[string] + nth
-        digest = hasher.ranges(hasher.prefix(part), at, at + p.length)
-        order = np.argsort(digest, kind="stable")
-        twin = np.zeros(len(order), bool)
-        twin[1:] = digest[order][1:] == digest[order][:-1]
-        twin[:-1] |= twin[1:]
-        met = np.empty(len(order), bool)
-        met[order] = twin
-        del digest, order, twin
-        # Runs of windows that another window may equal become the strings to sort.
-        begin = met.copy()
-        begin[1:] &= ~met[:-1] | (string[1:] != string[:-1])
-        stop = met.copy()
-        stop[:-1] &= ~met[1:] | (string[1:] != string[:-1])
-        lo, hi = np.flatnonzero(begin), np.flatnonzero(stop)
-        if not len(lo):
-            continue
-        long = hi - lo + p.length
-        who, length = column_wise_suffixes(part, at[lo], long)
-        full = length >= p.length
-        who, offset = who[full], (long[who] - length)[full]
-        window = lo[who] + offset
-        from_, kind, source = at[window], v[own[string[window]]], doc[own[string[window]]]
-        equal = kind[1:] == kind[:-1]
-        for c in range(0, len(equal), 200_000):
-            pair = np.flatnonzero(equal[c : c + 200_000]) + c
-            x, y = from_[pair + 1], from_[pair]
-            for j in range(p.length):
-                good = part[x + j] == part[y + j]
-                equal[pair[~good]] = False
-                pair, x, y = pair[good], x[good], y[good]
-        group = np.concatenate(([0], np.cumsum(~equal)))
-        heads = np.flatnonzero(np.concatenate(([True], ~equal)))
-        out[first[own[string[window]]] + nth[window]] = np.minimum.reduceat(source, heads)[group]
+    files = SuffixFiles(text, start, size, folder, p.chunk)
+    try:
+        found = list(files.build().classes(p.length))
+    finally:
+        files.close()
+    least = np.full(max(int(g.max()) for _, _, g in found) + 1, np.iinfo(np.int64).max)
+    for _, who, group in found:
+        np.minimum.at(least, group, doc[who])
+    first = np.cumsum(windows) - windows
+    out = np.empty(int(windows.sum()), np.int64)
+    for j, who, group in found:
+        out[first[who] + size[who] - j] = least[group]
     return out
 
 
-def _resolver(p: SubstringParams):
+def _resolver(p: SubstringParams, folder: str):
+    """Least documents of the windows of every block's strings in a range; strings without another of their minimizer need no construction."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, n, doc = (np.concatenate([_unzip(x, kind) for x in pdf[c]]) for c, kind in (("a", "u8"), ("b", "u1"), ("c", "i8")))
-        text = np.concatenate([_unzip(x) for x in pdf["d"]])
-        n = n.astype(np.int64)
-        count = [len(_unzip(x)) for x in pdf["b"]]
+        each = [_values(x) for x in pdf["v"]]
+        v = np.concatenate(each)
+        n = np.concatenate([_unzip(x) for x in pdf["n"]]).astype(np.int64)
+        doc = np.concatenate([unsqueeze(x, np.int64, 8) for x in pdf["doc"]])
+        text = np.concatenate([_unzip(x) for x in pdf["text"]])
         size = n + p.length - 1
         start = np.cumsum(size) - size
-        hasher = ByteHasher()
-        digest = np.empty(len(v), np.uint64)
-        for a in range(0, len(v), 20_000):
-            b = min(len(v), a + 20_000)
-            lo, hi = start[a], start[b - 1] + size[b - 1]
-            digest[a:b] = hasher.ranges(hasher.prefix(text[lo:hi]), start[a:b] - lo, start[a:b] + size[a:b] - lo)
-        order = np.lexsort((doc, digest + n.astype(np.uint64), v))
-        key = digest[order] + n[order].astype(np.uint64)
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (v[order][1:] != v[order][:-1]) | (key[1:] != key[:-1])
-        lead = order[fresh]
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(fresh) - 1
-        least = least_documents(v[lead], text, start[lead], n[lead], doc[lead], p)
+        lead, number = distinct_strings(text, v, start, size, doc, ByteHasher())
+        same = v[lead][1:] == v[lead][:-1]
+        several = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+        least = np.repeat(doc[lead], n[lead])
         first = np.cumsum(n[lead]) - n[lead]
-        rows, at = [], 0
-        for block, c in zip(pdf["block"], count, strict=True):
-            own = number[at : at + c]
+        if len(several):
+            own = lead[several]
+            ends = np.cumsum(n[own])
+            at = np.repeat(first[several] - (ends - n[own]), n[own]) + np.arange(ends[-1])
+            least[at] = least_documents(text, start[own], n[own], doc[own], p, f"{folder}/{int(pdf['range'].iloc[0])}-{uuid.uuid4().hex}")
+        rows, spot = [], 0
+        for block, c in zip(pdf["block"], map(len, each), strict=True):
+            own = number[spot : spot + c]
             w = n[lead][own]
             ends = np.cumsum(w)
             values = least[np.repeat(first[own] - (ends - w), w) + np.arange(ends[-1])]
             begins = np.zeros(len(values), bool)
             begins[ends - w] = True
             begins[1:] |= values[1:] != values[:-1]
-            spot = np.flatnonzero(begins)
-            rows.append((block, int(pdf["range"].iloc[0]), _zip(values[spot]), _zip(np.diff(np.append(spot, len(values))).astype(np.uint8)), len(values)))
-            at += c
-        return pd.DataFrame(rows, columns=["block", "range", "values", "repeats", "n"])
+            head = np.flatnonzero(begins)
+            rows.append((block, int(pdf["range"].iloc[0]), squeeze(values[head]), _zip(np.diff(np.append(head, len(values))).astype(np.uint8))))
+            spot += c
+        return pd.DataFrame(rows, columns=["block", "range", "values", "repeats"])
 
     return run
 
@@ -370,24 +537,20 @@ def _resolver(p: SubstringParams):
 _CUT = "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
 
 
-def _cutter(p: SubstringParams):
+def _cutter(p: SubstringParams, ranges: int):
     def run(key, packed: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        buf, starts, lens = _opened(packed["text"].iloc[0], packed["lens"].iloc[0])
-        ids = _unzip(packed["ids"].iloc[0], "i8")
+        shared, replies = found[found["range"] < 0], found[found["range"] >= 0].sort_values("range")
+        s = _block_strings(packed, shared.rename(columns={"a": "v", "b": "hot"}), p, ranges)
+        buf, starts = s.buf, s.starts
         edge = np.zeros(len(buf) + 1, np.int32)
-        runs = found[found["kind"] == "runs"]
-        if len(runs):
-            row = runs.iloc[0]
-            pos, n, number = _unzip(row["a"], "i8"), _unzip(row["b"], "u1").astype(np.int64), _unzip(row["c"], "i8")
-            replies = found[found["kind"] == "least"].sort_values("range")
-            least = np.concatenate([np.repeat(_unzip(x, "i8"), _unzip(y, "u1")) for x, y in zip(replies["a"], replies["b"], strict=True)])
-            windows = np.zeros(int(number.max()) + 1, np.int64)
-            windows[number] = n
+        if len(replies):
+            least = np.concatenate([np.repeat(unsqueeze(x, np.int64, 8), _unzip(y)) for x, y in zip(replies["a"], replies["b"], strict=True)])
+            windows = s.n[s.lead]
             first = np.cumsum(windows) - windows
-            ends = np.cumsum(n)
-            step = np.arange(ends[-1]) - np.repeat(ends - n, n)
-            at = np.repeat(pos, n) + step
-            gone = at[least[np.repeat(first[number], n) + step] < ids[np.searchsorted(starts, at, "right") - 1]]
+            ends = np.cumsum(s.n)
+            step = np.arange(ends[-1]) - np.repeat(ends - s.n, s.n)
+            at = np.repeat(s.pos, s.n) + step
+            gone = at[least[np.repeat(first[s.number], s.n) + step] < s.ids[np.searchsorted(starts, at, "right") - 1]]
             np.add.at(edge, gone, 1)
             np.add.at(edge, gone + p.length, -1)
         covered = np.cumsum(edge[:-1]) > 0
@@ -395,9 +558,9 @@ def _cutter(p: SubstringParams):
         lo, hi = flips[0::2], flips[1::2]
         where = np.searchsorted(lo, np.append(starts, len(buf) + 1))
         rows = []
-        for i, (d, s, size) in enumerate(zip(ids.tolist(), starts, lens, strict=True)):
-            spans = [{"start": int(a - s), "length": int(b - a)} for a, b in zip(lo[where[i] : where[i + 1]], hi[where[i] : where[i + 1]], strict=True)]
-            own = slice(s, s + size)
+        for i, (d, a, size) in enumerate(zip(s.ids.tolist(), starts, s.lens, strict=True)):
+            spans = [{"start": int(x - a), "length": int(y - x)} for x, y in zip(lo[where[i] : where[i + 1]], hi[where[i] : where[i + 1]], strict=True)]
+            own = slice(a, a + size)
             rows.append((d, int(size), spans, (buf[own][~covered[own]] if spans else buf[own]).tobytes()))
         return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"])
 
@@ -410,20 +573,25 @@ def remove_repeated_substrings(docs: DataFrame, params: SubstringParams = Substr
     A byte goes if a string of ``length`` bytes that covers it also starts in a document of smaller doc_id;
     overlapping strings count, all are judged on the input, and none crosses documents. Null texts are
     empty. Rows with a null doc_id are returned whole and compare with nothing; rows that repeat a doc_id
-    don't cut each other. An empty table gives an empty result; further columns are ignored.
+    don't cut each other. A text longer than a block is a block of its own. An empty table gives an empty
+    result; further columns are ignored, whatever their names.
+
+    Scratch: three tables in the shared folder feed the result and stay until ``clear_scratch``; the files of
+    the construction are gone when this returns.
     """
-    short_batches(docs.sparkSession)
-    p = params
+    p, spark = params, docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     binary = F.col("text").cast("binary")
     unknown = rows.where("doc_id is null").select("doc_id", F.length(binary).cast("long").alias("n_bytes"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"), binary.alias("kept"))
-    blocks = materialise(rows.where("doc_id is not null").mapInArrow(_blocks(p), "block long, n_bytes long, ids binary, lens binary, text binary"), "none")
+    known = rows.where("doc_id is not null").withColumn("n", F.octet_length("text"))
+    blocks = materialise(known.mapInArrow(_blocks(p), "block long, n_bytes long, ids binary, lens binary, text binary"), "none")
     ranges = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // p.range_bytes))
     shared = blocks.mapInArrow(_minimizers(p, ranges), "range long, block long, v binary, strings binary").groupBy("range").applyInPandas(_shared(p), "block long, v binary, hot binary")
-    sent = materialise(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_sender(p, ranges), _SENT), "none")
-    least = sent.where("kind = 'text'").groupBy("range").applyInPandas(_resolver(p), "block long, range long, values binary, repeats binary, n long")
-    back = sent.where("kind = 'runs'").select("kind", "block", "range", "a", "b", "c").union(least.select(F.lit("least"), "block", "range", F.col("values"), F.col("repeats"), F.lit(None).cast("binary")))
-    back = materialise(back, "none")
-    drop_table(sent)
-    cut = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_cutter(p), _CUT)
+    shared = materialise(shared, "none")
+    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_sender(p, ranges), "block long, range long, v binary, n binary, doc binary, text binary")
+    least = materialise(sent.groupBy("range").applyInPandas(_resolver(p, folder), "block long, range long, values binary, repeats binary"), "none")
+    drop_path(spark, folder)
+    found = shared.select("block", F.lit(-1).cast("long").alias("range"), F.col("v").alias("a"), F.col("hot").alias("b")).union(least.select("block", "range", "values", "repeats"))
+    cut = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_cutter(p, ranges), _CUT)
     return cut.union(unknown)

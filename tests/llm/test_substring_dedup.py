@@ -1,9 +1,12 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
-from cuelake.llm.substring_dedup import SubstringParams, column_wise_suffixes, remove_repeated_substrings
+from cuelake.llm.common import ByteHasher
+from cuelake.llm.substring_dedup import SubstringParams, SuffixFiles, distinct_strings, equal_strings, remove_repeated_substrings
 
 
 def brute(rows, n):
@@ -26,14 +29,49 @@ def brute(rows, n):
     return sorted(out)
 
 
-def test_suffix_order():
+def common(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("chunk", [3, 7, 1000])
+def test_files_hold_transform_and_common_prefixes(tmp_path, chunk):
+    """After the last round: symbols before the suffixes, common prefixes, and classes, against sorted suffixes."""
     rng = random.Random(3)
-    strings = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))).encode() for _ in range(40)]
-    size = np.array([len(s) for s in strings])
-    text = np.frombuffer(b"".join(strings), np.uint8)
-    who, length = column_wise_suffixes(text, np.cumsum(size) - size, size)
-    got = [strings[w][len(strings[w]) - n :] for w, n in zip(who, length)]
-    assert got == sorted(got) and len(got) == size.sum() + len(strings)
+    for trial in range(12):
+        strings = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 12))).encode() for _ in range(rng.randint(1, 40))]
+        size = np.array([len(s) for s in strings])
+        files = SuffixFiles(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size, f"{tmp_path}/{trial}", chunk).build()
+        suffixes = sorted(s[len(s) - k :] for s in strings for k in range(len(s) + 1))
+        parts = list(files.read())
+        assert np.concatenate([c for _, _, c in parts]).tolist() == [0] + [common(a, b) for a, b in zip(suffixes, suffixes[1:])]
+        before = Counter((s[len(s) - k :], s[len(s) - k - 1] + 1 if k < len(s) else 0) for s in strings for k in range(len(s) + 1))
+        assert Counter(zip(suffixes, np.concatenate([b for _, b, _ in parts]).tolist())) == before
+        for length in (1, 3):
+            found = {}
+            for j, who, group in files.classes(length):
+                for w, g in zip(who, group):
+                    assert found.setdefault(strings[w][len(strings[w]) - j :][:length], g) == g
+            assert len(set(found.values())) == len(found)
+        files.close()
+        assert not list(tmp_path.iterdir())
+
+
+def test_hashes_are_confirmed():
+    """Strings that share a hash are equal only if their bytes are."""
+    buf = np.frombuffer(b"abcdefghij" b"abcdefghij" b"abcdefghiX", np.uint8)
+
+    class Same(ByteHasher):
+        def ranges(self, prefix, start, end):
+            return np.zeros(len(start), np.uint64)
+
+    pos, ten = np.array([0, 10, 20]), np.full(3, 10)
+    lead, number = distinct_strings(buf, np.zeros(3, np.uint64), pos, ten, np.array([5, 3, 4]), Same())
+    assert len(lead) == 2 or len(lead) == 3
+    assert number[2] not in (number[0], number[1])
+    assert equal_strings(buf, np.array([0, 0]), np.array([10, 20]), np.array([10, 10])).tolist() == [True, False]
 
 
 def test_equal_brute_force(spark):
@@ -50,7 +88,7 @@ def test_equal_brute_force(spark):
         rows.append((d * 7 % 90, "".join(parts)))
     rows += [(200, None), (201, ""), (202, "a" * 4000), (203, "a" * 3000), (204, "ab" * 3000), (205, "ba" * 900), (206, rows[3][1]), (207, rows[3][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as block", "'x' as kind").repartition(3)
-    for p in (SubstringParams(block_bytes=6000, range_bytes=9000, sort_symbols=5000), SubstringParams()):
+    for p in (SubstringParams(block_bytes=6000, range_bytes=9000, chunk=500), SubstringParams()):
         got = remove_repeated_substrings(df, p).collect()
         assert sorted((r.doc_id, r.n_bytes, sum(s.length for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got) == brute(rows, 50)
 
@@ -95,5 +133,5 @@ def test_no_minimizer_fills_a_range():
     counted = pa.Table.from_batches(list(sd._minimizers(p, ranges)(iter([pa.RecordBatch.from_pandas(frame)])))).to_pandas()
     shared = pd.concat([sd._shared(p)(x) for _, x in counted.groupby("range")])
     sent = pd.concat([sd._sender(p, ranges)((b,), frame[frame["block"] == b], shared[shared["block"] == b]) for b in range(4)])
-    v = np.concatenate([sd._unzip(x, "u8") for x in sent[sent["kind"] == "text"]["a"]])
+    v = np.concatenate([sd._values(x) for x in sent["v"]])
     assert np.unique(v, return_counts=True)[1].max() <= 50
