@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within, Spark hands Python Arrow batches of at most ``rows`` rows; afterwards the session has its own setting again.
+
+    For what runs within. A plan that is returned runs under the caller's setting; its batches have at most 64 MB.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 _WRITTEN: set[str] = set()
 
 

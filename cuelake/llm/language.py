@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, odd_constants, passes, short_batches
+from .common import batch_rows, materialise, odd_constants, passes
 
 UNDETERMINED = "und"
 
@@ -148,7 +148,11 @@ def _fitter(classes: list[str], idf: np.ndarray, p: LanguageParams):
 
 def fit_language_model(docs: DataFrame, p: LanguageParams = LanguageParams()) -> LanguageModel | None:
     """Fit on ``docs(text, lang)`` (nulls do not count); None if no document has text and lang."""
-    short_batches(docs.sparkSession)
+    with batch_rows(docs.sparkSession):
+        return _fit(docs, p)
+
+
+def _fit(docs: DataFrame, p: LanguageParams) -> LanguageModel | None:
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     if not counts:
@@ -205,7 +209,6 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, keep: list[st
     """
     if model is None:
         return docs.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    short_batches(docs.sparkSession)
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     cols = [*[c for c in keep if c != "text"], "text"]
     return docs.select(*cols).mapInArrow(_predictor(model, keep), ", ".join([*fields, "lang_pred string", "score double"]))

@@ -1,17 +1,19 @@
 """Text scoring by online logistic context mixing, and a smoothed unigram base beside it.
 
-The model reads the lower-cased bytes of a text and an end byte, bit by bit. Each predictor looks up a
-hashed context (the last four bytes; the last two and the end of the word before; the word so far; the
-last three) and the bits of the current byte seen so far, as logits of counts over all learning documents. A gated set of weights (one per bit position) combines them, is trained online after every
-bit, and an adaptive probability map refines the mixed probability. Weights and map start with a document
-and are carried through to its end, so every byte's probability depends on the text before it alone. Many
-documents advance together as vectors; a block takes as many steps as its longest document has bytes.
-
-Word counts of the base are exact: blocks of documents send the hashes of their words to ranges of the
-hash, which return corpus counts. So nothing the size of the vocabulary meets in one place. Contexts go
-the same way: a block sends each of its (context, next byte) pairs once, by a key of 56 bits of the
-context's hash and the byte, and gets back the eight logits on the byte's path. So the counted contexts
-grow with the corpus, and none is hot: a range gets a pair at most once from each block.
+The model reads the lower-cased UTF-8 bytes of a text and an end symbol (byte 255, which UTF-8 never has),
+bit by bit. Each predictor looks up a context (the last four bytes; the last two and the last two of the word
+before; the word so far; the last three) and the bits of the current byte seen so far, as logits of counts over
+all learning documents. A gated set of weights (one for each bit position and for whether the word so far is
+known) combines them, is trained online after every bit, and an adaptive probability map refines the mixed probability. Weights and map start
+with a document and are carried through to its end, so every byte's probability depends on the text before
+it alone. Many documents advance together as vectors; a block takes as many steps as its longest document
+has bytes, so texts of like length share blocks.
+
+What is counted grows with the corpus. Contexts are exact but for the word so far, which is 36 bits of its
+hash. A block sends each of its (context, next byte) pairs once, with the count in its learning documents, to a range of
+the context, and gets back the eight logits on the byte's path; no pair is hot, since a range gets it at most
+once from each block. Word counts of the base go the same way, by 64-bit word hashes. So nothing the size of
+the vocabulary or of the contexts meets in one place.
 """
 
 from __future__ import annotations
@@ -26,16 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, hashed_words, materialise, mix64, passes, short_batches
+from .common import ByteHasher, hashed_words, materialise, passes, squeeze, unsqueeze
 
 
 @dataclass(frozen=True)
 class MixingLmParams:
-    row_bits: tuple[int, ...] = (16, 16, 16, 16)  # context slots of tables that are given whole
-    block_bytes: int = 4_000_000
+    block_bytes: int = 8_000_000
+    sorted_bytes: int = 32_000_000  # texts that are sorted by length before blocks are cut
     range_bytes: int = 64_000_000
     context_range_bytes: int = 24_000_000
-    lane_bytes: int = 256  # not read: a lane is a whole document
     lanes: int = 8192
     rate: float = 0.006
     first_weight: float = 0.25
@@ -44,76 +45,167 @@ class MixingLmParams:
     alpha: float = 0.1  # of the base
 
 
+PREDICTORS = 4
+END = 255
+_WORD_PREDICTOR = 2
+_CONTEXT_BITS = 36
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_HASHERS: dict[int, ByteHasher] = {}
 
 
-def contexts(buf: np.ndarray, k: int) -> np.ndarray:
-    """Hash of predictor ``k``'s context before every byte of ``buf``; texts in it end with byte 0, which resets contexts."""
-    n = len(buf)
-    hasher = _hasher()
-    sums, at = hasher.prefix(buf), np.arange(n)
-    origin, word = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    text_end, cut = buf == 0, _SPACE[buf] | (buf == 0)
-    origin[1:][text_end[:-1]] = at[1:][text_end[:-1]]
-    origin = np.maximum.accumulate(origin)  # first byte of the text
-    word[1:][cut[:-1]] = at[1:][cut[:-1]]
-    word = np.maximum.accumulate(word)  # first byte of the word
-    last = lambda d: hasher.ranges(sums, np.maximum(at - d, origin), at)
-    before = lambda: hasher.ranges(sums, np.maximum(word - 3, origin), np.maximum(word - 1, origin))
-    found = (lambda: last(4), lambda: last(2) + before() * np.uint64(0x9E3779B97F4A7C15), lambda: hasher.ranges(sums, word, at), lambda: last(3))
-    return mix64(found[k]())
+def _hasher() -> ByteHasher:
+    return _HASHERS.setdefault(0, ByteHasher())
 
 
-PREDICTORS = 4
+def _joined(texts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(t.replace(b"\xff", b"\xfe") + b"\xff" for t in texts), np.uint8)
+
+
+class Contexts:
+    """Keys (context above, byte in the low eight bits) of every byte of ``buf``; texts in it end with the end symbol, which resets contexts."""
+
+    def __init__(self, buf: np.ndarray):
+        self.buf = buf
+        n = len(buf)
+        ends = np.flatnonzero(buf == END)
+        self.origin = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else np.zeros(0, np.int64)
+        self.padded = np.concatenate((np.full(4, END, np.uint8), buf))
+        cut = np.flatnonzero(_SPACE[buf[:-1]] | (buf[:-1] == END)) + 1 if n else np.zeros(0, np.int64)
+        self.word = np.concatenate((np.zeros(min(1, n), np.int64), cut))
+        self.letters = np.diff(self.word, append=n)
+        self.recent: dict[int, np.ndarray] = {}
+
+    def _lag(self, d: int) -> np.ndarray:
+        """The byte ``d`` places before; the end symbol before a text begins."""
+        if d not in self.recent:
+            n = len(self.buf)
+            x = self.padded[4 - d : 4 - d + n].copy()
+            for k in range(d - 1):
+                at = self.origin + k
+                x[at[at < n]] = END
+            self.recent[d] = x.astype(np.uint64)
+        return self.recent[d]
+
+    def _last(self, d: int) -> np.ndarray:
+        out = self._lag(1).copy()
+        for i in range(2, d + 1):
+            out |= self._lag(i) << np.uint64(8 * i - 8)
+        return out
 
+    def _before(self) -> np.ndarray:
+        """The last two bytes of the word before, for each word."""
+        begun = self.origin[np.searchsorted(self.origin, self.word, "right") - 1]
+        byte = lambda d: np.where(self.word - begun >= d, self.padded[np.maximum(self.word + 4 - d, 0)], END).astype(np.uint64)
+        return byte(2) | byte(3) << np.uint64(8)
+
+    def _word_so_far(self) -> np.ndarray:
+        hasher = _hasher()
+        sums = hasher.prefix(self.buf)
+        x = sums[:-1] - np.repeat(sums[self.word], self.letters)
+        x *= np.repeat(hasher.down[self.word], self.letters)
+        x ^= x >> np.uint64(32)
+        x *= _SPREAD
+        return x >> np.uint64(64 - _CONTEXT_BITS)
+
+    def keys(self, k: int) -> np.ndarray:
+        if k == 0:
+            x = self._last(4)
+        elif k == 1:
+            x = self._last(2) | np.repeat(self._before() << np.uint64(16), self.letters)
+        elif k == _WORD_PREDICTOR:
+            x = self._word_so_far()
+        else:
+            x = self._last(3)
+        x *= _SPREAD  # an odd factor: contexts stay apart, and their high bits deal them evenly
+        x <<= np.uint64(64 - _CONTEXT_BITS)
+        x >>= np.uint64(64 - _CONTEXT_BITS - 8)
+        x |= self.buf
+        return x
+
+
+def _sums(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ``v`` in order, sum of ``n`` of each)."""
+    order = np.argsort(v)
+    v = v[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(v)), bool), v[1:] != v[:-1])))
+    return v[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
-def _joined(texts: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(t.replace(b"\0", b"\1") + b"\0" for t in texts), np.uint8)
 
+def _runs(s: np.ndarray) -> np.ndarray:
+    """First place of each run of equal values of sorted ``s``."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])))
 
-def block_pairs(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted keys of the distinct pairs of context and byte of predictor ``k``, place in them of every byte)."""
-    keys = []
-    for lo, hi in passes([len(t) + 1 for t in texts]):
-        buf = _joined(texts[lo:hi])
-        keys.append(contexts(buf, k) & ~np.uint64(255) | buf)
-    at, v = pd.factorize(np.concatenate(keys))
-    order = np.argsort(v)
-    place = np.empty(len(v), np.int32)
-    place[order] = np.arange(len(v), dtype=np.int32)
-    return v[order], place[at]
 
+def block_pairs(texts: list[bytes], learn: list[bool]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each predictor: (keys of the distinct pairs of context and byte, in order; their counts in the texts to learn from)."""
+    found: list[list] = [[] for _ in range(PREDICTORS)]
+    for known in (True, False):
+        own = [t for t, h in zip(texts, learn, strict=True) if h == known]
+        for lo, hi in passes([len(t) + 1 for t in own]):
+            contexts = Contexts(_joined(own[lo:hi]))
+            for k in range(PREDICTORS):
+                s = np.sort(contexts.keys(k))
+                first = _runs(s)
+                found[k].append((s[first], np.diff(first, append=len(s)) * known))
+    return [_sums(np.concatenate([v for v, _ in f]), np.concatenate([n for _, n in f])) for f in found]
 
-_HASHERS: dict[int, ByteHasher] = {}
 
+_SLICE = 1 << 20  # a key and a place below this fit 64 bits
 
-def _hasher() -> ByteHasher:
-    return _HASHERS.setdefault(0, ByteHasher())
+
+def block_places(texts: list[bytes], k: int) -> tuple[int, np.ndarray]:
+    """(number of distinct pairs of predictor ``k``, place of every byte's pair in their order)."""
+    local, values, sizes = [], [], []
+    for lo, hi in passes([len(t) + 1 for t in texts]):
+        keys = Contexts(_joined(texts[lo:hi])).keys(k)
+        for a in range(0, len(keys), _SLICE):
+            s = keys[a : a + _SLICE] << np.uint64(20)
+            s |= np.arange(len(s), dtype=np.uint64)
+            s.sort()
+            at = (s & np.uint64(_SLICE - 1)).astype(np.int32)
+            s >>= np.uint64(20)
+            first = _runs(s)
+            place = np.empty(len(s), np.int32)
+            place[at] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(s)))
+            local.append(place)
+            values.append(s[first])
+            sizes.append(len(s))
+    every = np.sort(np.concatenate(values))
+    every = every[_runs(every)]
+    return len(every), np.concatenate([np.searchsorted(every, v).astype(np.int32)[p] for v, p in zip(values, local, strict=True)])
 
 
 def _pack(p: MixingLmParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        block = TaskContext.get().partitionId() << 32
-        rows: list[tuple[int | None, bool, bytes]] = []
+        number = TaskContext.get().partitionId() << 32
+        held_back: list[tuple[int | None, bool, bytes]] = []
 
-        def out() -> pa.RecordBatch:
+        def row(rows: list, block: int) -> pa.RecordBatch:
             lens = np.fromiter((len(r[2]) for r in rows), np.int64, len(rows))
             return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(lens.sum()) + len(rows)]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[r[1] for r in rows]], pa.list_(pa.bool_())), pa.array([lens.tobytes()], pa.binary()), pa.array([zstandard.ZstdCompressor(level=1).compress(b"".join(r[2] for r in rows))], pa.binary())], ["block", "n_bytes", "ids", "held", "lens", "text"])
 
+        def blocks() -> Iterator[pa.RecordBatch]:
+            nonlocal number, held_back
+            held_back.sort(key=lambda r: -len(r[2]))
+            for lo, hi in passes([len(r[2]) + 1 for r in held_back], p.block_bytes):
+                yield row(held_back[lo:hi], number)
+                number += 1
+            held_back = []
+
         size = 0
         for batch in batches:
-            for d, h, t in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                t = (t or b"").lower()
-                if rows and size + len(t) > p.block_bytes:
-                    yield out()
-                    block, rows, size = block + 1, [], 0
-                rows.append((d, bool(h), t))
-                size += len(t) + 1
-        if rows:
-            yield out()
+            for lo, hi in passes(batch.column("n").to_numpy()):
+                for d, h, t in zip(*(batch.column(c)[lo:hi].to_pylist() for c in ("doc_id", "held_out")), batch.column("text")[lo:hi].cast(pa.binary()).to_pylist(), strict=True):
+                    if held_back and size + len(t) > p.sorted_bytes:
+                        yield from blocks()
+                        size = 0
+                    held_back.append((d, h, t.lower()))
+                    size += len(t) + 1
+        yield from blocks()
 
     return run
 
@@ -128,80 +220,70 @@ def _texts(lens: bytes, text: bytes) -> list[bytes]:
     return out
 
 
-_END = np.uint64(0x5E4D0F7A11C3B2E1)  # stands for the end token
+def _values(x: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(x, np.uint64, 8), dtype=np.uint64)
+
+
+def _by_range(v: np.ndarray, shift: int, ranges: int) -> np.ndarray:
+    """Bounds of the ranges in sorted ``v``, by the 32 bits above ``shift``."""
+    return np.searchsorted((v >> np.uint64(shift)).astype(np.int64) * ranges >> 32, np.arange(ranges + 1))
 
 
 def _block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes of all texts, first word of each)."""
-    return hashed_words(texts, _hasher())
+    parts = [hashed_words(texts[lo:hi], _hasher()) for lo, hi in passes([len(t) + 1 for t in texts])]
+    count = np.concatenate([np.diff(f) for _, f in parts])
+    return np.concatenate([w for w, _ in parts]), np.concatenate(([0], np.cumsum(count)))
 
 
 def _word_sender(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, held, lens, text in zip(*(batch.column(c).to_pylist() for c in ("block", "held", "lens", "text")), strict=True):
-                texts = _texts(lens, text)
-                words, first = _block_words(texts)
-                learn = np.repeat(~np.array(held, bool), np.diff(first))
-                v, at = np.unique(words, return_inverse=True)
-                n = np.bincount(at, weights=learn, minlength=len(v)).astype(np.uint32)
-                bound = np.searchsorted((v >> np.uint64(32)).astype(np.int64) * ranges >> 32, np.arange(ranges + 1))
-                rows = [(r, block, v[a:b].tobytes(), n[a:b].tobytes()) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
+                words, first = _block_words(_texts(lens, text))
+                v, n = _sums(words, np.repeat(~np.array(held, bool), np.diff(first)).astype(np.uint32))
+                bound = _by_range(v, 32, ranges)
+                rows = [(r, block, squeeze(np.diff(v[a:b], prepend=np.uint64(0))), squeeze(n[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["range", "block", "v", "n"])
 
     return run
 
 
+def _totals(each: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, their sums of ``n``, place of every value among them)."""
+    every = np.concatenate(each)
+    order = np.argsort(every)
+    first = _runs(every[order])
+    place = np.empty(len(every), np.int64)
+    place[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(every)))
+    return every[order][first], np.add.reduceat(n[order].astype(np.int64), first), place
+
+
 def _word_counter(pdf: pd.DataFrame) -> pd.DataFrame:
-    each, n = [np.frombuffer(x, np.uint64) for x in pdf["v"]], np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["n"]])
-    v, at = np.unique(np.concatenate(each), return_inverse=True)
-    total = np.bincount(at, weights=n, minlength=len(v)).astype(np.int64)
+    each = [_values(x) for x in pdf["v"]]
+    _, total, at = _totals(each, np.concatenate([unsqueeze(x, np.uint32, 4) for x in pdf["n"]]))
     rows, spot = [], 0
     for i, (block, own) in enumerate(zip(pdf["block"], each, strict=True)):
         # The first row of a range also carries what the whole range adds to N and V.
-        rows.append((block, pdf["range"].iloc[0], total[at[spot : spot + len(own)]].tobytes(), int(total.sum()) if i == 0 else 0, int((total > 0).sum()) if i == 0 else 0))
+        rows.append((block, pdf["range"].iloc[0], squeeze(total[at[spot : spot + len(own)]]), int(total.sum()) if i == 0 else 0, int((total > 0).sum()) if i == 0 else 0))
         spot += len(own)
     return pd.DataFrame(rows, columns=["block", "range", "counts", "tokens", "distinct"])
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    """The bytes of ``x``, those of like weight together, compressed."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
-
-
-def _unsqueeze(x: bytes, dtype: type, width: int) -> np.ndarray:
-    """Rows of ``width`` bytes, back as they were (one number a row, or a row of int8)."""
-    import zstandard
-
-    raw = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(width, -1).T)
-    return raw.view(dtype) if dtype is np.int8 else raw.view(dtype)[:, 0]
-
-
 def _context_sender(ranges: int):
     """Each block's pairs of context and byte, with their counts in its learning documents, by ranges of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, held, lens, text in zip(*(batch.column(c).to_pylist() for c in ("block", "held", "lens", "text")), strict=True):
-                texts = _texts(lens, text)
-                learn = np.repeat(~np.array(held, bool), [len(t) + 1 for t in texts])
-                for k in range(PREDICTORS):
-                    v, at = block_pairs(texts, k)
-                    n = np.bincount(at[learn], minlength=len(v)).astype(np.uint32)
-                    bound = np.searchsorted(_range_of(v, ranges), np.arange(ranges + 1))
-                    rows = [(k, r, block, _squeeze(np.diff(v[a:b], prepend=np.uint64(0))), _squeeze(n[a:b])) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
+                for k, (v, n) in enumerate(block_pairs(_texts(lens, text), [not h for h in held])):
+                    bound = _by_range(v, _CONTEXT_BITS + 8 - 32, ranges)
+                    rows = [(k, r, block, squeeze(np.diff(v[a:b], prepend=np.uint64(0))), squeeze(n[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], c) for i, c in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["k", "range", "block", "v", "n"])
 
     return run
 
 
-def _range_of(v: np.ndarray, ranges: int) -> np.ndarray:
-    """Range of a key, by its context alone: its upper 32 bits."""
-    return (v >> np.uint64(32)).astype(np.int64) * ranges >> 32
-
-
 def path_logits(v: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
     """Logit of a 1, in eighths, at each of the eight bits of every pair's byte; ``v`` are all pairs of their contexts, sorted."""
     out = np.empty((len(v), 8), np.int8)
@@ -220,99 +302,103 @@ def _context_counter(p: MixingLmParams):
     """Path logits of the corpus for every pair that a block sent."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        each = [np.cumsum(_unsqueeze(x, np.uint64, 8), dtype=np.uint64) for x in pdf["v"]]
-        at, v = pd.factorize(np.concatenate(each))
-        n = np.bincount(at, weights=np.concatenate([_unsqueeze(x, np.uint32, 4) for x in pdf["n"]]), minlength=len(v)).astype(np.int64)
-        order = np.argsort(v)
-        paths = np.empty((len(v), 8), np.int8)
-        paths[order] = path_logits(v[order], n[order], p.prior)
+        each = [_values(x) for x in pdf["v"]]
+        v, n, at = _totals(each, np.concatenate([unsqueeze(x, np.uint32, 4) for x in pdf["n"]]))
+        paths = path_logits(v, n, p.prior)
         ends = np.cumsum([len(x) for x in each])
-        rows = [(block, k, r, _squeeze(paths[at[b - len(x) : b]])) for block, k, r, x, b in zip(pdf["block"], pdf["k"], pdf["range"], each, ends, strict=True)]
+        rows = [(block, k, r, squeeze(paths[at[b - len(x) : b]])) for block, k, r, x, b in zip(pdf["block"], pdf["k"], pdf["range"], each, ends, strict=True)]
         return pd.DataFrame(rows, columns=["block", "k", "range", "counts"])
 
     return run
 
 
 _TOP = 12  # the adaptive map has a cell for each whole logit up to this, of either sign
+_KNOWN = 20  # eighths of the word predictor's first logit from which the word so far counts as known
 
 
 class ContextMixer:
-    """Bits of texts under the model; ``tables`` are the predictors' logits in eighths, given whole by slot and node."""
+    """Bits of texts, from the path logits (in eighths) of each predictor's pairs and the place among them of every byte.
 
-    def __init__(self, tables: list[np.ndarray], p: MixingLmParams):
-        self.tables, self.p = tables, p
+    The weights have a gate: a second set is added where the word so far is known, which the size of the word predictor's
+    first logit tells before a byte is read.
+    """
 
-    def bits(self, texts: list[bytes]) -> np.ndarray:
-        """-log2 probability of each text (an end byte included)."""
-        buf = _joined(texts)
-        nodes = (np.int64(256) | buf)[:, None] >> np.arange(8, 0, -1)
-        inputs = [(t[(contexts(buf, k) >> np.uint64(64 - b)).astype(np.int64)[:, None] << 8 | nodes], np.arange(len(buf))) for k, (t, b) in enumerate(zip(self.tables, self.p.row_bits, strict=True))]
-        return self.mixed(texts, inputs)
+    def __init__(self, p: MixingLmParams):
+        self.p = p
 
     def mixed(self, texts: list[bytes], inputs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The same from path logits of each predictor, and the row in them of every byte."""
+        """-log2 probability of each text (the end symbol included)."""
         out, buf = np.zeros(len(texts)), _joined(texts)
-        lane = self._lanes(np.cumsum([len(t) + 1 for t in texts]))
-        for a in range(0, len(lane[0]), self.p.lanes):
-            doc, start, size = (x[a : a + self.p.lanes] for x in lane)
-            np.add.at(out, doc, self._advance(buf, inputs, start, size))
+        size = np.array([len(t) + 1 for t in texts], np.int64)
+        doc = np.argsort(-size, kind="stable")
+        first = (np.cumsum(size) - size)[doc]
+        for a in range(0, len(doc), self.p.lanes):
+            own = slice(a, a + self.p.lanes)
+            out[doc[own]] = self._advance(buf, inputs, first[own], size[doc[own]])
         return out
 
-    def _lanes(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first byte, bytes) of every text, the longest first."""
-        size = np.diff(ends, prepend=0)
-        doc = np.argsort(-size, kind="stable")
-        return doc, ends[doc] - size[doc], size[doc]
+    def _inputs(self, inputs: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray) -> np.ndarray:
+        """The logits of the bytes at ``at`` (steps, lanes), plain and gated: (steps, 2 * predictors, 8, lanes)."""
+        k = len(inputs)
+        x = np.empty((at.shape[0], 2 * k, 8, at.shape[1]), np.float32)
+        for i, (paths, place) in enumerate(inputs):
+            x[:, i] = paths.take(place.take(at), 0).transpose(0, 2, 1)
+        gate = (np.abs(x[:, min(_WORD_PREDICTOR, k - 1), :1]) >= _KNOWN).astype(np.float32)
+        np.multiply(x[:, :k], gate[:, None], out=x[:, k:])
+        return x
 
     def _advance(self, buf: np.ndarray, inputs: list[tuple[np.ndarray, np.ndarray]], start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """-log2 probability of every lane. The bits of a byte have weights and maps of their own, so all eight advance at once."""
+        """-log2 probability of every lane, the longest first. The bits of a byte have weights and maps of their own, so all eight advance at once."""
         p, k, n = self.p, len(inputs), len(start)
         cells = 2 * _TOP + 1
-        weights = np.full((k, 8, n), p.first_weight / 8, np.float32)  # the inputs' eighths are part of the weights
+        weights = np.zeros((2 * k, 8, n), np.float32)
+        weights[:k] = p.first_weight / 8  # the inputs' eighths are part of the weights
         grid = np.arange(-_TOP, _TOP + 1, dtype=np.float32)
         refined = np.tile(np.repeat(1 / (1 + np.exp(-grid)), n), 8)  # a chance for each bit and whole logit
         across = (np.arange(8)[:, None] * cells + _TOP) * n + np.arange(n)
         cost = np.zeros(n)
-        top = np.float32(_TOP - 0.1)
-        rate, map_rate, one = np.float32(p.rate / 64), np.float32(p.map_rate), np.float32(1)
-        most = int(size[0]) if n else 0
-        active = np.searchsorted(-size, -np.arange(most), "left")  # lanes that still have a byte
-        m = -1
-        for t in range(most):
-            if m != active[t]:
-                m = int(active[t])
-                x, part = np.empty((k, 8, m), np.float32), np.empty((k, 8, m), np.float32)
-                logit, error, place = np.empty((8, m), np.float32), np.empty((8, m), np.float32), np.empty((8, m), np.int64)
-                w, lane = weights[:, :, :m], across[:, :m]
-            now = start[:m] + t
-            ones = np.unpackbits(buf[now][None, :], axis=0).astype(np.float32)
-            for i, (paths, at) in enumerate(inputs):
-                x[i] = paths.take(at.take(now), 0).T
-            np.multiply(w, x, part)
-            np.add.reduce(part, 0, None, logit)
-            np.minimum(logit, top, logit)
-            np.maximum(logit, -top, logit)
-            np.rint(logit, error)
-            place[:] = error
-            place *= n
-            place += lane
-            own = refined.take(place, None, None, "clip")
-            np.negative(logit, out=error)
-            np.exp(error, out=error)
-            error += one
-            np.reciprocal(error, out=error)
-            np.multiply(error, np.float32(0.75), out=logit)
-            logit += np.float32(0.25) * own
-            np.subtract(ones, error, out=error)
-            logit += ones
-            logit -= one
-            np.abs(logit, out=logit)  # chance of the bit
-            cost[:m] -= np.log2(np.maximum(np.multiply.reduce(logit, 0), 1e-30))
-            own += map_rate * (ones - own)
-            refined[place] = own
-            error *= rate
-            np.multiply(x, error, out=part)
-            w += part
+        top, one = np.float32(_TOP - 0.1), np.float32(1)
+        rate, map_rate, stay = np.float32(p.rate / 64), np.float32(p.map_rate), np.float32(1 - p.map_rate)
+        most, t = int(size[0]) if n else 0, 0
+        while t < most:
+            m = int(np.searchsorted(-size, -t, "left"))  # lanes that still have a byte
+            steps = min(most - t, max(4, min(64, 32768 // m)))
+            at = np.minimum(start[:m] + (t + np.arange(steps))[:, None], len(buf) - 1)
+            x = self._inputs(inputs, at)
+            zeros = np.unpackbits(~buf[at][:, None, :], axis=1).astype(np.float32)
+            drift = map_rate * (one - zeros)
+            missed, mapped = np.empty((steps, 8, m), np.float32), np.empty((steps, 8, m), np.float32)
+            part = np.empty((2 * k, 8, m), np.float32)
+            logit, error, place = np.empty((8, m), np.float32), np.empty((8, m), np.float32), np.empty((8, m), np.int64)
+            w, lane = weights[:, :, :m], across[:, :m]
+            for s in range(steps):
+                np.multiply(w, x[s], part)
+                np.add.reduce(part, 0, None, logit)
+                np.minimum(logit, top, logit)
+                np.maximum(logit, -top, logit)
+                np.rint(logit, error)
+                np.multiply(error, n, place, casting="unsafe")
+                place += lane
+                own = refined.take(place, None, mapped[s], "clip")
+                np.exp(logit, logit)
+                logit += one
+                q = np.reciprocal(logit, missed[s])  # chance of a zero
+                np.subtract(q, zeros[s], error)
+                np.multiply(own, stay, logit)
+                logit += drift[s]
+                refined[place] = logit
+                error *= rate
+                np.multiply(x[s], error, part)
+                w += part
+            missed *= np.float32(-0.75)
+            missed += np.float32(0.75)
+            mapped *= np.float32(0.25)
+            missed += mapped
+            missed -= zeros
+            chance = np.multiply.reduce(np.abs(missed, missed), 1)
+            chance[(t + np.arange(steps))[:, None] >= size[:m]] = 1  # past a lane's end
+            cost[:m] -= np.log2(np.maximum(chance, 1e-30)).sum(axis=0, dtype=np.float64)
+            t += steps
         return cost
 
 
@@ -324,18 +410,18 @@ def _scorer(tokens: int, distinct: int, end_count: int, p: MixingLmParams):
         row = packed.iloc[0]
         texts = _texts(row["lens"], row["text"])
         words, first = _block_words(texts)
-        v, at = np.unique(words, return_inverse=True)
         counted = counted.sort_values(["k", "range"])
-        n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in counted["counts"][counted["k"] < 0])])
-        inputs = [(np.concatenate([_unsqueeze(x, np.int8, 8) for x in counted["counts"][counted["k"] == k]]), block_pairs(texts, k)[1]) for k in range(PREDICTORS)]
+        n = np.concatenate([np.zeros(0, np.int64), *(unsqueeze(x, np.int64, 8) for x in counted["counts"][counted["k"] < 0])])
+        _, _, at = _totals([words], np.zeros(len(words), np.uint8)) if len(words) else (None, None, np.zeros(0, np.int64))
         whole = np.log10(tokens + p.alpha * (distinct + 1))
         logs = np.concatenate(([0.0], np.cumsum(np.log10(n + p.alpha)[at] - whole)))
         known = np.concatenate(([0], np.cumsum((n > 0)[at])))
         size = np.diff(first)
         base = logs[first[1:]] - logs[first[:-1]] + np.log10(end_count + p.alpha) - whole
+        inputs = [(np.concatenate([unsqueeze(x, np.int8, 8) for x in counted["counts"][counted["k"] == k]]), block_places(texts, k)[1]) for k in range(PREDICTORS)]
         return pd.DataFrame({
             "doc_id": pd.array(row["ids"], "Int64"), "held_out": list(row["held"]), "n_bytes": [len(t) for t in texts], "n_tokens": size + 1,
-            "n_known": known[first[1:]] - known[first[:-1]] + (end_count > 0), "train_tokens": tokens, "base_score": base, "bits": ContextMixer([], p).mixed(texts, inputs),
+            "n_known": known[first[1:]] - known[first[:-1]] + (end_count > 0), "train_tokens": tokens, "base_score": base, "bits": ContextMixer(p).mixed(texts, inputs),
         })
 
     return run
@@ -345,17 +431,19 @@ def score_texts(docs: DataFrame, params: MixingLmParams = MixingLmParams()) -> D
     """Every row of ``docs(doc_id, text, held_out)`` scored by a model of the rows that are not held out.
 
     Returns doc_id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score (log10), bits (total, end
-    byte included) and bits_per_byte. Null texts are empty; byte 0 counts as byte 1; a null held_out is
-    false. Rows that repeat count each. Without any learning document all logits are 0 and the base
-    knows no token. An empty table gives an empty result.
+    symbol included) and bits_per_byte. Null texts are empty, a null held_out is false, a null doc_id stays null. A learning
+    document is scored with its own counts included. Rows that repeat count each; equal texts that are both held
+    out or both learned from have equal scores. Texts of any length are read whole; byte 255, which UTF-8 doesn't have, counts as 254.
+    Without any learning document all logits are 0 and the base knows no token. An empty table gives an
+    empty result; further columns are ignored, whatever their names.
     """
-    short_batches(docs.sparkSession)
     p = params
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("held_out"), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("held_out"), F.lit(False)).alias("held_out"), text.alias("text"), F.octet_length(text).alias("n"))
     blocks = materialise(rows.mapInArrow(_pack(p), "block long, n_bytes long, ids array<long>, held array<boolean>, lens binary, text binary"), "none")
     size, learners = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum(F.aggregate("held", F.lit(0), lambda acc, h: acc + F.when(h, 0).otherwise(1))), F.lit(0))).first()
     ranges = max(1, -(-size // p.range_bytes))
-    counted = materialise(blocks.mapInArrow(_word_sender(ranges), "range long, block long, v binary, n binary").groupBy("range").applyInPandas(_word_counter, "block long, range long, counts binary, tokens long, distinct long"))
+    counted = materialise(blocks.mapInArrow(_word_sender(ranges), "range long, block long, v binary, n binary").groupBy("range").applyInPandas(_word_counter, "block long, range long, counts binary, tokens long, distinct long"), "none")
     tokens, distinct = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = tokens + learners, distinct + (learners > 0)
     context_ranges = max(1, -(-size // p.context_range_bytes))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, drop_table, hashed_words, materialise, mix64, odd_constants, passes, short_batches
+from .common import ByteHasher, batch_rows, drop_table, hashed_words, materialise, mix64, odd_constants, passes
 from .components import components
 
 
@@ -163,8 +163,11 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     nothing; rows with a null doc_id get a null component and are kept. Repeated rows each come back, and
     rows that share a doc_id are one node of the links; an empty table gives an empty result; further columns are ignored.
     """
-    short_batches(docs.sparkSession, 100)  # a pair of long documents' sets is large
-    p = params
+    with batch_rows(docs.sparkSession, 100):  # a pair of long documents' sets is large
+        return _near_duplicates(docs, params)
+
+
+def _near_duplicates(docs: DataFrame, p: NearDupParams) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = materialise(docs.mapInArrow(_sketcher(p), "doc_id long, n_shingles long, set_a long, set_b long, sides array<long>"))
     usable = sketches.where("doc_id is not null and n_shingles > 0")

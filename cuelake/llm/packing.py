@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, passes, short_batches
+from .common import batch_rows, materialise, passes
 
 
 @dataclass(frozen=True)
@@ -272,8 +272,8 @@ def pack(docs: DataFrame, p: PackingParams) -> DataFrame:
     sequence the offsets leave no gap and no sequence is longer than the window. Null and empty texts
     are their end id alone; rows that repeat a doc_id are packed each; an empty table gives no piece.
     """
-    short_batches(docs.sparkSession)
-    tokens = materialise(tokenise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), p))
+    with batch_rows(docs.sparkSession):
+        tokens = materialise(tokenise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), p))
     whole = F.col("doc_tokens") - F.col("doc_tokens") % p.window
     tails = tokens.where(F.col("doc_tokens") % p.window > 0).select("doc_id", "doc_tokens", F.expr(f"substring(ids, int((doc_tokens - doc_tokens % {p.window}) * width) + 1)").alias("tail"), "width")
     windows = tokens.where(whole > 0).mapInArrow(_windows(p), _PIECES)

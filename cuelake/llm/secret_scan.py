@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, passes, short_batches
+from .common import batch_rows, materialise, passes
 
 
 @dataclass(frozen=True)
@@ -203,7 +203,11 @@ def _labelled(words: frozenset[bytes], p: SecretParams):
 
 def fit_secret_model(docs: DataFrame, p: SecretParams = SecretParams()) -> SecretModel:
     """Dictionary and forest from ``docs(text, path)``; without labelled findings of both kinds there are no trees and nothing counts as secret."""
-    short_batches(docs.sparkSession)
+    with batch_rows(docs.sparkSession):
+        return _fit(docs, p)
+
+
+def _fit(docs: DataFrame, p: SecretParams) -> SecretModel:
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("path").cast("string").alias("path"))
     words = docs.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = frozenset(r[0].encode() for r in words.orderBy(F.desc("n"), "word").limit(p.dictionary_words).select("word").collect())
@@ -265,7 +269,6 @@ def scan_secrets(docs: DataFrame, model: SecretModel) -> DataFrame:
             kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "value", "score", "secret"])
 
-    short_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("path").cast("string").alias("path"))
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, value string, score double, secret boolean")
 
@@ -290,5 +293,4 @@ def mask_secrets(docs: DataFrame, model: SecretModel, path: str) -> DataFrame:
             cols = [pa.array(out, batch.schema.field(n).type) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    short_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
