@@ -5,9 +5,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from cuelake.llm import mixing_lm as lm
+from cuelake.llm.common import mix64
 from cuelake.llm.mixing_lm import ContextMixer, MixingLmParams, score_texts
 
-SMALL = MixingLmParams(row_bits=(10, 10, 10), block_bytes=3000, range_bytes=2000, lane_bytes=64, lanes=16)
+SMALL = MixingLmParams(block_bytes=3000, sorted_bytes=9000, range_bytes=2000, context_range_bytes=1500, lanes=16)
 
 
 def base_scores(rows, alpha=0.1):
@@ -40,31 +42,49 @@ def test_base_equals_brute_force(spark):
     assert got[503].bits_per_byte < 1.0
 
 
-def test_bytes_have_a_distribution():
-    """At every place the probabilities of all next bytes sum to one, whatever the tables hold."""
-    rng = np.random.default_rng(3)
-    tables = [rng.integers(-30, 30, 1 << (b + 8)).astype(np.int8) for b in SMALL.row_bits]
-    mixer = ContextMixer(tables, SMALL)
-    for prefix in (b"", b"ab c", b"abc" * 30):
-        total = sum(2.0 ** -(float(b) - float(a)) for a, b in zip([prefix_bits(mixer, prefix)] * 255, [prefix_bits(mixer, prefix + bytes([x])) for x in range(1, 256)]))
-        end = 2.0 ** -(float(mixer.bits([prefix])[0]) - prefix_bits(mixer, prefix))
-        assert total + end == pytest.approx(1.0, abs=2e-3)
+def made_up_inputs(text):
+    """Logits that depend on nothing but the context and the bits of the byte so far."""
+    buf = lm._joined([text])
+    nodes = ((np.int64(256) | buf)[:, None] >> np.arange(8, 0, -1)).astype(np.uint64)
+    inputs = []
+    for k in range(lm.PREDICTORS):
+        h = mix64((lm.Contexts(buf).keys(k) >> np.uint64(8))[:, None] * np.uint64(512) + nodes + np.uint64(k << 50))
+        inputs.append(((h % np.uint64(61)).astype(np.int64) - 30, np.arange(len(buf))))
+    return [(x.astype(np.int8), at) for x, at in inputs]
 
 
-def prefix_bits(mixer, prefix):
-    """Bits of a prefix without its end byte."""
-    captured = {}
-    original = ContextMixer._advance
+def prefix_bits(text):
+    """Bits of a text without its end symbol."""
+    mixer, buf = ContextMixer(SMALL), lm._joined([text])
+    return float(mixer._advance(buf, made_up_inputs(text), np.array([0]), np.array([len(text)]))[0]) if text else 0.0
 
-    def spy(self, buf, slots, start, size):
-        return original(self, buf, slots, start, np.where(start + size == len(buf), size - 1, size))
 
-    ContextMixer._advance = spy
-    try:
-        captured["bits"] = float(mixer.bits([prefix])[0])
-    finally:
-        ContextMixer._advance = original
-    return captured["bits"]
+def test_bytes_have_a_distribution():
+    """At every place the probabilities of all next bytes and of the end sum to one; byte 0 is one of them."""
+    for prefix in (b"", b"ab c", b"abc" * 30, "\u00e9t\u00e9 ".encode()):
+        before = prefix_bits(prefix)
+        total = sum(2.0 ** -(prefix_bits(prefix + bytes([x])) - before) for x in range(255))
+        end = 2.0 ** -(float(ContextMixer(SMALL).mixed([prefix], made_up_inputs(prefix))[0]) - before)
+        assert total + end == pytest.approx(1.0, abs=2e-3)
+    assert prefix_bits(b"a\0b") != prefix_bits(b"a\1b")
+
+
+def test_contexts_are_those_before_each_byte():
+    """Keys agree exactly where the bytes that a predictor looks at (and the byte itself) agree; none reaches into another text."""
+    texts = [b"", b"ab ab", b"x", b"abcab abcab\nabcab", b"ab", "d\u00e9j\u00e0 d\u00e9j\u00e0".encode(), b"   a  b"]
+    buf = lm._joined(texts)
+    seen = [{} for _ in range(lm.PREDICTORS)]
+    keys = [lm.Contexts(buf).keys(k).tolist() for k in range(lm.PREDICTORS)]
+    i = 0
+    for t in texts:
+        for j, byte in enumerate(t + b"\xff"):
+            before = b"\xff" * 4 + t[:j]
+            cut = max([-1, *(x for x in range(j) if t[x] in b" \n\t")]) + 1
+            old = (b"\xff" * 4 + t[:cut])[-3:-1]
+            for k, want in enumerate((before[-4:], (before[-2:], old), t[cut:j], before[-3:])):
+                assert seen[k].setdefault((want, byte), keys[k][i]) == keys[k][i]
+            i += 1
+    assert all(len(set(x.values())) == len(x) for x in seen)
 
 
 def test_learning_helps(spark):
@@ -98,50 +118,63 @@ def test_contexts_are_counted_apart_however_many():
 
 def test_scores_equal_brute_force_counts(spark):
     """Scores through Spark equal those from a dictionary of all contexts of all blocks."""
-    from cuelake.llm import mixing_lm as lm
-
     rng = random.Random(9)
     rows = [(i, "".join(rng.choice("abcde \n") for _ in range(rng.randint(0, 400))), i % 5 == 0) for i in range(60)]
-    p = MixingLmParams(block_bytes=2000, range_bytes=2000, context_range_bytes=1500, lane_bytes=64, lanes=16)
+    p = MixingLmParams(block_bytes=2000, sorted_bytes=5000, range_bytes=2000, context_range_bytes=1500, lanes=16)
     got = {r.doc_id: r.bits for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3), p).collect()}
     counts = [Counter() for _ in range(lm.PREDICTORS)]
     joined = {d: lm._joined([t.encode()]) for d, t, _ in rows}
+    keys = {d: [lm.Contexts(b).keys(k).tolist() for k in range(lm.PREDICTORS)] for d, b in joined.items()}
     for d, _, held in rows:
         for k in range(lm.PREDICTORS):
             if not held:
-                counts[k].update((c >> 8, b) for c, b in zip(lm.contexts(joined[d], k).tolist(), joined[d].tolist()))
+                counts[k].update((c >> 8, b) for c, b in zip(keys[d][k], joined[d].tolist()))
     for d, t, _ in rows:
         inputs = []
         for k in range(lm.PREDICTORS):
             paths = np.zeros((len(joined[d]), 8), np.int8)
-            for i, (c, b) in enumerate(zip(lm.contexts(joined[d], k).tolist(), joined[d].tolist())):
+            for i, (c, b) in enumerate(zip(keys[d][k], joined[d].tolist())):
                 for j in range(8):
                     n = [sum(counts[k][c >> 8, x] for x in range((b >> 8 - j) << 8 - j, ((b >> 8 - j) + 1) << 8 - j) if x >> 7 - j & 1 == y) for y in (0, 1)]
                     paths[i, j] = np.clip(np.rint(8 * math.log((n[1] + p.prior) / (n[0] + p.prior))), -127, 127)
             inputs.append((paths, np.arange(len(paths))))
-        assert got[d] == pytest.approx(ContextMixer([], p).mixed([t.encode()], inputs)[0], rel=1e-5)
-
+        assert got[d] == pytest.approx(ContextMixer(p).mixed([t.encode()], inputs)[0], rel=1e-5)
 
-def test_state_is_carried_through_a_document():
-    """A text of many lanes costs what one learner pays that never starts afresh, with four predictors and 25 cells a bit."""
-    from cuelake.llm.mixing_lm import PREDICTORS
 
-    assert PREDICTORS == 4
+def test_mixer_equals_a_plain_learner():
+    """A text costs what one learner pays that goes from bit to bit: four predictors, gated weights, 25 cells a bit; other texts beside it change nothing."""
     rng = np.random.default_rng(4)
-    p, text = MixingLmParams(), bytes(rng.integers(97, 103, 1500, dtype=np.uint8))
-    buf = np.frombuffer(text + b"\0", np.uint8)
-    paths = [rng.integers(-30, 30, (len(buf), 8)).astype(np.int8) for _ in range(4)]
-    w, chart = np.full((8, 4), p.first_weight), np.tile(1 / (1 + np.exp(-np.arange(-12, 13.0))), (8, 1))
+    p, text = MixingLmParams(lanes=2), bytes(rng.integers(97, 103, 1500, dtype=np.uint8))
+    buf = np.frombuffer(text + b"\xff", np.uint8)
+    paths = [rng.integers(-30, 30, (len(buf), 8)).astype(np.int8) for _ in range(lm.PREDICTORS)]
+    w, gated = np.full((8, 4), p.first_weight), np.zeros((8, 4))
+    chart = np.tile(1 / (1 + np.exp(-np.arange(-12, 13.0))), (8, 1))
     bits = 0.0
     for t, byte in enumerate(buf.tolist()):
+        known = abs(int(paths[2][t, 0])) >= 20
         for j in range(8):
             y, x = byte >> 7 - j & 1, np.array([q[t, j] / 8 for q in paths])
-            dot = float(np.clip(w[j] @ x, -11.9, 11.9))
+            dot = float(np.clip((w[j] + known * gated[j]) @ x, -11.9, 11.9))
             mixed, cell = 1 / (1 + math.exp(-dot)), round(dot) + 12
             final = 0.75 * mixed + 0.25 * chart[j, cell]
             bits -= math.log2(final if y else 1 - final)
             chart[j, cell] += p.map_rate * (y - chart[j, cell])
-            w[j] += p.rate * (y - mixed) * x
+            step = p.rate * (y - mixed) * x
+            w[j] += step
+            gated[j] += known * step
     short = b"abc"  # another text beside it, before and after
     around = [(np.concatenate([np.zeros((4, 8), np.int8), q, np.zeros((4, 8), np.int8)]), np.arange(len(buf) + 8)) for q in paths]
-    assert ContextMixer([], p).mixed([short, text, short], around)[1] == pytest.approx(bits, rel=1e-3)
+    assert ContextMixer(p).mixed([short, text, short], around)[1] == pytest.approx(bits, rel=1e-3)
+
+
+def test_places_and_pairs_agree():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab \u00e9") for _ in range(rng.randint(0, 90))).encode() for _ in range(50)] + [b"a" * 3000]
+    pairs = lm.block_pairs(texts, [i % 3 > 0 for i in range(len(texts))])
+    for k, (v, n) in enumerate(pairs):
+        size, place = lm.block_places(texts, k)
+        keys = np.concatenate([lm.Contexts(lm._joined([t])).keys(k) for t in texts])
+        learn = np.repeat([i % 3 > 0 for i in range(len(texts))], [len(t) + 1 for t in texts])
+        assert size == len(v) and (v[place] == keys).all()
+        count = Counter(keys[learn].tolist())
+        assert n.tolist() == [count[x] for x in v.tolist()]
