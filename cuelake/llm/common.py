@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores put before it until it differs from all columns taken, whatever their case."""
+    low, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in low:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir).
 
@@ -51,6 +61,13 @@ def batch_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def session_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """For applications, not operators: whole texts reach Python in Arrow batches of at most ``rows`` rows in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 _WRITTEN: set[str] = set()
 
 

@@ -2,7 +2,7 @@
 
 Document frequencies come from every learning document. The weights are fitted with the
 follow-the-regularised-leader rule (L1 and L2 penalties) on a balanced sample of at most about
-``train_docs`` whole learning documents, and a temperature is then fitted on a tenth of that sample
+``train_docs`` (2 * ``train_docs`` in any case) whole learning documents of distinct texts, and a temperature is then fitted on a tenth of that sample
 which the weights have not seen. tf is an n-gram's share of the document's n-grams, so one pass of
 table look-ups scores a text of any length.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_rows, materialise, odd_constants, passes
@@ -30,7 +30,7 @@ class LanguageParams:
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 1e-4
+    l1: float = 2e-2
     l2: float = 1e-4
     scale: float = 30.0
     pass_chars: int = 1_000_000
@@ -168,21 +168,23 @@ def _fit(docs: DataFrame, p: LanguageParams) -> LanguageModel | None:
         share = F.when(F.col("lang") == c, min(1.0, p.train_docs / len(classes) / counts[c])).otherwise(share)
     turn = F.pmod(F.xxhash64("text", F.lit(p.seed)), F.lit(1_000_000_000))
     sample = docs.withColumn("turn", turn).where(F.col("turn") < share * 1_000_000_000)
+    sample = sample.groupBy("lang", "turn").agg(F.first("text").alias("text"))  # copies of a text are drawn together, and count once
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("turn"))
+    sample = sample.withColumn("place", place).where(F.col("place") <= 2 * p.train_docs // len(classes) + 1).drop("place")
     vectors = materialise(sample.mapInArrow(_vectors(p), "lang string, turn long, slots array<int>, tf array<double>"))
     w, t = vectors.coalesce(1).mapInArrow(_fitter(classes, idf, p), "w binary, t double").first()
     w = np.frombuffer(w, np.float64).reshape(-1, len(classes))
     return LanguageModel(p, classes, (w[:-1] * idf[:, None] * p.scale).astype(np.float32), w[-1].copy(), t)
 
 
-def _predictor(model: LanguageModel, columns: list[str]):
+def _predictor(model: LanguageModel, columns: list[str], added: tuple[str, str]):
     p, classes = model.params, np.array(model.classes, object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             names, scores = [], []
-            for lo, hi in passes([len(t or "") for t in texts], p.pass_chars):
-                part = texts[lo:hi]
+            for lo, hi in passes(batch.column(_CHARS).to_numpy(), p.pass_chars):
+                part = batch.column(_TEXT)[lo:hi].to_pylist()
                 logits, grams = np.zeros((hi - lo, len(classes))), np.zeros(hi - lo)
                 for _, slots, s, e in ngram_slots(part, p):
                     for c in range(len(classes)):
@@ -196,22 +198,28 @@ def _predictor(model: LanguageModel, columns: list[str]):
                     letters = t is not None and any(map(str.isalpha, t))
                     names.append(classes[b] if letters else UNDETERMINED)
                     scores.append(float(q) if letters else 0.0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(columns))], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*columns, *added])
 
     return run
 
 
-def predict_language(docs: DataFrame, model: LanguageModel | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score, its calibrated probability.
+_TEXT, _CHARS = "_text_to_judge", "_chars_to_judge"
+
+
+def predict_language(docs: DataFrame, model: LanguageModel | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of ``docs`` with its language and the calibrated probability of that, under ``names``.
 
-    Only ``text`` is looked at. Null texts, and those without any letter, are ``und`` with score 0; so is
-    all if no model could be fitted. Repeated rows each come back; an empty table gives an empty result.
+    Only ``text`` is looked at, to its end however long. Null texts, and those without any letter, are ``und`` with score 0; so is
+    all if no model could be fitted. Of languages of equal probability the first by name is told. Kept columns named like
+    those added are replaced. Repeated rows each come back; an empty table gives an empty result.
     """
+    keep = [c for c in keep if c.lower() not in {n.lower() for n in names}]
     if model is None:
-        return docs.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(UNDETERMINED).alias(names[0]), F.lit(0.0).alias(names[1]))
+    text = F.col("text").cast("string")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias(_TEXT), F.coalesce(F.length(text), F.lit(0)).alias(_CHARS))
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    cols = [*[c for c in keep if c != "text"], "text"]
-    return docs.select(*cols).mapInArrow(_predictor(model, keep), ", ".join([*fields, "lang_pred string", "score double"]))
+    return rows.mapInArrow(_predictor(model, keep, names), ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def fold(doc_id: Column, n: int) -> Column:

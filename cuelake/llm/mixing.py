@@ -9,6 +9,7 @@ cells small enough to broadcast, and is split by skew otherwise.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,16 +40,17 @@ def cells_of(docs: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], p: MixingParams = MixingParams()) -> DataFrame:
-    """``cells(dims, tokens)`` with ``weight``: tokens raked to the target shares of every dimension.
+    """``cells(dims, tokens)`` with ``weight`` (tokens raked to the target shares of every dimension) and ``gap``.
 
     Targets are renormalised over the values that occur; a value without a target gets none. The last
-    dimension is met exactly, the others within ``tolerance`` once the rounds have settled. Cells of no
-    tokens keep weight 0.
+    dimension is met exactly, the others within ``tolerance`` if the rounds settle. ``gap``, the same in every row,
+    is the largest part of all tokens by which a marginal misses its target; where it is above the tolerance, the targets
+    contradict each other or want more rounds. Cells of no tokens keep weight 0.
     """
     state = cells.where("tokens > 0")
     total = state.agg(F.sum("tokens")).first()[0]
     if not total:
-        return cells.withColumn("weight", F.lit(0.0))
+        return cells.withColumns({"weight": F.lit(0.0), "gap": F.lit(0.0)})
     for d, t in targets.items():
         present = state.select(d).distinct().join(t, d)
         whole = present.agg(F.sum("target")).first()[0] or 1.0
@@ -61,14 +63,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], p: MixingParams = Mixi
             state = state.join(sums, d).withColumn("weight", F.when(F.col("sum") > 0, F.col("weight") * F.col(f"t_{d}") / F.col("sum")).otherwise(0.0)).drop("sum")
         state = materialise(state)
         drop_table(before)
-        if r % p.check_every == 0:
+        if r % p.check_every == 0 or r == p.rounds:
             worst = [state.groupBy(d).agg((F.abs(F.sum("weight") - F.first(f"t_{d}")) / total).alias("gap")).agg(F.max("gap").alias("gap")) for d in list(targets)[:-1]]
-            gaps = worst[0] if worst else None
-            for w in worst[1:]:
-                gaps = gaps.union(w)
-            if gaps is None or (gaps.agg(F.max("gap")).first()[0] or 0.0) <= p.tolerance:
+            gap = reduce(DataFrame.union, worst).agg(F.max("gap")).first()[0] or 0.0 if worst else 0.0
+            if gap <= p.tolerance:
                 break
-    return state.select(*targets, "tokens", "weight")
+    return state.select(*targets, "tokens", "weight", F.lit(float(gap)).alias("gap"))
 
 
 def calibrate(raked: DataFrame, p: MixingParams = MixingParams()) -> DataFrame:
@@ -93,26 +93,31 @@ def draw(doc_id: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, dims: dict[str, float], p: MixingParams = MixingParams()) -> DataFrame:
-    """Every row of ``docs(doc_id, tokens, dims...)`` with weight (its cell's raked tokens per token), probability and kept.
+    """Every row of ``docs(doc_id, tokens, dims...)`` with weight (its cell's raked tokens per token), probability, kept and gap.
 
-    ``dims`` gives the power that tempers each dimension's shares. A null value counts as a value; rows
-    without tokens get probability 0; rows that repeat a doc_id are drawn alike. An empty table gives
-    an empty result.
+    ``dims`` gives the power that tempers each dimension's shares; ``gap`` is told in ``rake``. A null value counts as a value; rows
+    without tokens (or with null ones) get probability 0. The doc_id alone decides a row's draw: rows that repeat a doc_id are drawn alike, and so
+    are all rows with a null one. Columns of ``docs`` named like those added are replaced; all others pass through.
+    An empty table gives an empty result. ``docs`` is read twice: hand over a narrow or written table.
     """
     names = list(dims)
     cells = materialise(cells_of(docs, names))
     raked = rake(cells, {d: tempered(cells, d, power) for d, power in dims.items()}, p)
-    odds = materialise(calibrate(raked, p)).select(*[F.col(d).alias(f"cell_{d}") for d in names], (F.col("weight") / F.col("tokens")).alias("weight"), "probability")
-    on = [F.coalesce(F.col(d).cast("string"), F.lit(_NULL)) == F.col(f"cell_{d}") for d in names]
-    out = docs.join(odds, on, "left").drop(*[f"cell_{d}" for d in names])
-    some = F.coalesce(F.col("tokens"), F.lit(0)) > 0
-    out = out.withColumns({"weight": F.when(some, F.col("weight")).otherwise(0.0), "probability": F.when(some, F.col("probability")).otherwise(0.0)})
-    return out.withColumn("kept", draw(F.col("doc_id"), p.seed) < F.col("probability"))
+    odds = materialise(calibrate(raked, p))
+    drop_table(cells)
+    odds = odds.select(*[F.col(d).alias(f"_cell_{d}") for d in names], F.struct(F.try_divide("weight", "tokens").alias("weight"), "probability", "gap").alias("_odds"))
+    on = [F.coalesce(F.col(d).cast("string"), F.lit(_NULL)) == F.col(f"_cell_{d}") for d in names]
+    added = ("weight", "probability", "kept", "gap")
+    out = docs.join(odds, on, "left").drop(*[f"_cell_{d}" for d in names])
+    odd = lambda i: F.when(F.coalesce(F.col("tokens"), F.lit(0)) > 0, F.col("_odds").getField(i)).otherwise(0.0)
+    out = out.withColumn("_odds", F.struct(odd("weight").alias("weight"), odd("probability").alias("probability"), F.col("_odds.gap").alias("gap")))
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    return out.select(*own, "_odds.weight", "_odds.probability", (draw(F.col("doc_id"), p.seed) < F.col("_odds.probability")).alias("kept"), "_odds.gap")
 
 
 def word_count(text: Column) -> Column:
     """Words (runs without ASCII white space) of a text; null has none."""
-    return F.coalesce(F.size(F.filter(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\n\\x0B\\f\\r]++")), F.lit(0)).cast("long")
 
 
 def form_topic(text: Column) -> Column:

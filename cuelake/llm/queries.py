@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
-from .common import table
+from .common import materialise, session_batches, table
 from .language import fit_language_model, fold, predict_language
 from .mixing import form_topic, mix, word_count
 from .mixing_lm import score_texts
@@ -23,10 +23,11 @@ from .vector_search import nearest
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", form_topic(F.col("text")).alias("topic"), word_count(F.col("text")).alias("tokens"))
-    return mix(docs, {"source": 0.7, "lang": 0.5, "topic": 0.8})
+    return mix(materialise(docs), {"source": 0.7, "lang": 0.5, "topic": 0.8})  # each text is read once
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("path"))
     return scan_secrets(docs, fit_secret_model(docs.select("text", "path")))
 
@@ -43,6 +44,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
     model = fit_language_model(docs.where("not held_out").select("text", "lang"))
     return predict_language(docs.drop("lang"), model, ["doc_id", "held_out"])
@@ -75,6 +77,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session_batches(spark)
     pieces = pack(table(spark, sf_dir, "documents"), PackingParams(tokenizer_path("word_bpe_49k.json")))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

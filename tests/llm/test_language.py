@@ -51,3 +51,17 @@ def test_nothing_to_learn(spark):
     assert fit_language_model(df) is None
     assert [tuple(r) for r in predict_language(df, None, ["doc_id"]).collect()] == [(1, "und", 0.0)]
     assert predict_language(df.limit(0), None, ["doc_id"]).count() == 0
+
+
+def test_clashing_columns_copies_and_ties(spark):
+    rows = corpus(120)
+    hot = [(500 + i, rows[0][1], rows[0][2]) for i in range(400)]  # one text holds most rows
+    df = spark.createDataFrame(rows + hot, "doc_id long, text string, lang string").selectExpr("*", "'mine' as score", "7 as lang_pred")
+    model = fit_language_model(df, LanguageParams(train_docs=100))
+    got = predict_language(df, model, df.columns, ("_lang", "_score"))
+    assert got.columns == [*df.columns, "_lang", "_score"]
+    rows = got.collect()
+    assert all(r.score == "mine" and r.lang_pred == 7 for r in rows) and sum(r.lang == r._lang for r in rows) >= 0.95 * len(rows)
+    assert len({(r._lang, r._score) for r in rows if r.doc_id >= 500}) == 1
+    assert predict_language(df, model, df.columns).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert (model.table == 0).mean() > 0.5  # the elastic net leaves most n-grams without weight

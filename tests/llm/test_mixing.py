@@ -42,7 +42,7 @@ def test_calibrated_tokens(spark):
 def test_mix_rows_and_edges(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["s0", "s0", "s1", None]), rng.choice(["en", "fr"]), rng.randint(0, 50)) for i in range(600)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, tokens long").selectExpr("*", "1 as target", "2 as sum", "3 as cell")
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, tokens long").selectExpr("*", "1 as target", "2 as sum", "3 as cell", "4 as weight", "5 as probability", "6 as kept", "7 as gap", "8 as cell_source", "9 as t_source")
     out = mix(df, {"source": 0.0, "lang": 0.5}, MixingParams(keep_share=0.4)).collect()
     assert len(out) == 600 and all((r.probability == 0 and not r.kept) for r in out if not r.tokens)
     sums = {}
@@ -51,8 +51,23 @@ def test_mix_rows_and_edges(spark):
     assert np.allclose(list(sums.values()), sum(sums.values()) / 3, rtol=1e-3)
     kept = sum(r.tokens for r in out if r.kept)
     assert abs(kept / sum(r.tokens for r in out) - 0.4) < 0.08
+    assert all(r.target == 1 and r.cell_source == 8 and r.t_source == 9 and r.gap <= 1e-6 for r in out)
     assert mix(df.limit(0), {"source": 1.0, "lang": 1.0}).count() == 0
-    assert mix(df.where("tokens = 0"), {"source": 1.0, "lang": 1.0}).where("kept").count() == 0
+    assert all(r.probability == 0 and not r.kept for r in mix(df.where("tokens = 0"), {"source": 1.0, "lang": 1.0}).collect())
+
+
+def test_repeats_and_nulls(spark):
+    rows = [(1, "a", 5), (1, "a", 5), (None, "a", 5), (None, "b", 7), (2, None, None)]
+    out = mix(spark.createDataFrame(rows, "doc_id long, source string, tokens long"), {"source": 1.0}).collect()
+    assert len(out) == 5 and len({r.kept for r in out if r.doc_id == 1}) == 1
+    assert [(r.probability, r.kept) for r in out if r.doc_id == 2] == [(0.0, False)]
+
+
+def test_targets_that_contradict_each_other_are_told(spark):
+    """Without any cell that mixes the two, x and y can't have 0.9 of the tokens by one marginal and 0.1 by the other."""
+    df = spark.createDataFrame([("x", "p", 10), ("y", "q", 10)], "a string, b string, tokens long")
+    targets = {"a": spark.createDataFrame([("x", 0.9), ("y", 0.1)], "a string, target double"), "b": spark.createDataFrame([("p", 0.1), ("q", 0.9)], "b string, target double")}
+    assert all(r.gap == pytest.approx(0.8) for r in rake(df, targets, MixingParams(rounds=8)).collect())
 
 
 def test_word_count(spark):

@@ -56,3 +56,23 @@ def test_stages(spark, tmp_path):
     assert all(("[SECRET]" in r.text) == (i < 200 and i % 10 == 0 or i == 200) and r.n_chars == len(r.text) for i, r in secrets.items())
     assert set(mixed) < set(secrets) and sum(len(r.text.split()) for r in mixed.values()) > 0.6 * sum(len(r.text.split()) for r in secrets.values())
     assert set(packed) == set(mixed)
+
+
+def test_clashing_columns_repeats_and_empty_table(spark, tmp_path):
+    """Columns named like the stages' own pass through all stages but the last; repeated rows and an empty table don't break any."""
+    docs = corpus()
+    rows = [*docs.values(), docs[3], docs[3], (None, docs[4][1], "aa", "src0", 5), docs[5][:3] + (None, 1)]
+    names = ["weight", "score", "lang_pred", "topic", "tokens", "kept", "probability", "gap", "component_id", "path", "n", "label", "features"]
+    for suffix, limit in (("full", None), ("empty", 0)):
+        df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"'{n}' as {n}" for n in names])
+        df = df if limit is None else df.limit(0)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = df.columns
+            stage(spark, df, str(tmp_path)).write.parquet(str(tmp_path / f"{suffix}-{name.replace(' ', '-')}"))
+            df = spark.read.parquet(str(tmp_path / f"{suffix}-{name.replace(' ', '-')}"))
+            assert df.columns == before
+            got = df.collect()
+            assert all(r[n] == n for r in got for n in names)
+            if limit is None and name != "mixing sources to target weights":
+                assert sum(r.doc_id == 3 for r in got) == 3 and sum(r.doc_id is None for r in got) == 1
+        assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() >= len({r.doc_id for r in got})
