@@ -1,11 +1,11 @@
 """Lexical retrieval packing: token windows filled with BM25 neighbours of a seed document.
 
-Every document is tokenised once into a table. Whole windows of a document stand alone; its tail (what
-is left) joins the retrieval. BM25 statistics are counted over all documents by token id, so the table
+Every document is tokenised once into a table. Whole windows of a document stand alone, since they have no
+room; its tail (what is left) joins the retrieval. BM25 statistics are counted over all documents by token id, so the table
 of document frequencies is bounded by the vocabulary. Tails are range partitioned by their rarest token
-that other documents share, which puts likely neighbours into one shard of bounded size; each shard
-holds an inverted index of its tails. The longest unused tail seeds a window, its unused neighbours
-follow by descending score until the window is full; the last one is cut and its rest stays in the
+that other documents share, which puts likely neighbours into one shard of bounded tokens; each shard
+holds an inverted index of its tails. The longest unused tail seeds a window; all its tokens are the query, and its unused neighbours
+follow by descending score until the window is full. The last one is cut and its rest stays in the
 index. Only a shard's last window can be short.
 """
 
@@ -16,12 +16,13 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, materialise, passes
+from .common import ByteHasher, batch_rows, materialise, mix64, passes, squeeze, unsqueeze
 
 
 @dataclass(frozen=True)
@@ -30,69 +31,112 @@ class PackingParams:
     end_id: int = 1
     window: int = 2048
     shard_tokens: int = 2_000_000
-    query_terms: int = 24  # a seed's rarest tokens that make its query
     k1: float = 1.2
     b: float = 0.75
-    min_df: int = 4  # least document frequency of a token that places a tail
-    cached_words: int = 700_000
+    min_df: int = 2  # least document frequency of a token that places a tail
+    cached_words: int = 2_000_000
+
+
+_DOTS = np.zeros(256, bool)
+_DOTS[[ord("."), ord(",")]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 class WordTokens:
-    """Token ids of words, encoded once each.
+    """Token ids of texts, from those of their words, which are encoded once each.
 
     The tokenizer lower-cases and never joins text across ASCII white space, nor a letter or digit with
-    full stops and commas after it; so a word's ids are those of its lower-cased stem and of that tail.
-    Many stems are encoded as one text and told apart by their offsets.
+    full stops and commas after it; so a word's ids are those of its lower-cased stem and of that tail. Stems and tails are
+    the units of the cache, told apart by 64-bit hashes; new ones are encoded many together and separated by their offsets.
     """
 
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.hasher = Tokenizer.from_file(path), limit, ByteHasher()
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.stems: dict[bytes, tuple[int, ...]] = {}
-        self.pool, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes]:
-        low = word if b"<|" in word else word.lower()  # a special token's name keeps its case
-        stem = low.rstrip(b".,")
-        return (stem, low[len(stem) :]) if stem and stem[-1:].isalnum() else (low, b"")
-
-    def _learn(self, stems: list[bytes], together: int = 500) -> None:
-        groups = [[w.decode("utf-8", "replace") for w in stems[a : a + together]] for a in range(0, len(stems), together)]
-        for g, e, a in zip(groups, self.tokenizer.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False), range(0, len(stems), together), strict=True):
-            ids = e.ids
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pool, self.start = np.zeros(0, _dtype(self.vocab)), np.zeros(1, np.int64)
+
+    def _units(self, raw: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte, end, hash) of every unit of the lower-cased buffer, in order."""
+        space = np.concatenate(([True], _SPACE[low], [True]))
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        a, b = edges[0::2], edges[1::2]
+        solid = np.where(_DOTS[low], -1, np.arange(len(low)))
+        np.maximum.accumulate(solid, out=solid)
+        last = solid[b - 1]  # of the word's stem
+        split = (last >= a) & (last < b - 1) & _LETTER[low[last]]
+        count = 1 + split
+        at = np.cumsum(count) - count
+        first, end = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
+        first[at], end[at] = a, np.where(split, last + 1, b)
+        first[at[split] + 1], end[at[split] + 1] = last[split] + 1, b[split]
+        h = self.hasher.ranges(self.hasher.prefix(low), first, end)
+        # Names of special tokens keep their case, and need the word whole.
+        special = np.flatnonzero((low[:-1] == ord("<")) & (low[1:] == ord("|")))
+        if len(special):
+            word = np.unique(np.searchsorted(a, special, "right") - 1)
+            keep = np.ones(len(first), bool)
+            keep[at[word[split[word]]] + 1] = False
+            end[at[word]] = b[word]
+            h[at[word]] = mix64(self.hasher.ranges(self.hasher.prefix(raw), a[word], b[word]) + np.uint64(1))
+            first, end, h = first[keep], end[keep], h[keep]
+        return first, end, h
+
+    def _learn(self, units: list[str], together: int = 500) -> list[list[int]]:
+        out: list[list[int]] = []
+        groups = [units[a : a + together] for a in range(0, len(units), together)]
+        for g, e in zip(groups, self.tokenizer.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
             begins = np.cumsum([0, *(len(w) + 1 for w in g)])
             cut = np.searchsorted([o[0] for o in e.offsets], begins).tolist()
-            self.stems.update((stems[a + i], tuple(ids[cut[i] : cut[i + 1]])) for i in range(len(g)))
+            ids = e.ids
+            out += [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return out
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of each)."""
-        split = [t.split() for t in texts]
-        words = [w for ws in split for w in ws]
-        fresh = set(words).difference(self.at)
-        if self.at and len(self.at) + len(fresh) > self.limit:
+        joined = b"\n".join([*texts, b""])
+        raw = np.frombuffer(joined, np.uint8)
+        low = _LOWER[raw]
+        first, end, h = self._units(raw, low)
+        code, every = pd.factorize(h)
+        order = np.argsort(every)
+        ranked = every[order]
+        at = np.searchsorted(self.known, ranked)
+        fresh = np.flatnonzero(np.append(self.known, np.uint64(0))[at] != ranked if len(self.known) else np.ones(len(ranked), bool))
+        fresh = np.union1d(fresh, np.flatnonzero(at == len(self.known)))
+        if len(self.known) and len(self.known) + len(fresh) > self.limit:
             self._clear()
-            fresh = set(words)
-        if fresh:
-            fresh = list(fresh)
-            parts = [self._parts(w) for w in fresh]
-            self._learn(list({x for p in parts for x in p if x}.difference(self.stems)))
-            got = [self.stems.get(a, ()) + self.stems.get(b, ()) for a, b in parts]
+            at, fresh = np.zeros(len(ranked), np.int64), np.arange(len(ranked))
+        if len(fresh):
+            lead = np.empty(len(every), np.int64)
+            lead[code[::-1]] = np.arange(len(code))[::-1]  # a unit of each hash
+            small = low.tobytes()
+            spans = [(i, int(first[i]), int(end[i])) for i in lead[order[fresh]].tolist()]
+            got = self._learn([(joined if b"<|" in small[a:b] else small)[a:b].decode("utf-8", "replace") for _, a, b in spans])
             lens = np.fromiter(map(len, got), np.int64, len(got))
-            self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh)), strict=True))
+            slots = len(self.start) - 1 + np.arange(len(fresh))
             self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(lens)))
-            self.pool = np.concatenate((self.pool, np.fromiter((i for g in got for i in g), np.int32, int(lens.sum()))))
-        idx = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            self.pool = np.concatenate((self.pool, np.fromiter((i for g in got for i in g), self.pool.dtype, int(lens.sum()))))
+            self.known, self.slot = np.insert(self.known, at[fresh], ranked[fresh]), np.insert(self.slot, at[fresh], slots)
+            at = np.searchsorted(self.known, ranked)
+        slot = np.empty(len(every), np.int64)
+        slot[order] = self.slot[at]
+        idx = slot[code]
         lens = self.start[idx + 1] - self.start[idx]
         ends = np.concatenate(([0], np.cumsum(lens)))
         ids = self.pool[np.repeat(self.start[idx] - ends[:-1], lens) + np.arange(ends[-1])]
-        return ids, ends[np.concatenate(([0], np.cumsum([len(ws) for ws in split])))]
+        offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        return ids, ends[np.searchsorted(first, offsets)]
 
 
 @lru_cache(maxsize=1)
@@ -107,80 +151,104 @@ def _dtype(vocab: int) -> str:
     return "<u2" if vocab <= 65536 else "<u4"
 
 
+_COUNTS = 0  # width of the rows that hold document frequencies
+
+
 def _tokeniser(p: PackingParams):
+    """Token rows; last of a task, one row with the document frequencies of its tokens (width 0)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_tokens(p.tokenizer, p.cached_words)
-        kind = _dtype(max(words.vocab, p.end_id + 1))
+        vocab = max(words.vocab, p.end_id + 1)
+        kind = _dtype(vocab)
+        width, df, names = int(kind[2]), np.zeros(vocab, np.int64), ["doc_id", "doc_tokens", "ids", "width"]
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for lo, hi in passes([len(t) for t in texts]):
-                ids, bound = words.encode(texts[lo:hi])
+            for lo, hi in passes(batch.column("n").to_numpy()):
+                ids, bound = words.encode([t or b"" for t in batch.column("text")[lo:hi].cast(pa.binary()).to_pylist()])
+                pair = np.sort(np.repeat(np.arange(hi - lo), np.diff(bound)) * vocab + ids)
+                df += np.bincount(pair[np.concatenate((np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1]))] % vocab, minlength=vocab)
+                df[p.end_id] += hi - lo
                 out = [np.append(ids[a:b], p.end_id).astype(kind).tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array([len(x) // int(kind[2]) for x in out], pa.int64()), pa.array(out, pa.binary()), pa.array([int(kind[2])] * (hi - lo), pa.int32())], ["doc_id", "doc_tokens", "ids", "width"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array([len(x) // width for x in out], pa.int64()), pa.array(out, pa.binary()), pa.array([width] * (hi - lo), pa.int32())], names)
+        if df.any():
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([squeeze(df)], pa.binary()), pa.array([_COUNTS], pa.int32())], names)
 
     return run
 
 
 def tokenise(docs: DataFrame, p: PackingParams) -> DataFrame:
-    """doc_id, doc_tokens, ids (little-endian unsigned, ``width`` bytes each) of every document; null text is empty."""
-    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_tokeniser(p), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, doc_tokens long, ids binary, width int")
+    """doc_id, doc_tokens, ids (little-endian unsigned, ``width`` bytes each) of every document; null text is empty. Rows of width 0 hold document frequencies."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).alias("n"))
+    return rows.mapInArrow(_tokeniser(p), "doc_id long, doc_tokens long, ids binary, width int")
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df = np.zeros(0, np.int64)
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
     for batch in batches:
-        for x, w in zip(batch.column("ids"), batch.column("width").to_pylist(), strict=True):
-            at = np.unique(np.frombuffer(x.as_buffer(), f"<u{w}"))
-            if at[-1] >= len(df):
-                df = np.concatenate((df, np.zeros(int(at[-1]) + 1 - len(df), np.int64)))
-            df[at] += 1
-    at = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at])], ["term", "df"])
+        for x in batch.column("ids").to_pylist():
+            df = unsqueeze(x, np.int64, 8)
+            total = df + total if len(total) else df
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["term", "df"])
 
 
-def _placer(idf: np.ndarray, shared: np.ndarray):
+def _placer(rank: np.ndarray, unshared: int):
+    """Tails with the token of least ``rank`` that they hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = []
-            for x, w in zip(batch.column("tail"), batch.column("width").to_pylist(), strict=True):
-                at = np.unique(np.frombuffer(x.as_buffer(), f"<u{w}"))
-                at = at[shared[at]]
-                key.append(int(at[np.argmax(idf[at])]) if len(at) else -1)
-            yield batch.append_column("place", pa.array(key, pa.int64()))
+            tails = [np.frombuffer(x.as_buffer(), f"<u{w}") for x, w in zip(batch.column("tail"), batch.column("width").to_pylist(), strict=True)]
+            if tails:
+                least = np.minimum.reduceat(rank[np.concatenate(tails)], np.cumsum([0, *map(len, tails[:-1])]))
+                yield batch.append_column("place", pa.array(np.where(least == unshared, -1, least), pa.int64()))
 
     return run
 
 
 class ShardIndex:
-    """Inverted BM25 index of the tails of one shard."""
+    """Inverted BM25 index of the tails of one shard: postings of rare tokens, whole rows of weights of common ones."""
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float, p: PackingParams):
-        self.terms = [np.unique(t, return_counts=True) for t in tails]
-        n = np.fromiter((len(t[0]) for t in self.terms), np.int64, len(tails))
-        term, tf = np.concatenate([t[0] for t in self.terms]).astype(np.int64), np.concatenate([t[1] for t in self.terms])
-        doc = np.repeat(np.arange(len(tails)), n)
-        size = np.fromiter(map(len, tails), np.float64, len(tails))[doc]
-        weight = idf[term] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * size / mean))
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.idf, self.take, self.size = idf, p.query_terms, len(tails)
+        self.count, self.tails = len(tails), tails
+        vocab = len(idf)
+        size = np.fromiter(map(len, tails), np.int64, len(tails))
+        doc = np.repeat(np.arange(len(tails)), size)
+        s = np.sort(np.concatenate(tails).astype(np.int64) * len(tails) + doc)
+        at = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])))
+        tf = np.diff(at, append=len(s))
+        term, self.doc = np.divmod(s[at], len(tails))
+        self.weight = (idf[term] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * size[self.doc] / mean))).astype(np.float32)
+        df = np.bincount(term, minlength=vocab)
+        self.first = np.concatenate(([0], np.cumsum(df)))
+        self.row = np.full(vocab, -1)
+        common = np.flatnonzero(df * 16 > len(tails))
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), len(tails)), np.float32)
+        dense = np.flatnonzero(self.row[term] >= 0)
+        self.rows[self.row[term[dense]], self.doc[dense]] = self.weight[dense]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
-        """Unused tails with a score above 0, best first."""
-        at = self.terms[seed][0].astype(np.int64)
-        if len(at) > self.take:
-            at = at[np.argsort(-self.idf[at], kind="stable")[: self.take]]
-        score = np.zeros(self.size)
-        for t in at:
-            a, b = self.first[t], self.first[t + 1]
-            score[self.doc[a:b]] += self.weight[a:b]
+        """Unused tails with a score above 0, best first (of equal ones the first)."""
+        terms = np.sort(self.tails[seed])
+        terms = terms[np.concatenate(([True], terms[1:] != terms[:-1]))]
+        row = self.row[terms]
+        score = self.rows[row[row >= 0]].sum(axis=0)
+        rare = terms[row < 0]
+        a, n = self.first[rare], self.first[rare + np.ones(1, np.int64)] - self.first[rare]
+        ends = np.cumsum(n)
+        if len(ends) and ends[-1]:
+            at = np.repeat(a - (ends - n), n) + np.arange(ends[-1])
+            score += np.bincount(self.doc[at], self.weight[at], self.count).astype(np.float32)
         score[~unused] = 0
         found = np.flatnonzero(score)
-        head = found[np.argpartition(-score[found], 15)[:16]] if len(found) > 16 else found
-        yield from head[np.argsort(-score[head], kind="stable")]
         if len(found) > 16:
+            head = found[np.argpartition(-score[found], 15)[:16]]
+            head = found[score[found] >= score[head].min()]  # with all ties of the last
+        else:
+            head = found
+        yield from head[np.argsort(-score[head], kind="stable")]
+        if len(found) > len(head):
             rest = np.setdiff1d(found, head)
             yield from rest[np.argsort(-score[rest], kind="stable")]
 
@@ -213,24 +281,36 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean: float, p: Packing
 
 
 def _packer(idf: np.ndarray, mean: float, p: PackingParams):
+    """Shards of about ``shard_tokens`` tokens, cut from the sorted rows of a range."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "tail", "width")), strict=True)]
-        if not rows:
-            return
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
-        tails = [np.frombuffer(r[2], f"<u{r[3]}") for r in rows]
-        shard = TaskContext.get().partitionId() << 32
-        out: list[tuple] = []
-        for w, window in enumerate(pack_shard(tails, idf, mean, p)):
-            offset = 0
-            for i, start, n in window:
-                out.append((rows[i][0], rows[i][1] - len(tails[i]) + start, n, rows[i][1], shard | w, offset, tails[i][start : start + n].astype("<u4").tobytes()))
-                offset += n
-            if len(out) > 2000:
+        number, rows, held = TaskContext.get().partitionId() << 32, [], 0
+
+        def shard() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            tails = [np.frombuffer(r[2], f"<u{r[3]}") for r in rows]
+            out: list[tuple] = []
+            for window in pack_shard(tails, idf, mean, p):
+                offset = 0
+                for i, start, n in window:
+                    out.append((rows[i][0], rows[i][1] - len(tails[i]) + start, n, rows[i][1], number, offset, tails[i][start : start + n].astype("<u4").tobytes()))
+                    offset += n
+                number += 1
+                if len(out) > 2000:
+                    yield _pieces(out)
+                    out = []
+            if out:
                 yield _pieces(out)
-                out = []
-        if out:
-            yield _pieces(out)
+
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "tail", "width")), strict=True):
+                rows.append(r)
+                held += len(r[2]) // r[3]
+                if held >= p.shard_tokens:
+                    yield from shard()
+                    rows, held = [], 0
+        if rows:
+            yield from shard()
 
     return run
 
@@ -270,22 +350,30 @@ def pack(docs: DataFrame, p: PackingParams) -> DataFrame:
 
     ids are little-endian unsigned 32-bit numbers. Each token id, end id included, lies in one piece; in a
     sequence the offsets leave no gap and no sequence is longer than the window. Null and empty texts
-    are their end id alone; rows that repeat a doc_id are packed each; an empty table gives no piece.
+    are their end id alone; a text of any length is tokenised whole. Rows that repeat a doc_id are packed each, with a null one too.
+    Of neighbours of equal score the smaller doc_id comes first. Further columns are ignored, whatever their names; an empty table gives no piece.
     """
     with batch_rows(docs.sparkSession):
-        tokens = materialise(tokenise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), p))
+        tokens = materialise(tokenise(docs, p))
+    documents = tokens.where(F.col("width") > _COUNTS)
     whole = F.col("doc_tokens") - F.col("doc_tokens") % p.window
-    tails = tokens.where(F.col("doc_tokens") % p.window > 0).select("doc_id", "doc_tokens", F.expr(f"substring(ids, int((doc_tokens - doc_tokens % {p.window}) * width) + 1)").alias("tail"), "width")
-    windows = tokens.where(whole > 0).mapInArrow(_windows(p), _PIECES)
-    n, total = tails.agg(F.count("*"), F.coalesce(F.sum(F.col("doc_tokens") % p.window), F.lit(0))).first()
+    tails = documents.where(F.col("doc_tokens") % p.window > 0).select("doc_id", "doc_tokens", F.expr(f"substring(ids, int((doc_tokens - doc_tokens % {p.window}) * width) + 1)").alias("tail"), "width")
+    windows = documents.where(whole > 0).mapInArrow(_windows(p), _PIECES)
+    rest = F.col("doc_tokens") % p.window
+    every, n, total = documents.agg(F.count("*"), F.count_if(rest > 0), F.coalesce(F.sum(rest), F.lit(0))).first()
     if not n:
         return windows
-    counts = tokens.select("ids", "width").mapInArrow(_count_terms, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
-    every = tokens.count()
+    counts = tokens.where(F.col("width") == _COUNTS).mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(int(counts["term"].max()) + 1)
     df[counts["term"].to_numpy()] = counts["df"].to_numpy()
     idf = np.log1p((every - df + 0.5) / (df + 0.5))
-    placed = tails.mapInArrow(_placer(idf, (df >= p.min_df) & (df < every)), "doc_id long, doc_tokens long, tail binary, width int, place long")
+    shared = (df >= p.min_df) & (df < every)
+    rank = np.full(len(df), len(df))
+    order = np.argsort(df, kind="stable")
+    rank[order] = np.arange(len(df))
+    rank[~shared] = len(df)
+    placed = tails.mapInArrow(_placer(rank, len(df)), "doc_id long, doc_tokens long, tail binary, width int, place long")
     shards = max(1, -(-total // p.shard_tokens))
-    packed = placed.repartitionByRange(shards, "place", F.xxhash64("doc_id", "tail")).mapInArrow(_packer(idf, total / n, p), _PIECES)
-    return windows.union(packed)
+    spread = F.xxhash64("doc_id", "tail")  # parts a place that a large share of all tails has
+    ranged = placed.repartitionByRange(shards, "place", spread).sortWithinPartitions("place", "doc_id", "doc_tokens")
+    return windows.union(ranged.mapInArrow(_packer(idf, total / n, p), _PIECES))

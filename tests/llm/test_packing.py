@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from cuelake.llm.packing import PackingParams, WordTokens, pack
+from cuelake.llm.packing import PackingParams, ShardIndex, WordTokens, pack, pack_shard
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -33,7 +33,7 @@ def test_pieces_cover_every_id_once(spark):
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
     rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([0, 3, 40, 300, 900])))) for i in range(120)]
     rows += [(500, None), (501, ""), (501, ""), (None, "null id"), (502, ODD[1])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as place").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as place", "3 as n", "4 as width", "5 as doc_tokens").repartition(3)
     p = PackingParams(PATH, window=256, shard_tokens=4000)
     pieces = pack(df, p).collect()
     by_doc, by_seq = {}, {}
@@ -62,6 +62,58 @@ def test_pieces_cover_every_id_once(spark):
     assert pack(df.limit(0), p).count() == 0
 
 
+def brute_scores(tails, seed, idf, mean, p):
+    """BM25 of every tail for all distinct tokens of the seed."""
+    query = set(tails[seed].tolist())
+    out = []
+    for t in tails:
+        tf = {w: t.tolist().count(w) for w in query}
+        out.append(sum(idf[w] * f * (p.k1 + 1) / (f + p.k1 * (1 - p.b + p.b * len(t) / mean)) for w, f in tf.items()))
+    return out
+
+
+def test_neighbours_equal_brute_force():
+    """Unused neighbours come in the order of brute-force BM25, with common and rare tokens, beyond the first sixteen."""
+    rng = np.random.default_rng(3)
+    tails = [np.minimum(rng.zipf(1.4, rng.integers(1, 60)), 199).astype("<u2") for _ in range(70)]
+    df = np.array([sum(w in t for t in tails) for w in range(200)])
+    idf, p = np.log1p((70 - df + 0.5) / (df + 0.5)), PackingParams(PATH)
+    mean = float(np.mean([len(t) for t in tails]))
+    index = ShardIndex(tails, idf, mean, p)
+    assert (index.row >= 0).any() and (index.row[np.unique(np.concatenate(tails))] < 0).any()
+    for seed in range(0, 70, 7):
+        unused = rng.random(70) < 0.8
+        want = brute_scores(tails, seed, idf, mean, p)
+        got = list(index.neighbours(seed, unused))
+        assert sorted(got) == [i for i in range(70) if unused[i] and want[i] > 0]
+        assert all(want[a] >= want[b] - 1e-3 for a, b in zip(got, got[1:]))
+
+
+def test_windows_equal_brute_force():
+    """Each window is its seed and the best unused neighbours, as a plain loop over all tails finds them."""
+    rng = np.random.default_rng(5)
+    tails = [rng.integers(group * 40, group * 40 + 50, rng.integers(5, 40)).astype("<u2") for group in rng.integers(0, 4, 50)]
+    df = np.array([sum(w in t for t in tails) for w in range(210)])
+    idf, p = np.log1p((50 - df + 0.5) / (df + 0.5)), PackingParams(PATH, window=64)
+    mean = float(np.mean([len(t) for t in tails]))
+    left, begun, want, window, room = [len(t) for t in tails], [0] * 50, [], [], 64
+    for seed in sorted(range(50), key=lambda i: -len(tails[i])):
+        while left[seed]:
+            scores = brute_scores(tails, seed, idf, mean, p)
+            for i in [seed, *sorted((i for i in range(50) if i != seed and scores[i] > 0), key=lambda i: -scores[i])]:
+                n = min(room, left[i])
+                if not n:
+                    continue
+                window.append((i, begun[i], n))
+                begun[i], left[i], room = begun[i] + n, left[i] - n, room - n
+                if not room:
+                    want.append(window)
+                    window, room = [], 64
+                    break
+    got = list(pack_shard(tails, idf, mean, p))
+    assert got == [*want, *([window] if window else [])]
+
+
 def test_neighbours_share_words(spark):
     a, b = "alpha beta gamma delta " * 12, "omega sigma kappa lambda " * 12
     df = spark.createDataFrame([(i, a if i % 2 else b) for i in range(40)], "doc_id long, text string")
