@@ -101,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of those that SQL can express.
 ORACLES: dict[str, str] = {
+    "op6_vector_search": oracles.OP6,
     "op9_suffix_dedup": oracles.OP9,
     "op10_minhash_near_dedup": oracles.OP10,
 }
