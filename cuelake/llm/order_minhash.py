@@ -2,8 +2,9 @@
 
 A text becomes tokens (runs of at most ``token_chars`` non-space characters), its k-mers are ``k``
 successive tokens, and each k-mer carries the number of its occurrence so far. One 64-bit hash of
-(k-mer, occurrence) both deals it to one of ``bins`` bins and orders it there; the ``picks`` least of a
-bin, put back in text order, are hashed together. Texts agree in a bin when the same k-mers were
+(k-mer, occurrence) orders them on a ring that ``bins`` (a power of two) bins divide; the ``picks`` first from where a bin begins, put back in
+text order, are hashed together. So a bin that holds fewer borrows from those after it (one-permutation hashing with
+rotation), and the tuple of every bin of a short text keeps an order too. Texts agree in a bin when the same k-mers were
 picked and stand in the same order, which is what makes the likeness follow edit distance.
 """
 
@@ -32,7 +33,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def order_minhash(text: Column, p: OrderMinHashParams = OrderMinHashParams()) -> Column:
-    """array<long>, one entry per bin that is not empty: the bin above 32 bits of the tuple's hash. Null: no entries.
+    """array<long>, one entry per bin: the bin above 32 bits of the tuple's hash. None for a null text or one without tokens.
 
     Sorting works on packed longs: a hash in the high bits, an index in the low ``bits``. Cut hashes only
     decide order; the tuples use whole ones.
@@ -67,17 +68,25 @@ def order_minhash(text: Column, p: OrderMinHashParams = OrderMinHashParams()) ->
             at = lambda i: s[i].bitwiseAND(mask).cast("int")
             full = lambda i: F.xxhash64(m[at(i)], i - st[i])
             queue = F.sort_array(F.transform(s, lambda x, i: full(i).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
-            bin_of = lambda x: F.shiftrightunsigned(x, 64 - (p.bins - 1).bit_length())
+            bin_of = lambda x: (F.shiftright(x, 64 - (p.bins - 1).bit_length()) + p.bins // 2).cast("int")  # noqa: E731  rises with the hash
 
             def tuples(q: Column) -> Column:
                 firsts = F.filter(F.sequence(F.lit(0), F.size(q) - 1), lambda i: (i == 0) | (bin_of(q[i]) != bin_of(q[i - 1])))
+                many = F.least(F.lit(p.picks), F.size(q))
 
-                def entry(i: Column) -> Column:
-                    own = F.filter(F.slice(q, i + 1, p.picks), lambda x: bin_of(x) == bin_of(q[i]))
-                    ordered = F.sort_array(F.transform(own, lambda x: F.struct(at(x.bitwiseAND(mask).cast("int")).alias("pos"), full(x.bitwiseAND(mask).cast("int")).alias("g"))))
-                    return F.shiftleft(bin_of(q[i]), 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.transform(ordered, lambda x: x["g"])), 32))
+                def tuple_hash(i: Column) -> Column:
+                    own = F.transform(F.sequence(F.lit(0), many - 1), lambda t: q[(i + t) % F.size(q)].bitwiseAND(mask).cast("int"))
+                    ordered = F.sort_array(F.transform(own, lambda x: F.struct(at(x).alias("pos"), full(x).alias("g"))))
+                    return F.shiftrightunsigned(F.xxhash64(F.transform(ordered, lambda x: x["g"])), 32)
 
-                return F.transform(firsts, entry)
+                def spread(f: Column) -> Column:
+                    """Each bin's tuple: that of the first k-mer at or after the bin's beginning, round the ring."""
+                    gap = lambda x, j: bin_of(q[x]) - F.when(j > 0, bin_of(q[f[F.greatest(j - 1, F.lit(0))]])).otherwise(-1)
+                    upto = F.flatten(F.transform(f, lambda x, j: F.array_repeat(tuple_hash(x), gap(x, j))))
+                    rest = lambda head: F.concat(head, F.array_repeat(head[0], p.bins - F.size(head)))
+                    return F.transform(_let(upto, rest), lambda h, b: F.shiftleft(b.cast("long"), 32).bitwiseOR(h))
+
+                return _let(firsts, spread)
 
             return _let(queue, tuples)
 
@@ -89,7 +98,7 @@ def order_minhash(text: Column, p: OrderMinHashParams = OrderMinHashParams()) ->
 
 
 def signature(entries: Column) -> Column:
-    """The fingerprint as text: ten hex digits a bin."""
+    """The fingerprint as text: ten hex digits a bin, empty without entries."""
     return F.array_join(F.transform(entries, lambda x: F.lpad(F.hex(x), 10, "0")), "")
 
 
@@ -123,7 +132,8 @@ def edited_fingerprints(docs: DataFrame, p: OrderMinHashParams = OrderMinHashPar
     The edited text replaces the last floor(n_chars / share) code points by the first as many of the next
     document in descending doc_id (after the last: the first). Null texts are empty. Rows with a null
     doc_id come last in that order; rows that repeat a doc_id are ordered by a hash of their text, and
-    exact repeats count once in the order but each come back. An empty table gives an empty result.
+    exact repeats count once in the order but each come back. Texts of any length are read whole; equal k-mers are told apart by
+    their occurrence. A single document is its own next. Further columns are ignored, whatever their names. An empty table gives an empty result.
     Returns doc_id, n_chars, edited, entries, edited_entries, next_entries.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
