@@ -35,7 +35,7 @@ from .common import ByteHasher, drop_path, drop_table, materialise, mix64, passe
 @dataclass(frozen=True)
 class SubstringParams:
     length: int = 50
-    k: int = 16
+    k: int = 24
     block_bytes: int = 8_000_000
     range_bytes: int = 16_000_000
     run_windows: int = 64  # longer runs are split
