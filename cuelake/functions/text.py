@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Unicode white space as one class, in a syntax that Java and RE2 share (Java's \s is ASCII only).
 WS = r"[\s\x0B\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TIMESTAMP = r"(\d+):(\d{2}):(\d{2}),(\d{3})"
-TIMING = TIMESTAMP + r"\s*-->\s*" + TIMESTAMP
+TIMING = TIMESTAMP + WS + "*-->" + WS + "*" + TIMESTAMP
 REPETITION = r"(?s)(.{2,20}?)\1{4,}"
 TRAILING = "[" + WS[1:-1] + ".,!?~…、。！？]+$"
 SPEAKER = "[[SPEAKER]]"
@@ -64,6 +64,44 @@ def cps(n_chars: Column, seconds: Column) -> Column:
     return n_chars / F.greatest(seconds, F.lit(1e-9))
 
 
+def _chat(model: Column | None, messages: list[Column], **settings: Column) -> Column:
+    fields = ([] if model is None else [model.alias("model")]) + [F.array(*messages).alias("messages")]
+    return F.to_json(F.struct(*fields, *[v.alias(k) for k, v in settings.items()]))
+
+
+def _pure_base64(data: Column) -> Column:
+    """Base64 without line breaks, which Spark may put in."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
+def chat_payload(model: Column, prompt: Column, audio: Column, temperature: float = 1.0, top_p: float = 0.95, top_k: int = 64, max_tokens: int = 4096, thinking: bool = True) -> Column:
+    """JSON of a chat-completions request with a text part and the ``audio`` bytes as a base64 part; ``thinking`` false asks the template for none."""
+    part = lambda kind, text, sound: F.struct(F.lit(kind).alias("type"), text.alias("text"), sound.alias("input_audio"))
+    sound = F.struct(_pure_base64(audio).alias("data"), F.lit("wav").alias("format"))
+    none = F.lit(None).cast("struct<data:string,format:string>")
+    content = F.array(part("text", prompt, none), part("input_audio", F.lit(None).cast("string"), sound))
+    user = F.struct(F.lit("user").alias("role"), content.alias("content"))
+    settings = {"temperature": F.lit(temperature), "top_p": F.lit(top_p), "top_k": F.lit(top_k), "max_tokens": F.lit(max_tokens)}
+    if not thinking:
+        settings["chat_template_kwargs"] = F.struct(F.lit(False).alias("enable_thinking"))
+    return _chat(model, [user], **settings)
+
+
+def gemini_payload(prompt: Column, audio: Column, temperature: float = 1.0, top_p: float = 0.95, top_k: int = 64, max_tokens: int = 4096) -> Column:
+    """JSON of a generateContent request with a text part and the ``audio`` bytes as inline data."""
+    part = lambda text, data: F.struct(text.alias("text"), data.alias("inline_data"))
+    data = F.struct(F.lit("audio/wav").alias("mime_type"), _pure_base64(audio).alias("data"))
+    parts = F.array(part(prompt, F.lit(None).cast("struct<mime_type:string,data:string>")), part(F.lit(None).cast("string"), data))
+    settings = F.struct(F.lit(temperature).alias("temperature"), F.lit(top_p).alias("topP"), F.lit(top_k).alias("topK"), F.lit(max_tokens).alias("maxOutputTokens"))
+    return F.to_json(F.struct(F.array(F.struct(parts.alias("parts"))).alias("contents"), settings.alias("generationConfig")))
+
+
+def text_payload(system: Column, user: Column) -> Column:
+    """JSON of a chat-completions request of text alone, without thinking (correction and translation)."""
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return _chat(None, [message("system", system), message("user", user)], chat_template_kwargs=F.struct(F.lit(False).alias("enable_thinking")))
+
+
 def response_text(raw: Column, provider: Column) -> Column:
     """The text of a provider's JSON response (``gemini`` or chat completions); null if it holds none."""
     gemini = F.get_json_object(raw, "$.candidates[0].content.parts[0].text")
@@ -82,6 +120,12 @@ def asr_text(content: Column) -> Column:
     return strip(F.when(at > 0, content.substr(at + len(ASR_TAG), F.length(content))).otherwise(content))
 
 
+def provider_answer(provider: Column, content: Column, configured: Column) -> tuple[Column, Column]:
+    """(language, text) of a response's content: ``gemini`` names no language, so the configured one holds and all is text; others are parsed."""
+    gemini = provider == "gemini"
+    return F.when(gemini, configured).otherwise(asr_language(content)), F.when(gemini, strip(content)).otherwise(asr_text(content))
+
+
 def repetition(text: Column) -> Column:
     """The shortest unit of 2 to 20 characters that stands five times in a row, leftmost first; null if there is none."""
     return F.nullif(F.regexp_extract(text, REPETITION, 1), F.lit(""))
@@ -100,7 +144,11 @@ def cer_form(text: Column) -> Column:
 def cer(ref: Column, hyp: Column) -> Column:
     """Character error rate of comparison forms; against an empty reference 0 for an empty hypothesis, else 1."""
     n = F.length(ref)
-    return F.when(n == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(ref, hyp) / n)
+    distance = F.levenshtein(ref, hyp)
+    for limit in (128, 16):  # within a limit only a band is computed; -1 is beyond it
+        near = F.levenshtein(ref, hyp, limit)
+        distance = F.when(near >= 0, near).otherwise(distance)
+    return F.when(n == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).when(ref == hyp, 0.0).otherwise(distance / n)
 
 
 def plain_prompt(language: Column) -> Column:

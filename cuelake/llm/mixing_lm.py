@@ -76,6 +76,7 @@ class Contexts:
         self.word = np.concatenate((np.zeros(min(1, n), np.int64), cut))
         self.letters = np.diff(self.word, append=n)
         self.recent: dict[int, np.ndarray] = {}
+        self.runs: dict[int, np.ndarray] = {}
 
     def _lag(self, d: int) -> np.ndarray:
         """The byte ``d`` places before; the end symbol before a text begins."""
@@ -89,10 +90,11 @@ class Contexts:
         return self.recent[d]
 
     def _last(self, d: int) -> np.ndarray:
-        out = self._lag(1).copy()
-        for i in range(2, d + 1):
-            out |= self._lag(i) << np.uint64(8 * i - 8)
-        return out
+        if d < 2:
+            return self._lag(1)
+        if d not in self.runs:
+            self.runs[d] = self._last(d - 1) | self._lag(d) << np.uint64(8 * d - 8)
+        return self.runs[d]
 
     def _before(self) -> np.ndarray:
         """The last two bytes of the word before, for each word."""
@@ -118,7 +120,7 @@ class Contexts:
             x = self._word_so_far()
         else:
             x = self._last(3)
-        x *= _SPREAD  # an odd factor: contexts stay apart, and their high bits deal them evenly
+        x = x * _SPREAD  # an odd factor: contexts stay apart, and their high bits deal them evenly
         x <<= np.uint64(64 - _CONTEXT_BITS)
         x >>= np.uint64(64 - _CONTEXT_BITS - 8)
         x |= self.buf
@@ -155,26 +157,31 @@ def block_pairs(texts: list[bytes], learn: list[bool]) -> list[tuple[np.ndarray,
 _SLICE = 1 << 20  # a key and a place below this fit 64 bits
 
 
-def block_places(texts: list[bytes], k: int) -> tuple[int, np.ndarray]:
-    """(number of distinct pairs of predictor ``k``, place of every byte's pair in their order)."""
-    local, values, sizes = [], [], []
+def block_places(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each predictor: (distinct pairs in order, place of every byte's pair among them)."""
+    local: list[list] = [[] for _ in range(PREDICTORS)]
+    values: list[list] = [[] for _ in range(PREDICTORS)]
     for lo, hi in passes([len(t) + 1 for t in texts]):
-        keys = Contexts(_joined(texts[lo:hi])).keys(k)
-        for a in range(0, len(keys), _SLICE):
-            s = keys[a : a + _SLICE] << np.uint64(20)
-            s |= np.arange(len(s), dtype=np.uint64)
-            s.sort()
-            at = (s & np.uint64(_SLICE - 1)).astype(np.int32)
-            s >>= np.uint64(20)
-            first = _runs(s)
-            place = np.empty(len(s), np.int32)
-            place[at] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(s)))
-            local.append(place)
-            values.append(s[first])
-            sizes.append(len(s))
-    every = np.sort(np.concatenate(values))
-    every = every[_runs(every)]
-    return len(every), np.concatenate([np.searchsorted(every, v).astype(np.int32)[p] for v, p in zip(values, local, strict=True)])
+        contexts = Contexts(_joined(texts[lo:hi]))
+        for k in range(PREDICTORS):
+            keys = contexts.keys(k)
+            for a in range(0, len(keys), _SLICE):
+                s = keys[a : a + _SLICE] << np.uint64(20)
+                s |= np.arange(len(s), dtype=np.uint64)
+                s.sort()
+                at = (s & np.uint64(_SLICE - 1)).astype(np.int32)
+                s >>= np.uint64(20)
+                first = _runs(s)
+                place = np.empty(len(s), np.int32)
+                place[at] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(s)))
+                local[k].append(place)
+                values[k].append(s[first])
+    out = []
+    for own, parts in zip(values, local, strict=True):
+        every = np.sort(np.concatenate(own))
+        every = every[_runs(every)]
+        out.append((every, np.concatenate([np.searchsorted(every, v).astype(np.int32)[x] for v, x in zip(own, parts, strict=True)])))
+    return out
 
 
 def _pack(p: MixingLmParams):
@@ -285,19 +292,24 @@ def _context_sender(ranges: int):
 
 
 def path_logits(v: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
-    """Logit of a 1, in eighths, at each of the eight bits of every pair's byte; ``v`` are all pairs of their contexts, sorted."""
+    """Logit of each of the eight bits of every pair's byte being what it is, in eighths; ``v`` are all pairs of their contexts, sorted."""
     out = np.empty((len(v), 8), np.int8)
     starts = lambda bits: np.flatnonzero(np.concatenate(([True], np.diff(v >> np.uint64(bits)) != 0)))
     spread = lambda at: np.repeat(np.add.reduceat(n, at), np.diff(at, append=len(v))).astype(np.float64)
     whole = spread(starts(8))
     for j in range(8):
         own = spread(starts(7 - j))
-        sign = np.where(v >> np.uint64(7 - j) & np.uint64(1), 8.0, -8.0)
-        out[:, j] = np.clip(np.rint(sign * np.log((own + prior) / (whole - own + prior))), -127, 127)
+        out[:, j] = np.clip(np.rint(8.0 * np.log((own + prior) / (whole - own + prior))), -127, 127)
         whole = own
     return out
 
 
+def signed(paths: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Logits of a 1, from those of the bits of the pairs ``v`` being what they are."""
+    ones = np.unpackbits((v & np.uint64(255)).astype(np.uint8)[:, None], axis=1)
+    return np.where(ones, paths, -paths)
+
+
 def _context_counter(p: MixingLmParams):
     """Path logits of the corpus for every pair that a block sent."""
 
@@ -418,7 +430,9 @@ def _scorer(tokens: int, distinct: int, end_count: int, p: MixingLmParams):
         known = np.concatenate(([0], np.cumsum((n > 0)[at])))
         size = np.diff(first)
         base = logs[first[1:]] - logs[first[:-1]] + np.log10(end_count + p.alpha) - whole
-        inputs = [(np.concatenate([unsqueeze(x, np.int8, 8) for x in counted["counts"][counted["k"] == k]]), block_places(texts, k)[1]) for k in range(PREDICTORS)]
+        inputs = []
+        for k, (v, place) in enumerate(block_places(texts)):
+            inputs.append((signed(np.concatenate([unsqueeze(x, np.int8, 8) for x in counted["counts"][counted["k"] == k]]), v), place))
         return pd.DataFrame({
             "doc_id": pd.array(row["ids"], "Int64"), "held_out": list(row["held"]), "n_bytes": [len(t) for t in texts], "n_tokens": size + 1,
             "n_known": known[first[1:]] - known[first[:-1]] + (end_count > 0), "train_tokens": tokens, "base_score": base, "bits": ContextMixer(p).mixed(texts, inputs),

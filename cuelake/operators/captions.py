@@ -209,8 +209,9 @@ def live_captions(chunks: DataFrame) -> DataFrame:
 
 def preferred_text(chunks: DataFrame, texts: DataFrame) -> DataFrame:
     """Transcribed chunks with their corrected text, else the raw one; an existing but blank corrected text wins, and blank chunks go."""
-    pick = lambda kind: texts.where(F.col("kind") == kind).select("job_id", "chunk_id", F.col("text").alias(kind))
-    rows = chunks.where("status = 'transcribed'").drop("text").join(pick("fixed"), ["job_id", "chunk_id"], "left").join(pick("raw"), ["job_id", "chunk_id"], "left")
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("text"))).alias(kind)
+    both = texts.groupBy("job_id", "chunk_id").agg(pick("fixed"), pick("raw"))
+    rows = chunks.where("status = 'transcribed'").drop("text").join(both, ["job_id", "chunk_id"], "left")
     text = F.coalesce(strip(F.col("fixed")), collapse(F.col("raw")), F.lit(""))
     return rows.withColumn("text", text).drop("fixed", "raw").where("text <> ''")
 

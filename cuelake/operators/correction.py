@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPEAKER, collapse, tagged_output
+from .transcripts import CALLED, ModelCall, asked
 
 
 def context_groups(chunks: DataFrame, max_chars: int = 40_000, groups: int = 4) -> DataFrame:
@@ -52,6 +53,25 @@ def correction_requests(chunks: DataFrame, groups: DataFrame, blocks: DataFrame)
     return out.sortWithinPartitions("job_id", "group_id", "chunk_id")
 
 
+def correction_map(chunks: DataFrame, groups: DataFrame, blocks: DataFrame, call: ModelCall, retries: int = 1) -> DataFrame:
+    """The model called on every chunk's request: job_id, chunk_id and what ``model_map`` tells.
+
+    Blocks and chunks of a group meet in its task, where a request is put together only for its call; so no block is copied into the rows of its chunks,
+    and calls with one block follow each other.
+    """
+    own = F.concat(F.lit("\n\n<CURRENT>\n"), F.col("chunk_id").cast("string"), F.lit(" "), collapse(F.coalesce("text", F.lit(""))), F.lit("\n</CURRENT>"))
+    rows = chunks.join(groups, ["job_id", "chunk_id"]).select("job_id", "group_id", F.col("chunk_id").cast("long").alias("chunk_id"), own.alias("own"))
+
+    def run(block: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(j, c, *asked(block["block"].iloc[0] + text, call, retries)) for j, c, text in pdf.sort_values("chunk_id")[["job_id", "chunk_id", "own"]].itertuples(index=False)] if len(block) else []
+        return pd.DataFrame(out, columns=["job_id", "chunk_id", "ok", "raw", "error", "attempts", "elapsed_ms"])
+
+    kind = chunks.schema["job_id"].dataType.simpleString()
+    key = ["job_id", "group_id"]
+    # Renaming to the same names gives columns of their own: blocks come from the same chunks.
+    return blocks.toDF(*blocks.columns).groupBy(*key).cogroup(rows.toDF(*rows.columns).groupBy(*key)).applyInPandas(run, f"job_id {kind}, chunk_id long, {CALLED}")
+
+
 def corrected_texts(answers: DataFrame, chunks: DataFrame, allow_unclosed: bool = False) -> DataFrame:
     """``kind = 'fixed'`` texts of ``answers(job_id, chunk_id, raw)``; an answer without tagged text (or none) leaves the chunk's own."""
     rows = answers.select("job_id", "chunk_id", F.coalesce("raw", F.lit("")).alias("raw")).join(chunks.select("job_id", "chunk_id", collapse(F.coalesce("text", F.lit(""))).alias("own")), ["job_id", "chunk_id"])

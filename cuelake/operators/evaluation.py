@@ -13,6 +13,8 @@ LANGUAGE_NAMES = {"ko": "Korean", "ja": "Japanese", "zh": "Chinese"}
 
 def paired_cer(samples: DataFrame) -> DataFrame:
     """``samples(sample_id, lang_id, ref, hyp_auto, hyp_hinted)`` with raw and normalised error rates of both variants."""
+    # Distances cost far more than rows weigh: every core gets some, however few files there are.
+    samples = samples.repartition(samples.sparkSession.sparkContext.defaultParallelism, "sample_id")
     norm = {c: cer_form(F.col(c)) for c in ("ref", "hyp_auto", "hyp_hinted")}
     rows = samples.select("sample_id", "lang_id", "ref", "hyp_auto", "hyp_hinted", *[v.alias(f"_{c}") for c, v in norm.items()])
     rates = {f"{v}_{kind}": cer(F.col(f"{pre}ref"), F.col(f"{pre}hyp_{v}")) for v in ("auto", "hinted") for kind, pre in (("raw", ""), ("norm", "_"))}

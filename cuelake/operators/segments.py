@@ -5,6 +5,7 @@ Times are integer milliseconds (``start_ms``, ``end_ms``) or frames; every windo
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import pandas as pd
@@ -62,20 +63,40 @@ def merge_silences(segments: DataFrame, min_silence: int) -> DataFrame:
 
 
 def _absorb(rows: list[tuple[int, int]], min_speech: int, cap: int | None) -> list[tuple[int, int]]:
-    """The fold of one island: the shortest absorbable segment joins its nearer neighbour until none can."""
-    done = False
-    while len(rows) > 1 and not done:
-        done = True
-        for _, i in sorted((e - s, i) for i, (s, e) in enumerate(rows) if e - s < min_speech):
-            before = rows[i][0] - rows[i - 1][1] if i else None
-            after = rows[i + 1][0] - rows[i][1] if i + 1 < len(rows) else None
-            back = after is None or (before is not None and before <= after)
-            if cap is None or (before if back else after) <= cap:
-                lo = i - 1 if back else i
-                rows[lo : lo + 2] = [(rows[lo][0], max(rows[lo][1], rows[lo + 1][1]))]
-                done = False
-                break
-    return rows
+    """The fold of one island (segments in order): a heap of short segments over a linked list.
+
+    A segment that can't be absorbed leaves the heap, and comes back when a neighbour of its changes. Entries of
+    segments that are gone or have another length by now are passed over.
+    """
+    start, end = [s for s, _ in rows], [e for _, e in rows]
+    n = len(rows)
+    left, right, gone = list(range(-1, n - 1)), [*range(1, n), -1], [False] * n
+    heap: list[tuple[int, int]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and end[i] - start[i] < min_speech:
+            heapq.heappush(heap, (end[i] - start[i], i))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        length, i = heapq.heappop(heap)
+        if gone[i] or end[i] - start[i] != length:
+            continue
+        sides = [(start[i] - end[left[i]], 0, left[i])] if left[i] >= 0 else []
+        sides += [(start[right[i]] - end[i], 1, right[i])] if right[i] >= 0 else []
+        if not sides:
+            break
+        gap, _, other = min(sides)
+        if cap is not None and gap > cap:
+            continue
+        first, second = min(i, other), max(i, other)
+        end[first], gone[second], right[first] = max(end[first], end[second]), True, right[second]
+        if right[second] >= 0:
+            left[right[second]] = first
+        for k in (left[first], first, right[first]):
+            offer(k)
+    return [(start[i], end[i]) for i in range(n) if not gone[i]]
 
 
 def absorb_short(segments: DataFrame, min_speech: int, max_absorb_gap: int | None) -> DataFrame:
@@ -182,13 +203,18 @@ def chunk_totals(chunks: DataFrame) -> DataFrame:
 
 
 def envelope(samples: DataFrame, row_samples: int, max_points: int) -> DataFrame:
-    """Least and greatest sample of every bin: rows longer than ``max_points`` get bins of floor(n / max_points), a rest that fills no bin is dropped."""
-    rows = samples.select("job_id", F.posexplode("samples").alias("pos", "x")).select("job_id", F.floor(F.col("pos") / row_samples).alias("row"), (F.col("pos") % row_samples).alias("at"), "x")
-    sizes = samples.select("job_id", F.size("samples").alias("total"))
-    n = F.least(F.lit(row_samples), F.col("total") - F.col("row") * row_samples)
-    size = F.when(F.col("n") > max_points, F.floor(F.col("n") / max_points)).otherwise(1)
-    binned = rows.join(sizes, "job_id").withColumn("n", n).withColumn("size", size).withColumn("bin", F.floor(F.col("at") / F.col("size")))
-    return binned.where("bin < floor(n / size)").groupBy("job_id", "row", "bin").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    """Least and greatest sample of every bin: rows longer than ``max_points`` get bins of floor(n / max_points), a rest that fills no bin is dropped.
+
+    Bins are slices of the array, so there is a row for each bin and never one for each sample.
+    """
+    rows = F.transform(F.sequence(F.lit(0), F.ceil(F.size("samples") / row_samples).cast("int") - 1), lambda r: F.slice("samples", r * row_samples + 1, F.lit(row_samples)))
+    cut = samples.where(F.size("samples") > 0).select("job_id", F.posexplode(rows).alias("row", "part"))
+    n = F.size("part")
+    size = F.when(n > max_points, F.floor(n / max_points)).otherwise(1).cast("int")
+    each = lambda b: F.slice("part", b * F.col("size") + 1, F.col("size"))
+    bins = F.transform(F.sequence(F.lit(0), F.floor(n / F.col("size")).cast("int") - 1), lambda b: F.struct(F.array_min(each(b)).alias("lo"), F.array_max(each(b)).alias("hi")))
+    out = cut.withColumn("size", size).select("job_id", F.col("row").cast("long").alias("row"), F.posexplode(bins).alias("bin", "x"))
+    return out.select("job_id", "row", F.col("bin").cast("long").alias("bin"), "x.lo", "x.hi")
 
 
 def timeline_tiles(segments: DataFrame, row_ms: int = 30_000, rows_a_page: int = 10) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, dedup_form, repetition, strip
@@ -43,12 +44,20 @@ def entry_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("job_id").agg(F.count_if(done & text).alias("n_entries"), F.count_if(~done).alias("n_failed"), F.count_if(done & ~text).alias("n_empty"))
 
 
+def chunk_failures(chunks: DataFrame, rate: int = 16_000, tolerance_sec: float = 1e-3) -> DataFrame:
+    """``chunks(job_id, chunk_id, start_sample, end_sample, duration_sec)`` whose written length is unknown or not that of their samples."""
+    expected = (F.col("end_sample") - F.col("start_sample")) / rate
+    good = F.abs(F.col("duration_sec") - expected) < tolerance_sec
+    return chunks.where(~F.coalesce(good, F.lit(False))).withColumn("failures", F.array(F.lit("chunk duration differs from its samples")))
+
+
 def quality_failures(meta: DataFrame, tolerance_sec: float = 0.1) -> DataFrame:
-    """``meta(job_id, rate, channels, duration_sec, source_duration_sec)`` rows that break a rule of extracted audio, with all messages."""
+    """``meta(job_id, rate, channels, duration_sec, source_duration_sec)`` rows that break a rule of extracted audio, with all messages; unknown values break it too."""
+    broken = lambda good, message: F.when(~F.coalesce(good, F.lit(False)), message)
     rules = [
-        F.when(F.col("rate") != 16000, "sample rate is not 16000"),
-        F.when(F.col("channels") != 1, "not mono"),
-        F.when(F.abs(F.col("duration_sec") - F.col("source_duration_sec")) > tolerance_sec, "duration differs from the source"),
+        broken(F.col("rate") == 16000, "sample rate is not 16000"),
+        broken(F.col("channels") == 1, "not mono"),
+        broken(F.abs(F.col("duration_sec") - F.col("source_duration_sec")) <= tolerance_sec, "duration differs from the source"),
     ]
     return meta.withColumn("failures", F.array_compact(F.array(*rules))).where(F.size("failures") > 0)
 
@@ -63,21 +72,24 @@ def overlay_params(jobs: DataFrame, overrides: DataFrame, defaults: dict[str, fl
 def drop_overlaps(entries: DataFrame) -> DataFrame:
     """Drops entries that start before the end of the last one kept (millisecond columns).
 
-    Dropped entries don't move that end, so the rule is a fold; it runs inside one row a job, and only
-    for jobs where some entry starts before the latest end so far.
+    Dropped entries don't move that end, so the rule is a fold; it sees ids and times only, and only those of
+    jobs where some entry starts before the latest end so far.
     """
     latest = F.max("end_ms").over(before())
     marked = entries.withColumn("_over", F.coalesce((F.col("start_ms") < latest).cast("int"), F.lit(0)))
     marked = marked.withColumn("late", F.max("_over").over(Window.partitionBy("job_id"))).drop("_over")
     clean = marked.where("late = 0").drop("late")
-    rows = marked.where("late = 1").groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "start_ms", "end_ms"))).alias("x"))
-    start = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast("array<bigint>").alias("ids"))
+    late = marked.where("late = 1").select("job_id", F.col("chunk_id").cast("long").alias("chunk_id"), "start_ms", "end_ms")
 
-    def step(acc: Column, e: Column) -> Column:
-        keep = e["start_ms"] >= acc["end"]
-        return F.struct(F.when(keep, e["end_ms"]).otherwise(acc["end"]).cast("long").alias("end"), F.when(keep, F.concat(acc["ids"], F.array(e["chunk_id"].cast("long")))).otherwise(acc["ids"]).alias("ids"))
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, end, ids = pdf.sort_values("chunk_id"), -1, []
+        for i, start, stop in zip(pdf["chunk_id"].tolist(), pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), strict=True):
+            if start >= end:
+                ids.append(i)
+                end = stop
+        return pd.DataFrame({"job_id": pdf["job_id"].iloc[0], "chunk_id": ids})
 
-    kept = rows.select("job_id", F.explode(F.aggregate("x", start, step)["ids"]).alias("chunk_id"))
+    kept = late.groupBy("job_id").applyInPandas(fold, f"job_id {entries.schema['job_id'].dataType.simpleString()}, chunk_id long")
     return clean.unionByName(marked.where("late = 1").drop("late").join(kept, ["job_id", "chunk_id"], "left_semi").select(*clean.columns))
 
 
@@ -87,29 +99,51 @@ def drop_overlaps(entries: DataFrame) -> DataFrame:
 ModelCall = Callable[[str], str]
 
 
-def model_map(requests: DataFrame, key_columns: list[str], call: ModelCall, retries: int = 1) -> DataFrame:
-    """Calls the injected model on ``requests(keys, request)``: keys, ok, raw, error, attempts.
+#: What is told of each call.
+CALLED = "ok boolean, raw string, error string, attempts int, elapsed_ms double"
+#: Error of rows that were not asked for any more.
+STOPPED = "stopped"
+
+
+def asked(request: str, call: ModelCall, retries: int, stop: Callable[[], bool] | None = None) -> tuple:
+    """(ok, raw, error, attempts, elapsed_ms of the last attempt) of one request."""
+    raw, error, tries, took = None, None, 0, 0.0
+    while tries <= retries and raw is None:
+        if stop is not None and stop():
+            return False, None, error or STOPPED, tries, took
+        tries += 1
+        begun = time.perf_counter()
+        try:
+            raw = call(request)
+        except Exception as e:  # noqa: BLE001  whatever a model raises is that row's failure
+            error = str(e)
+        took = 1000 * (time.perf_counter() - begun)
+    return raw is not None, raw, None if raw is not None else error, tries, took
 
-    One bad row never fails a task: after ``retries`` further attempts it comes back with ok = false. Write
+
+def model_map(requests: DataFrame, key_columns: list[str], call: ModelCall, retries: int = 1, stop: Callable[[], bool] | None = None) -> DataFrame:
+    """Calls the injected model on ``requests(keys, request)``: keys, ok, raw, error, attempts, elapsed_ms (of the last attempt).
+
+    One bad row never fails a task: after ``retries`` further attempts it comes back with ok = false. ``stop`` is asked
+    before every call; once it says so, the rows left come back with ok = false and error ``stopped``, and a later run can take them up. Write
     the result before using it twice, or the model is called again.
     """
     kinds = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in key_columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for request in pdf["request"]:
-                raw, error, tries = None, None, 0
-                while tries <= retries and raw is None:
-                    tries += 1
-                    try:
-                        raw = call(request)
-                    except Exception as e:  # noqa: BLE001  whatever a model raises is that row's failure
-                        error = str(e)
-                out.append((raw is not None, raw, None if raw is not None else error, tries))
-            yield pd.concat([pdf[key_columns].reset_index(drop=True), pd.DataFrame(out, columns=["ok", "raw", "error", "attempts"])], axis=1)
+            out = [asked(r, call, retries, stop) for r in pdf["request"]]
+            yield pd.concat([pdf[key_columns].reset_index(drop=True), pd.DataFrame(out, columns=["ok", "raw", "error", "attempts", "elapsed_ms"])], axis=1)
+
+    return requests.select(*key_columns, "request").mapInPandas(run, f"{kinds}, {CALLED}")
+
 
-    return requests.select(*key_columns, "request").mapInPandas(run, f"{kinds}, ok boolean, raw string, error string, attempts int")
+def observed(results: DataFrame, name: str = "model calls") -> tuple[DataFrame, Observation]:
+    """``results`` of a model map, and an observation that holds its progress once an action has run: asked, ok, failed, stopped, mean_ms."""
+    seen, ok = Observation(name), F.coalesce("ok", F.lit(False))
+    stopped = ~ok & (F.col("error") == STOPPED)
+    mean = F.avg(F.when(ok, F.col("elapsed_ms")))
+    return results.observe(seen, F.count_if(F.col("attempts") > 0).alias("asked"), F.count_if(ok).alias("ok"), F.count_if(~ok & ~stopped).alias("failed"), F.count_if(stopped).alias("stopped"), mean.alias("mean_ms")), seen
 
 
 # --- filters on completed results --------------------------------------------------------------------
@@ -168,13 +202,14 @@ def flagged_rate(chunks: DataFrame) -> DataFrame:
 def carry_prior(chunks: DataFrame, texts: DataFrame, prior: DataFrame, mode: str = "offset") -> DataFrame:
     """New ``chunks`` with the status and metadata of a prior run.
 
-    A chunk counts as transcribed if a non-blank text of its id exists; in mode ``offset`` its times must also
+    A chunk counts as transcribed if a non-blank text of its id exists (a raw one, where ``texts`` has kinds); in mode ``offset`` its times must also
     equal a prior chunk's. Language and elapsed time come from the prior chunk with equal times.
     """
     if mode not in ("offset", "reference"):
         raise ValueError(mode)
-    have = texts.where(strip(F.col("text")) != "").select("job_id", "chunk_id", F.lit(True).alias("_text"))
-    old = prior.select("job_id", "start_ms", "end_ms", F.col("language").alias("_language"), F.col("elapsed_ms").alias("_elapsed"), F.lit(True).alias("_old"))
+    raw = texts.where("kind = 'raw'") if "kind" in texts.columns else texts
+    have = raw.where(strip(F.col("text")) != "").select("job_id", "chunk_id", F.lit(True).alias("_text")).distinct()
+    old = prior.dropDuplicates(["job_id", "start_ms", "end_ms"]).select("job_id", "start_ms", "end_ms", F.col("language").alias("_language"), F.col("elapsed_ms").alias("_elapsed"), F.lit(True).alias("_old"))
     rows = chunks.join(have, ["job_id", "chunk_id"], "left").join(old, ["job_id", "start_ms", "end_ms"], "left")
     text, same = F.coalesce("_text", F.lit(False)), F.coalesce("_old", F.lit(False))
     restored = text & same if mode == "offset" else text

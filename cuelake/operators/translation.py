@@ -5,15 +5,22 @@ Cues are rows ``(doc_id, cue_idx, text, ...)``; translated text is a long table
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import WS, strip
 from .transcripts import ModelCall, model_map
 
-#: A marker, also where digits were spaced out; digits are Unicode decimal digits.
-MARKER = r"\[\s*(?:\d\s*){4,}\]\s*\|"
+#: A marker, also where digits were spaced out; digits and spaces are Unicode's, spelled out since Java's ``\\d`` and ``\\s`` are ASCII only.
+MARKER = r"\[WS*(?:\p{Nd}WS*){4,}\]WS*\|".replace("WS", WS)
+#: All decimal digits but 0 to 9, and what they are.
+DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
 
 
 def numbered(cues: DataFrame) -> DataFrame:
@@ -28,12 +35,15 @@ def render_markers(rows: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Data
 
 
 def parse_markers(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, serial, text) of marker text: markers may stand anywhere, text before the first is dropped, of equal serials the last wins."""
+    """(keys, serial, text) of marker text: markers may stand anywhere, text before the first is dropped, of equal serials the last wins.
+
+    Markers of a number beyond 63 bits are no cue's, and their text is dropped.
+    """
     marks = F.regexp_extract_all("text", F.lit(f"({MARKER})"), F.lit(1))
     texts = F.slice(F.split("text", MARKER), 2, F.greatest(F.size(marks), F.lit(1)))
     rows = docs.where(F.size(marks) > 0).select(*keys, F.posexplode(F.arrays_zip(marks.alias("mark"), texts.alias("body"))).alias("pos", "x"))
-    serial = F.regexp_replace("x.mark", r"\D", "").cast("long")
-    rows = rows.select(*keys, "pos", serial.alias("serial"), strip(F.col("x.body")).alias("text"))
+    serial = F.translate(F.regexp_replace("x.mark", r"\P{Nd}", ""), "".join(DIGITS), ASCII_DIGITS).try_cast("long")
+    rows = rows.select(*keys, "pos", serial.alias("serial"), strip(F.col("x.body")).alias("text")).where("serial is not null")
     return rows.groupBy(*keys, "serial").agg(F.max_by("text", "pos").alias("text"))
 
 
@@ -58,15 +68,24 @@ def batches(cues: DataFrame, max_chars: int) -> DataFrame:
     return sizes.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, serial long, batch_id long")
 
 
-def translate(cues: DataFrame, max_chars: int, call: ModelCall) -> DataFrame:
-    """(doc_id, serial, text) from the model, one call a batch; of serials that several batches return the later batch wins."""
+def translate_batches(cues: DataFrame, max_chars: int, call: ModelCall, retries: int = 1, stop: Callable[[], bool] | None = None) -> DataFrame:
+    """One call a batch: doc_id, batch_id and what ``model_map`` tells; failed and stopped batches are told too. Write it before using it twice."""
     rows = numbered(cues).select("doc_id", "serial", "text").join(batches(cues, max_chars), ["doc_id", "serial"])
     requests = render_markers(rows, ("doc_id", "batch_id")).withColumnRenamed("text", "request")
-    answers = model_map(requests, ["doc_id", "batch_id"], call).where("ok").select("doc_id", "batch_id", F.col("raw").alias("text"))
-    parsed = parse_markers(answers, ("doc_id", "batch_id"))
+    return model_map(requests, ["doc_id", "batch_id"], call, retries, stop)
+
+
+def translated(answers: DataFrame) -> DataFrame:
+    """(doc_id, serial, text) of the batches that were answered; of serials that several batches return the later batch wins."""
+    parsed = parse_markers(answers.where("ok").select("doc_id", "batch_id", F.col("raw").alias("text")), ("doc_id", "batch_id"))
     return parsed.groupBy("doc_id", "serial").agg(F.max_by("text", "batch_id").alias("text"))
 
 
+def translate(cues: DataFrame, max_chars: int, call: ModelCall) -> DataFrame:
+    """(doc_id, serial, text) from the model; ``translate_batches`` also tells which batches failed."""
+    return translated(translate_batches(cues, max_chars, call))
+
+
 def merge_translation(cues: DataFrame, translated: DataFrame) -> DataFrame:
     """Cues with their translated text where there is one; adds serial and ``matched``. Times stay."""
     new = translated.select("doc_id", "serial", F.col("text").alias("_new"))

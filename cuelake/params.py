@@ -29,7 +29,7 @@ class CueParams:
 
 @dataclass(frozen=True)
 class FilterParams:
-    dedup_repeated: bool = True
+    dedup_repeated: bool = False
     strip_repetition: bool = False
     max_failures: int = 5
 

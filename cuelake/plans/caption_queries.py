@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SPEAKER, collapse, translation_prompt
+from ..functions.text import SPEAKER, WS, collapse, translation_prompt
 from ..operators import captions as C
 from ..operators import translation as H
 from ..params import CueParams
@@ -182,20 +182,21 @@ def g10(spark: SparkSession, sf: str) -> DataFrame:
 
 NUM = ", num AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cue_idx) AS serial FROM cues)"
 _MARKERS = "string_agg(format('[{{:04d}}]|', serial) || text, chr(10) ORDER BY serial)".replace("{{", "{").replace("}}", "}")
-#: Marker text as it comes back from outside: digits spaced out, line breaks lost, every seventh cue gone.
-MANGLED = ", mangled AS (SELECT doc_id, 'intro ' || string_agg(CASE WHEN serial % 3 = 0 THEN '[' || substr(m, 1, 2) || ' ' || substr(m, 3) || ' ]|' ELSE '[' || m || ']|' END || text || CASE WHEN serial % 2 = 0 THEN '' ELSE chr(10) END, '' ORDER BY serial) AS text FROM (SELECT *, format('{:04d}', serial) AS m FROM num WHERE serial % 7 <> 0) GROUP BY doc_id)"
+#: Marker text as it comes back from outside: digits spaced out (with spaces of several kinds) or full-width, line breaks lost, every seventh cue gone.
+MANGLED = ", mangled AS (SELECT doc_id, 'intro ' || string_agg(CASE WHEN serial % 3 = 0 THEN '[' || substr(m, 1, 2) || chr(12288) || substr(m, 3) || ' ]' || chr(160) || '|' ELSE '[' || m || ']|' END || text || CASE WHEN serial % 2 = 0 THEN '' ELSE chr(10) END, '' ORDER BY serial) AS text FROM (SELECT *, CASE WHEN serial % 5 = 1 THEN translate(format('{:04d}', serial), '0123456789', '０１２３４５６７８９') ELSE format('{:04d}', serial) END AS m FROM num WHERE serial % 7 <> 0) GROUP BY doc_id)"
 
 
 def mangled(spark: SparkSession, sf: str) -> DataFrame:
     rows = H.numbered(V.cues(spark, sf)).where("serial % 7 <> 0").withColumn("m", F.format_string("%04d", "serial"))
-    mark = F.when(F.col("serial") % 3 == 0, F.concat(F.lit("["), F.substring("m", 1, 2), F.lit(" "), F.expr("substring(m, 3)"), F.lit(" ]|"))).otherwise(F.concat(F.lit("["), "m", F.lit("]|")))
+    rows = rows.withColumn("m", F.when(F.col("serial") % 5 == 1, F.translate("m", "0123456789", "０１２３４５６７８９")).otherwise(F.col("m")))
+    mark = F.when(F.col("serial") % 3 == 0, F.concat(F.lit("["), F.substring("m", 1, 2), F.lit("\u3000"), F.expr("substring(m, 3)"), F.lit(" ]\u00a0|"))).otherwise(F.concat(F.lit("["), "m", F.lit("]|")))
     part = F.concat(mark, "text", F.when(F.col("serial") % 2 == 0, "").otherwise("\n"))
     ordered = F.sort_array(F.collect_list(F.struct("serial", part.alias("part"))))
     return rows.groupBy("doc_id").agg(F.concat(F.lit("intro "), F.array_join(F.transform(ordered, lambda x: x["part"]), "")).alias("text"))
 
 
-_MARK = r"\[\s*(?:\d\s*){4,}\]\s*\|"
-PARSED = f"{NUM}{MANGLED}, marks AS (SELECT doc_id, regexp_extract_all(text, '{_MARK}') AS ms, string_split_regex(text, '{_MARK}')[2:] AS ts FROM mangled), parsed AS (SELECT doc_id, serial, max_by(text, pos) AS text FROM (SELECT doc_id, generate_subscripts(ms, 1) AS pos, regexp_replace(unnest(ms), '\\D', '', 'g')::BIGINT AS serial, {strip_sql('unnest(ts)')} AS text FROM marks) GROUP BY doc_id, serial)"
+_MARK = r"\[WS*(?:\p{Nd}WS*){4,}\]WS*\|".replace("WS", WS)
+PARSED = f"{NUM}{MANGLED}, marks AS (SELECT doc_id, regexp_extract_all(text, '{_MARK}') AS ms, string_split_regex(text, '{_MARK}')[2:] AS ts FROM mangled), parsed AS (SELECT doc_id, serial, max_by(text, pos) AS text FROM (SELECT doc_id, generate_subscripts(ms, 1) AS pos, translate(regexp_replace(unnest(ms), '\\P{{Nd}}', '', 'g'), '{''.join(H.DIGITS)}', '{H.ASCII_DIGITS}')::BIGINT AS serial, {strip_sql('unnest(ts)')} AS text FROM marks) GROUP BY doc_id, serial)"
 
 
 @query("h1_serial_numbers", with_views("cues", f"{NUM} SELECT doc_id, cue_idx, serial FROM num"))

@@ -113,6 +113,22 @@ def b6(spark: SparkSession, sf: str) -> DataFrame:
     return X.quality_failures(meta, 100).select("job_id", F.array_join("failures", "; ").alias("failures"))
 
 
+@query("b6_unknown_values", "SELECT doc_id AS job_id, 3 - (doc_id % 3 = 0)::INT - (doc_id % 2 = 0)::INT AS n_failures FROM documents")
+def b6_unknown(spark: SparkSession, sf: str) -> DataFrame:
+    """Unknown rate, channels or duration break the rules; here a third know the rate, half the channels, none the duration."""
+    known = lambda n, x: F.when(F.col("doc_id") % n == 0, x).cast("long")
+    meta = V.table(spark, sf, "documents").select(F.col("doc_id").alias("job_id"), known(3, 16000).alias("rate"), known(2, 1).alias("channels"), F.lit(None).cast("double").alias("duration_sec"), F.lit(1.0).alias("source_duration_sec"))
+    return X.quality_failures(meta).select("job_id", F.size("failures").alias("n_failures"))
+
+
+@query("b6_chunk_duration", with_views("timed", "SELECT job_id, chunk_id FROM timed WHERE chunk_id % 3 <> 0"))
+def b6_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every three chunks one was written whole, one is two milliseconds short, and of one the length is unknown."""
+    rows = V.timed_lines(spark, sf).select("job_id", "chunk_id", (F.col("start_ms") * 16).alias("start_sample"), (F.col("end_ms") * 16).alias("end_sample"), (F.col("dur_ms") / 1000).alias("d"))
+    rows = rows.withColumn("duration_sec", F.when(F.col("chunk_id") % 3 == 0, F.col("d")).when(F.col("chunk_id") % 3 == 1, F.col("d") - 0.002))
+    return X.chunk_failures(rows).select("job_id", "chunk_id")
+
+
 @query("b7_param_overlay", "SELECT doc_id AS job_id, CASE WHEN doc_id % 3 = 0 THEN 0.3 ELSE 0.5 END::DOUBLE AS threshold, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 2.0 ELSE 3.0 END::DOUBLE AS max_absorb_gap FROM documents")
 def b7(spark: SparkSession, sf: str) -> DataFrame:
     jobs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("job_id"))
@@ -142,12 +158,26 @@ def d2_whole(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "documents").select("doc_id", T.template_prompt(F.lit(TEMPLATE), F.col("text"), F.when(F.col("doc_id") % 4 == 0, "auto").otherwise(F.col("lang")), terms).alias("prompt"))
 
 
-@query("d3_request_payload", "SELECT doc_id, lang AS model, text AS prompt FROM documents")
+_SETTINGS = "'temperature', 1.0::DOUBLE, '{p}', 0.95::DOUBLE, '{k}', 64, '{m}', 4096"
+_CHAT = "json_object('model', lang, 'messages', json_array(json_object('role', 'user', 'content', json_array(json_object('type', 'text', 'text', text), json_object('type', 'input_audio', 'input_audio', json_object('data', to_base64(encode(text)), 'format', 'wav'))))), " + _SETTINGS.format(p="top_p", k="top_k", m="max_tokens") + "{extra})::VARCHAR"
+_GEMINI = "json_object('contents', json_array(json_object('parts', json_array(json_object('text', text), json_object('inline_data', json_object('mime_type', 'audio/wav', 'data', to_base64(encode(text))))))), 'generationConfig', json_object(" + _SETTINGS.format(p="topP", k="topK", m="maxOutputTokens") + "))::VARCHAR"
+_QUIET = ", 'chat_template_kwargs', json_object('enable_thinking', false)"
+
+
+@query("d3_request_payload", f"SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN {_GEMINI} WHEN 1 THEN {_CHAT.format(extra='')} ELSE {_CHAT.format(extra=_QUIET)} END) AS payload FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
 def d3(spark: SparkSession, sf: str) -> DataFrame:
-    """Chat-completions payloads, read back field by field."""
-    message = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
-    payload = F.to_json(F.struct(F.col("lang").alias("model"), message.alias("messages"), F.lit(0).alias("temperature")))
-    return V.table(spark, sf, "documents").select("doc_id", payload.alias("p")).select("doc_id", F.get_json_object("p", "$.model").alias("model"), F.get_json_object("p", "$.messages[0].content").alias("prompt"))
+    """Whole payloads of both providers; the text's bytes stand for the audio."""
+    docs = V.table(spark, sf, "documents").where("text is not null and lang is not null")
+    sound, turn = F.col("text").cast("binary"), F.col("doc_id") % 3
+    chat = lambda thinking: T.chat_payload(F.col("lang"), F.col("text"), sound, thinking=thinking)
+    payload = F.when(turn == 0, T.gemini_payload(F.col("text"), sound)).when(turn == 1, chat(True)).otherwise(chat(False))
+    return docs.select("doc_id", F.md5(payload).alias("payload"))
+
+
+@query("d3_text_payload", "SELECT doc_id, md5(json_object('messages', json_array(json_object('role', 'system', 'content', 'Translate to ' || lang), json_object('role', 'user', 'content', text)), 'chat_template_kwargs', json_object('enable_thinking', false))::VARCHAR) AS payload FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
+def d3_text(spark: SparkSession, sf: str) -> DataFrame:
+    docs = V.table(spark, sf, "documents").where("text is not null and lang is not null")
+    return docs.select("doc_id", F.md5(T.text_payload(F.concat(F.lit("Translate to "), "lang"), F.col("text"))).alias("payload"))
 
 
 @query("d5_response_text", "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN text END AS answer FROM documents")

@@ -180,12 +180,18 @@ def c14(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j1_session_merge", with_views("frames", f"{MERGED} SELECT {_OUT} FROM merged"))
 def j1(spark: SparkSession, sf: str) -> DataFrame:
-    """The streaming session merge on the batch rows; tests run it as a stream."""
-    from ..streaming.stateful import speech_sessions
+    """The session merge as a stream over event files. A last event far ahead moves the watermark past all others, which closes their sessions."""
+    from ..streaming.stateful import result_stream, speech_sessions
+    from .folders import shared_folder
+    from .stream_queries import run_to_end
 
+    folder = shared_folder(spark)
     ts = lambda c: F.timestamp_millis(c)
-    raw = S.threshold_islands(V.frames(spark, sf), 0.5, FRAME)
-    out = speech_sessions(raw.select("job_id", ts(F.col("start_ms")).alias("ts"), ts(F.col("end_ms")).alias("end_ts")), "500 milliseconds", "1 hour")
+    raw = S.threshold_islands(V.frames(spark, sf), 0.5, FRAME).select("job_id", "start_ms", "end_ms")
+    end = raw.agg((F.max("end_ms") + 10**8).alias("start_ms")).select(F.lit(None).cast(raw.schema["job_id"].dataType).alias("job_id"), "start_ms", (F.col("start_ms") + 1).alias("end_ms"))
+    raw.unionByName(end).select("job_id", ts(F.col("start_ms")).alias("ts"), ts(F.col("end_ms")).alias("end_ts")).write.parquet(f"{folder}/in")
+    events = result_stream(spark, f"{folder}/in", f"job_id {raw.schema['job_id'].dataType.simpleString()}, ts timestamp, end_ts timestamp")
+    out = run_to_end(speech_sessions(events, "500 milliseconds", "1 hour"), folder).where("job_id is not null")
     return out.select("job_id", F.unix_millis("start_ts").alias("start_ms"), F.unix_millis("end_ts").alias("end_ms"))
 
 

@@ -9,9 +9,9 @@ from ..operators import evaluation as E
 from ..sources import manifests as M
 from ..sources import texts as X
 from . import views as V
+from .folders import shared_folder
 from .registry import query
 from .scalar_queries import PAIRED
-from .stream_queries import shared_folder
 from .views import with_views
 
 
@@ -22,19 +22,21 @@ def a3(spark: SparkSession, sf: str) -> DataFrame:
     rows = V.timed_lines(spark, sf).select(F.col("job_id").cast("string").alias("job_id"), F.col("chunk_id").cast("int").alias("chunk_id"), "status", (F.col("start_ms") / 1000).alias("start_sec"), (F.col("end_ms") / 1000).alias("end_sec"))
     jobs = rows.select("job_id").distinct().withColumns({"source_file": F.concat("job_id", F.lit(".wav")), "source_mtime": F.lit("-"), "source_size": F.lit(1).cast("long")})
     M.write_manifests(M.build_manifests(jobs, rows, jobs.limit(0)), folder)
-    read = spark.read.schema(M.MANIFEST).json(folder)
-    return M.chunk_rows(read).select("job_id", F.col("chunk_id").cast("long").alias("chunk_id"), "status", "start_sec", "end_sec")
+    return M.chunk_rows(M.read_manifests(spark, folder)).select("job_id", F.col("chunk_id").cast("long").alias("chunk_id"), "status", "start_sec", "end_sec")
 
 
 @query("a6_chunk_text_sink", with_views("timed", "SELECT job_id, chunk_id, 'raw' AS kind, md5(text) AS text FROM timed UNION ALL SELECT job_id, chunk_id, 'fixed', md5('2' || text) FROM timed WHERE chunk_id % 2 = 0"))
 def a6(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw and corrected texts side by side; the corrected ones are written twice, the second time counts."""
+    """Raw and corrected texts side by side, one half of the jobs after the other; the corrected ones are written twice, the second time counts."""
     folder = shared_folder(spark)
     rows = V.timed_lines(spark, sf).select("job_id", "chunk_id", F.lit("raw").alias("kind"), "text")
     fixed = lambda n: rows.where("chunk_id % 2 = 0").withColumns({"kind": F.lit("fixed"), "text": F.concat(F.lit(n), "text")})
-    X.write_chunk_texts(rows.union(fixed("1")), folder)
-    X.write_chunk_texts(fixed("2"), folder)
-    return spark.read.parquet(folder).select("job_id", "chunk_id", "kind", F.md5("text").alias("text"))
+    first = rows.union(fixed("1"))
+    X.write_chunk_texts(first.where("job_id % 2 = 0"), folder, 1)
+    X.write_chunk_texts(first.where("job_id % 2 = 1"), folder, 2)
+    X.write_chunk_texts(fixed("2"), folder, 3)
+    X.write_chunk_texts(fixed("2"), folder, 3)
+    return X.latest_chunk_texts(spark, folder).select("job_id", "chunk_id", "kind", F.md5("text").alias("text"))
 
 
 @query("a10_eval_report", with_views("evals", f"{PAIRED} SELECT sample_id, round(auto_norm, 6) AS auto_norm, round(hinted_norm, 6) AS hinted_norm FROM paired"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,21 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse
 from ..streaming import stateful as J
 from . import views as V
+from .folders import shared_folder
 from .registry import query
 from .transcript_queries import _LIVE, srt_sql
 from .views import with_views
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a temporary one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def _results(spark: SparkSession, sf: str, folder: str) -> DataFrame:
     """Timed lines as result files, and a stream over them."""
     rows = V.timed_lines(spark, sf).withColumn("attempt", F.lit(1))
@@ -32,7 +24,19 @@ def _results(spark: SparkSession, sf: str, folder: str) -> DataFrame:
     return J.result_stream(spark, f"{folder}/in", rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
 
 
-def _run(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Within, streams keep their state in RocksDB, which stateful processors need; afterwards the session has its own setting again."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """The stream's rows once all files are read."""
     spark = stream.sparkSession
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
@@ -45,17 +49,34 @@ SELECT job_id, chunk_id, status, CASE WHEN status <> 'failed' AND form = last_va
 def j2(spark: SparkSession, sf: str) -> DataFrame:
     """Each three neighbours say the same, so all but the first are echoes; chunks arrive in any order."""
     folder = shared_folder(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     text = F.md5(F.concat(F.floor(F.col("chunk_id") / 3).cast("string"), F.col("status")))
-    return _run(J.filter_echoes(_results(spark, sf, folder).withColumn("text", text)), folder).select("job_id", "chunk_id", "status", "text")
+    with rocksdb(spark):
+        return run_to_end(J.filter_echoes(_results(spark, sf, folder).withColumn("text", text)), folder).select("job_id", "chunk_id", "status", "text")
 
 
 @query("j2_stateful_echo_filter_whole")
 def j2_whole(spark: SparkSession, sf: str) -> DataFrame:
     """The same over the lines' own texts, whole."""
     folder = shared_folder(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _run(J.filter_echoes(_results(spark, sf, folder)), folder).select("job_id", "chunk_id", "status", "text")
+    with rocksdb(spark):
+        return run_to_end(J.filter_echoes(_results(spark, sf, folder)), folder).select("job_id", "chunk_id", "status", "text")
+
+
+@query("j2_late_retries", with_views("timed", "SELECT job_id, chunk_id, 'transcribed' AS status, md5(text) AS text, FALSE AS late FROM timed WHERE status <> 'failed' UNION ALL SELECT job_id, chunk_id, 'failed', md5(''), FALSE FROM timed WHERE status = 'failed' UNION ALL SELECT job_id, chunk_id, 'transcribed', md5('again' || chunk_id), TRUE FROM timed WHERE status = 'failed'"))
+def j2_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Every failed chunk succeeds in a second file; each text carries its chunk's number, so none is an echo."""
+    folder = shared_folder(spark)
+    rows = V.timed_lines(spark, sf).select("job_id", "chunk_id", F.when(F.col("status") == "failed", "failed").otherwise("transcribed").alias("status"), F.col("text").alias("own"))
+    first = rows.select("job_id", "chunk_id", "status", F.when(F.col("status") != "failed", F.concat(F.col("chunk_id").cast("string"), F.lit("|"), "own")).alias("text"))
+    first.write.parquet(f"{folder}/in")
+    schema = "job_id long, chunk_id long, status string, text string"
+    with rocksdb(spark):
+        run_to_end(J.filter_echoes(J.result_stream(spark, f"{folder}/in", schema)), folder)
+        again = rows.where("status = 'failed'").select("job_id", "chunk_id", F.lit("transcribed").alias("status"), F.concat(F.lit("again"), F.col("chunk_id").cast("string")).alias("text"))
+        again.write.mode("append").parquet(f"{folder}/in")
+        out = run_to_end(J.filter_echoes(J.result_stream(spark, f"{folder}/in", schema)), folder)
+    text = F.when(F.col("late") | (F.col("status") == "failed"), F.col("text")).otherwise(F.regexp_replace("text", r"(?s)^\d+\|", ""))
+    return out.select("job_id", "chunk_id", "status", F.md5(text).alias("text"), "late")
 
 
 @query("j3_rerender", with_views("timed", f"{_LIVE} {srt_sql('live')}"))
@@ -77,8 +98,8 @@ def j4(spark: SparkSession, sf: str) -> DataFrame:
     """A stream stopped after all files and started again reads none twice."""
     folder = shared_folder(spark)
     stream = _results(spark, sf, folder).select("job_id", "chunk_id", "status")
-    _run(stream, folder)
-    return _run(stream, folder)
+    run_to_end(stream, folder)
+    return run_to_end(stream, folder)
 
 
 @query("j5_running_progress", with_views("timed", "SELECT job_id, count(*) AS attempted, count_if(status = 'transcribed') AS transcribed, round(avg(CASE WHEN status = 'transcribed' THEN elapsed_ms END), 6) AS mean_ms FROM timed WHERE status <> 'vad_extracted' GROUP BY job_id"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SPEAKER, asr_text, collapse
+from ..functions.text import SPEAKER, asr_text, collapse, provider_answer
 from ..operators import captions as C
 from ..operators import correction as K
 from ..operators import transcripts as X
 from ..params import FilterParams
 from . import views as V
 from .registry import query
+from .folders import shared_folder
 from .scalar_queries import collapse_sql, dedup_sql, sql_clock, strip_sql
 from .views import with_views
 
@@ -106,7 +107,7 @@ coalesce(last_value(genuine IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY chu
 
 
 def _filtered(spark: SparkSession, sf: str, strip: bool) -> DataFrame:
-    out = X.suppress_echoes(injected(spark, sf), FilterParams(strip_repetition=strip))
+    out = X.suppress_echoes(injected(spark, sf), FilterParams(dedup_repeated=True, strip_repetition=strip))
     return out.select("job_id", "chunk_id", "text", F.array_join("flags", ",").alias("flags"), "context")
 
 
@@ -134,7 +135,7 @@ def d12(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, sf: str, strip: bool) -> DataFrame:
-    out = X.suppress_echoes(timed(spark, sf).select("job_id", "chunk_id", "status", "text"), FilterParams(strip_repetition=strip))
+    out = X.suppress_echoes(timed(spark, sf).select("job_id", "chunk_id", "status", "text"), FilterParams(dedup_repeated=True, strip_repetition=strip))
     return out.select("job_id", "chunk_id", "text", F.array_join("flags", ",").alias("flags"), "context")
 
 
@@ -179,10 +180,31 @@ def d15(spark: SparkSession, sf: str) -> DataFrame:
     return X.run_summary(timed(spark, sf).withColumn("flags", F.expr(_FLAGS)))
 
 
-@query("d16_language_rule", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE lang END AS language FROM documents")
+@query("d16_language_rule", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'configured' WHEN doc_id % 3 = 0 THEN '?' ELSE lang END AS language, CASE WHEN doc_id % 2 = 1 AND doc_id % 3 <> 0 THEN {strip_sql('text')} ELSE {strip_sql('raw')} END AS text FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'language ' || lang || '<asr_text>' || text END AS raw FROM documents)")
 def d16(spark: SparkSession, sf: str) -> DataFrame:
-    """A provider that names no language gets the configured one."""
-    return V.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit("en")).otherwise(F.col("lang")).alias("language"))
+    """Answers of two providers: one names no language and its whole answer is text, the other's is parsed."""
+    docs = V.table(spark, sf, "documents")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("language "), "lang", F.lit("<asr_text>"), "text"))
+    language, text = provider_answer(F.when(F.col("doc_id") % 2 == 0, "gemini").otherwise("local"), raw, F.lit("configured"))
+    return docs.select("doc_id", language.alias("language"), text.alias("text"))
+
+
+@query("d4_stop_and_progress", with_views("timed", "SELECT count_if(chunk_id <= 3) AS asked, count_if(chunk_id <= 3 AND chunk_id <> 2) AS ok, count_if(chunk_id = 2) AS failed, count_if(chunk_id > 3) AS stopped FROM timed"))
+def d4_stop(spark: SparkSession, sf: str) -> DataFrame:
+    """A model that fails on second chunks, asked for the first three chunks of each job and stopped before the others; the counts are the observation of that run."""
+
+    def fails(request: str) -> str:
+        if request == "2":
+            raise RuntimeError("no answer")
+        return request
+
+    rows = timed(spark, sf).select("job_id", "chunk_id", F.col("chunk_id").cast("string").alias("request"))
+    done = X.model_map(rows.where("chunk_id <= 3"), ["job_id", "chunk_id"], fails)
+    left = X.model_map(rows.where("chunk_id > 3"), ["job_id", "chunk_id"], fails, stop=lambda: True)
+    out, seen = X.observed(done.union(left))
+    out.write.parquet(shared_folder(spark))
+    told = seen.get
+    return spark.createDataFrame([tuple(int(told[c]) for c in ("asked", "ok", "failed", "stopped"))], "asked long, ok long, failed long, stopped long")
 
 
 @query("i6_flagged_rate", with_views("timed", "SELECT job_id, round(avg((chunk_id % 4 = 0)::INT), 6) AS flagged_rate FROM timed GROUP BY job_id"))
@@ -201,7 +223,8 @@ def _prior(spark: SparkSession, sf: str) -> DataFrame:
 
 def _carried(spark: SparkSession, sf: str, mode: str) -> DataFrame:
     chunks = timed(spark, sf)
-    texts = chunks.where("chunk_id % 5 <> 0").select("job_id", "chunk_id", "text")
+    raw = chunks.where("chunk_id % 5 <> 0").select("job_id", "chunk_id", F.lit("raw").alias("kind"), "text")
+    texts = raw.union(raw.withColumn("kind", F.lit("fixed")))  # a corrected text beside each raw one
     new = chunks.select("job_id", "chunk_id", "start_ms", "end_ms", F.lit("vad_extracted").alias("status"))
     return X.carry_prior(new, texts, _prior(spark, sf), mode).select("job_id", "chunk_id", "status", "language", "elapsed_ms")
 
@@ -272,7 +295,9 @@ def f2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f3_correction_requests", with_views("timed", f"RECURSIVE{GROUPED} SELECT job_id, g AS group_id, chunk_id, md5(block || chr(10) || chr(10) || '<CURRENT>' || chr(10) || chunk_id || ' ' || text || chr(10) || '</CURRENT>') AS request FROM n JOIN r USING (job_id, chunk_id) JOIN blocks USING (job_id, g)"))
 def f3(spark: SparkSession, sf: str) -> DataFrame:
-    u = units(spark, sf)
+    folder = shared_folder(spark)
+    units(spark, sf).write.parquet(folder)  # read three times below
+    u = spark.read.parquet(folder)
     groups = K.context_groups(u, _LIMIT, _GROUPS)
     return K.correction_requests(u, groups, K.transcript_blocks(u, groups)).withColumn("request", F.md5("request"))
 
@@ -302,7 +327,7 @@ def f4(spark: SparkSession, sf: str) -> DataFrame:
 
     u = units(spark, sf)
     groups = K.context_groups(u, _LIMIT, _GROUPS)
-    out = X.model_map(K.correction_requests(u, groups, K.transcript_blocks(u, groups)), ["job_id", "chunk_id"], stub)
+    out = K.correction_map(u, groups, K.transcript_blocks(u, groups), stub)
     return K.corrected_texts(out, u).select("job_id", "chunk_id", "text")
 
 

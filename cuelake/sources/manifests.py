@@ -9,8 +9,10 @@ from ..schemas import MANIFEST
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest documents of a file, a folder or a glob, with the declared schema."""
-    return spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    """Manifest documents below a folder, with the declared schema: files of one document each, and what ``write_manifests`` wrote (``part-*``, one document a line)."""
+    files = spark.read.schema(MANIFEST).option("recursiveFileLookup", True)
+    lines = files.option("pathGlobFilter", "part-*.json").json(path)
+    return lines.unionByName(files.option("pathGlobFilter", "{[!p]*,p[!a]*,pa[!r]*,par[!t]*,part[!-]*}.json").option("multiLine", True).json(path))
 
 
 def chunk_rows(manifests: DataFrame) -> DataFrame:

@@ -22,14 +22,24 @@ def with_text(chunks: DataFrame, texts: DataFrame, kind: str = "raw") -> DataFra
     return chunks.drop("text").join(own, ["job_id", "chunk_id"], "left").withColumn("text", F.coalesce(collapse(F.col("_text")), F.lit(""))).drop("_text")
 
 
-def write_chunk_texts(texts: DataFrame, path: str) -> None:
-    """Parquet by kind; only the kinds at hand are overwritten."""
-    texts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(path)
+def write_chunk_texts(texts: DataFrame, path: str, version: int) -> None:
+    """Texts of one run, whatever jobs and kinds it holds, under a ``version`` of its own; a run written again replaces itself alone."""
+    _versioned(texts.withColumn("version", F.lit(version)), path, "kind")
+
+
+def latest_chunk_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(job_id, chunk_id, kind, text): the newest version of each."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("job_id", "chunk_id", "kind").agg(F.max_by("text", "version").alias("text"))
+
+
+def _versioned(rows: DataFrame, path: str, first: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(first, "version").parquet(path)
 
 
 def write_stage(captions: DataFrame, path: str, stage: str, version: int) -> None:
-    """Caption texts of a stage (raw, corrected, translated, postprocessed) under a version of their own; nothing earlier is overwritten."""
-    captions.withColumns({"stage": F.lit(stage), "version": F.lit(version)}).write.mode("append").partitionBy("stage", "version").parquet(path)
+    """Caption texts of a stage (raw, corrected, translated, postprocessed) under a version of their own; only that version, written again, is replaced."""
+    _versioned(captions.withColumns({"stage": F.lit(stage), "version": F.lit(version)}), path, "stage")
 
 
 def latest_stage(spark: SparkSession, path: str, stage: str) -> DataFrame:

@@ -29,58 +29,80 @@ def running_progress(results: DataFrame) -> DataFrame:
 class EchoFilter(StatefulProcessor):
     """Echo filter of one job: chunks are taken in the order of their ids; those that come early wait in state until the hole closes.
 
-    State: next id, form of the last genuine text, length of the run of failures. A few values a job,
-    plus the chunks that wait.
+    A hole before which ``patience`` chunks wait is passed over. A chunk that comes after its turn (a retry that succeeds, or one that was passed
+    over) is told at once as a late row, compared with the genuine text that stood before it; what followed stays as it was told.
+
+    State: next id, form of the last genuine text, length of the run of failures; the chunks that wait; for each chunk that failed or was passed over, the form before it.
     """
 
-    def __init__(self, first_id: int = 1):
-        self.first_id = first_id
+    def __init__(self, first_id: int = 1, patience: int | None = None):
+        self.first_id, self.patience = first_id, patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.place = handle.getValueState("place", "next long, form string, failures int")
         self.waiting = handle.getMapState("waiting", "chunk_id long", "status string, text string, form string")
+        self.missed = handle.getMapState("missed", "chunk_id long", "form string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         following, last, failures = self.place.get() if self.place.exists() else (self.first_id, "", 0)
+        out = []
         for pdf in rows:
             for r in pdf.itertuples():
-                if r.chunk_id >= following:
-                    self.waiting.updateValue((int(r.chunk_id),), (r.status, r.text or "", r.form or ""))
-        out = []
-        while self.waiting.containsKey((following,)):
+                i, text, form = int(r.chunk_id), r.text or "", r.form or ""
+                if i >= following:
+                    self.waiting.updateValue((i,), (r.status, text, form))
+                elif self.missed.containsKey((i,)) and r.status != "failed":
+                    (before,) = self.missed.getValue((i,))
+                    self.missed.removeKey((i,))
+                    echo = form != "" and form == before
+                    out.append((key[0], i, r.status, "" if echo else text, echo, 0, True))
+        while True:
+            if not self.waiting.containsKey((following,)):
+                ids = sorted(k[0] for k in self.waiting.keys()) if self.patience is not None else []
+                if not ids or len(ids) < self.patience:
+                    break
+                for i in range(following, ids[0]):
+                    self.missed.updateValue((i,), (last,))
+                following = ids[0]
             status, text, form = self.waiting.getValue((following,))
             self.waiting.removeKey((following,))
             echo = status != "failed" and form != "" and form == last
             failures = failures + 1 if status == "failed" else 0
-            if status != "failed" and not echo:
+            if status == "failed":
+                self.missed.updateValue((following,), (last,))
+            elif not echo:
                 last = form
-            out.append((key[0], following, status, "" if echo else text, echo, failures))
+            out.append((key[0], following, status, "" if echo else text, echo, failures, False))
             following += 1
         self.place.update((following, last, failures))
-        yield pd.DataFrame(out, columns=["job_id", "chunk_id", "status", "text", "echo", "failures"])
+        yield pd.DataFrame(out, columns=["job_id", "chunk_id", "status", "text", "echo", "failures", "late"])
 
     def close(self) -> None:
         pass
 
 
-def filter_echoes(results: DataFrame, first_id: int = 1) -> DataFrame:
-    """Streaming ``results(job_id, chunk_id, status, text)`` with echoes blanked and the run of failures at each chunk (append mode, RocksDB state store)."""
+def filter_echoes(results: DataFrame, first_id: int = 1, patience: int | None = None) -> DataFrame:
+    """Streaming ``results(job_id, chunk_id, status, text)`` with echoes blanked, the run of failures at each chunk, and whether a row came late, to
+    replace an earlier one of its chunk (append mode, RocksDB state store)."""
     kind = results.schema["job_id"].dataType.simpleString()
     rows = results.select("job_id", F.col("chunk_id").cast("long").alias("chunk_id"), "status", "text", dedup_form(F.coalesce("text", F.lit(""))).alias("form"))
-    return rows.groupBy("job_id").transformWithStateInPandas(EchoFilter(first_id), f"job_id {kind}, chunk_id long, status string, text string, echo boolean, failures int", "Append", "None")
+    return rows.groupBy("job_id").transformWithStateInPandas(EchoFilter(first_id, patience), f"job_id {kind}, chunk_id long, status string, text string, echo boolean, failures int, late boolean", "Append", "None")
 
 
-def rerender(path: str, publish: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+def rerender(path: str, publish: Callable[[DataFrame, int], None], buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: keeps each attempt at ``(job_id, chunk_id, attempt)``, renders the captions of the batch's jobs anew, and publishes them.
 
-    A batch writes its own partition, so one that runs twice changes nothing; a later attempt replaces a failed chunk.
+    A batch writes its own partitions, so one that runs twice changes nothing; a later attempt replaces a failed chunk. Attempts lie in
+    buckets of the job, and a batch reads only those that its jobs are in.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
+        batch.withColumns({"batch": F.lit(batch_id), "bucket": bucket}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
         jobs = batch.select("job_id").distinct()
-        attempts = spark.read.parquet(path).join(jobs, "job_id", "left_semi")
+        mine = [r[0] for r in jobs.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets``
+        attempts = spark.read.parquet(path).where(F.col("bucket").isin(mine)).join(jobs, "job_id", "left_semi")
         latest = attempts.groupBy("job_id", "chunk_id").agg(F.max_by(F.struct("start_ms", "end_ms", "status", "text"), "attempt").alias("r")).select("job_id", "chunk_id", "r.*")
         publish(render_srt(live_captions(latest)), batch_id)
 

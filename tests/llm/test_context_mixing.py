@@ -105,12 +105,13 @@ def test_empty(spark):
 
 def test_contexts_are_counted_apart_however_many():
     """200,000 contexts, more than any table of 65,536 slots, each with one byte of its own: the pairs' logits are exact."""
-    from cuelake.llm.mixing_lm import path_logits
+    from cuelake.llm.mixing_lm import path_logits, signed
 
     rng = np.random.default_rng(7)
     context = np.unique(rng.integers(0, 2**56, 200_000, dtype=np.uint64))
     byte, n = rng.integers(0, 256, len(context)).astype(np.uint64), rng.integers(0, 5, len(context))
-    got = path_logits(context << np.uint64(8) | byte, n, 0.4)
+    v = context << np.uint64(8) | byte
+    got = signed(path_logits(v, n, 0.4), v)
     ones = (byte[:, None] >> np.arange(7, -1, -1).astype(np.uint64) & np.uint64(1)).astype(bool)
     expected = np.rint(8 * np.log((n + 0.4) / 0.4))[:, None] * np.where(ones, 1, -1)
     assert (got == expected).all()
@@ -171,10 +172,9 @@ def test_places_and_pairs_agree():
     rng = random.Random(2)
     texts = ["".join(rng.choice("ab \u00e9") for _ in range(rng.randint(0, 90))).encode() for _ in range(50)] + [b"a" * 3000]
     pairs = lm.block_pairs(texts, [i % 3 > 0 for i in range(len(texts))])
-    for k, (v, n) in enumerate(pairs):
-        size, place = lm.block_places(texts, k)
+    for k, ((v, n), (own, place)) in enumerate(zip(pairs, lm.block_places(texts))):
         keys = np.concatenate([lm.Contexts(lm._joined([t])).keys(k) for t in texts])
         learn = np.repeat([i % 3 > 0 for i in range(len(texts))], [len(t) + 1 for t in texts])
-        assert size == len(v) and (v[place] == keys).all()
+        assert (own == v).all() and (v[place] == keys).all()
         count = Counter(keys[learn].tolist())
         assert n.tolist() == [count[x] for x in v.tolist()]

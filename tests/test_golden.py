@@ -1,5 +1,7 @@
 """Golden cases, one behaviour each."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,29 +37,29 @@ def test_eta(spark, sec, eta):
     assert one(spark, T.format_eta(F.col("s")), s=sec) == eta
 
 
-@pytest.mark.parametrize("text, unit", [("네" * 10, "네네"), ("xxabababababyy", "ab"), ("abab", None), ("a\nba\nba\nba\nba\nb", "a\nb")])
+@pytest.mark.parametrize("text, unit", [("ö" * 11, "öö"), ("xxabababababyy", "ab"), ("abab", None), ("a\nba\nba\nba\nba\nb", "a\nb")])
 def test_repetition(spark, text, unit):
     assert one(spark, T.repetition(F.col("t")), t=text) == unit
 
 
 def test_asr_response(spark):
-    raw = "language Korean<asr_text>마이크 테스트"
-    assert one(spark, T.asr_language(F.col("t")), t=raw) == "Korean" and one(spark, T.asr_text(F.col("t")), t=raw) == "마이크 테스트"
+    raw = "language Finnish<asr_text>yksi, kaksi"
+    assert one(spark, T.asr_language(F.col("t")), t=raw) == "Finnish" and one(spark, T.asr_text(F.col("t")), t=raw) == "yksi, kaksi"
     assert one(spark, T.asr_language(F.col("t")), t="x") == "?" and one(spark, T.asr_text(F.col("t")), t=" x　") == "x"
 
 
 def test_dedup_form(spark):
-    assert one(spark, T.dedup_form(F.col("t")), t="그렇습니다.") == one(spark, T.dedup_form(F.col("t")), t=" 그렇습니다…!")
+    assert one(spark, T.dedup_form(F.col("t")), t="Quite so.") == one(spark, T.dedup_form(F.col("t")), t=" quite\u3000SO…!")
     assert one(spark, T.dedup_form(F.col("t")), t="Straße  A.") == "strasse a"
 
 
-@pytest.mark.parametrize("ref, hyp, rate", [("", "", 0.0), ("", "x", 1.0), ("한국어", "한국", 1 / 3), ("abc", "abc", 0.0)])
+@pytest.mark.parametrize("ref, hyp, rate", [("", "", 0.0), ("", "x", 1.0), ("añb", "ab", 1 / 3), ("abc", "abc", 0.0)])
 def test_cer(spark, ref, hyp, rate):
     assert one(spark, T.cer(F.col("r"), F.col("h")), r=ref, h=hyp) == pytest.approx(rate)
 
 
 def test_cer_form(spark):
-    assert one(spark, T.cer_form(F.col("t")), t="안녕, 하세요。 (a-b) $1") == "안녕하세요ab$1"
+    assert one(spark, T.cer_form(F.col("t")), t="Ünder, this。 (a-b) $1") == "Ünderthisab$1"
 
 
 def test_prompts(spark):
@@ -105,7 +107,7 @@ def test_force_split(spark):
 
 # --- captions -----------------------------------------------------------------------------------------
 
-SRT = "1\n00:00:00,000 --> 00:00:02,000\n안녕하세요, 오늘은\n날씨가 참 좋네요.\n\n2\n00:00:02,500 --> 00:00:04,000\n다음 안건으로 넘어가겠습니다.\n"
+SRT = "7\n00:01:10,250 --> 00:01:12,000\nThe harbour opens\nat élan past nine.\n\n9\n01:00:00,000 --> 01:00:01,500\nNo boats leave.\n"
 
 
 def srt(spark, text, **k):
@@ -113,8 +115,8 @@ def srt(spark, text, **k):
 
 
 def test_parse_srt(spark):
-    assert srt(spark, SRT) == [(0.0, 2.0, "안녕하세요, 오늘은 날씨가 참 좋네요."), (2.5, 4.0, "다음 안건으로 넘어가겠습니다.")]
-    assert srt(spark, SRT, preserve_newlines=True)[0][2] == "안녕하세요, 오늘은\n날씨가 참 좋네요."
+    assert srt(spark, SRT) == [(70.25, 72.0, "The harbour opens at élan past nine."), (3600.0, 3601.5, "No boats leave.")]
+    assert srt(spark, SRT, preserve_newlines=True)[0][2] == "The harbour opens\nat élan past nine."
     assert srt(spark, SRT.replace("\n", "\r\n")) == srt(spark, SRT)
     assert srt(spark, "no timing\nhere\n\n1\nx 00:00:01,000 -->00:00:02,000 y\ntext\n\n2\n00:00:03,000 --> 00:00:04,000\n  \n") == [(1.0, 2.0, "text")]
     assert srt(spark, "00:00:01,000 --> 00:00:02,000\na\n \n2\n00:00:03,000 --> 00:00:04,000\nb") == [(1.0, 2.0, "a 2 00:00:03,000 --> 00:00:04,000 b")]
@@ -126,8 +128,8 @@ def cue(spark, text, start, end):
 
 
 def test_speaker_cues(spark):
-    a, b = C.speaker_cues(cue(spark, "이거 얼마예요?[[SPEAKER]]오천원입니다.", 0.0, 4.0)).orderBy("k").collect()
-    assert (a.text, b.text) == ("이거 얼마예요?", "오천원입니다.") and b.start_sec == pytest.approx(32 / 15) and a.end_sec == pytest.approx(32 / 15 - 0.08) and b.end_sec == 4.0
+    a, b = C.speaker_cues(cue(spark, "Is it far?[[SPEAKER]]A mile.", 0.0, 4.0)).orderBy("k").collect()
+    assert (a.text, b.text) == ("Is it far?", "A mile.") and b.start_sec == pytest.approx(40 / 17) and a.end_sec == pytest.approx(40 / 17 - 0.08) and b.end_sec == 4.0
     assert C.speaker_cues(cue(spark, " [[SPEAKER]] ", 0.0, 1.0)).count() == 0
 
 
@@ -163,13 +165,13 @@ def chunks(spark, rows):
 
 def test_echo_filter(spark):
     loop = "ab" * 6
-    rows = [("transcribed", "그렇습니다."), ("transcribed", "그렇습니다"), ("failed", None), ("transcribed", "그렇습니다!"), ("transcribed", loop), ("transcribed", loop), ("transcribed", ""), ("transcribed", "")]
-    got = X.suppress_echoes(chunks(spark, rows)).orderBy("chunk_id").collect()
-    assert [r.text for r in got] == ["그렇습니다.", "", "", "", loop, "", "", ""]
+    rows = [("transcribed", "Quite so."), ("transcribed", "quite so"), ("failed", None), ("transcribed", "Quite SO!"), ("transcribed", loop), ("transcribed", loop), ("transcribed", ""), ("transcribed", "")]
+    got = X.suppress_echoes(chunks(spark, rows), FilterParams(dedup_repeated=True)).orderBy("chunk_id").collect()
+    assert [r.text for r in got] == ["Quite so.", "", "", "", loop, "", "", ""]
     assert [r.flags for r in got] == [[], [X.DUPLICATE], [], [X.DUPLICATE], [X.REPEATED], [X.DUPLICATE], [], []]
-    assert [r.context for r in got] == ["", "그렇습니다.", "그렇습니다.", "그렇습니다.", "그렇습니다.", loop, loop, ""]
-    strict = X.suppress_echoes(chunks(spark, rows), FilterParams(strip_repetition=True)).orderBy("chunk_id").collect()
-    assert [r.text for r in strict][4:6] == ["", ""] and strict[5].flags == [X.REPEATED] and strict[6].context == "그렇습니다."
+    assert [r.context for r in got] == ["", *["Quite so."] * 4, loop, loop, ""]
+    strict = X.suppress_echoes(chunks(spark, rows), FilterParams(dedup_repeated=True, strip_repetition=True)).orderBy("chunk_id").collect()
+    assert [r.text for r in strict][4:6] == ["", ""] and strict[5].flags == [X.REPEATED] and strict[6].context == "Quite so."
 
 
 def test_breaker(spark):
@@ -185,7 +187,118 @@ def test_model_map_retries(spark):
         return request.upper()
 
     df = spark.createDataFrame([(1, "a"), (2, "bad")], "id int, request string")
-    assert sorted(tuple(r) for r in X.model_map(df, ["id"], flaky).collect()) == [(1, True, "A", None, 1), (2, False, None, "no", 2)]
+    got = sorted(X.model_map(df, ["id"], flaky).collect())
+    assert [tuple(r)[:5] for r in got] == [(1, True, "A", None, 1), (2, False, None, "no", 2)] and all(r.elapsed_ms >= 0 for r in got)
+
+
+def test_stop_and_progress(spark):
+    """Once told to stop, a map asks no more; what it did is observed."""
+    df = spark.createDataFrame([(i, "x") for i in range(10)], "id int, request string").coalesce(1)
+    asked = []
+
+    def stop():
+        return len(asked) >= 4
+
+    def model(request):
+        asked.append(request)
+        if len(asked) == 2:
+            raise ValueError("no")
+        return request
+
+    out, seen = X.observed(X.model_map(df, ["id"], model, retries=0, stop=stop), "test calls")
+    rows = sorted(out.collect())
+    assert [r.ok for r in rows] == [True, False, True, True] + [False] * 6 and {r.error for r in rows[4:]} == {X.STOPPED} and {r.attempts for r in rows[4:]} == {0}
+    told = seen.get
+    assert (told["asked"], told["ok"], told["failed"], told["stopped"]) == (4, 3, 1, 6) and told["mean_ms"] >= 0
+
+
+def test_correction_map(spark):
+    """Every call gets its group's whole block and the chunk; a group's calls follow each other."""
+    df = chunks(spark, [("transcribed", f"t{i}") for i in range(1, 6)])
+    groups = K.context_groups(df, 4, 2)
+    blocks = K.transcript_blocks(df, groups)
+    got = {r.chunk_id: r.raw for r in K.correction_map(df, groups, blocks, lambda request: request).collect()}
+    want = {r.chunk_id: r.request for r in K.correction_requests(df, groups, blocks).collect()}
+    assert got == want and len(got) == 5
+
+
+def test_translation_tells_failed_batches(spark):
+    def model(request):
+        if "rope" in request:
+            raise ValueError("no")
+        return request.upper()
+
+    answers = H.translate_batches(lines(spark, ["oar", "rope", "tar"]), 12, model)
+    assert [(r.batch_id, r.ok, r.error) for r in answers.orderBy("batch_id").collect()] == [(1, True, None), (2, False, "no"), (3, True, None)]
+    assert [(r.serial, r.text) for r in H.translated(answers).orderBy("serial").collect()] == [(1, "OAR"), (3, "TAR")]
+
+
+def test_payloads(spark):
+    import json
+
+    sound = F.lit(b"RIFF" * 40)
+    chat = json.loads(one(spark, T.chat_payload(F.lit("m"), F.lit('a "b"'), sound, temperature=0.0, thinking=False)))
+    assert chat["messages"][0]["content"][0] == {"type": "text", "text": 'a "b"'} and "\n" not in chat["messages"][0]["content"][1]["input_audio"]["data"]
+    assert chat["temperature"] == 0.0 and chat["chat_template_kwargs"] == {"enable_thinking": False} and (chat["top_k"], chat["max_tokens"]) == (64, 4096)
+    assert "chat_template_kwargs" not in json.loads(one(spark, T.chat_payload(F.lit("m"), F.lit("a"), sound)))
+    gemini = json.loads(one(spark, T.gemini_payload(F.lit("a"), sound)))
+    assert gemini["contents"][0]["parts"][1]["inline_data"]["mime_type"] == "audio/wav" and gemini["generationConfig"]["topK"] == 64
+    assert [m["role"] for m in json.loads(one(spark, T.text_payload(F.lit("s"), F.lit("u"))))["messages"]] == ["system", "user"]
+
+
+def test_provider_answer(spark):
+    raw = F.lit(" language Finnish<asr_text> yksi ")
+    answer = lambda p: [one(spark, c) for c in T.provider_answer(F.lit(p), raw, F.lit("Korean"))]
+    assert answer("gemini") == ["Korean", "language Finnish<asr_text> yksi"] and answer("local") == ["Finnish", "yksi"]
+
+
+def test_quality_rules_know_unknown_values(spark):
+    rows = [(1, 16000, 1, 5.0, 5.05), (2, None, 1, 5.0, 5.0), (3, 16000, None, None, 5.0)]
+    got = {r.job_id: len(r.failures) for r in X.quality_failures(spark.createDataFrame(rows, "job_id int, rate int, channels int, duration_sec double, source_duration_sec double")).collect()}
+    assert got == {2: 1, 3: 2}
+    rows = [(1, 1, 0, 16000, 1.0), (1, 2, 0, 16000, 1.002), (1, 3, 0, 16000, None)]
+    assert [r.chunk_id for r in X.chunk_failures(spark.createDataFrame(rows, "job_id int, chunk_id int, start_sample long, end_sample long, duration_sec double")).orderBy("chunk_id").collect()] == [2, 3]
+
+
+def test_carry_prior_takes_one_raw_text(spark):
+    new = spark.createDataFrame([(1, 1, 0, 10, "vad_extracted"), (1, 2, 10, 20, "vad_extracted")], "job_id int, chunk_id int, start_ms long, end_ms long, status string")
+    texts = spark.createDataFrame([(1, 1, "raw", "a"), (1, 1, "fixed", "A"), (1, 2, "fixed", "B")], "job_id int, chunk_id int, kind string, text string")
+    prior = spark.createDataFrame([(1, 0, 10, "en", 5), (1, 0, 10, "en", 5)], "job_id int, start_ms long, end_ms long, language string, elapsed_ms long")
+    assert [(r.chunk_id, r.status) for r in X.carry_prior(new, texts, prior).orderBy("chunk_id").collect()] == [(1, "transcribed"), (2, "vad_extracted")]
+
+
+def test_absorption_equals_a_plain_search():
+    """The heap takes the same steps as a search of all segments for the shortest that can be absorbed."""
+
+    def plain(rows, least, cap):
+        while True:
+            options = []
+            for i, (s, e) in enumerate(rows):
+                sides = [(s - rows[i - 1][1], 0)] if i else []
+                sides += [(rows[i + 1][0] - e, 1)] if i + 1 < len(rows) else []
+                if e - s < least and sides and (cap is None or min(sides)[0] <= cap):
+                    options.append((e - s, i, min(sides)[1]))
+            if not options:
+                return rows
+            _, i, after = min(options)
+            lo = i if after else i - 1
+            rows = [*rows[:lo], (rows[lo][0], max(rows[lo][1], rows[lo + 1][1])), *rows[lo + 2 :]]
+
+    rng = random.Random(1)
+    for _ in range(300):
+        at, rows = 0, []
+        for _ in range(rng.randint(1, 14)):
+            at += rng.randint(0, 6)
+            rows.append((at, at + rng.randint(1, 9)))
+            at = rows[-1][1] - rng.choice([0, 0, 0, 1])
+        cap = rng.choice([None, 0, 2, 4])
+        assert S._absorb(list(rows), 6, cap) == plain(rows, 6, cap)
+
+
+def test_envelope(spark):
+    df = spark.createDataFrame([(1, [float(x) for x in (3, 1, 2, 9, 8, 7, 5)]), (2, []), (3, [4.0])], "job_id int, samples array<float>")
+    got = sorted((r.job_id, r.row, r.bin, r.lo, r.hi) for r in S.envelope(df, 5, 2).collect())
+    assert got == [(1, 0, 0, 1.0, 3.0), (1, 0, 1, 2.0, 9.0), (1, 1, 0, 7.0, 7.0), (1, 1, 1, 5.0, 5.0), (3, 0, 0, 4.0, 4.0)]
 
 
 def test_context_groups(spark):
@@ -198,11 +311,13 @@ def test_context_groups(spark):
 
 
 @pytest.mark.parametrize("text, out", [
-    ("[00 07]|hello world\n[0008]|goodbye", {7: "hello world", 8: "goodbye"}),
-    ("[0001]|first cue[0002]|second cue[0003]|third cue", {1: "first cue", 2: "second cue", 3: "third cue"}),
-    ("[0001]|  line one\nline two  \n[0002]|next", {1: "line one\nline two", 2: "next"}),
+    ("[0 0 4 1]|low tide\n[ 0042 ] |high tide", {41: "low tide", 42: "high tide"}),
+    ("[0310]|port[0311]|bow[0312]|stern", {310: "port", 311: "bow", 312: "stern"}),
+    ("[0005]|\t upper deck\nlower deck \n[0006]|hold", {5: "upper deck\nlower deck", 6: "hold"}),
     ("x[0001]|a[0001]|b", {1: "b"}),
     ("[001]|x", {}),
+    ("[００07]|wide[00\u30000８\u2003]\u00a0|spaced[٠٠٠٩]|other script", {7: "wide", 8: "spaced", 9: "other script"}),
+    ("[99999999999999999999]|beyond[0001]|a", {1: "a"}),
 ])
 def test_markers(spark, text, out):
     df = spark.createDataFrame([(1, text)], "doc_id int, text string")
@@ -221,16 +336,16 @@ def test_marker_round_trip(spark):
 
 def test_batches(spark):
     of = lambda texts, n: [r.batch_id for r in H.batches(lines(spark, texts), n).orderBy("serial").collect()]
-    assert of(["x" * 10] * 5, 36) == [1, 1, 2, 2, 3] and of(["short", "x" * 500, "short2"], 50) == [1, 2, 3] and of(["a"], 1000) == [1]
+    assert of(["x" * 10] * 5, 36) == [1, 1, 2, 2, 3] and of(["ab", "y" * 300, "cd"], 50) == [1, 2, 3] and of(["a"], 1000) == [1]
 
 
 def test_merge(spark):
-    done = spark.createDataFrame([(1, 1, "ONE"), (1, 3, "THREE")], "doc_id int, serial long, text string")
-    merged = H.merge_translation(lines(spark, ["one", "two", "three"]), done)
-    assert [r.text for r in merged.orderBy("serial").collect()] == ["ONE", "two", "THREE"]
+    done = spark.createDataFrame([(1, 1, "Kiel"), (1, 3, "Segel")], "doc_id int, serial long, text string")
+    merged = H.merge_translation(lines(spark, ["keel", "mast", "sail"]), done)
+    assert [r.text for r in merged.orderBy("serial").collect()] == ["Kiel", "mast", "Segel"]
     assert tuple(H.merge_report(merged).first()) == (1, 3, 2, [2])
 
 
 def test_translate_with_a_model(spark):
-    out = H.translate(lines(spark, ["one", "two", "three"]), 25, lambda t: t.replace("o", "0"))
-    assert [r.text for r in out.orderBy("serial").collect()] == ["0ne", "tw0", "three"]
+    out = H.translate(lines(spark, ["oar", "rope", "tar"]), 25, lambda t: t.replace("a", "ä"))
+    assert [r.text for r in out.orderBy("serial").collect()] == ["oär", "rope", "tär"]

@@ -24,10 +24,21 @@ def test_manifest_round_trip(spark, tmp_path):
     jobs = read.drop("chunks")
     built = manifests.build_manifests(jobs, rows, jobs.select("job_id", F.lit("orig/y.m4a").alias("source_file"), "source_mtime", "source_size"))
     manifests.write_manifests(built, str(tmp_path / "out"))
-    again = spark.read.json(str(tmp_path / "out")).first()
+    again = manifests.read_manifests(spark, str(tmp_path / "out")).first()
     assert again.source_file == "orig/y.m4a" and again.output_srt == "orig/y.srt" and [c.id for c in again.chunks] == [1, 2]
 
 
+def test_written_manifests_are_read_whole(spark, tmp_path):
+    """Five jobs in one file of five lines, and one document of its own beside them."""
+    jobs = spark.createDataFrame([(f"j{i}", "x.wav", "-", 1) for i in range(5)], "job_id string, source_file string, source_mtime string, source_size long").coalesce(1)
+    rows = spark.createDataFrame([(f"j{i}", c, "transcribed") for i in range(5) for c in (1, 2)], "job_id string, chunk_id int, status string").coalesce(1)
+    out = str(tmp_path / "out")
+    manifests.write_manifests(manifests.build_manifests(jobs, rows, jobs.limit(0)).coalesce(1), out)
+    (tmp_path / "out" / "parked.json").write_text(json.dumps({"job_id": "j9", "chunks": []}, indent=2))
+    read = manifests.read_manifests(spark, out)
+    assert sorted(r.job_id for r in read.collect()) == ["j0", "j1", "j2", "j3", "j4", "j9"] and manifests.chunk_rows(read).count() == 10
+
+
 def test_chunk_texts(spark, tmp_path):
     folder = tmp_path / "job1" / "chunks"
     folder.mkdir(parents=True)
@@ -38,15 +49,21 @@ def test_chunk_texts(spark, tmp_path):
     chunks = spark.createDataFrame([("job1", 1), ("job1", 2)], "job_id string, chunk_id int")
     assert [r.text for r in texts.with_text(chunks, read).orderBy("chunk_id").collect()] == ["a b", ""]
     out = str(tmp_path / "table")
-    texts.write_chunk_texts(read, out)
-    texts.write_chunk_texts(read.where("kind = 'fixed'").withColumn("text", F.lit("new")), out)
-    assert sorted((r.kind, r.text) for r in spark.read.parquet(out).collect()) == [("fixed", "new"), ("raw", " a\n b ")]
+    texts.write_chunk_texts(read, out, 1)
+    texts.write_chunk_texts(read.where("kind = 'fixed'").withColumn("text", F.lit("new")), out, 2)
+    texts.write_chunk_texts(read.where("kind = 'fixed'").withColumns({"job_id": F.lit("job2"), "text": F.lit("other")}), out, 3)
+    for _ in range(2):
+        texts.write_chunk_texts(read.where("kind = 'raw'").withColumns({"job_id": F.lit("job2"), "text": F.lit("more")}), out, 4)
+    want = [("job1", "fixed", "new"), ("job1", "raw", " a\n b "), ("job2", "fixed", "other"), ("job2", "raw", "more")]
+    assert sorted((r.job_id, r.kind, r.text) for r in texts.latest_chunk_texts(spark, out).collect()) == want
 
 
 def test_versioned_stages(spark, tmp_path):
     out = str(tmp_path / "stages")
     for version, text in ((1, "old"), (2, "new")):
         texts.write_stage(spark.createDataFrame([(1, text)], "doc_id int, text string"), out, "raw", version)
+    texts.write_stage(spark.createDataFrame([(1, "new")], "doc_id int, text string"), out, "raw", 2)  # once more
+    assert spark.read.parquet(out).count() == 2
     texts.write_stage(spark.createDataFrame([(1, "ko")], "doc_id int, text string"), out, "translated", 1)
     assert [tuple(r) for r in texts.latest_stage(spark, out, "raw").collect()] == [(1, "new", 2)]
 

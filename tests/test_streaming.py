@@ -44,3 +44,17 @@ def test_rerender_takes_the_later_attempt(spark, tmp_path):
     fn(spark.createDataFrame([(1, 1, 2, 0, 1000, "transcribed", "a")], schema), 1)
     assert "[TRANSCRIPTION FAILED]" in seen[(0, 1)]
     assert seen[(1, 1)] == "1\n00:00:00,000 --> 00:00:01,000\na\n\n2\n00:00:01,000 --> 00:00:02,000\nb\n"
+
+
+def test_late_retries_and_patience(spark, tmp_path):
+    """A retry that succeeds is told as a late row; a hole that stays is passed over once enough chunks wait, and its chunk is late when it comes."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "job_id int, chunk_id int, status string, text string"
+    run = lambda: sorted((r.chunk_id, r.late, r.status, r.text, r.echo) for r in drain(J.filter_echoes(J.result_stream(spark, str(tmp_path / "in"), schema), patience=2), tmp_path).collect())
+    write = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+    write([(1, 1, "transcribed", "a"), (1, 2, "failed", None), (1, 4, "transcribed", "b")])
+    assert [r[0] for r in run()] == [1, 2]
+    write([(1, 5, "transcribed", "c")])
+    assert [r[0] for r in run()] == [1, 2, 4, 5]
+    write([(1, 2, "transcribed", "x"), (1, 3, "transcribed", "A."), (1, 4, "transcribed", "again")])
+    assert run() == [(1, False, "transcribed", "a", False), (2, False, "failed", "", False), (2, True, "transcribed", "x", False), (3, True, "transcribed", "", True), (4, False, "transcribed", "b", False), (5, False, "transcribed", "c", False)]
