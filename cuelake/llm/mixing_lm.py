@@ -180,7 +180,12 @@ def block_places(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     for own, parts in zip(values, local, strict=True):
         every = np.sort(np.concatenate(own))
         every = every[_runs(every)]
-        out.append((every, np.concatenate([np.searchsorted(every, v).astype(np.int32)[x] for v, x in zip(own, parts, strict=True)])))
+        place, at = np.empty(sum(map(len, parts)), np.int32), 0
+        for i, v in enumerate(own):
+            place[at : at + len(parts[i])] = np.searchsorted(every, v).astype(np.int32)[parts[i]]
+            at += len(parts[i])
+            parts[i] = None  # what is put together is not held twice
+        out.append((every, place))
     return out
 
 
