@@ -151,7 +151,7 @@ def d2(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "documents").select("doc_id", T.template_prompt(F.lit(TEMPLATE), F.substring("text", 1, 50), F.when(F.col("doc_id") % 4 == 0, "auto").otherwise(F.col("lang")), terms).alias("prompt"))
 
 
-@query("d2_template_prompt_whole")
+@query("d2_template_prompt_whole", f"SELECT doc_id, replace(CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'language: ' || lang || chr(10) || chr(10) END || CASE WHEN doc_id % 3 = 0 THEN '' ELSE {_BLOCK} END || 'Before: {{{{context}}}}' || chr(10) || '{{{{context}}}}', '{{{{context}}}}', text) AS prompt FROM documents".replace("{{{{", "{{").replace("}}}}", "}}"))
 def d2_whole(spark: SparkSession, sf: str) -> DataFrame:
     """The same with the whole text as context."""
     terms = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(" "))).otherwise(F.array("source", F.lit(" "), F.lit("{{context}}")))

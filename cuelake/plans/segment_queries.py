@@ -150,7 +150,12 @@ def c1(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("job_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.round(F.aggregate("d", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("d").cast("long").alias("n"), F.round(F.col("d")[0], 5).alias("first"))
 
 
-@query("c2_frame_scoring")
+_C2 = """WITH p AS (SELECT vec_id AS job_id, (len(embedding) + 23) // 24 AS n, list_concat(list_concat([0.0, 0.0, 0.0, 0.0]::DOUBLE[], embedding::DOUBLE[]), list_transform(range(0, (len(embedding) + 23) // 24 * 24 - len(embedding)), lambda x: 0.0::DOUBLE)) AS s FROM embeddings WHERE len(embedding) > 0),
+r AS (SELECT job_id, n, list_transform(range(0, n), lambda i: sqrt(list_avg(list_transform(s[i * 24 + 1:i * 24 + 28], lambda x: x * x)))) AS rms FROM p)
+SELECT job_id, i AS frame_idx, round(least(1.0, list_reduce(rms[1:i + 1], lambda a, b: 0.5 * a + 0.5 * b)), 6) AS prob FROM (SELECT job_id, rms, unnest(range(0, n)) AS i FROM r)"""
+
+
+@query("c2_frame_scoring", _C2)
 def c2(spark: SparkSession, sf: str) -> DataFrame:
     """Frames scored by their energy, smoothed over the job's earlier frames (the scorer's state)."""
     import numpy as np

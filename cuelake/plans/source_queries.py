@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..sources import catalog as C
 from ..sources import manifests as M
 from ..sources import texts as X
 from . import views as V
@@ -15,6 +16,15 @@ from .scalar_queries import PAIRED
 from .views import with_views
 
 
+@query("a1_media_listing", "SELECT DISTINCT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS folder, 'txt' AS suffix, FALSE AS supported, 40 AS key_length FROM documents")
+def a1_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of the documents' texts, in a folder for each language, listed without being read."""
+    folder = shared_folder(spark)
+    V.table(spark, sf, "documents").select("lang", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("lang").text(folder)
+    files = C.media_catalog(spark, folder).where(F.col("path").endswith(".txt"))
+    return files.select(F.regexp_extract("path", r"/lang=([^/]*)/", 1).alias("folder"), "suffix", "supported", F.length("job_id").alias("key_length")).distinct()
+
+
 @query("a3_manifest_scan", with_views("timed", "SELECT job_id::VARCHAR AS job_id, chunk_id, status, start_ms / 1000.0::DOUBLE AS start_sec, end_ms / 1000.0::DOUBLE AS end_sec FROM timed"))
 def a3(spark: SparkSession, sf: str) -> DataFrame:
     """Manifest documents of all jobs, scanned into chunk rows."""
