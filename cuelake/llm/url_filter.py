@@ -66,7 +66,8 @@ def _count(text: Column, what: str) -> Column:
 
 def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     n = F.greatest(F.length(url), F.lit(1))
-    query = F.when(F.instr(url, "?") > 0, F.substring_index(F.substring_index(url, "#", 1), "?", -1)).otherwise("")
+    whole = F.substring_index(url, "#", 1)
+    query = F.when(F.instr(whole, "?") > 0, whole.substr(F.instr(whole, "?") + 1, F.length(whole))).otherwise("")  # a later ? is part of it
     return {
         "url_length": F.length(url).cast("double"),
         "host_length": F.length(host).cast("double"),
@@ -97,10 +98,11 @@ def _suffix_statistics(labelled: DataFrame, suffix: str, p: UrlFilterParams) ->
 def judge_urls(pages: DataFrame, params: UrlFilterParams = UrlFilterParams()) -> DataFrame:
     """Every row of ``pages(page_id, url)`` with host, path, rule, verdict and block_score (null where a rule decides).
 
-    A rule fits its host and all subdomains if the path starts with the rule's; the longest wins. Null
+    A rule fits its host and all subdomains if the path starts with the rule's; the longest wins, of equally long ones the last by text. Urls
+    of any length are read whole. Null
     urls and urls without ``://`` have empty host and path. Where the labelled URLs hold fewer than two
     verdicts no trees can be fitted: the only verdict known holds, or allow if there is none. Repeated
-    rows each come back; further columns are ignored; an empty table gives an empty result.
+    rows each come back; further columns are ignored, whatever their names; an empty table gives an empty result.
     """
     p = params
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))

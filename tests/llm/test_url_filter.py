@@ -38,6 +38,19 @@ def test_rules_equal_brute_force_and_trees_learn(spark):
     assert urlsplit(urls[0]).hostname == got[len(ODD)].host
 
 
+def test_lexical_features(spark):
+    from pyspark.sql import functions as F
+
+    from cuelake.llm.url_filter import host_and_path, lexical_features
+
+    urls = ["http://a.org/x/y?a=1&b=2?c=3&d#f&g", "http://a.org/#?q", "", "http://w-1.a.org/"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    host, path = host_and_path(F.col("url"))
+    got = df.select(*[c.alias(n) for n, c in lexical_features(F.col("url"), host, path).items()]).collect()
+    assert [r.parameters for r in got] == [3.0, 0.0, 0.0, 0.0] and [r.query_length for r in got] == [13.0, 0.0, 0.0, 0.0]
+    assert [r.depth for r in got] == [2.0, 1.0, 0.0, 1.0] and [r.hyphens for r in got] == [0.0, 0.0, 0.0, 1.0] and got[2].entropy == 0.0
+
+
 def test_too_few_labels(spark):
     df = spark.createDataFrame([(1, "http://a.net/"), (2, None), (3, "http://b.org/")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in judge_urls(df).collect()} == {1: "allow", 2: "allow", 3: "allow"}
