@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, materialise, odd_constants, passes
+from .common import batch_rows, drop_table, materialise, odd_constants, passes
 
 UNDETERMINED = "und"
 
@@ -173,6 +173,7 @@ def _fit(docs: DataFrame, p: LanguageParams) -> LanguageModel | None:
     sample = sample.withColumn("place", place).where(F.col("place") <= 2 * p.train_docs // len(classes) + 1).drop("place")
     vectors = materialise(sample.mapInArrow(_vectors(p), "lang string, turn long, slots array<int>, tf array<double>"))
     w, t = vectors.coalesce(1).mapInArrow(_fitter(classes, idf, p), "w binary, t double").first()
+    drop_table(vectors)
     w = np.frombuffer(w, np.float64).reshape(-1, len(classes))
     return LanguageModel(p, classes, (w[:-1] * idf[:, None] * p.scale).astype(np.float32), w[-1].copy(), t)
 

@@ -117,10 +117,10 @@ def _part_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(each, pa.list_(pa.int32()))], ["id", "whole"])
 
 
-def _across(placed: DataFrame, sets: DataFrame, sides: DataFrame, p: NearDupParams) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that may be linked, each once."""
+def _across(placed: DataFrame, sets: DataFrame, sides: DataFrame, p: NearDupParams) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of one bucket and different components that may be linked, each once; and the scratch table that they are read from."""
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = materialise(placed.join(mixed, "key").select("key", "i", "j", "id", "component", "n"))
+    rest = scratch = materialise(placed.join(mixed, "key").select("key", "i", "j", "id", "component", "n"))
     own = sets.join(rest.select("id").distinct(), "id").mapInArrow(_exploded, "shingle long, id long")
     part = F.pmod("shingle", F.lit(_PARTS))
     lone = own.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").select("id", part.alias("part"))
@@ -135,7 +135,7 @@ def _across(placed: DataFrame, sets: DataFrame, sides: DataFrame, p: NearDupPara
     first = f"not {earlier('i', 0)} and not {earlier('j', p.side)}"
     close = f"{100 + p.percent} * aggregate(zip_with(x.parts, y.parts, (a, b) -> least(a, b)), 0, (s, v) -> s + v) >= {p.percent} * (x.n + y.n)"
     on = F.expr(f"x.key = y.key and x.id > y.id and x.component <> y.component and {fits} and {first} and {close}")
-    return rest.alias("x").join(rest.alias("y"), on).select(F.expr("x.id").alias("a"), F.expr("y.id").alias("b"))
+    return rest.alias("x").join(rest.alias("y"), on).select(F.expr("x.id").alias("a"), F.expr("y.id").alias("b")), scratch
 
 
 def _confirmer(percent: int):
@@ -161,7 +161,8 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     shingles (fewer words: the whole sequence as one). Linked: percent * union <= 100 * intersection.
     component_id is the least doc_id reachable. Null or blank texts have an empty set and link with
     nothing; rows with a null doc_id get a null component and are kept. Repeated rows each come back, and
-    rows that share a doc_id are one node of the links; an empty table gives an empty result; further columns are ignored.
+    rows that share a doc_id are one node of the links; texts of any length are read whole; an empty table gives an empty result; further columns
+    are ignored, whatever their names. Scratch: three tables in the shared folder feed the result and stay until ``clear_scratch``.
     """
     with batch_rows(docs.sparkSession, 100):  # a pair of long documents' sets is large
         return _near_duplicates(docs, params)
@@ -186,17 +187,20 @@ def _near_duplicates(docs: DataFrame, p: NearDupParams) -> DataFrame:
 
     sizes = reps.select("id", F.col("n_shingles").alias("n"))
     where = materialise(ids.select("id", F.col("id").alias("component")).join(sizes, "id"))
-    done = None
+    done, used = None, [members, sets]
     for last in (False, False, False, True):
         placed = members.join(where, "id")
         if last:
-            pairs = _across(placed, sets, reps.select("id", "sides"), p).distinct()
+            pairs, scratch = _across(placed, sets, reps.select("id", "sides"), p)
+            used.append(scratch)
+            pairs = pairs.distinct()
         else:
             first = placed.groupBy("key").agg(F.min(F.struct("component", "id", "n")).alias("lo"), F.max("component").alias("hi")).where("lo.component < hi")
             pairs = placed.join(first, "key").where(f"component <> lo.component and 100 * least(n, lo.n) >= {p.percent} * greatest(n, lo.n)").groupBy(F.col("id").alias("a"), F.col("component")).agg(F.min("lo.id").alias("b")).select("a", "b")
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
+        used.append(pairs)
         sa, sb = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
         links = pairs.join(sa, "a").join(sb, "b").mapInArrow(_confirmer(p.percent), "a long, b long")
         at = where.select("id", "component")
@@ -206,8 +210,11 @@ def _near_duplicates(docs: DataFrame, p: NearDupParams) -> DataFrame:
         moved = merged.select(F.col("id").alias("old"), F.col("component").alias("new"))
         where = materialise(old.join(moved, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component"), "n"))
         drop_table(old)
+        drop_table(merged)
         done = pairs if done is None else done.union(pairs)
 
+    for table in used:
+        drop_table(table)
     of_set = reps.select("set_a", "set_b", "n_shingles", "id").join(where.select("id", "component"), "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("found"))
     linked = usable.select("doc_id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", F.col("found").alias("component_id"))
     alone = sketches.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

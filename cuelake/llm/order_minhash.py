@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop_table, materialise
 
 
 @dataclass(frozen=True)
@@ -120,7 +120,9 @@ def successors(rows: DataFrame, keys: list[str]) -> DataFrame:
     heads = heads.select("part", F.coalesce(F.lead("head").over(Window.partitionBy().orderBy("part")), wrap).alias("after"))
     inner = ranged.withColumn("lead", F.lead(F.struct(*keys)).over(Window.partitionBy("part").orderBy(*order)))
     joined = inner.join(heads, "part").withColumn("next", F.coalesce("lead", "after"))
-    return materialise(joined.select(*rows.columns, *[F.col(f"next.{k}").alias(f"next_{k}") for k in keys]))
+    linked = materialise(joined.select(*rows.columns, *[F.col(f"next.{k}").alias(f"next_{k}") for k in keys]))
+    drop_table(ranged)
+    return linked
 
 
 _NO_ID = -(2**63)
