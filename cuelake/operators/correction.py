@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPEAKER, collapse, tagged_output
+from .folds import ordered_fold
 from .transcripts import CALLED, ModelCall, asked
 
 
@@ -21,18 +22,13 @@ def context_groups(chunks: DataFrame, max_chars: int = 40_000, groups: int = 4)
     sizes = sizes.withColumns({"total": F.sum("n").over(job), "count": F.count("*").over(job)})
     long = (F.col("total") > max_chars) & (F.col("count") > 1)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_id")
-        target, group, held, out = pdf["n"].sum() / groups, 1, None, []
-        for n in pdf["n"]:
-            if held is not None and held >= target and group < groups:
-                group, held = group + 1, None
-            held = (held or 0) + n
-            out.append(group)
-        return pd.DataFrame({"job_id": pdf["job_id"], "chunk_id": pdf["chunk_id"], "group_id": out})
+    def step(state: tuple | None, n: int, total: int) -> tuple[tuple, int]:
+        group, held = state or (1, None)
+        if held is not None and held >= total / groups and group < groups:
+            group, held = group + 1, None
+        return (group, (held or 0) + n), group
 
-    kind = chunks.schema["job_id"].dataType.simpleString()
-    folded = sizes.where(long).groupBy("job_id").applyInPandas(fold, f"job_id {kind}, chunk_id long, group_id long")
+    folded = ordered_fold(sizes.where(long), "job_id", "chunk_id", ["n", "total"], "group_id", step)
     return sizes.where(~long).select("job_id", "chunk_id", F.lit(1).cast("long").alias("group_id")).union(folded)
 
 
@@ -46,11 +42,10 @@ def transcript_blocks(chunks: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def correction_requests(chunks: DataFrame, groups: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(job_id, group_id, chunk_id, request): the block, then the chunk to correct. Sorted so that calls with one block follow each other."""
+    """(job_id, group_id, chunk_id, request): the block, then the chunk to correct, as text and in no order. To call a model, ``correction_map`` needs none of these rows."""
     own = F.concat(F.lit("\n\n<CURRENT>\n"), F.col("chunk_id").cast("string"), F.lit(" "), collapse(F.coalesce("text", F.lit(""))), F.lit("\n</CURRENT>"))
     rows = chunks.join(groups, ["job_id", "chunk_id"]).join(blocks, ["job_id", "group_id"])
-    out = rows.select("job_id", "group_id", "chunk_id", F.concat("block", own).alias("request"))
-    return out.sortWithinPartitions("job_id", "group_id", "chunk_id")
+    return rows.select("job_id", "group_id", "chunk_id", F.concat("block", own).alias("request"))
 
 
 def correction_map(chunks: DataFrame, groups: DataFrame, blocks: DataFrame, call: ModelCall, retries: int = 1) -> DataFrame:

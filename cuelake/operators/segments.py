@@ -6,7 +6,7 @@ Times are integer milliseconds (``start_ms``, ``end_ms``) or frames; every windo
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -112,13 +112,26 @@ def absorb_short(segments: DataFrame, min_speech: int, max_absorb_gap: int | Non
     rows = rows.withColumns({"n": F.count("*").over(own), "shortest": F.min(F.col("end_ms") - F.col("start_ms")).over(own)})
     loop = (F.col("n") > 1) & (F.col("shortest") < min_speech)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_ms")
-        out = _absorb(list(zip(pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), strict=True)), min_speech, max_absorb_gap)
-        return pd.DataFrame({"job_id": pdf["job_id"].iloc[0], "start_ms": [s for s, _ in out], "end_ms": [e for _, e in out]})
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Islands come whole and one after the other; only one is held."""
+        at, held = None, []
+
+        def done() -> list[tuple]:
+            return [(at[0], s, e) for s, e in _absorb(held, min_speech, max_absorb_gap)] if held else []
+
+        for pdf in batches:
+            out: list[tuple] = []
+            for job, own, start, end in zip(*[pdf[c].tolist() for c in ("job_id", "island", "start_ms", "end_ms")], strict=True):
+                if (job, own) != at:
+                    out += done()
+                    at, held = (job, own), []
+                held.append((start, end))
+            yield pd.DataFrame(out, columns=["job_id", "start_ms", "end_ms"])
+        yield pd.DataFrame(done(), columns=["job_id", "start_ms", "end_ms"])
 
     kind = segments.schema["job_id"].dataType.simpleString()
-    folded = rows.where(loop).groupBy("job_id", "island").applyInPandas(fold, f"job_id {kind}, start_ms long, end_ms long")
+    dealt = rows.where(loop).select("job_id", "island", "start_ms", "end_ms").repartition("job_id", "island").sortWithinPartitions("job_id", "island", "start_ms")
+    folded = dealt.mapInPandas(fold, f"job_id {kind}, start_ms long, end_ms long")
     return rows.where(~loop).select("job_id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms")).union(folded)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, dedup_form, repetition, strip
 from ..params import FilterParams
+from .folds import ordered_fold
 
 DUPLICATE, REPEATED = "possible_duplicate_hallucination", "possible_infinite_repetition"
 
@@ -81,15 +82,10 @@ def drop_overlaps(entries: DataFrame) -> DataFrame:
     clean = marked.where("late = 0").drop("late")
     late = marked.where("late = 1").select("job_id", F.col("chunk_id").cast("long").alias("chunk_id"), "start_ms", "end_ms")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, end, ids = pdf.sort_values("chunk_id"), -1, []
-        for i, start, stop in zip(pdf["chunk_id"].tolist(), pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), strict=True):
-            if start >= end:
-                ids.append(i)
-                end = stop
-        return pd.DataFrame({"job_id": pdf["job_id"].iloc[0], "chunk_id": ids})
+    def step(end: int | None, start: int, stop: int) -> tuple[int, int]:
+        return (stop, 1) if end is None or start >= end else (end, 0)
 
-    kept = late.groupBy("job_id").applyInPandas(fold, f"job_id {entries.schema['job_id'].dataType.simpleString()}, chunk_id long")
+    kept = ordered_fold(late, "job_id", "chunk_id", ["start_ms", "end_ms"], "kept", step).where("kept = 1")
     return clean.unionByName(marked.where("late = 1").drop("late").join(kept, ["job_id", "chunk_id"], "left_semi").select(*clean.columns))
 
 

@@ -9,11 +9,11 @@ import sys
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, strip
+from .folds import ordered_fold
 from .transcripts import ModelCall, model_map
 
 #: A marker, also where digits were spaced out; digits and spaces are Unicode's, spelled out since Java's ``\\d`` and ``\\s`` are ASCII only.
@@ -54,18 +54,13 @@ def batches(cues: DataFrame, max_chars: int) -> DataFrame:
     """
     sizes = numbered(cues).select("doc_id", "serial", (F.length(F.format_string("[%04d]|%s", "serial", "text")) + 1).cast("long").alias("n"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("serial")
-        batch, held, out = 1, 0, []
-        for n in pdf["n"]:
-            if held and held + n > max_chars:
-                batch, held = batch + 1, 0
-            held += n
-            out.append(batch)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "serial": pdf["serial"], "batch_id": out})
-
-    kind = cues.schema["doc_id"].dataType.simpleString()
-    return sizes.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, serial long, batch_id long")
+    def step(state: tuple | None, n: int) -> tuple[tuple, int]:
+        batch, held = state or (1, 0)
+        if held and held + n > max_chars:
+            batch, held = batch + 1, 0
+        return (batch, held + n), batch
+
+    return ordered_fold(sizes, "doc_id", "serial", ["n"], "batch_id", step)
 
 
 def translate_batches(cues: DataFrame, max_chars: int, call: ModelCall, retries: int = 1, stop: Callable[[], bool] | None = None) -> DataFrame:

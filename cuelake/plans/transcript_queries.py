@@ -296,9 +296,10 @@ def f2(spark: SparkSession, sf: str) -> DataFrame:
 @query("f3_correction_requests", with_views("timed", f"RECURSIVE{GROUPED} SELECT job_id, g AS group_id, chunk_id, md5(block || chr(10) || chr(10) || '<CURRENT>' || chr(10) || chunk_id || ' ' || text || chr(10) || '</CURRENT>') AS request FROM n JOIN r USING (job_id, chunk_id) JOIN blocks USING (job_id, g)"))
 def f3(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark)
-    units(spark, sf).write.parquet(folder)  # read three times below
-    u = spark.read.parquet(folder)
-    groups = K.context_groups(u, _LIMIT, _GROUPS)
+    u = units(spark, sf)
+    u.join(K.context_groups(u, _LIMIT, _GROUPS), ["job_id", "chunk_id"]).write.parquet(folder)  # read twice below
+    grouped = spark.read.parquet(folder)
+    u, groups = grouped.drop("group_id"), grouped.select("job_id", "chunk_id", "group_id")
     return K.correction_requests(u, groups, K.transcript_blocks(u, groups)).withColumn("request", F.md5("request"))
 
 
