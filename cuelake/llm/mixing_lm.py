@@ -52,6 +52,7 @@ _CONTEXT_BITS = 36
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_SLICE = 1 << 20  # bytes whose contexts are held at once; a key and a place below this fit 64 bits
 _HASHERS: dict[int, ByteHasher] = {}
 
 
@@ -145,7 +146,7 @@ def block_pairs(texts: list[bytes], learn: list[bool]) -> list[tuple[np.ndarray,
     found: list[list] = [[] for _ in range(PREDICTORS)]
     for known in (True, False):
         own = [t for t, h in zip(texts, learn, strict=True) if h == known]
-        for lo, hi in passes([len(t) + 1 for t in own]):
+        for lo, hi in passes([len(t) + 1 for t in own], _SLICE):
             contexts = Contexts(_joined(own[lo:hi]))
             for k in range(PREDICTORS):
                 s = np.sort(contexts.keys(k))
@@ -154,14 +155,11 @@ def block_pairs(texts: list[bytes], learn: list[bool]) -> list[tuple[np.ndarray,
     return [_sums(np.concatenate([v for v, _ in f]), np.concatenate([n for _, n in f])) for f in found]
 
 
-_SLICE = 1 << 20  # a key and a place below this fit 64 bits
-
-
 def block_places(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each predictor: (distinct pairs in order, place of every byte's pair among them)."""
     local: list[list] = [[] for _ in range(PREDICTORS)]
     values: list[list] = [[] for _ in range(PREDICTORS)]
-    for lo, hi in passes([len(t) + 1 for t in texts]):
+    for lo, hi in passes([len(t) + 1 for t in texts], _SLICE):
         contexts = Contexts(_joined(texts[lo:hi]))
         for k in range(PREDICTORS):
             keys = contexts.keys(k)
