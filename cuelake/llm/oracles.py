@@ -28,3 +28,11 @@ OP6 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE
 d AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, v.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda x, y: x + y)) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+OP11 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+d AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_reduce(list_transform(list_zip(a.e, v.e), lambda p: p[1] * p[2]), lambda x, y: x + y)::BIGINT AS score FROM v a JOIN v ON a.vec_id <> v.vec_id AND len(a.e) = len(v.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM d WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, d.vec_id AS negative_id, d.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY d.score DESC, d.vec_id) AS rank
+  FROM p JOIN d ON p.anchor_id = d.anchor_id AND NOT d.same AND 80 * positive_score <= 100 * d.score AND 100 * d.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""

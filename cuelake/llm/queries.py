@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .common import materialise, session_batches, table
+from .hard_negatives import hard_negatives
 from .language import fit_language_model, fold, predict_language
 from .mixing import form_topic, mix, word_count
 from .mixing_lm import score_texts
@@ -86,6 +87,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector")), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_retrieval_packing": op1_retrieval_packing,
     "op2_url_filter": op2_url_filter,
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 #: DuckDB SQL of those that SQL can express.
@@ -104,4 +111,5 @@ ORACLES: dict[str, str] = {
     "op6_vector_search": oracles.OP6,
     "op9_suffix_dedup": oracles.OP9,
     "op10_minhash_near_dedup": oracles.OP10,
+    "op11_hard_negatives": oracles.OP11,
 }
