@@ -20,6 +20,7 @@ from .secret_scan import fit_secret_model, scan_secrets
 from .substring_dedup import remove_repeated_substrings
 from .url_filter import judge_urls
 from .vector_search import nearest
+from .whitening import whiten
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +93,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector")), F.col("vec_id") % 100 == 0)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_retrieval_packing": op1_retrieval_packing,
     "op2_url_filter": op2_url_filter,
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 #: DuckDB SQL of those that SQL can express.
