@@ -80,6 +80,11 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_scratch(path: str) -> None:
+    """Put a folder that an operator wrote itself on the list of ``clear_scratch``."""
+    _WRITTEN.add(path)
+
+
 def drop_path(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -36,3 +36,11 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM d WH
 n AS (SELECT p.anchor_id, positive_id, positive_score, d.vec_id AS negative_id, d.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY d.score DESC, d.vec_id) AS rank
   FROM p JOIN d ON p.anchor_id = d.anchor_id AND NOT d.same AND 80 * positive_score <= 100 * d.score AND 100 * d.score <= 100 * positive_score)
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+OP12 = """WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN m USING (s) WHERE first < doc_id),
+r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""

@@ -16,6 +16,7 @@ from .mixing_lm import score_texts
 from .near_dup import NearDupParams, near_duplicates
 from .order_minhash import edited_fingerprints, likeness, signature
 from .packing import PackingParams, pack
+from .prefix_trees import remove_repeated_passages
 from .secret_scan import fit_secret_model, scan_secrets
 from .substring_dedup import remove_repeated_substrings
 from .url_filter import judge_urls
@@ -93,6 +94,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector")), F.col("vec_id") % 100 == 0)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_passages(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["length"])
+    return cut.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")))
 
@@ -109,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
@@ -118,4 +126,5 @@ ORACLES: dict[str, str] = {
     "op9_suffix_dedup": oracles.OP9,
     "op10_minhash_near_dedup": oracles.OP10,
     "op11_hard_negatives": oracles.OP11,
+    "op12_substring_dedup": oracles.OP12,
 }
