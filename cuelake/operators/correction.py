@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPEAKER, collapse, tagged_output
+from ..sources.board import RunBoard
 from .folds import ordered_fold
-from .transcripts import CALLED, ModelCall, asked
+from .transcripts import CALLED, ModelCall, asked_on
 
 
-def context_groups(chunks: DataFrame, max_chars: int = 40_000, groups: int = 4) -> DataFrame:
+def context_groups(chunks: DataFrame, max_chars: int = 60_000, groups: int = 3) -> DataFrame:
     """(job_id, chunk_id, group_id) of ``chunks(job_id, chunk_id, text)``: one group up to ``max_chars``, else at most ``groups`` contiguous ones.
 
     A group closes once it holds total/groups characters. The fold sees chunk ids and lengths only, and
@@ -48,23 +49,29 @@ def correction_requests(chunks: DataFrame, groups: DataFrame, blocks: DataFrame)
     return rows.select("job_id", "group_id", "chunk_id", F.concat("block", own).alias("request"))
 
 
-def correction_map(chunks: DataFrame, groups: DataFrame, blocks: DataFrame, call: ModelCall, retries: int = 1) -> DataFrame:
-    """The model called on every chunk's request: job_id, chunk_id and what ``model_map`` tells.
+def correction_map(chunks: DataFrame, groups: DataFrame, blocks: DataFrame, call: ModelCall, retries: int = 1, board: RunBoard | None = None, run_chunks: int = 50) -> DataFrame:
+    """The model called on every chunk's request: job_id, chunk_id and what ``model_map`` tells, ``board`` included.
 
-    Blocks and chunks of a group meet in its task, where a request is put together only for its call; so no block is copied into the rows of its chunks,
-    and calls with one block follow each other.
+    The chunks of a group are cut into runs of ``run_chunks`` neighbours, and the block goes once to each run; so a long job is spread over tasks, and
+    calls with one block still follow each other in the order of chunks. A request is put together only for its call: no
+    block is copied into the rows of its chunks.
     """
     own = F.concat(F.lit("\n\n<CURRENT>\n"), F.col("chunk_id").cast("string"), F.lit(" "), collapse(F.coalesce("text", F.lit(""))), F.lit("\n</CURRENT>"))
-    rows = chunks.join(groups, ["job_id", "chunk_id"]).select("job_id", "group_id", F.col("chunk_id").cast("long").alias("chunk_id"), own.alias("own"))
+    place = F.row_number().over(Window.partitionBy("job_id", "group_id").orderBy("chunk_id")) - 1
+    rows = chunks.join(groups, ["job_id", "chunk_id"]).select("job_id", "group_id", F.floor(place / run_chunks).alias("run"), F.col("chunk_id").cast("long").alias("chunk_id"), own.alias("own"))
+    runs = groups.groupBy("job_id", "group_id").agg(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.count("*") - 1) / run_chunks))).alias("run"))
 
     def run(block: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [(j, c, *asked(block["block"].iloc[0] + text, call, retries)) for j, c, text in pdf.sort_values("chunk_id")[["job_id", "chunk_id", "own"]].itertuples(index=False)] if len(block) else []
+        out = [(j, c, *asked_on(board, block["block"].iloc[0] + text, call, retries)) for j, c, text in pdf.sort_values("chunk_id")[["job_id", "chunk_id", "own"]].itertuples(index=False)] if len(block) else []
+        if board:
+            board.tell(last=True)
         return pd.DataFrame(out, columns=["job_id", "chunk_id", "ok", "raw", "error", "attempts", "elapsed_ms"])
 
     kind = chunks.schema["job_id"].dataType.simpleString()
-    key = ["job_id", "group_id"]
+    key = ["job_id", "group_id", "run"]
     # Renaming to the same names gives columns of their own: blocks come from the same chunks.
-    return blocks.toDF(*blocks.columns).groupBy(*key).cogroup(rows.toDF(*rows.columns).groupBy(*key)).applyInPandas(run, f"job_id {kind}, chunk_id long, {CALLED}")
+    spread = blocks.toDF(*blocks.columns).join(runs.toDF(*runs.columns), ["job_id", "group_id"])
+    return spread.groupBy(*key).cogroup(rows.toDF(*rows.columns).groupBy(*key)).applyInPandas(run, f"job_id {kind}, chunk_id long, {CALLED}")
 
 
 def corrected_texts(answers: DataFrame, chunks: DataFrame, allow_unclosed: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, dedup_form, repetition, strip
 from ..params import FilterParams
+from ..sources.board import RunBoard
 from .folds import ordered_fold
 
 DUPLICATE, REPEATED = "possible_duplicate_hallucination", "possible_infinite_repetition"
@@ -111,25 +112,38 @@ def asked(request: str, call: ModelCall, retries: int, stop: Callable[[], bool]
         begun = time.perf_counter()
         try:
             raw = call(request)
+            error = "no answer" if raw is None else None
         except Exception as e:  # noqa: BLE001  whatever a model raises is that row's failure
-            error = str(e)
+            error = str(e) or type(e).__name__
         took = 1000 * (time.perf_counter() - begun)
     return raw is not None, raw, None if raw is not None else error, tries, took
 
 
-def model_map(requests: DataFrame, key_columns: list[str], call: ModelCall, retries: int = 1, stop: Callable[[], bool] | None = None) -> DataFrame:
+def asked_on(board: RunBoard | None, request: str, call: ModelCall, retries: int) -> tuple:
+    """``asked`` as a run's board says, which is told of it."""
+    out = asked(request, call, retries, board.stopped if board else None)
+    if board:
+        ok, tried = out[0], out[3] > 0
+        board.tell(asked=int(tried), ok=int(ok), failed=int(tried and not ok), skipped=int(not tried), elapsed_ms=out[4] if ok else 0)
+    return out
+
+
+def model_map(requests: DataFrame, key_columns: list[str], call: ModelCall, retries: int = 1, board: RunBoard | None = None) -> DataFrame:
     """Calls the injected model on ``requests(keys, request)``: keys, ok, raw, error, attempts, elapsed_ms (of the last attempt).
 
-    One bad row never fails a task: after ``retries`` further attempts it comes back with ok = false. ``stop`` is asked
-    before every call; once it says so, the rows left come back with ok = false and error ``stopped``, and a later run can take them up. Write
-    the result before using it twice, or the model is called again.
+    One bad row never fails a task: after ``retries`` further attempts it comes back with ok = false; an answer of None is a failure. Once ``board`` is
+    stopped (by the driver, while tasks run), the rows left come back with ok = false, error ``stopped`` and 0 attempts, the answers so
+    far stay in the result, and a later run can take up the rest. The board holds counts while tasks run. Write the result before using it twice, or
+    the model is called again.
     """
     kinds = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in key_columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [asked(r, call, retries, stop) for r in pdf["request"]]
+            out = [asked_on(board, r, call, retries) for r in pdf["request"]]
             yield pd.concat([pdf[key_columns].reset_index(drop=True), pd.DataFrame(out, columns=["ok", "raw", "error", "attempts", "elapsed_ms"])], axis=1)
+        if board:
+            board.tell(last=True)
 
     return requests.select(*key_columns, "request").mapInPandas(run, f"{kinds}, {CALLED}")
 
@@ -205,7 +219,8 @@ def carry_prior(chunks: DataFrame, texts: DataFrame, prior: DataFrame, mode: str
         raise ValueError(mode)
     raw = texts.where("kind = 'raw'") if "kind" in texts.columns else texts
     have = raw.where(strip(F.col("text")) != "").select("job_id", "chunk_id", F.lit(True).alias("_text")).distinct()
-    old = prior.dropDuplicates(["job_id", "start_ms", "end_ms"]).select("job_id", "start_ms", "end_ms", F.col("language").alias("_language"), F.col("elapsed_ms").alias("_elapsed"), F.lit(True).alias("_old"))
+    told = F.struct(*[c for c in ("chunk_id", "language", "elapsed_ms") if c in prior.columns])  # of prior chunks with equal times, the least id
+    old = prior.groupBy("job_id", "start_ms", "end_ms").agg(F.min(told).alias("o")).select("job_id", "start_ms", "end_ms", F.col("o.language").alias("_language"), F.col("o.elapsed_ms").alias("_elapsed"), F.lit(True).alias("_old"))
     rows = chunks.join(have, ["job_id", "chunk_id"], "left").join(old, ["job_id", "start_ms", "end_ms"], "left")
     text, same = F.coalesce("_text", F.lit(False)), F.coalesce("_old", F.lit(False))
     restored = text & same if mode == "offset" else text

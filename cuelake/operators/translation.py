@@ -7,12 +7,12 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, strip
+from ..sources.board import RunBoard
 from .folds import ordered_fold
 from .transcripts import ModelCall, model_map
 
@@ -63,11 +63,11 @@ def batches(cues: DataFrame, max_chars: int) -> DataFrame:
     return ordered_fold(sizes, "doc_id", "serial", ["n"], "batch_id", step)
 
 
-def translate_batches(cues: DataFrame, max_chars: int, call: ModelCall, retries: int = 1, stop: Callable[[], bool] | None = None) -> DataFrame:
+def translate_batches(cues: DataFrame, max_chars: int, call: ModelCall, retries: int = 1, board: RunBoard | None = None) -> DataFrame:
     """One call a batch: doc_id, batch_id and what ``model_map`` tells; failed and stopped batches are told too. Write it before using it twice."""
     rows = numbered(cues).select("doc_id", "serial", "text").join(batches(cues, max_chars), ["doc_id", "serial"])
     requests = render_markers(rows, ("doc_id", "batch_id")).withColumnRenamed("text", "request")
-    return model_map(requests, ["doc_id", "batch_id"], call, retries, stop)
+    return model_map(requests, ["doc_id", "batch_id"], call, retries, board)
 
 
 def translated(answers: DataFrame) -> DataFrame:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import time
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPEAKER, asr_text, collapse, provider_answer
+from ..functions.text import SPEAKER, asr_text, collapse, provider_answer, template_prompt
 from ..operators import captions as C
 from ..operators import correction as K
+from ..operators import live as L
 from ..operators import transcripts as X
 from ..params import FilterParams
+from ..sources.board import RunBoard
 from . import views as V
-from .registry import query
 from .folders import shared_folder
+from .registry import query
 from .scalar_queries import collapse_sql, dedup_sql, sql_clock, strip_sql
 from .views import with_views
 
@@ -85,8 +91,6 @@ _INJECTED = "SELECT job_id, chunk_id, status, CASE WHEN chunk_id % 7 = 0 THEN re
 
 
 def injected(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = timed(spark, sf).withColumn("t", F.substring("text", 1, 9))
     echo = F.concat(F.translate(F.lag("t").over(Window.partitionBy("job_id").orderBy("chunk_id")), LOWER, UPPER), F.lit("."))
     loop = F.repeat(F.concat(F.lit("ab"), (F.col("chunk_id") % 3).cast("string"), F.lit(" ")), 6)
@@ -189,22 +193,84 @@ def d16(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", language.alias("language"), text.alias("text"))
 
 
-@query("d4_stop_and_progress", with_views("timed", "SELECT count_if(chunk_id <= 3) AS asked, count_if(chunk_id <= 3 AND chunk_id <> 2) AS ok, count_if(chunk_id = 2) AS failed, count_if(chunk_id > 3) AS stopped FROM timed"))
+@query("d4_stop_and_progress", with_views("timed", "SELECT job_id, chunk_id, chunk_id <> 2 AS ok, CASE WHEN chunk_id <> 2 THEN md5(text) END AS raw, 1 AS attempts, TRUE AS counted FROM timed"))
 def d4_stop(spark: SparkSession, sf: str) -> DataFrame:
-    """A model that fails on second chunks, asked for the first three chunks of each job and stopped before the others; the counts are the observation of that run."""
+    """A run that its driver stops after the first counts arrive, and a second one that asks what is left: together each chunk is asked once, and the boards count that."""
+    folder = shared_folder(spark)
+    rows = timed(spark, sf).select("job_id", "chunk_id", F.concat((F.col("chunk_id") == 2).cast("string"), F.lit("|"), "text").alias("request"))
+    keys = ["job_id", "chunk_id"]
 
-    def fails(request: str) -> str:
-        if request == "2":
+    def digest(request: str) -> str:
+        fails, _, text = request.partition("|")
+        if fails == "true":
             raise RuntimeError("no answer")
-        return request
+        return hashlib.md5(text.encode()).hexdigest()
+
+    first, second = RunBoard(f"{folder}/first", every_sec=0.05), RunBoard(f"{folder}/second")
+    with ThreadPoolExecutor(1) as pool:
+        running = pool.submit(lambda: X.model_map(rows, keys, digest, 0, first).write.parquet(f"{folder}/answers/run=1"))
+        while not running.done() and not first.counts().get("asked"):
+            time.sleep(0.02)
+        first.stop()
+        running.result()
+    answers = lambda: spark.read.schema(f"job_id long, chunk_id long, {X.CALLED}, run int").parquet(f"{folder}/answers").where("attempts > 0")
+    X.model_map(rows.join(answers().select(*keys), keys, "left_anti"), keys, digest, 0, second).write.parquet(f"{folder}/answers/run=2")
+    told = first.counts().get("asked", 0) + second.counts().get("asked", 0)
+    return answers().groupBy(*keys).agg(F.any_value("ok").alias("ok"), F.max("raw").alias("raw"), F.sum("attempts").cast("int").alias("attempts")).withColumn("counted", F.lit(told) == F.count("*").over(Window.partitionBy()))
+
+
+# --- live runs: each answer forms the next prompt ------------------------------------------------------
+
+_LIVE_TEMPLATE = "{{language_hint}}{{vocabulary}}Before: {{context}}"
+_PRIOR = "job_id % 3 = 0 AND chunk_id % 5 = 0"  # transcribed by an earlier run
+_ACTS = "CASE WHEN (job_id * 7 + chunk_id * 3) % 11 = 0 THEN 'fail' WHEN chunk_id % 7 = 0 THEN 'loop' WHEN chunk_id % 7 = 1 THEN 'echo' ELSE 'say' END"
+_DEAD = f"CASE WHEN job_id % 9 = 1 AND chunk_id >= 3 THEN 'fail' ELSE {_ACTS} END"  # the server dies in some jobs
+
+
+def _live_sql(acts: str) -> str:
+    """The loop of a run by recursion over each job's chunks: what the model says, whether it is an echo, and what is carried on."""
+    return f"""RECURSIVE, seeds AS (SELECT job_id, {strip_sql('max_by(text, chunk_id)')} AS seed FROM timed WHERE {_PRIOR} GROUP BY job_id),
+todo AS (SELECT job_id, chunk_id, text, {acts} AS act, row_number() OVER (PARTITION BY job_id ORDER BY chunk_id) AS p FROM timed WHERE NOT ({_PRIOR})),
+run AS (SELECT job_id, 0::BIGINT AS p, 0::BIGINT AS chunk_id, '' AS status, '' AS text, '' AS flags, '' AS context, 0 AS attempts, coalesce(seed, '') AS carried, 0 AS failures FROM (SELECT DISTINCT job_id FROM todo) LEFT JOIN seeds USING (job_id)
+UNION ALL SELECT job_id, p, chunk_id, CASE WHEN gone THEN 'vad_extracted' WHEN act = 'fail' THEN 'failed' ELSE 'transcribed' END,
+  CASE WHEN gone OR act = 'fail' THEN NULL WHEN echo OR act = 'loop' THEN '' ELSE said END,
+  CASE WHEN gone OR act = 'fail' THEN '' WHEN echo THEN 'possible_duplicate_hallucination' WHEN act = 'loop' THEN 'possible_infinite_repetition' ELSE '' END,
+  carried, CASE WHEN gone THEN 0 WHEN act = 'fail' THEN 2 ELSE 1 END,
+  CASE WHEN gone OR act IN ('fail', 'loop') OR echo THEN carried ELSE said END, CASE WHEN gone THEN failures WHEN act = 'fail' THEN failures + 1 ELSE 0 END
+FROM (SELECT *, failures >= 5 AS gone, {strip_sql('said')} <> '' AND {strip_sql('carried')} <> '' AND {dedup_sql('said')} = {dedup_sql('carried')} AS echo
+  FROM (SELECT t.*, r.carried, r.failures, CASE act WHEN 'say' THEN md5('language: en' || chr(10) || chr(10) || 'Before: ' || r.carried || t.text) WHEN 'echo' THEN translate(r.carried, '{LOWER}', '{UPPER}') || '.' ELSE '' END AS said FROM run r JOIN todo t ON t.job_id = r.job_id AND t.p = r.p + 1)))"""
+
+
+def _live_run(spark: SparkSession, sf: str, acts: str) -> DataFrame:
+    """A stub server that fails, loops, echoes the context in its prompt, or says the digest of prompt and payload."""
+
+    def stub(prompt: str, payload: str) -> str:
+        act, _, text = payload.partition("|")
+        if act == "fail":
+            raise RuntimeError("no answer")
+        if act == "loop":
+            return "language en<asr_text>" + "ab1 " * 6
+        if act == "echo":
+            return prompt.partition("Before: ")[2].translate(str.maketrans(LOWER, UPPER)) + "."
+        return "language en<asr_text>" + hashlib.md5((prompt + text).encode()).hexdigest()
+
+    prompt = template_prompt(F.lit(_LIVE_TEMPLATE), F.lit("{{context}}"), F.lit("en"), F.array().cast("array<string>"))
+    chunks = timed(spark, sf).select("job_id", "chunk_id", "text", F.when(F.expr(_PRIOR), "transcribed").otherwise("vad_extracted").alias("status"), prompt.alias("template"), F.concat(F.expr(acts), F.lit("|"), "text").alias("payload"))
+    return L.transcribe_live(chunks, stub, L.LiveParams(FilterParams(dedup_repeated=True, strip_repetition=True)))
+
+
+@query("d12_live_context", with_views("timed", _live_sql(_ACTS) + " SELECT job_id, chunk_id, status, md5(text) AS text, flags, md5(context) AS context, attempts FROM run WHERE p > 0"))
+def d12_live(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts that carry the last genuine answer, in jobs that begin and jobs that go on after an earlier run."""
+    out = _live_run(spark, sf, _ACTS)
+    return out.select("job_id", "chunk_id", "status", F.md5("text").alias("text"), F.array_join("flags", ",").alias("flags"), F.md5("context").alias("context"), "attempts")
+
 
-    rows = timed(spark, sf).select("job_id", "chunk_id", F.col("chunk_id").cast("string").alias("request"))
-    done = X.model_map(rows.where("chunk_id <= 3"), ["job_id", "chunk_id"], fails)
-    left = X.model_map(rows.where("chunk_id > 3"), ["job_id", "chunk_id"], fails, stop=lambda: True)
-    out, seen = X.observed(done.union(left))
-    out.write.parquet(shared_folder(spark))
-    told = seen.get
-    return spark.createDataFrame([tuple(int(told[c]) for c in ("asked", "ok", "failed", "stopped"))], "asked long, ok long, failed long, stopped long")
+@query("d13_live_breaker", with_views("timed", _live_sql(_DEAD) + " SELECT job_id, count(*) AS chunks, sum(attempts)::BIGINT AS attempts, count_if(status = 'failed') AS failed, count_if(attempts = 0) AS not_asked FROM run WHERE p > 0 GROUP BY job_id"))
+def d13_live(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs are given up after five failed chunks in a row; nothing more is asked for them."""
+    out = _live_run(spark, sf, _DEAD)
+    return out.groupBy("job_id").agg(F.count("*").alias("chunks"), F.sum("attempts").alias("attempts"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if((F.col("attempts") == 0) & (F.col("error") == L.ABORTED)).alias("not_asked"))
 
 
 @query("i6_flagged_rate", with_views("timed", "SELECT job_id, round(avg((chunk_id % 4 = 0)::INT), 6) AS flagged_rate FROM timed GROUP BY job_id"))
@@ -282,6 +348,15 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
     return X.correctable(timed(spark, sf)).select("job_id", "chunk_id", "text")
 
 
+def grouped_units(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Units and their groups, written once, since requests read them several times."""
+    folder = shared_folder(spark)
+    u = units(spark, sf)
+    u.join(K.context_groups(u, _LIMIT, _GROUPS), ["job_id", "chunk_id"]).write.parquet(folder)
+    grouped = spark.read.parquet(folder)
+    return grouped.drop("group_id"), grouped.select("job_id", "chunk_id", "group_id")
+
+
 @query("f1_context_groups", with_views("timed", f"RECURSIVE{GROUPED} SELECT job_id, chunk_id, g AS group_id FROM r"))
 def f1(spark: SparkSession, sf: str) -> DataFrame:
     return K.context_groups(units(spark, sf), _LIMIT, _GROUPS)
@@ -295,11 +370,7 @@ def f2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f3_correction_requests", with_views("timed", f"RECURSIVE{GROUPED} SELECT job_id, g AS group_id, chunk_id, md5(block || chr(10) || chr(10) || '<CURRENT>' || chr(10) || chunk_id || ' ' || text || chr(10) || '</CURRENT>') AS request FROM n JOIN r USING (job_id, chunk_id) JOIN blocks USING (job_id, g)"))
 def f3(spark: SparkSession, sf: str) -> DataFrame:
-    folder = shared_folder(spark)
-    u = units(spark, sf)
-    u.join(K.context_groups(u, _LIMIT, _GROUPS), ["job_id", "chunk_id"]).write.parquet(folder)  # read twice below
-    grouped = spark.read.parquet(folder)
-    u, groups = grouped.drop("group_id"), grouped.select("job_id", "chunk_id", "group_id")
+    u, groups = grouped_units(spark, sf)
     return K.correction_requests(u, groups, K.transcript_blocks(u, groups)).withColumn("request", F.md5("request"))
 
 
@@ -326,8 +397,7 @@ def f4(spark: SparkSession, sf: str) -> DataFrame:
     def stub(request: str) -> str:
         return "<OUTPUT>" + request.rsplit("<CURRENT>\n", 1)[1].removesuffix("\n</CURRENT>").partition(" ")[2].translate(str.maketrans(LOWER, UPPER)) + "</OUTPUT>"
 
-    u = units(spark, sf)
-    groups = K.context_groups(u, _LIMIT, _GROUPS)
+    u, groups = grouped_units(spark, sf)
     out = K.correction_map(u, groups, K.transcript_blocks(u, groups), stub)
     return K.corrected_texts(out, u).select("job_id", "chunk_id", "text")
 

@@ -191,25 +191,25 @@ def test_model_map_retries(spark):
     assert [tuple(r)[:5] for r in got] == [(1, True, "A", None, 1), (2, False, None, "no", 2)] and all(r.elapsed_ms >= 0 for r in got)
 
 
-def test_stop_and_progress(spark):
-    """Once told to stop, a map asks no more; what it did is observed."""
-    df = spark.createDataFrame([(i, "x") for i in range(10)], "id int, request string").coalesce(1)
-    asked = []
+def test_an_answer_of_none_is_a_failure(spark):
+    df = spark.createDataFrame([(1, "a")], "id int, request string")
+    (r,) = X.model_map(df, ["id"], lambda request: None).collect()
+    assert (r.ok, r.raw, r.error, r.attempts) == (False, None, "no answer", 2)
 
-    def stop():
-        return len(asked) >= 4
+
+def test_observed_counts(spark):
+    """What a map did is observed."""
 
     def model(request):
-        asked.append(request)
-        if len(asked) == 2:
+        if request == "2":
             raise ValueError("no")
         return request
 
-    out, seen = X.observed(X.model_map(df, ["id"], model, retries=0, stop=stop), "test calls")
-    rows = sorted(out.collect())
-    assert [r.ok for r in rows] == [True, False, True, True] + [False] * 6 and {r.error for r in rows[4:]} == {X.STOPPED} and {r.attempts for r in rows[4:]} == {0}
+    df = spark.createDataFrame([(i, str(i)) for i in range(10)], "id int, request string")
+    out, seen = X.observed(X.model_map(df, ["id"], model, retries=0), "test calls")
+    out.collect()
     told = seen.get
-    assert (told["asked"], told["ok"], told["failed"], told["stopped"]) == (4, 3, 1, 6) and told["mean_ms"] >= 0
+    assert (told["asked"], told["ok"], told["failed"], told["stopped"]) == (10, 9, 1, 0) and told["mean_ms"] >= 0
 
 
 def test_correction_map(spark):
@@ -217,9 +217,10 @@ def test_correction_map(spark):
     df = chunks(spark, [("transcribed", f"t{i}") for i in range(1, 6)])
     groups = K.context_groups(df, 4, 2)
     blocks = K.transcript_blocks(df, groups)
-    got = {r.chunk_id: r.raw for r in K.correction_map(df, groups, blocks, lambda request: request).collect()}
     want = {r.chunk_id: r.request for r in K.correction_requests(df, groups, blocks).collect()}
-    assert got == want and len(got) == 5
+    for n in (50, 2, 1):  # the chunks of a group in one run or in several
+        got = {r.chunk_id: r.raw for r in K.correction_map(df, groups, blocks, lambda request: request, run_chunks=n).collect()}
+        assert got == want and len(got) == 5
 
 
 def test_translation_tells_failed_batches(spark):
