@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import segments as S
 from ..params import VadParams
+from ..streaming.stateful import result_stream, speech_sessions
 from . import views as V
+from .folders import shared_folder
 from .registry import query
 from .scalar_queries import sql_clock
+from .streams import rocksdb, run_to_end
 from .views import with_views
 
 #: Half-second frames; the default parameters suit speech, these suit the view.
@@ -186,17 +189,41 @@ def c14(spark: SparkSession, sf: str) -> DataFrame:
 @query("j1_session_merge", with_views("frames", f"{MERGED} SELECT {_OUT} FROM merged"))
 def j1(spark: SparkSession, sf: str) -> DataFrame:
     """The session merge as a stream over event files. A last event far ahead moves the watermark past all others, which closes their sessions."""
-    from ..streaming.stateful import result_stream, speech_sessions
-    from .folders import shared_folder
-    from .stream_queries import run_to_end
-
-    folder = shared_folder(spark)
-    ts = lambda c: F.timestamp_millis(c)
-    raw = S.threshold_islands(V.frames(spark, sf), 0.5, FRAME).select("job_id", "start_ms", "end_ms")
+    folder, raw, schema = _session_events(spark, sf)
     end = raw.agg((F.max("end_ms") + 10**8).alias("start_ms")).select(F.lit(None).cast(raw.schema["job_id"].dataType).alias("job_id"), "start_ms", (F.col("start_ms") + 1).alias("end_ms"))
-    raw.unionByName(end).select("job_id", ts(F.col("start_ms")).alias("ts"), ts(F.col("end_ms")).alias("end_ts")).write.parquet(f"{folder}/in")
-    events = result_stream(spark, f"{folder}/in", f"job_id {raw.schema['job_id'].dataType.simpleString()}, ts timestamp, end_ts timestamp")
-    out = run_to_end(speech_sessions(events, "500 milliseconds", "1 hour"), folder).where("job_id is not null")
+    _write_events(raw.unionByName(end), folder)
+    out = _drain_sessions(spark, folder, schema)
     return out.select("job_id", F.unix_millis("start_ts").alias("start_ms"), F.unix_millis("end_ts").alias("end_ms"))
 
 
+_LATE = "(job_id * 31 + s // 500) % 4 = 0"
+_LATE_SQL = "SELECT job_id, min(s) AS start_ms, max(e) AS end_ms, count(*) AS n, late FROM (SELECT *, sum(CASE WHEN s - p > 500 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id, late ORDER BY s) AS g FROM (SELECT *, lag(e) OVER (PARTITION BY job_id, late ORDER BY s) AS p FROM parts)) GROUP BY job_id, late, g"
+
+
+@query("j1_late_events", with_views("frames", f"{RAW}, parts AS (SELECT job_id, s, e, {_LATE} AS late FROM raw) {_LATE_SQL}"))
+def j1_late(spark: SparkSession, sf: str) -> DataFrame:
+    """A quarter of the events comes in a second file, when the watermark is past all of them: none is lost, and their sessions are told as late."""
+    folder, raw, schema = _session_events(spark, sf)
+    late = F.expr(_LATE.replace("s //", "start_ms div").replace("// 500", "500"))
+    end = raw.agg((F.max("end_ms") + 10**8).alias("start_ms")).select(F.lit(None).cast(raw.schema["job_id"].dataType).alias("job_id"), "start_ms", (F.col("start_ms") + 1).alias("end_ms"))
+    _write_events(raw.where(~late).unionByName(end), folder)
+    _drain_sessions(spark, folder, schema)
+    _write_events(raw.where(late), folder)
+    out = _drain_sessions(spark, folder, schema)
+    return out.select("job_id", F.unix_millis("start_ts").alias("start_ms"), F.unix_millis("end_ts").alias("end_ms"), "n", "late")
+
+
+def _session_events(spark: SparkSession, sf: str) -> tuple[str, DataFrame, str]:
+    raw = S.threshold_islands(V.frames(spark, sf), 0.5, FRAME).select("job_id", "start_ms", "end_ms")
+    return shared_folder(spark), raw, f"job_id {raw.schema['job_id'].dataType.simpleString()}, ts timestamp, end_ts timestamp"
+
+
+def _write_events(rows: DataFrame, folder: str) -> None:
+    rows.select("job_id", F.timestamp_millis("start_ms").alias("ts"), F.timestamp_millis("end_ms").alias("end_ts")).write.mode("append").parquet(f"{folder}/in")
+
+
+def _drain_sessions(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    with rocksdb(spark):
+        return run_to_end(speech_sessions(result_stream(spark, f"{folder}/in", schema), 500, "1 hour"), folder).where("job_id is not null")
+
+

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from ..streaming import stateful as J
 from . import views as V
 from .folders import shared_folder
 from .registry import query
+from .streams import rocksdb, run_to_end
 from .transcript_queries import _LIVE, srt_sql
 from .views import with_views
 
@@ -24,26 +22,6 @@ def _results(spark: SparkSession, sf: str, folder: str) -> DataFrame:
     return J.result_stream(spark, f"{folder}/in", rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
 
 
-@contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Within, streams keep their state in RocksDB, which stateful processors need; afterwards the session has its own setting again."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """The stream's rows once all files are read."""
-    spark = stream.sparkSession
-    q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
-
-
 @query("j2_stateful_echo_filter", with_views("timed", """, f AS (SELECT job_id, chunk_id, status, text, CASE WHEN status <> 'failed' THEN md5(chunk_id // 3 || status) END AS form FROM timed)
 SELECT job_id, chunk_id, status, CASE WHEN status <> 'failed' AND form = last_value(form IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN '' ELSE md5(chunk_id // 3 || status) END AS text FROM f"""))
 def j2(spark: SparkSession, sf: str) -> DataFrame:

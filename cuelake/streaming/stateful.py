@@ -13,11 +13,83 @@ from ..functions.text import dedup_form
 from ..operators.captions import live_captions, render_srt
 
 
-def speech_sessions(events: DataFrame, min_silence: str, watermark: str) -> DataFrame:
-    """Speech events ``(job_id, ts, end_ts)`` merged while the gap is at most ``min_silence``; frames later than the watermark open a session of their own."""
-    stream = events.withWatermark("ts", watermark)
-    window = F.session_window("ts", F.concat((F.unix_micros("end_ts") - F.unix_micros("ts")).cast("string"), F.lit(f" microseconds {min_silence}")))
-    return stream.groupBy("job_id", window.alias("w")).agg(F.min("ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.count("*").alias("n")).drop("w")
+def _clocked(stream: DataFrame, clock: str, delay: str) -> DataFrame:
+    """``stream`` with a watermark on ``clock``, whose late rows no operator drops.
+
+    Spark knows a late row by the mark that the watermark leaves on its column. The column is computed anew after it, so the watermark still
+    moves and fires timers, and a stateful operator sees all rows.
+    """
+    return stream.withWatermark(clock, delay).withColumn(clock, F.expr(f"`{clock}` + interval 0 seconds"))
+
+
+class SessionMerger(StatefulProcessor):
+    """Speech sessions of one job (times in microseconds): events merge while the gap is at most ``silence``.
+
+    A session is told once the watermark is past its end and the silence. An event that comes later than the watermark still joins a session that is
+    open; else it opens one of its own, told at once as late (those of one batch merge with each other).
+
+    State: the open sessions by their start, with end, number of events and timer.
+    """
+
+    def __init__(self, silence: int):
+        self.silence = silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "start long", "end long, n long, timer long")
+
+    def _due(self, end: int) -> int:
+        return (end + self.silence) // 1000 + 1
+
+    def _told(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["job_id", "start_us", "end_us", "n", "late"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = sorted((k[0], *v) for k, v in self.open.iterator())
+        spans = [(a, b, n, True) for a, b, n, _ in held]  # with an open session in it, or not
+        for pdf in rows:
+            fresh = [(int(a), int(b), 1, False) for a, b in zip(pdf["start_us"], pdf["end_us"], strict=True)]
+            merged: list[tuple] = []
+            for a, b, n, known in sorted(spans + fresh):
+                if merged and a - merged[-1][1] <= self.silence:
+                    first = merged[-1]
+                    merged[-1] = (first[0], max(first[1], b), first[2] + n, first[3] or known)
+                else:
+                    merged.append((a, b, n, known))
+            spans = merged
+        now, late = timerValues.getCurrentWatermarkInMs(), []
+        for start, _, _, timer in held:  # all go first, since sessions may share a time
+            self.open.removeKey((start,))
+            self.handle.deleteTimer(timer)
+        for a, b, n, known in spans:
+            due = self._due(b)
+            if due <= now and not known:
+                late.append((a, b, n, True))
+            else:
+                self.open.updateValue((a,), (b, n, max(due, now + 1)))
+                self.handle.registerTimer(max(due, now + 1))
+        yield self._told(key, late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        over = [(k[0], v[0], v[1], False) for k, v in self.open.iterator() if v[2] <= expiredTimerInfo.getExpiryTimeInMs()]
+        for start, *_ in over:
+            self.open.removeKey((start,))
+        yield self._told(key, sorted(over))
+
+    def close(self) -> None:
+        pass
+
+
+def speech_sessions(events: DataFrame, min_silence_ms: int, watermark: str) -> DataFrame:
+    """Speech events ``(job_id, ts, end_ts)`` merged while the gap is at most ``min_silence_ms``: job_id, start_ts, end_ts, n, late (append mode, RocksDB state store).
+
+    No event is dropped: one that comes later than the watermark joins an open session or opens one of its own, told as late. Events without
+    times are left out.
+    """
+    kind = events.schema["job_id"].dataType.simpleString()
+    rows = _clocked(events.where("ts is not null and end_ts is not null"), "ts", watermark).select("job_id", F.unix_micros("ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"))
+    told = rows.groupBy("job_id").transformWithStateInPandas(SessionMerger(1000 * min_silence_ms), f"job_id {kind}, start_us long, end_us long, n long, late boolean", "Append", "EventTime")
+    return told.select("job_id", F.timestamp_micros("start_us").alias("start_ts"), F.timestamp_micros("end_us").alias("end_ts"), "n", "late")
 
 
 def running_progress(results: DataFrame) -> DataFrame:
@@ -29,37 +101,35 @@ def running_progress(results: DataFrame) -> DataFrame:
 class EchoFilter(StatefulProcessor):
     """Echo filter of one job: chunks are taken in the order of their ids; those that come early wait in state until the hole closes.
 
-    A hole before which ``patience`` chunks wait is passed over. A chunk that comes after its turn (a retry that succeeds, or one that was passed
-    over) is told at once as a late row, compared with the genuine text that stood before it; what followed stays as it was told.
+    A hole before which ``patience`` chunks wait is passed over, and so are all holes once nothing came for ``hole_ms``. A chunk that comes after its
+    turn (a retry that succeeds, or one that was passed over) is told at once as a late row, compared with the genuine text that stood before
+    it; what followed stays as it was told. Once nothing came for ``keep_ms``, all state of the job is dropped; a chunk that comes then begins it anew.
 
-    State: next id, form of the last genuine text, length of the run of failures; the chunks that wait; for each chunk that failed or was passed over, the form before it.
+    State: next id, form of the last genuine text, length of the run of failures; the chunks that wait; for each chunk that failed or was passed
+    over, the form before it; when the job's timers are due.
     """
 
-    def __init__(self, first_id: int = 1, patience: int | None = None):
-        self.first_id, self.patience = first_id, patience
+    def __init__(self, first_id: int = 1, patience: int | None = None, hole_ms: int | None = None, keep_ms: int | None = None):
+        self.first_id, self.patience, self.hole_ms, self.keep_ms = first_id, patience, hole_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.place = handle.getValueState("place", "next long, form string, failures int")
         self.waiting = handle.getMapState("waiting", "chunk_id long", "status string, text string, form string")
         self.missed = handle.getMapState("missed", "chunk_id long", "form string")
+        self.due = handle.getValueState("due", "hole long, keep long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _told(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["job_id", "chunk_id", "status", "text", "echo", "failures", "late"])
+
+    def _advance(self, key, patience: int | None) -> list[tuple]:
+        """Chunks whose turn has come, told in order."""
         following, last, failures = self.place.get() if self.place.exists() else (self.first_id, "", 0)
         out = []
-        for pdf in rows:
-            for r in pdf.itertuples():
-                i, text, form = int(r.chunk_id), r.text or "", r.form or ""
-                if i >= following:
-                    self.waiting.updateValue((i,), (r.status, text, form))
-                elif self.missed.containsKey((i,)) and r.status != "failed":
-                    (before,) = self.missed.getValue((i,))
-                    self.missed.removeKey((i,))
-                    echo = form != "" and form == before
-                    out.append((key[0], i, r.status, "" if echo else text, echo, 0, True))
         while True:
             if not self.waiting.containsKey((following,)):
-                ids = sorted(k[0] for k in self.waiting.keys()) if self.patience is not None else []
-                if not ids or len(ids) < self.patience:
+                ids = sorted(k[0] for k in self.waiting.keys()) if patience is not None else []
+                if not ids or len(ids) < patience:
                     break
                 for i in range(following, ids[0]):
                     self.missed.updateValue((i,), (last,))
@@ -75,18 +145,70 @@ class EchoFilter(StatefulProcessor):
             out.append((key[0], following, status, "" if echo else text, echo, failures, False))
             following += 1
         self.place.update((following, last, failures))
-        yield pd.DataFrame(out, columns=["job_id", "chunk_id", "status", "text", "echo", "failures", "late"])
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        following = self.place.get()[0] if self.place.exists() else self.first_id
+        out, came = [], 0
+        for pdf in rows:
+            for r in pdf.itertuples():
+                i, text, form = int(r.chunk_id), r.text or "", r.form or ""
+                came = max(came, int(r.came_ms))
+                if i >= following:
+                    self.waiting.updateValue((i,), (r.status, text, form))
+                elif self.missed.containsKey((i,)) and r.status != "failed":
+                    (before,) = self.missed.getValue((i,))
+                    self.missed.removeKey((i,))
+                    echo = form != "" and form == before
+                    out.append((key[0], i, r.status, "" if echo else text, echo, 0, True))
+        out += self._advance(key, self.patience)
+        self._rearm(came or timerValues.getCurrentProcessingTimeInMs())
+        yield self._told(out)
+
+    def _rearm(self, came: int) -> None:
+        if self.hole_ms is None and self.keep_ms is None:
+            return
+        old = self.due.get() if self.due.exists() else (None, None)
+        # Timers of one time are one; the later may be due at the time of an earlier one that is deleted, so all go first.
+        for timer in {t for t in old if t is not None}:
+            self.handle.deleteTimer(timer)
+        times = [None if wait is None else max(came + wait, *[t for t in (at,) if t is not None], 0) for wait, at in ((self.hole_ms, old[0]), (self.keep_ms, old[1]))]
+        for timer in {t for t in times if t is not None}:
+            self.handle.registerTimer(timer)
+        self.due.update(tuple(times))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        hole, keep = self.due.get() if self.due.exists() else (None, None)
+        if hole is not None and hole <= now:
+            out += self._advance(key, 1)
+            self.due.update((None, keep))
+        if keep is not None and keep <= now:
+            out += self._advance(key, 1)  # nothing waits for a job that is over
+            for state in (self.place, self.waiting, self.missed, self.due):
+                state.clear()
+        yield self._told(out)
 
     def close(self) -> None:
         pass
 
 
-def filter_echoes(results: DataFrame, first_id: int = 1, patience: int | None = None) -> DataFrame:
+def filter_echoes(results: DataFrame, first_id: int = 1, patience: int | None = None, clock: str | None = None, delay: str = "0 seconds", hole_ms: int | None = None, keep_ms: int | None = None) -> DataFrame:
     """Streaming ``results(job_id, chunk_id, status, text)`` with echoes blanked, the run of failures at each chunk, and whether a row came late, to
-    replace an earlier one of its chunk (append mode, RocksDB state store)."""
+    replace an earlier one of its chunk (append mode, RocksDB state store).
+
+    With ``hole_ms`` a hole is passed over when its job had no chunk for so long, and with ``keep_ms`` the state of a job is dropped. Time is that of the
+    column ``clock`` (when a result came), by a watermark of ``delay`` behind the newest of all jobs; late rows count too. Without a clock it is
+    processing time, which needs a stream that goes on (a trigger of ``availableNow`` never ends then). Without both, state has no end.
+    """
     kind = results.schema["job_id"].dataType.simpleString()
-    rows = results.select("job_id", F.col("chunk_id").cast("long").alias("chunk_id"), "status", "text", dedup_form(F.coalesce("text", F.lit(""))).alias("form"))
-    return rows.groupBy("job_id").transformWithStateInPandas(EchoFilter(first_id, patience), f"job_id {kind}, chunk_id long, status string, text string, echo boolean, failures int, late boolean", "Append", "None")
+    timed = hole_ms is not None or keep_ms is not None
+    came = F.lit(0).cast("long")
+    if timed and clock:
+        results, came = _clocked(results, clock, delay), F.coalesce(F.unix_millis(clock), F.lit(0).cast("long"))
+    rows = results.select("job_id", F.col("chunk_id").cast("long").alias("chunk_id"), "status", "text", dedup_form(F.coalesce("text", F.lit(""))).alias("form"), came.alias("came_ms"))
+    mode = "None" if not timed else "EventTime" if clock else "ProcessingTime"
+    return rows.groupBy("job_id").transformWithStateInPandas(EchoFilter(first_id, patience, hole_ms, keep_ms), f"job_id {kind}, chunk_id long, status string, text string, echo boolean, failures int, late boolean", "Append", mode)
 
 
 def rerender(path: str, publish: Callable[[DataFrame, int], None], buckets: int = 64) -> Callable[[DataFrame, int], None]:

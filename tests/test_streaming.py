@@ -12,17 +12,70 @@ def drain(stream, folder, **options):
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def test_sessions_equal_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = [(1, 0, 1000), (1, 1500, 2000), (1, 2501, 3000), (2, 0, 500), (9, 10_000_000, 10_000_500)]
     df = spark.createDataFrame(rows, "job_id int, start_ms long, end_ms long")
     df.select("job_id", F.timestamp_millis("start_ms").alias("ts"), F.timestamp_millis("end_ms").alias("end_ts")).write.parquet(str(tmp_path / "in"))
     stream = J.result_stream(spark, str(tmp_path / "in"), "job_id int, ts timestamp, end_ts timestamp")
-    got = drain(J.speech_sessions(stream, "500 milliseconds", "1 second"), tmp_path)
+    got = drain(J.speech_sessions(stream, 500, "1 second"), tmp_path)
     out = sorted((r.job_id, r.a, r.b) for r in got.select("job_id", F.unix_millis("start_ts").alias("a"), F.unix_millis("end_ts").alias("b")).collect())
     want = sorted(tuple(r) for r in merge_silences(df, 500).where("job_id < 9").collect())
     assert [x for x in out if x[0] < 9] == want
 
 
+def test_late_events_are_never_dropped(spark, tmp_path):
+    """Events later than the watermark open sessions of their own, or join one that is open."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    schema = "job_id int, ts timestamp, end_ts timestamp"
+
+    def feed(rows):
+        df = spark.createDataFrame(rows, "job_id int, a long, b long").select("job_id", F.timestamp_millis("a").alias("ts"), F.timestamp_millis("b").alias("end_ts"))
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        got = drain(J.speech_sessions(J.result_stream(spark, str(tmp_path / "in"), schema), 500, "1 second"), tmp_path)
+        return sorted((r.job_id, r.a, r.b, r.n, r.late) for r in got.select("job_id", F.unix_millis("start_ts").alias("a"), F.unix_millis("end_ts").alias("b"), "n", "late").collect())
+
+    first = [(1, 0, 2000, 2, False), (2, 0, 500, 1, False)]
+    assert feed([(1, 0, 1000), (1, 1500, 2000), (2, 0, 500), (9, 10_000_000, 10_000_500)]) == first
+    late = [(1, 9000, 9100, 1, True), (3, 100, 300, 2, True), (3, 1000, 1100, 1, True)]
+    assert feed([(1, 9000, 9100), (3, 250, 300), (3, 100, 200), (3, 1000, 1100), (9, 9_998_900, 9_999_600)]) == sorted(first + late)
+    assert feed([(9, 10_000_900, 10_001_000), (9, 20_000_000, 20_000_001), (1, None, 5)]) == sorted([*first, *late, (9, 9_998_900, 10_001_000, 3, False)])
+    assert feed([(8, 30_000_000, 30_000_001)])[-2:] == [(9, 9_998_900, 10_001_000, 3, False), (9, 20_000_000, 20_000_001, 1, False)]
+
+
+def test_holes_close_and_state_ends(spark, tmp_path):
+    """A hole is passed over once its job had no chunk for a while; later nothing is kept of the job."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    schema = "job_id int, chunk_id int, status string, text string, came timestamp"
+
+    def feed(rows):
+        df = spark.createDataFrame(rows, "job_id int, chunk_id int, status string, text string, sec long").withColumn("came", F.timestamp_seconds("sec")).drop("sec")
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = J.filter_echoes(J.result_stream(spark, str(tmp_path / "in"), schema), clock="came", hole_ms=60_000, keep_ms=600_000)
+        q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination()
+        held = q.lastProgress.stateOperators[0].numRowsTotal
+        return sorted((r.job_id, r.chunk_id, r.text, r.echo, r.late) for r in spark.read.parquet(f"{tmp_path}/out").collect()), held
+
+    a, b, c = (1, 1, "a", False, False), (1, 3, "", True, False), (1, 5, "b", False, False)
+    rows, held = feed([(1, 1, "transcribed", "a", 100), (1, 3, "transcribed", "A.", 101), (1, 5, "transcribed", "b", 102)])
+    assert rows == [a] and held > 0
+    rows, _ = feed([(2, 1, "transcribed", "x", 130)])  # not long enough
+    assert rows == [a, (2, 1, "x", False, False)]
+    rows, _ = feed([(2, 2, "transcribed", "y", 170)])
+    assert rows[:3] == [a, b, c]
+    rows, held = feed([(1, 2, "transcribed", "late", 10), (2, 3, "transcribed", "z", 200)])  # passed over, and older than the watermark
+    assert (1, 2, "late", False, True) in rows and held > 0
+    rows, held = feed([(3, 1, "transcribed", "q", 2000)])
+    rows, end = feed([(4, 1, "transcribed", "q", 9000)])
+    assert len(rows) == 9 and end == held  # of job 4 alone, as before of job 3
+    again, _ = feed([(1, 1, "transcribed", "b", 9001)])  # begins anew
+    assert (1, 1, "b", False, False) in again
+
+
 def test_echo_filter_waits_for_holes(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = "job_id int, chunk_id int, status string, text string"
