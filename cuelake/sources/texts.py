@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from .versions import read_versions, write_version
 
 
 def read_chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,29 +23,24 @@ def with_text(chunks: DataFrame, texts: DataFrame, kind: str = "raw") -> DataFra
     return chunks.drop("text").join(own, ["job_id", "chunk_id"], "left").withColumn("text", F.coalesce(collapse(F.col("_text")), F.lit(""))).drop("_text")
 
 
-def write_chunk_texts(texts: DataFrame, path: str, version: int) -> None:
-    """Texts of one run, whatever jobs and kinds it holds, under a ``version`` of its own; a run written again replaces itself alone."""
-    _versioned(texts.withColumn("version", F.lit(version)), path, "kind")
+def write_chunk_texts(texts: DataFrame, path: str, name: str | None = None) -> int:
+    """Texts of one run, whatever jobs and kinds it holds, as the next version, which is returned; a run of the same ``name`` is replaced."""
+    return write_version(texts.select("job_id", "chunk_id", "kind", "text"), path, ["kind"], name)
 
 
 def latest_chunk_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, chunk_id, kind, text): the newest version of each."""
-    rows = spark.read.parquet(path)
-    return rows.groupBy("job_id", "chunk_id", "kind").agg(F.max_by("text", "version").alias("text"))
+    """(job_id, chunk_id, kind, text): the newest committed version of each."""
+    return read_versions(spark, path).groupBy("job_id", "chunk_id", "kind").agg(F.max_by("text", "version").alias("text"))
 
 
-def _versioned(rows: DataFrame, path: str, first: str) -> None:
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(first, "version").parquet(path)
-
-
-def write_stage(captions: DataFrame, path: str, stage: str, version: int) -> None:
-    """Caption texts of a stage (raw, corrected, translated, postprocessed) under a version of their own; only that version, written again, is replaced."""
-    _versioned(captions.withColumns({"stage": F.lit(stage), "version": F.lit(version)}), path, "stage")
+def write_stage(captions: DataFrame, path: str, stage: str, name: str | None = None) -> int:
+    """Caption texts of a stage (raw, corrected, translated, postprocessed) as the next version, which is returned; earlier ones stay, but for those of the same ``name``."""
+    return write_version(captions.select("doc_id", "text", F.lit(stage).alias("stage")), path, ["stage"], name)
 
 
 def latest_stage(spark: SparkSession, path: str, stage: str) -> DataFrame:
     """The newest version of a stage for each document."""
-    rows = spark.read.parquet(path).where(F.col("stage") == stage)
+    rows = read_versions(spark, path).where(F.col("stage") == stage)
     return rows.groupBy("doc_id").agg(F.max_by("text", "version").alias("text"), F.max("version").alias("version"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,6 +22,11 @@ def _clocked(stream: DataFrame, clock: str, delay: str) -> DataFrame:
     return stream.withWatermark(clock, delay).withColumn(clock, F.expr(f"`{clock}` + interval 0 seconds"))
 
 
+def _all_known(*columns: Column) -> Column:
+    """Whether no column is null, as one expression: Spark would take a condition on the job alone below the watermark, and its rows would no longer move it."""
+    return F.size(F.array_compact(F.array(*[c.cast("string") for c in columns]))) == len(columns)
+
+
 class SessionMerger(StatefulProcessor):
     """Speech sessions of one job (times in microseconds): events merge while the gap is at most ``silence``.
 
@@ -84,10 +89,10 @@ def speech_sessions(events: DataFrame, min_silence_ms: int, watermark: str) -> D
     """Speech events ``(job_id, ts, end_ts)`` merged while the gap is at most ``min_silence_ms``: job_id, start_ts, end_ts, n, late (append mode, RocksDB state store).
 
     No event is dropped: one that comes later than the watermark joins an open session or opens one of its own, told as late. Events without
-    times are left out.
+    a job or times are left out, but move the watermark (Spark fires no timers of a null key, nor of those beside it).
     """
     kind = events.schema["job_id"].dataType.simpleString()
-    rows = _clocked(events.where("ts is not null and end_ts is not null"), "ts", watermark).select("job_id", F.unix_micros("ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"))
+    rows = _clocked(events, "ts", watermark).where(_all_known(F.col("job_id"), F.col("ts"), F.col("end_ts"))).select("job_id", F.unix_micros("ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"))
     told = rows.groupBy("job_id").transformWithStateInPandas(SessionMerger(1000 * min_silence_ms), f"job_id {kind}, start_us long, end_us long, n long, late boolean", "Append", "EventTime")
     return told.select("job_id", F.timestamp_micros("start_us").alias("start_ts"), F.timestamp_micros("end_us").alias("end_ts"), "n", "late")
 
@@ -199,14 +204,16 @@ def filter_echoes(results: DataFrame, first_id: int = 1, patience: int | None =
 
     With ``hole_ms`` a hole is passed over when its job had no chunk for so long, and with ``keep_ms`` the state of a job is dropped. Time is that of the
     column ``clock`` (when a result came), by a watermark of ``delay`` behind the newest of all jobs; late rows count too. Without a clock it is
-    processing time, which needs a stream that goes on (a trigger of ``availableNow`` never ends then). Without both, state has no end.
+    processing time, which needs a stream that goes on (a trigger of ``availableNow`` never ends then). Without both, state has no end. Results without
+    a job are left out, but move the clock.
     """
     kind = results.schema["job_id"].dataType.simpleString()
     timed = hole_ms is not None or keep_ms is not None
     came = F.lit(0).cast("long")
     if timed and clock:
         results, came = _clocked(results, clock, delay), F.coalesce(F.unix_millis(clock), F.lit(0).cast("long"))
-    rows = results.select("job_id", F.col("chunk_id").cast("long").alias("chunk_id"), "status", "text", dedup_form(F.coalesce("text", F.lit(""))).alias("form"), came.alias("came_ms"))
+    known = _all_known(F.col("job_id"), F.coalesce(F.col(clock).cast("string"), F.lit(""))) if timed and clock else F.col("job_id").isNotNull()
+    rows = results.where(known).select("job_id", F.col("chunk_id").cast("long").alias("chunk_id"), "status", "text", dedup_form(F.coalesce("text", F.lit(""))).alias("form"), came.alias("came_ms"))
     mode = "None" if not timed else "EventTime" if clock else "ProcessingTime"
     return rows.groupBy("job_id").transformWithStateInPandas(EchoFilter(first_id, patience, hole_ms, keep_ms), f"job_id {kind}, chunk_id long, status string, text string, echo boolean, failures int, late boolean", "Append", mode)
 
