@@ -96,10 +96,23 @@ def gemini_payload(prompt: Column, audio: Column, temperature: float = 1.0, top_
     return F.to_json(F.struct(F.array(F.struct(parts.alias("parts"))).alias("contents"), settings.alias("generationConfig")))
 
 
-def text_payload(system: Column, user: Column) -> Column:
-    """JSON of a chat-completions request of text alone, without thinking (correction and translation)."""
+# Settings of a correction request, which ends where the tagged answer does.
+CORRECTION_SAMPLING = {"temperature": 0.25, "top_p": 0.8, "top_k": 20, "presence_penalty": 1.0, "repetition_penalty": 1.0, "max_tokens": 512}
+CORRECTION_STOP = ["</OUTPUT>"]
+
+
+def text_payload(system: Column, user: Column, sampling: dict[str, float] | None = None, stop: list[str] | None = None) -> Column:
+    """JSON of a chat-completions request of text alone, without thinking: translation asks with the server's own settings, correction with ``sampling`` and ``stop`` (``correction_payload``)."""
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    return _chat(None, [message("system", system), message("user", user)], chat_template_kwargs=F.struct(F.lit(False).alias("enable_thinking")))
+    settings = {k: F.lit(v) for k, v in (sampling or {}).items()}
+    if stop:
+        settings["stop"] = F.array(*map(F.lit, stop))
+    return _chat(None, [message("system", system), message("user", user)], **settings, chat_template_kwargs=F.struct(F.lit(False).alias("enable_thinking")))
+
+
+def correction_payload(system: Column, user: Column, **changed: float) -> Column:
+    """``text_payload`` with the settings of a correction request, or ``changed`` ones; its answers lack the closing tag (``tagged_output(allow_unclosed=True)``)."""
+    return text_payload(system, user, {**CORRECTION_SAMPLING, **changed}, CORRECTION_STOP)
 
 
 def response_text(raw: Column, provider: Column) -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -29,15 +30,60 @@ def framed(samples: DataFrame, window: int, context: int) -> DataFrame:
     return rows.select("job_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), cut)).alias("frame_idx", "frame"))
 
 
-def score_frames(frames: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """``frames(job_id, frame_idx, frame)`` with ``prob``; the injected scorer sees one job's frames in order and may keep state in the call."""
+def framed_blocks(blocks: DataFrame, block_size: int, window: int, context: int) -> DataFrame:
+    """``framed`` over ``blocks(job_id, block_idx, samples)`` of ``block_size`` samples each (a job's last may be shorter): job_id, frame_idx, frame.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        return pd.DataFrame({"job_id": pdf["job_id"], "frame_idx": pdf["frame_idx"], "prob": scorer(pdf).astype("float64")})
+    A window belongs to the block of its first sample. Each block gets the last ``context`` samples of the block before it and the first
+    ``window`` - 1 of the one after it by equi joins of those edges, so no row is longer than a block with its edges, and a long recording is
+    spread over all tasks.
+    """
+    if not max(window, context) <= block_size:
+        raise ValueError("a block must hold a window and its context")
+    zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
+    own = blocks.where(F.size("samples") > 0).select("job_id", F.col("block_idx").cast("long").alias("block_idx"), F.transform("samples", lambda x: x.cast("float")).alias("samples"))
+    tail = F.slice("samples", F.greatest(F.size("samples") - context + 1, F.lit(1)), context)
+    before = own.select("job_id", (F.col("block_idx") + 1).alias("block_idx"), tail.alias("before"))
+    after = own.select("job_id", (F.col("block_idx") - 1).alias("block_idx"), F.slice("samples", 1, window - 1).alias("after"))
+    rows = own.join(before, ["job_id", "block_idx"], "left").join(after, ["job_id", "block_idx"], "left")
+    held = F.coalesce("before", zeros(F.lit(0)))
+    strip = F.concat(zeros(F.lit(context) - F.size(held)), held, "samples", F.coalesce("after", zeros(F.lit(0))), zeros(F.lit(window)))
+    first = F.ceil(F.col("block_idx") * block_size / window)  # the first window that begins in the block
+    at = (first * window - F.col("block_idx") * block_size).cast("int")
+    count = F.floor((F.size("samples") - 1 - at) / window).cast("int") + 1
+    frames = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice("strip", F.col("at") + i * window + 1, window + context))
+    cut = rows.where(F.size("samples") > at).select("job_id", first.alias("first"), at.alias("at"), strip.alias("strip"), "samples", "block_idx")
+    return cut.select("job_id", "first", F.posexplode(frames).alias("i", "frame")).select("job_id", (F.col("first") + F.col("i")).alias("frame_idx"), "frame")
+
+
+#: Scores the next frames of a job: (frames, state) to (probabilities, state); the state is None at a job's first frames.
+FrameScorer = Callable[[pd.DataFrame, Any], tuple[pd.Series, Any]]
+
+
+def score_frames(frames: DataFrame, scorer: FrameScorer) -> DataFrame:
+    """``frames(job_id, frame_idx, frame)`` with ``prob``; the injected scorer sees a job's frames in order, some at a time, with the state it gave back last.
+
+    Frames are dealt by job, sorted, and streamed: a scorer call holds the part of a job that lies in one Arrow batch, never a recording.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, state, begun = None, None, False
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ids = pdf["job_id"]
+            new = (ids != ids.shift()) & ~(ids.isna() & ids.shift().isna())
+            probs = []
+            for _, part in pdf.groupby(new.cumsum(), sort=False):
+                own = part["job_id"].iloc[0]
+                if not begun or not (own == job or (pd.isna(own) and pd.isna(job))):
+                    job, state, begun = own, None, True
+                prob, state = scorer(part, state)
+                probs.append(pd.Series(prob).astype("float64"))
+            yield pd.DataFrame({"job_id": ids.to_numpy(), "frame_idx": pdf["frame_idx"].to_numpy(), "prob": pd.concat(probs).to_numpy()})
 
     kind = frames.schema["job_id"].dataType.simpleString()
-    return frames.groupBy("job_id").applyInPandas(run, f"job_id {kind}, frame_idx long, prob double")
+    ordered = frames.select("job_id", F.col("frame_idx").cast("long").alias("frame_idx"), "frame").repartition("job_id").sortWithinPartitions("job_id", "frame_idx")
+    return ordered.mapInPandas(run, f"job_id {kind}, frame_idx long, prob double")
 
 
 def threshold_islands(frames: DataFrame, threshold: float | Column = 0.5, frame_ms: int = 500, extra_keys: tuple[str, ...] = ()) -> DataFrame:
@@ -230,6 +276,28 @@ def envelope(samples: DataFrame, row_samples: int, max_points: int) -> DataFrame
     return out.select("job_id", "row", F.col("bin").cast("long").alias("bin"), "x.lo", "x.hi")
 
 
+def envelope_blocks(blocks: DataFrame, block_size: int, row_samples: int, max_points: int) -> DataFrame:
+    """``envelope`` over ``blocks(job_id, block_idx, samples)``: each block gives least and greatest values of the bins it overlaps, which are merged."""
+    own = blocks.where(F.size("samples") > 0).select("job_id", (F.col("block_idx") * block_size).cast("long").alias("begin"), "samples")
+    total = own.groupBy("job_id").agg(F.max(F.col("begin") + F.size("samples")).alias("total"))  # lengths only
+    end = F.col("begin") + F.size("samples")
+    rows = own.join(total, "job_id").withColumn("row", F.explode(F.sequence(F.floor(F.col("begin") / row_samples), F.floor((end - 1) / row_samples))))
+    n = F.least(F.lit(row_samples).cast("long"), F.col("total") - F.col("row") * row_samples)
+    rows = rows.withColumn("size", F.when(n > max_points, F.floor(n / max_points)).otherwise(1)).withColumn("bins", F.floor(n / F.col("size")))
+    lead = F.col("row") * row_samples - F.col("begin")  # where the row begins in the block
+    low, high = F.greatest(-lead, F.lit(0)), F.least(F.lit(row_samples), end - F.col("row") * row_samples)
+    rows = rows.withColumns({"lead": lead, "low": low, "high": high}).withColumn("last", F.least(F.floor((F.col("high") - 1) / F.col("size")), F.col("bins") - 1))
+
+    def part(b: Column) -> Column:
+        a, z = F.greatest(b * F.col("size"), F.col("low")), F.least((b + 1) * F.col("size"), F.col("high"))
+        own = F.slice("samples", (a + F.col("lead") + 1).cast("int"), (z - a).cast("int"))
+        return F.struct(b.alias("bin"), F.array_min(own).alias("lo"), F.array_max(own).alias("hi"))
+
+    first = F.floor(F.col("low") / F.col("size"))
+    cut = rows.withColumn("first", first).where("first <= last").select("job_id", "row", F.explode(F.transform(F.sequence("first", "last"), part)).alias("x"))
+    return cut.groupBy("job_id", "row", F.col("x.bin").alias("bin")).agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
+
+
 def timeline_tiles(segments: DataFrame, row_ms: int = 30_000, rows_a_page: int = 10) -> DataFrame:
     """Segments by the timeline rows they overlap, and the row's page; an equi key instead of an overlap join."""
     rows = F.sequence(F.floor(F.col("start_ms") / row_ms), F.ceil(F.col("end_ms") / row_ms) - 1)

@@ -180,6 +180,13 @@ def d3_text(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.md5(T.text_payload(F.concat(F.lit("Translate to "), "lang"), F.col("text"))).alias("payload"))
 
 
+@query("d3_correction_payload", """SELECT doc_id, md5('{"messages":' || json_array(json_object('role', 'system', 'content', 'Correct ' || lang), json_object('role', 'user', 'content', text))::VARCHAR
+|| ',"temperature":0.5,"top_p":0.8,"top_k":20,"presence_penalty":1.0,"repetition_penalty":1.0,"max_tokens":512,"stop":["</OUTPUT>"],"chat_template_kwargs":{"enable_thinking":false}}') AS payload FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL""")
+def d3_correction(spark: SparkSession, sf: str) -> DataFrame:
+    docs = V.table(spark, sf, "documents").where("text is not null and lang is not null")
+    return docs.select("doc_id", F.md5(T.correction_payload(F.concat(F.lit("Correct "), "lang"), F.col("text"), temperature=0.5)).alias("payload"))
+
+
 @query("d5_response_text", "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN text END AS answer FROM documents")
 def d5(spark: SparkSession, sf: str) -> DataFrame:
     chat = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))

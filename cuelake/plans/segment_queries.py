@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,9 +149,16 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 _PAD = "list_resize(embedding, ((len(embedding) + 23) // 24 * 24)::BIGINT, 0.0::FLOAT)"
 
 
-@query("c1_framing", f"SELECT vec_id AS job_id, i AS frame_idx, round(list_sum(f), 4) AS total, len(f) AS n, round(f[1], 5) AS first FROM (SELECT vec_id, i, (list_resize([]::FLOAT[], 4, 0.0::FLOAT) || p)[i * 24 + 1:i * 24 + 28]::DOUBLE[] AS f FROM (SELECT vec_id, {_PAD} AS p, unnest(range(0, (len(embedding) + 23) // 24)) AS i FROM embeddings WHERE len(embedding) > 0))")
+_C1 = f"SELECT vec_id AS job_id, i AS frame_idx, round(list_sum(f), 4) AS total, len(f) AS n, round(f[1], 5) AS first FROM (SELECT vec_id, i, (list_resize([]::FLOAT[], 4, 0.0::FLOAT) || p)[i * 24 + 1:i * 24 + 28]::DOUBLE[] AS f FROM (SELECT vec_id, {_PAD} AS p, unnest(range(0, (len(embedding) + 23) // 24)) AS i FROM embeddings WHERE len(embedding) > 0))"
+
+
+@query("c1_framing", _C1)
 def c1(spark: SparkSession, sf: str) -> DataFrame:
     f = S.framed(samples(spark, sf), 24, 4).withColumn("d", F.transform("frame", lambda x: x.cast("double")))
+    return _frame_digest(f)
+
+
+def _frame_digest(f: DataFrame) -> DataFrame:
     return f.select("job_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.round(F.aggregate("d", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("d").cast("long").alias("n"), F.round(F.col("d")[0], 5).alias("first"))
 
 
@@ -161,31 +170,52 @@ SELECT job_id, i AS frame_idx, round(least(1.0, list_reduce(rms[1:i + 1], lambda
 @query("c2_frame_scoring", _C2)
 def c2(spark: SparkSession, sf: str) -> DataFrame:
     """Frames scored by their energy, smoothed over the job's earlier frames (the scorer's state)."""
-    import numpy as np
-
-    def energy(pdf):
-        rms = pdf["frame"].map(lambda f: float(np.sqrt(np.mean(np.square(np.asarray(f, np.float64))))))
-        return rms.ewm(alpha=0.5, adjust=False).mean().clip(upper=1.0)
+    def energy(pdf, last):
+        out = []
+        for f in pdf["frame"]:
+            rms = float(np.sqrt(np.mean(np.square(np.asarray(f, np.float64)))))
+            last = rms if last is None else 0.5 * last + 0.5 * rms
+            out.append(min(last, 1.0))
+        return pd.Series(out), last
 
     return S.score_frames(S.framed(samples(spark, sf), 24, 4), energy).withColumn("prob", F.round("prob", 6))
 
 
-@query("c12_chunk_slices", "SELECT job_id, chunk_id, round(list_sum(x::DOUBLE[]), 4) AS total, len(x) AS n FROM (SELECT vec_id AS job_id, k AS chunk_id, embedding[k * 20 - 15:least(k * 20 + 10, len(embedding))] AS x FROM (SELECT *, unnest(range(1, 4)) AS k FROM embeddings WHERE len(embedding) >= 60))")
+def sample_blocks(spark: SparkSession, sf: str, size: int = 16) -> DataFrame:
+    """The sample vectors as a table of blocks."""
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.size("samples") / size).cast("int") - 1), lambda i: F.slice("samples", i * size + 1, size))
+    cut = samples(spark, sf).where(F.size("samples") > 0).select("job_id", F.posexplode(pieces).alias("block_idx", "samples"))
+    return cut.withColumn("block_idx", F.col("block_idx").cast("long"))
+
+
+@query("c1_framing_blocks", _C1)
+def c1_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows that straddle blocks of 30 samples."""
+    f = S.framed_blocks(sample_blocks(spark, sf, 30), 30, 24, 4).withColumn("d", F.transform("frame", lambda x: x.cast("double")))
+    return _frame_digest(f)
+
+
+@query("c12_chunk_slices", "SELECT job_id, chunk_id, round(list_sum(x::DOUBLE[]), 4) AS total, len(x) AS n FROM (SELECT vec_id AS job_id, k AS chunk_id, embedding[k * 20 - 15:least(k * 20 + 10, len(embedding))] AS x FROM (SELECT *, unnest(range(1, 4)) AS k FROM embeddings)) WHERE len(x) > 0")
 def c12(spark: SparkSession, sf: str) -> DataFrame:
-    whole = samples(spark, sf).where(F.size("samples") >= 60)
-    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.size("samples") / 16).cast("int") - 1), lambda i: F.slice("samples", i * 16 + 1, 16))
-    blocks = whole.select("job_id", F.posexplode(pieces).alias("block_idx", "samples")).withColumn("block_idx", F.col("block_idx").cast("long"))
     k = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("chunk_id")
-    chunks = whole.select("job_id", F.size("samples").alias("n"), k).select("job_id", "chunk_id", (F.col("chunk_id") * 20 - 16).alias("start_sample"), F.least(F.col("chunk_id") * 20 + 10, F.col("n")).alias("end_sample"))
-    out = S.slice_samples(blocks, chunks.withColumns({"start_sample": F.col("start_sample").cast("long"), "end_sample": F.col("end_sample").cast("long")}), 16)
+    chunks = samples(spark, sf).select("job_id", F.size("samples").alias("n"), k).select("job_id", "chunk_id", (F.col("chunk_id") * 20 - 16).alias("start_sample"), F.least(F.col("chunk_id") * 20 + 10, F.col("n")).alias("end_sample"))
+    out = S.slice_samples(sample_blocks(spark, sf), chunks.withColumns({"start_sample": F.col("start_sample").cast("long"), "end_sample": F.col("end_sample").cast("long")}), 16)
     return out.select("job_id", "chunk_id", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("samples").cast("long").alias("n"))
 
 
-@query("c14_envelope", "SELECT job_id, row, bin, min(x) AS lo, max(x) AS hi FROM (SELECT vec_id AS job_id, (i - 1) // 40 AS row, (i - 1) % 40 // CASE WHEN n > 8 THEN n // 8 ELSE 1 END AS bin, n // CASE WHEN n > 8 THEN n // 8 ELSE 1 END AS bins, x FROM (SELECT vec_id, i, x, least(40, total - (i - 1) // 40 * 40) AS n FROM (SELECT vec_id, len(embedding) AS total, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings))) WHERE bin < bins GROUP BY job_id, row, bin")
+_C14 = "SELECT job_id, row, bin, min(x) AS lo, max(x) AS hi FROM (SELECT vec_id AS job_id, (i - 1) // 40 AS row, (i - 1) % 40 // CASE WHEN n > 8 THEN n // 8 ELSE 1 END AS bin, n // CASE WHEN n > 8 THEN n // 8 ELSE 1 END AS bins, x FROM (SELECT vec_id, i, x, least(40, total - (i - 1) // 40 * 40) AS n FROM (SELECT vec_id, len(embedding) AS total, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings))) WHERE bin < bins GROUP BY job_id, row, bin"
+
+
+@query("c14_envelope", _C14)
 def c14(spark: SparkSession, sf: str) -> DataFrame:
     return S.envelope(samples(spark, sf), 40, 8)
 
 
+@query("c14_envelope_blocks", _C14)
+def c14_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return S.envelope_blocks(sample_blocks(spark, sf), 16, 40, 8)
+
+
 @query("j1_session_merge", with_views("frames", f"{MERGED} SELECT {_OUT} FROM merged"))
 def j1(spark: SparkSession, sf: str) -> DataFrame:
     """The session merge as a stream over event files. A last event far ahead moves the watermark past all others, which closes their sessions."""

@@ -1,7 +1,9 @@
 """Golden cases, one behaviour each."""
 
+import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,8 +237,6 @@ def test_translation_tells_failed_batches(spark):
 
 
 def test_payloads(spark):
-    import json
-
     sound = F.lit(b"RIFF" * 40)
     chat = json.loads(one(spark, T.chat_payload(F.lit("m"), F.lit('a "b"'), sound, temperature=0.0, thinking=False)))
     assert chat["messages"][0]["content"][0] == {"type": "text", "text": 'a "b"'} and "\n" not in chat["messages"][0]["content"][1]["input_audio"]["data"]
@@ -350,3 +350,44 @@ def test_merge(spark):
 def test_translate_with_a_model(spark):
     out = H.translate(lines(spark, ["oar", "rope", "tar"]), 25, lambda t: t.replace("a", "ä"))
     assert [r.text for r in out.orderBy("serial").collect()] == ["oär", "rope", "tär"]
+
+
+def test_correction_payload(spark):
+    got = json.loads(one(spark, T.correction_payload(F.lit("s"), F.lit("u"), top_k=5)))
+    assert {k: v for k, v in got.items() if k != "messages"} == {
+        "temperature": 0.25, "top_p": 0.8, "top_k": 5, "presence_penalty": 1.0, "repetition_penalty": 1.0, "max_tokens": 512, "stop": ["</OUTPUT>"], "chat_template_kwargs": {"enable_thinking": False},
+    }
+
+
+@pytest.mark.parametrize("size", [16, 24, 30, 31, 50])
+def test_blocks_equal_arrays(spark, size):
+    """Windows and bins over tables of blocks equal those of whole arrays, wherever they straddle blocks."""
+    rng = random.Random(3)
+    jobs = {f"j{n}": [rng.uniform(-1, 1) for _ in range(n)] for n in (1, 7, 15, 16, 17, 24, 48, 97, 150, 301)}
+    whole = spark.createDataFrame(list(jobs.items()), "job_id string, samples array<float>")
+    blocks = spark.createDataFrame([(j, i // size, x[i : i + size]) for j, x in jobs.items() for i in range(0, len(x), size)], "job_id string, block_idx int, samples array<float>").repartition(4)
+    for window, context in ((12, 5), (7, 0), (16, 16), (1, 3)):
+        want = sorted(map(tuple, S.framed(whole, window, context).collect()))
+        assert sorted(map(tuple, S.framed_blocks(blocks, size, window, context).collect())) == want
+    for row, points in ((40, 8), (100, 7), (16, 16), (1000, 3)):
+        want = sorted(map(tuple, S.envelope(whole, row, points).collect()))
+        assert sorted(map(tuple, S.envelope_blocks(blocks, size, row, points).collect())) == want
+
+
+def test_scorer_state_lives_across_batches(spark):
+    """A scorer that counts gives a job's whole count however small the batches are, and never sees two jobs at once."""
+    rows = [(j, i, [float(i)]) for j in ("a", "b", None) for i in range(25)]
+    df = spark.createDataFrame(rows, "job_id string, frame_idx int, frame array<float>").repartition(3)
+
+    def count(pdf, seen):
+        assert pdf["job_id"].nunique(dropna=False) == 1
+        seen = (seen or 0) + 1000 * len(pdf) ** 0  # calls
+        first = seen % 1000
+        return pd.Series([first + i + 1 for i in range(len(pdf))]), seen + len(pdf)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {(r.job_id, r.frame_idx): r.prob for r in S.score_frames(df, count).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(j, i): i + 1.0 for j in ("a", "b", None) for i in range(25)}
