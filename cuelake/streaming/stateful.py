@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..functions.text import dedup_form
 from ..operators.captions import live_captions, render_srt
@@ -218,22 +219,84 @@ def filter_echoes(results: DataFrame, first_id: int = 1, patience: int | None =
     return rows.groupBy("job_id").transformWithStateInPandas(EchoFilter(first_id, patience, hole_ms, keep_ms), f"job_id {kind}, chunk_id long, status string, text string, echo boolean, failures int, late boolean", "Append", mode)
 
 
-def rerender(path: str, publish: Callable[[DataFrame, int], None], buckets: int = 64) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: keeps each attempt at ``(job_id, chunk_id, attempt)``, renders the captions of the batch's jobs anew, and publishes them.
+class AttemptStore:
+    """Attempts at chunks in buckets of the job, in a folder of deltas and bases:
 
-    A batch writes its own partitions, so one that runs twice changes nothing; a later attempt replaces a failed chunk. Attempts lie in
-    buckets of the job, and a batch reads only those that its jobs are in.
+        <path>/delta/bucket=<b>/batch=<i>/    what batch i brought
+        <path>/base/bucket=<b>/upto=<i>/      the latest attempts of all batches up to i; counts once it holds the file _done
+
+    Readers take the newest base that counts and the deltas after it. A bucket of more than ``keep`` deltas gets a new base, and what it replaces is
+    deleted, so a batch reads at most ``keep`` + 1 folders of each of its buckets, however long the stream runs. A batch that runs twice writes
+    the same delta again, and one that dies while merging leaves a base that doesn't count.
     """
 
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, keep: int = 16):
+        self.spark, self.path, self.buckets, self.keep = spark, path, buckets, keep
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("job_id"), F.lit(self.buckets)).cast("int")
+
+    def _fs(self, folder: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _numbers(self, kind: str, bucket: int) -> list[int]:
+        folder, fs = self._fs(f"{self.path}/{kind}/bucket={bucket}")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n.partition("=")[2]) for n in names if "=" in n)
+
+    def _done(self, bucket: int, upto: int) -> str:
+        return f"{self.path}/base/bucket={bucket}/upto={upto}/_done"
+
+    def folders(self, bucket: int) -> tuple[list[str], list[str]]:
+        """(base and deltas to read, those that a base replaced) of a bucket."""
+        bases, deltas = self._numbers("base", bucket), self._numbers("delta", bucket)
+        valid = [u for u in bases if (lambda p, fs: fs.exists(p))(*self._fs(self._done(bucket, u)))]
+        upto = valid[-1] if valid else -1
+        base = lambda u: f"{self.path}/base/bucket={bucket}/upto={u}"
+        delta = lambda i: f"{self.path}/delta/bucket={bucket}/batch={i}"
+        return [*map(base, valid[-1:]), *[delta(i) for i in deltas if i > upto]], [*[base(u) for u in bases if u < upto], *[delta(i) for i in deltas if i <= upto]]
+
+    def add(self, batch: DataFrame, batch_id: int) -> list[int]:
+        """Keep a batch; the buckets that it touched, at most all."""
+        rows = batch.withColumns({"batch": F.lit(batch_id), "bucket": self._bucket()})
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{self.path}/delta")
+        return [b for b in range(self.buckets) if batch_id in self._numbers("delta", b)]
+
+    def read(self, buckets: list[int], schema: StructType) -> DataFrame:
+        """The latest attempts at the chunks of some buckets, with their bucket."""
+        paths = [f for b in buckets for f in self.folders(b)[0]]
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        others = [c for c in schema.names if c not in ("job_id", "chunk_id")]
+        latest = rows.groupBy("job_id", "chunk_id").agg(F.max_by(F.struct(*others), "attempt").alias("r"))
+        return latest.select("job_id", "chunk_id", "r.*").withColumn("bucket", self._bucket())
+
+    def compact(self, buckets: list[int], schema: StructType) -> list[int]:
+        """Merge the buckets that have too many deltas; returns them."""
+        full = {b: n[-1] for b in buckets if len(n := self._numbers("delta", b)) > self.keep}
+        if full:
+            upto = F.create_map(*[F.lit(x) for pair in full.items() for x in pair])[F.col("bucket")]
+            merged = self.read(list(full), schema).withColumn("upto", upto)
+            merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "upto").parquet(f"{self.path}/base")
+            for b, u in full.items():
+                done, fs = self._fs(self._done(b, u))
+                fs.create(done, True).close()
+                for old in self.folders(b)[1]:
+                    fs.delete(self._fs(old)[0], True)
+        return list(full)
+
+
+def rerender(path: str, publish: Callable[[DataFrame, int], None], buckets: int = 64, keep: int = 16) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: keeps each attempt at ``(job_id, chunk_id, attempt)`` in an ``AttemptStore``, renders the captions of the batch's jobs
+    anew, and publishes them. A later attempt replaces a failed chunk; a batch that runs twice changes nothing, and reads its own buckets alone."""
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
-        batch.withColumns({"batch": F.lit(batch_id), "bucket": bucket}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
-        jobs = batch.select("job_id").distinct()
-        mine = [r[0] for r in jobs.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets``
-        attempts = spark.read.parquet(path).where(F.col("bucket").isin(mine)).join(jobs, "job_id", "left_semi")
-        latest = attempts.groupBy("job_id", "chunk_id").agg(F.max_by(F.struct("start_ms", "end_ms", "status", "text"), "attempt").alias("r")).select("job_id", "chunk_id", "r.*")
+        store = AttemptStore(batch.sparkSession, path, buckets, keep)
+        rows = batch.select("job_id", "chunk_id", "attempt", "start_ms", "end_ms", "status", "text")
+        mine = store.add(rows, batch_id)
+        latest = store.read(mine, rows.schema).join(rows.select("job_id").distinct(), "job_id", "left_semi")
         publish(render_srt(live_captions(latest)), batch_id)
+        store.compact(mine, rows.schema)
 
     return run
 

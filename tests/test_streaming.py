@@ -111,3 +111,23 @@ def test_late_retries_and_patience(spark, tmp_path):
     assert [r[0] for r in run()] == [1, 2, 4, 5]
     write([(1, 2, "transcribed", "x"), (1, 3, "transcribed", "A."), (1, 4, "transcribed", "again")])
     assert run() == [(1, False, "transcribed", "a", False), (2, False, "failed", "", False), (2, True, "transcribed", "x", False), (3, True, "transcribed", "", True), (4, False, "transcribed", "b", False), (5, False, "transcribed", "c", False)]
+
+
+def test_a_long_stream_reads_few_files(spark, tmp_path):
+    """However many batches came, a bucket has a base and few deltas, and captions hold every chunk's latest attempt."""
+    schema = "job_id int, chunk_id int, attempt int, start_ms long, end_ms long, status string, text string"
+    seen, most = {}, 0
+    store = J.AttemptStore(spark, str(tmp_path / "attempts"), buckets=2, keep=3)
+    fn = J.rerender(store.path, lambda df, i: seen.update({r.doc_id: r.text for r in df.collect()}), buckets=2, keep=3)
+    batch = lambda i: spark.createDataFrame([(1, i // 2 + 1, i % 2 + 1, 1000 * (i // 2), 1000 * (i // 2) + 900, ["failed", "transcribed"][i % 2], f"t{i}"), (5, 1, i, 0, 1, "transcribed", f"n{i}")], schema).coalesce(1)
+    for i in range(14):
+        fn(batch(i), i)
+        if i % 5 == 4:
+            fn(batch(i), i)  # runs twice
+        most = max(most, *[len(store.folders(b)[0]) for b in range(2)])
+    assert most <= 4 and sum(p.suffix == ".parquet" for p in (tmp_path / "attempts").rglob("*")) <= 8
+    assert [line for line in seen[1].split("\n") if line.startswith("t")] == [f"t{i}" for i in range(1, 14, 2)] and "n13" in seen[5]
+    # A base without its mark doesn't count.
+    bucket = next(b for b in range(2) if store._numbers("base", b))
+    (tmp_path / "attempts" / "base" / f"bucket={bucket}" / "upto=99").mkdir()
+    assert not any("upto=99" in f for f in store.folders(bucket)[0])
