@@ -145,15 +145,9 @@ TEMPLATE = "{{language_hint}}{{vocabulary}}Before: {{context}}\n{{context}}"
 _BLOCK = "'Vocabulary (proper nouns/terms that may appear):' || chr(10) || '- ' || source || chr(10) || '- {{context}}' || chr(10) || chr(10)"
 
 
-@query("d2_template_prompt", f"SELECT doc_id, replace(CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'language: ' || lang || chr(10) || chr(10) END || CASE WHEN doc_id % 3 = 0 THEN '' ELSE {_BLOCK} END || 'Before: {{{{context}}}}' || chr(10) || '{{{{context}}}}', '{{{{context}}}}', text[1:50]) AS prompt FROM documents".replace("{{{{", "{{").replace("}}}}", "}}"))
+@query("d2_template_prompt", f"SELECT doc_id, replace(CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'language: ' || lang || chr(10) || chr(10) END || CASE WHEN doc_id % 3 = 0 THEN '' ELSE {_BLOCK} END || 'Before: {{{{context}}}}' || chr(10) || '{{{{context}}}}', '{{{{context}}}}', text) AS prompt FROM documents".replace("{{{{", "{{").replace("}}}}", "}}"))
 def d2(spark: SparkSession, sf: str) -> DataFrame:
-    terms = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(" "))).otherwise(F.array("source", F.lit(" "), F.lit("{{context}}")))
-    return V.table(spark, sf, "documents").select("doc_id", T.template_prompt(F.lit(TEMPLATE), F.substring("text", 1, 50), F.when(F.col("doc_id") % 4 == 0, "auto").otherwise(F.col("lang")), terms).alias("prompt"))
-
-
-@query("d2_template_prompt_whole", f"SELECT doc_id, replace(CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'language: ' || lang || chr(10) || chr(10) END || CASE WHEN doc_id % 3 = 0 THEN '' ELSE {_BLOCK} END || 'Before: {{{{context}}}}' || chr(10) || '{{{{context}}}}', '{{{{context}}}}', text) AS prompt FROM documents".replace("{{{{", "{{").replace("}}}}", "}}"))
-def d2_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with the whole text as context."""
+    """The whole text is the context."""
     terms = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(" "))).otherwise(F.array("source", F.lit(" "), F.lit("{{context}}")))
     return V.table(spark, sf, "documents").select("doc_id", T.template_prompt(F.lit(TEMPLATE), F.col("text"), F.when(F.col("doc_id") % 4 == 0, "auto").otherwise(F.col("lang")), terms).alias("prompt"))
 
@@ -202,18 +196,26 @@ def d6(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "documents").select("doc_id", T.asr_language(raw).alias("language"), T.asr_text(raw).alias("text"))
 
 
-_REP = "SELECT job_id, chunk_id, CASE WHEN chunk_id % 5 = 0 THEN concat(substr(text, 1, 20), repeat(substr(text, 1, 7), 5)) ELSE substr(text, 1, 120) END AS text FROM lines"
+def units_sql(table: str) -> str:
+    """CTE ``units(text, unit)`` of the texts of ``table`` that repeat a unit five times: RE2 has no back-references, so by comparing substrings.
 
+    Where a unit of k characters stands five times, 4 * k >= 8 characters in a row equal those k further on, so some of them are four at a
+    place that four divides. Only texts and k with such a place are looked at in full.
+    """
+    return f""", near AS (SELECT text, k FROM (SELECT text, unnest(range(4, length(text) - 3, 4)) AS p FROM (SELECT DISTINCT text FROM {table})), range(2, 21) u(k) WHERE substr(text, p, 4) = substr(text, p + k, 4) GROUP BY ALL),
+units AS (SELECT text, min_by(substr(text, p, k), p * 100 + k) AS unit FROM (SELECT text, k, unnest(range(1, length(text) - 5 * k + 2)) AS p FROM near) WHERE substr(text, p, 5 * k) = repeat(substr(text, p, k), 5) GROUP BY text)"""
 
-@query("d7_repetition", with_views("lines", f", rep AS ({_REP}) SELECT job_id, chunk_id, min_by(substr(text, p, k), p * 100 + k) AS unit FROM rep, range(1, 121) r(p), range(2, 21) u(k) WHERE p + 5 * k - 1 <= length(text) AND substr(text, p, 5 * k) = repeat(substr(text, p, k), 5) GROUP BY 1, 2"))
+
+@query("d7_repetition", with_views("lines", ", rep AS (SELECT job_id, chunk_id, CASE WHEN chunk_id % 5 = 0 THEN text || repeat(substr(text, 1, 7), 5) ELSE text END AS text FROM lines)" + units_sql("rep") + " SELECT job_id, chunk_id, unit FROM rep JOIN units USING (text)"))
 def d7(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.when(F.col("chunk_id") % 5 == 0, F.concat(F.substring("text", 1, 20), F.repeat(F.substring("text", 1, 7), 5))).otherwise(F.substring("text", 1, 120))
+    """Whole lines; every fifth ends with its beginning, five times."""
+    text = F.when(F.col("chunk_id") % 5 == 0, F.concat("text", F.repeat(F.substring("text", 1, 7), 5))).otherwise(F.col("text"))
     return V.lines(spark, sf).select("job_id", "chunk_id", T.repetition(text).alias("unit")).where("unit is not null")
 
 
-@query("d7_repetition_whole")
+@query("d7_repetition_whole", with_views("lines", units_sql("lines") + " SELECT job_id, chunk_id, unit FROM lines JOIN units USING (text)"))
 def d7_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Repetition in all lines as they are, whole."""
+    """Repetition in all lines as they are."""
     return V.lines(spark, sf).select("job_id", "chunk_id", T.repetition(F.col("text")).alias("unit")).where("unit is not null")
 
 
@@ -228,7 +230,10 @@ def i1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NORM = "regexp_replace({}, '[\\s\\p{{P}}]', '', 'g')"
-_CER = "CASE WHEN length({0}) = 0 THEN CASE WHEN length({1}) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein({0}, {1}) / length({0})::DOUBLE END"
+# DuckDB's edit distance counts bytes, so the characters of a pair (at most 43 different ones at any scale) are numbered and written as one byte each.
+_BYTES = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
+_ASCII = "translate({0}, array_to_string(list_distinct(string_split({1} || {2}, '')), ''), '" + _BYTES + "')"
+_CER = "CASE WHEN length({0}) = 0 THEN CASE WHEN length({1}) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(" + _ASCII.format("{0}", "{0}", "{1}") + ", " + _ASCII.format("{1}", "{0}", "{1}") + ") / length({0})::DOUBLE END"
 PAIRED = f", norm AS (SELECT *, {_NORM.format('ref')} AS r, {_NORM.format('hyp_auto')} AS a, {_NORM.format('hyp_hinted')} AS h FROM evals), paired AS (SELECT sample_id, lang_id, {_CER.format('ref', 'hyp_auto')} AS auto_raw, {_CER.format('r', 'a')} AS auto_norm, {_CER.format('ref', 'hyp_hinted')} AS hinted_raw, {_CER.format('r', 'h')} AS hinted_norm FROM norm)"
 _RATES = ("auto_raw", "auto_norm", "hinted_raw", "hinted_norm")
 
@@ -248,21 +253,6 @@ def i4(spark: SparkSession, sf: str) -> DataFrame:
     return E.mean_cer(E.paired_cer(V.evals(spark, sf))).select("lang_id", "n", *[F.round(r, 6).alias(r) for r in _RATES])
 
 
-@query("i2_cer_whole")
-def i2_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return V.all_evals(spark, sf).select("sample_id", F.round(T.cer(F.col("ref"), F.col("hyp_auto")), 6).alias("cer"))
-
-
-@query("i3_paired_cer_whole")
-def i3_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return E.paired_cer(V.all_evals(spark, sf)).select("sample_id", "lang_id", *[F.round(r, 6).alias(r) for r in _RATES])
-
-
-@query("i4_mean_cer_whole")
-def i4_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return E.mean_cer(E.paired_cer(V.all_evals(spark, sf))).select("lang_id", "n", *[F.round(r, 6).alias(r) for r in _RATES])
-
-
 @query("i5_misdetections", "SELECT code, count(*) AS n, count_if(name IS NOT NULL AND lower(name) <> lower(detected)) AS n_wrong, count_if(name IS NULL) AS n_unmapped FROM (SELECT ['ko', 'ja', 'zh', 'xx'][doc_id % 4 + 1] AS code, ['Korean', 'japanese', 'Chinese', 'Korean', NULL][doc_id % 5 + 1] AS d, coalesce(d, '') AS detected, CASE code WHEN 'ko' THEN 'Korean' WHEN 'ja' THEN 'Japanese' WHEN 'zh' THEN 'Chinese' END AS name FROM documents) GROUP BY code")
 def i5(spark: SparkSession, sf: str) -> DataFrame:
     pick = lambda xs: F.array(*[F.lit(x) for x in xs])

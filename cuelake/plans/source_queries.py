@@ -59,14 +59,6 @@ def a10(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(rows.schema).json(folder)
 
 
-@query("a10_eval_report_whole")
-def a10_whole(spark: SparkSession, sf: str) -> DataFrame:
-    folder = shared_folder(spark)
-    rows = E.paired_cer(V.all_evals(spark, sf)).select("sample_id", F.round("auto_norm", 6).alias("auto_norm"), F.round("hinted_norm", 6).alias("hinted_norm"))
-    X.write_report(rows, folder)
-    return spark.read.schema(rows.schema).json(folder)
-
-
 @query("a11_stage_versions", "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN upper_text ELSE text END) AS text, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END AS version FROM (SELECT doc_id, coalesce(text, '') AS text, '2' || coalesce(text, '') AS upper_text FROM documents)")
 def a11(spark: SparkSession, sf: str) -> DataFrame:
     """A second version of every other document's captions; the newest of each is read."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
@@ -10,31 +12,36 @@ from ..streaming import stateful as J
 from . import views as V
 from .folders import shared_folder
 from .registry import query
+from .scalar_queries import dedup_sql
 from .streams import rocksdb, run_to_end
 from .transcript_queries import _LIVE, srt_sql
 from .views import with_views
 
 
-def _results(spark: SparkSession, sf: str, folder: str) -> DataFrame:
-    """Timed lines as result files, and a stream over them."""
-    rows = V.timed_lines(spark, sf).withColumn("attempt", F.lit(1))
+def _results(spark: SparkSession, sf: str, folder: str, changed: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Timed lines (changed before they are written) as result files, and a stream over them."""
+    rows = changed(V.timed_lines(spark, sf).withColumn("attempt", F.lit(1)))
     rows.write.parquet(f"{folder}/in")
     return J.result_stream(spark, f"{folder}/in", rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
 
 
-@query("j2_stateful_echo_filter", with_views("timed", """, f AS (SELECT job_id, chunk_id, status, text, CASE WHEN status <> 'failed' THEN md5(chunk_id // 3 || status) END AS form FROM timed)
-SELECT job_id, chunk_id, status, CASE WHEN status <> 'failed' AND form = last_value(form IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN '' ELSE md5(chunk_id // 3 || status) END AS text FROM f"""))
+_ECHOES = """, f AS (SELECT job_id, chunk_id, status, said, CASE WHEN status <> 'failed' THEN {form} END AS form FROM {rows})
+SELECT job_id, chunk_id, status, CASE WHEN status <> 'failed' AND form <> '' AND form = last_value(form IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN '' ELSE said END AS text FROM f"""
+
+
+@query("j2_stateful_echo_filter", with_views("timed", _ECHOES.format(form=dedup_sql("said"), rows="(SELECT *, first_value(text) OVER (PARTITION BY job_id, chunk_id // 3 ORDER BY chunk_id) || repeat('.', (chunk_id % 3)::INTEGER) AS said FROM timed)")))
 def j2(spark: SparkSession, sf: str) -> DataFrame:
-    """Each three neighbours say the same, so all but the first are echoes; chunks arrive in any order."""
+    """Each three neighbours say the same whole line, so all but the first are echoes; chunks arrive in any order."""
     folder = shared_folder(spark)
-    text = F.md5(F.concat(F.floor(F.col("chunk_id") / 3).cast("string"), F.col("status")))
+    line = F.first("text").over(Window.partitionBy("job_id", F.floor(F.col("chunk_id") / 3)).orderBy("chunk_id"))
+    said = lambda rows: rows.withColumn("text", F.concat(line, F.repeat(F.lit("."), (F.col("chunk_id") % 3).cast("int"))))
     with rocksdb(spark):
-        return run_to_end(J.filter_echoes(_results(spark, sf, folder).withColumn("text", text)), folder).select("job_id", "chunk_id", "status", "text")
+        return run_to_end(J.filter_echoes(_results(spark, sf, folder, said)), folder).select("job_id", "chunk_id", "status", "text")
 
 
-@query("j2_stateful_echo_filter_whole")
+@query("j2_stateful_echo_filter_whole", with_views("timed", _ECHOES.format(form=dedup_sql("said"), rows="(SELECT *, text AS said FROM timed)")))
 def j2_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same over the lines' own texts, whole."""
+    """The same over the lines as they are."""
     folder = shared_folder(spark)
     with rocksdb(spark):
         return run_to_end(J.filter_echoes(_results(spark, sf, folder)), folder).select("job_id", "chunk_id", "status", "text")

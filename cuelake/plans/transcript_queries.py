@@ -19,7 +19,7 @@ from ..sources.board import RunBoard
 from . import views as V
 from .folders import shared_folder
 from .registry import query
-from .scalar_queries import collapse_sql, dedup_sql, sql_clock, strip_sql
+from .scalar_queries import collapse_sql, dedup_sql, sql_clock, strip_sql, units_sql
 from .views import with_views
 
 _TEXT = collapse_sql("text")
@@ -86,12 +86,12 @@ def d4(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("job_id", "chunk_id", F.when(F.col("ok"), "transcribed").otherwise("failed").alias("status"), asr_text(F.col("raw")).alias("text"), "attempts")
 
 
-# The oracle marks injected repetition by its construction: every seventh chunk's text is one unit five times.
-_INJECTED = "SELECT job_id, chunk_id, status, CASE WHEN chunk_id % 7 = 0 THEN repeat('ab' || (chunk_id % 3)::VARCHAR || ' ', 6) WHEN chunk_id % 7 = 1 AND chunk_id > 1 THEN translate(lag(t) OVER (PARTITION BY job_id ORDER BY chunk_id), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '.' ELSE t END AS text FROM (SELECT *, substr(text, 1, 9) AS t FROM timed)"
+# Whole lines, but every seventh chunk is one unit six times, and the one after it echoes the line before that.
+_INJECTED = "SELECT job_id, chunk_id, status, CASE WHEN chunk_id % 7 = 0 THEN repeat('ab' || (chunk_id % 3)::VARCHAR || ' ', 6) WHEN chunk_id % 7 = 1 AND chunk_id > 1 THEN translate(lag(t) OVER (PARTITION BY job_id ORDER BY chunk_id), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '.' ELSE t END AS text FROM (SELECT *, text AS t FROM timed)"
 
 
 def injected(spark: SparkSession, sf: str) -> DataFrame:
-    rows = timed(spark, sf).withColumn("t", F.substring("text", 1, 9))
+    rows = timed(spark, sf).withColumn("t", F.col("text"))
     echo = F.concat(F.translate(F.lag("t").over(Window.partitionBy("job_id").orderBy("chunk_id")), LOWER, UPPER), F.lit("."))
     loop = F.repeat(F.concat(F.lit("ab"), (F.col("chunk_id") % 3).cast("string"), F.lit(" ")), 6)
     text = F.when(F.col("chunk_id") % 7 == 0, loop).when((F.col("chunk_id") % 7 == 1) & (F.col("chunk_id") > 1), echo).otherwise(F.col("t"))
@@ -99,10 +99,10 @@ def injected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _filter_sql(strip: bool) -> str:
-    unit = "(chunk_id % 7 = 0)"
+    unit = "(unit IS NOT NULL)"
     usable = "status <> 'failed'" + (f" AND NOT {unit}" if strip else "")
     blank = f"(NOT echo AND status <> 'failed' AND {unit})" if strip else "FALSE"
-    return f""", inj AS ({_INJECTED}), f AS (SELECT *, {dedup_sql('text')} AS form, {strip_sql('text')} = '' AS blank FROM inj),
+    return f""", inj AS ({_INJECTED}){units_sql('inj')}, f AS (SELECT *, {dedup_sql('text')} AS form, {strip_sql('text')} = '' AS blank FROM inj LEFT JOIN units USING (text)),
 l AS (SELECT *, last_value(CASE WHEN {usable} THEN {{'f': form, 'b': blank}} END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM f),
 e AS (SELECT *, coalesce(status <> 'failed' AND NOT blank AND NOT p.b AND form = p.f, FALSE) AS echo FROM l),
 g AS (SELECT *, {blank} AS cut, CASE WHEN status <> 'failed' AND NOT echo AND NOT {blank} THEN text END AS genuine FROM e)
@@ -135,7 +135,7 @@ def d12(spark: SparkSession, sf: str) -> DataFrame:
     return _filtered(spark, sf, True).select("job_id", "chunk_id", "context")
 
 
-# The same over all lines as they are, whole. DuckDB's expressions have no back-references, so there is no SQL.
+# The same over all lines as they are, without SQL: that of the queries above takes long enough.
 
 
 def _whole(spark: SparkSession, sf: str, strip: bool) -> DataFrame:

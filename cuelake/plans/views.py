@@ -43,16 +43,8 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII reference and hypothesis pairs."""
-    return _pairs(table(spark, sf_dir, "conversations").where(F.length("text") == F.octet_length("text")))
-
-
-def all_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of all turns that have a text. ``evals`` and its SQL hold those in ASCII only."""
-    return _pairs(table(spark, sf_dir, "conversations").where("text is not null"))
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
+    """Reference and hypothesis pairs of all turns that have a text."""
+    rows = table(spark, sf_dir, "conversations").where("text is not null")
     sub = lambda a, b: F.replace("text", F.lit(a), F.lit(b))
     return rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("sample_id"), (F.col("conv_id") % 3).alias("lang_id"), F.col("text").alias("ref"), sub("th", "t").alias("hyp_auto"), sub("on", "no").alias("hyp_hinted"))
 
@@ -66,7 +58,7 @@ SQL = {
       FROM (SELECT *, greatest(1000, length(text) * 60)::BIGINT AS dur_ms, ((chunk_id % 4) * 400)::BIGINT AS gap_ms FROM lines))""",
     "cues": """SELECT conv_id AS doc_id, turn + 1 AS cue_idx, text, CAST(s AS BIGINT) AS start_ms, CAST(s + d - 500 AS BIGINT) AS end_ms FROM (SELECT *, coalesce(sum(d) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
       FROM (SELECT *, 1500 + length(text) * (40 + (conv_id + turn) % 5 * 15) AS d FROM conversations WHERE text IS NOT NULL))""",
-    "evals": "SELECT conv_id * 100 + turn AS sample_id, conv_id % 3 AS lang_id, text AS ref, replace(text, 'th', 't') AS hyp_auto, replace(text, 'on', 'no') AS hyp_hinted FROM conversations WHERE length(text) = octet_length(encode(text))",
+    "evals": "SELECT conv_id * 100 + turn AS sample_id, conv_id % 3 AS lang_id, text AS ref, replace(text, 'th', 't') AS hyp_auto, replace(text, 'on', 'no') AS hyp_hinted FROM conversations WHERE text IS NOT NULL",
 }
 _NEEDS = {"timed": ("lines",)}
 

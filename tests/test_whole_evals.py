@@ -30,10 +30,10 @@ def test_rates_of_all_turns(spark, tmp_path):
     folder = str(tmp_path)
     spark.createDataFrame([(c, t, "user", x) for c, t, x in TURNS], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     expected = {c * 100 + t: rates(x) for c, t, x in TURNS}
-    assert {r.sample_id: r.cer for r in QUERIES["i2_cer_whole"](spark, folder).collect()} == {k: v[0] for k, v in expected.items()}
-    assert {r.sample_id: tuple(r)[2:] for r in QUERIES["i3_paired_cer_whole"](spark, folder).collect()} == expected
-    assert {r.sample_id: (r.auto_norm, r.hinted_norm) for r in QUERIES["a10_eval_report_whole"](spark, folder).collect()} == {k: (v[1], v[3]) for k, v in expected.items()}
-    got = {r.lang_id: r for r in QUERIES["i4_mean_cer_whole"](spark, folder).collect()}
+    assert {r.sample_id: r.cer for r in QUERIES["i2_cer"](spark, folder).collect()} == {k: v[0] for k, v in expected.items()}
+    assert {r.sample_id: tuple(r)[2:] for r in QUERIES["i3_paired_cer"](spark, folder).collect()} == expected
+    assert {r.sample_id: (r.auto_norm, r.hinted_norm) for r in QUERIES["a10_eval_report"](spark, folder).collect()} == {k: (v[1], v[3]) for k, v in expected.items()}
+    got = {r.lang_id: r for r in QUERIES["i4_mean_cer"](spark, folder).collect()}
     for lang in (None, 0, 1, 2):
         own = [v for k, v in expected.items() if lang is None or k // 100 % 3 == lang]
         assert got[lang].n == len(own)

@@ -62,7 +62,7 @@ def test_flags_context_units_and_prompts(spark, folder):
     assert {(r.job_id, r.chunk_id): r.context for r in QUERIES["d12_context_whole"](spark, folder).collect()} == {k: x[2] for k, x in filtered(True).items()}
     units = {(d, c): repeated(t) for d, x in DOCS.items() for c, t in enumerate(x, 1) if repeated(t)}
     assert {(r.job_id, r.chunk_id): r.unit for r in QUERIES["d7_repetition_whole"](spark, folder).collect()} == units and units
-    for r in QUERIES["d2_template_prompt_whole"](spark, folder).collect():
+    for r in QUERIES["d2_template_prompt"](spark, folder).collect():
         text = "\n".join(DOCS[r.doc_id])
         assert r.prompt.endswith(f"Before: {text}\n{text}")
 
