@@ -149,7 +149,8 @@ def _split(text: pd.Series, limit: pd.Series) -> pd.Series:
 
 def split_pieces(text: Column, limit: Column) -> Column:
     """Texts cut into pieces of at most ``limit`` characters (one more where a break falls there)."""
-    return F.pandas_udf(_split, "array<string>")(text, limit)
+    # Else Spark, which infers a filter on the pieces from their explode, would split every cue twice.
+    return F.pandas_udf(_split, "array<string>").asNondeterministic()(text, limit)
 
 
 def split_long_cues(cues: DataFrame, p: CueParams = CueParams()) -> DataFrame:
