@@ -1,6 +1,6 @@
 """Order MinHash fingerprints in Spark expressions only.
 
-A text becomes tokens (runs of at most ``token_chars`` non-space characters), its k-mers are ``k``
+A text becomes tokens (runs of non-space characters, or the characters of a run of more than ``token_chars``), its k-mers are ``k``
 successive tokens, and each k-mer carries the number of its occurrence so far. One 64-bit hash of
 (k-mer, occurrence) orders them on a ring that ``bins`` (a power of two) bins divide; the ``picks`` first from where a bin begins, put back in
 text order, are hashed together. So a bin that holds fewer borrows from those after it (one-permutation hashing with
@@ -22,7 +22,7 @@ from .common import drop_table, materialise
 @dataclass(frozen=True)
 class OrderMinHashParams:
     k: int = 3
-    token_chars: int = 12
+    token_chars: int = 24  # a longer run of non-space characters is one token a character
     bins: int = 64
     picks: int = 2
 
@@ -38,7 +38,9 @@ def order_minhash(text: Column, p: OrderMinHashParams = OrderMinHashParams()) ->
     Sorting works on packed longs: a hash in the high bits, an index in the low ``bits``. Cut hashes only
     decide order; the tuples use whole ones.
     """
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^ \\t\\n\\x0B\\f\\r]{{1,{p.token_chars}}}"), F.lit(0))
+    # Runs with space at both ends, or the single characters of a longer one: there, one more character moves no token but its own.
+    char = r"[^ \t\n\x0B\f\r]"
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?<!{char}){char}{{1,{p.token_chars}}}(?!{char})|{char}"), F.lit(0))
 
     def kmers(t: Column) -> Column:
         many = F.transform(F.sequence(F.lit(0), F.size(t) - p.k), lambda i: F.xxhash64(*[t[i + j] for j in range(p.k)]))
