@@ -12,7 +12,7 @@ from ..params import CueParams
 from . import views as V
 from .registry import query
 from .scalar_queries import collapse_sql, sql_clock, strip_sql
-from .transcript_queries import PREFERRED, both_texts, timed
+from .transcript_queries import PREFERRED, both_texts, timed, written_chunks
 from .views import with_views
 
 #: Cue limits with and without a bound of characters.
@@ -175,7 +175,8 @@ _FINAL = f"{PREFERRED}, a AS (SELECT job_id, chunk_id, start_ms, end_ms, text FR
 
 @query("g10_final_captions", with_views("timed", f"{_FINAL}, {times_sql('p', 'doc_id, cue_idx')} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY cue_idx, k) AS cue_idx, start_sec, end_sec, piece AS text FROM timed_pieces"))
 def g10(spark: SparkSession, sf: str) -> DataFrame:
-    return _times(C.final_captions(timed(spark, sf), both_texts(spark, sf)))
+    chunks = written_chunks(spark, sf)
+    return _times(C.final_captions(chunks, both_texts(spark, sf, chunks)))
 
 
 # --- translation -------------------------------------------------------------------------------------------

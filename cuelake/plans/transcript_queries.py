@@ -344,8 +344,15 @@ r AS (SELECT job_id, chunk_id, p, 1 AS g, l AS held FROM n WHERE p = 1 UNION ALL
 blocks AS (SELECT job_id, g, '<FULL_TRANSCRIPT>' || chr(10) || string_agg(n.chunk_id || ' ' || text, chr(10) ORDER BY n.chunk_id) || chr(10) || '</FULL_TRANSCRIPT>' AS block FROM n JOIN r USING (job_id, chunk_id) GROUP BY job_id, g)"""
 
 
-def units(spark: SparkSession, sf: str) -> DataFrame:
-    return X.correctable(timed(spark, sf)).select("job_id", "chunk_id", "text")
+def written_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The timed lines, written once for queries that read them several times."""
+    folder = shared_folder(spark)
+    timed(spark, sf).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def units(spark: SparkSession, sf: str, chunks: DataFrame | None = None) -> DataFrame:
+    return X.correctable(timed(spark, sf) if chunks is None else chunks).select("job_id", "chunk_id", "text")
 
 
 def grouped_units(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -374,11 +381,11 @@ def f3(spark: SparkSession, sf: str) -> DataFrame:
     return K.correction_requests(u, groups, K.transcript_blocks(u, groups)).withColumn("request", F.md5("request"))
 
 
-def answers(spark: SparkSession, sf: str) -> DataFrame:
+def answers(spark: SparkSession, sf: str, chunks: DataFrame | None = None) -> DataFrame:
     """Answers of a stub corrector: tagged, blank or without tags."""
     marked = F.replace(collapse(F.col("text")), F.lit(". "), F.lit("." + SPEAKER))
     raw = F.when(F.col("chunk_id") % 5 == 0, F.col("text")).when(F.col("chunk_id") % 5 == 1, "<OUTPUT> \n</OUTPUT>").otherwise(F.concat(F.lit("ok <OUTPUT>\n"), marked, F.lit("</OUTPUT> x")))
-    return units(spark, sf).select("job_id", "chunk_id", raw.alias("raw"))
+    return units(spark, sf, chunks).select("job_id", "chunk_id", raw.alias("raw"))
 
 
 _MARKED = f"replace({_TEXT}, '. ', '.[[SPEAKER]]')"
@@ -402,10 +409,10 @@ def f4(spark: SparkSession, sf: str) -> DataFrame:
     return K.corrected_texts(out, u).select("job_id", "chunk_id", "text")
 
 
-def both_texts(spark: SparkSession, sf: str) -> DataFrame:
+def both_texts(spark: SparkSession, sf: str, chunks: DataFrame | None = None) -> DataFrame:
     """Raw texts of all chunks, corrected ones of two thirds, some of them blank."""
-    u = timed(spark, sf).select("job_id", "chunk_id", "text")
-    fixed = K.corrected_texts(answers(spark, sf), units(spark, sf)).where("chunk_id % 3 <> 0").withColumn("text", F.when(F.col("chunk_id") % 11 == 0, " ").otherwise(F.col("text")))
+    u = (timed(spark, sf) if chunks is None else chunks).select("job_id", "chunk_id", "text")
+    fixed = K.corrected_texts(answers(spark, sf, chunks), units(spark, sf, chunks)).where("chunk_id % 3 <> 0").withColumn("text", F.when(F.col("chunk_id") % 11 == 0, " ").otherwise(F.col("text")))
     return u.select("job_id", "chunk_id", F.lit("raw").alias("kind"), "text").union(fixed)
 
 
