@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise
+from .common import drop_table, free_names, materialise
 
 
 @dataclass(frozen=True)
@@ -92,27 +92,36 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
 
 
-def mix(docs: DataFrame, dims: dict[str, float], p: MixingParams = MixingParams()) -> DataFrame:
+def mix(docs: DataFrame, dims: dict[str, float | DataFrame], p: MixingParams = MixingParams()) -> DataFrame:
     """Every row of ``docs(doc_id, tokens, dims...)`` with weight (its cell's raked tokens per token), probability, kept and gap.
 
-    ``dims`` gives the power that tempers each dimension's shares; ``gap`` is told in ``rake``. A null value counts as a value; rows
+    ``dims`` gives each dimension's targets: a table (the dimension's values, ``target``), or the power that tempers the shares at hand. Values
+    that a table doesn't name get nothing; null stands for null. ``gap`` is told in ``rake``. A null value counts as a value; rows
     without tokens (or with null ones) get probability 0. The doc_id alone decides a row's draw: rows that repeat a doc_id are drawn alike, and so
-    are all rows with a null one. Columns of ``docs`` named like those added are replaced; all others pass through.
+    are all rows with a null one. Columns of ``docs`` named like those added are replaced; all others pass through, whatever their names.
     An empty table gives an empty result. ``docs`` is read twice: hand over a narrow or written table.
     """
-    names = list(dims)
-    cells = materialise(cells_of(docs, names))
-    raked = rake(cells, {d: tempered(cells, d, power) for d, power in dims.items()}, p)
+    names = {d: f"dim{i}" for i, d in enumerate(dims)}
+    cells = materialise(cells_of(docs.select("tokens", *[F.col(f"`{d}`").alias(n) for d, n in names.items()]), list(names.values())))
+
+    def targets(dim: str) -> DataFrame:
+        given = dims[dim]
+        if not isinstance(given, DataFrame):
+            return tempered(cells, names[dim], given)
+        return given.select(F.coalesce(F.col(f"`{dim}`").cast("string"), F.lit(_NULL)).alias(names[dim]), F.col("target").cast("double").alias("target"))
+
+    raked = rake(cells, {n: targets(d) for d, n in names.items()}, p)
     odds = materialise(calibrate(raked, p))
     drop_table(cells)
-    odds = odds.select(*[F.col(d).alias(f"_cell_{d}") for d in names], F.struct(F.try_divide("weight", "tokens").alias("weight"), "probability", "gap").alias("_odds"))
-    on = [F.coalesce(F.col(d).cast("string"), F.lit(_NULL)) == F.col(f"_cell_{d}") for d in names]
+    held, *keys = free_names(docs.columns, "_odds", *[f"_{n}" for n in names.values()])
+    odds = odds.select(*[F.col(n).alias(k) for n, k in zip(names.values(), keys, strict=True)], F.struct(F.try_divide("weight", "tokens").alias("weight"), "probability", "gap").alias(held))
+    on = [F.coalesce(F.col(f"`{d}`").cast("string"), F.lit(_NULL)) == F.col(k) for d, k in zip(names, keys, strict=True)]
     added = ("weight", "probability", "kept", "gap")
-    out = docs.join(odds, on, "left").drop(*[f"_cell_{d}" for d in names])
-    odd = lambda i: F.when(F.coalesce(F.col("tokens"), F.lit(0)) > 0, F.col("_odds").getField(i)).otherwise(0.0)
-    out = out.withColumn("_odds", F.struct(odd("weight").alias("weight"), odd("probability").alias("probability"), F.col("_odds.gap").alias("gap")))
+    out = docs.join(odds, on, "left").drop(*keys)
+    odd = lambda i: F.when(F.coalesce(F.col("tokens"), F.lit(0)) > 0, F.col(held).getField(i)).otherwise(0.0)
+    out = out.withColumn(held, F.struct(odd("weight").alias("weight"), odd("probability").alias("probability"), F.col(f"{held}.gap").alias("gap")))
     own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    return out.select(*own, "_odds.weight", "_odds.probability", (draw(F.col("doc_id"), p.seed) < F.col("_odds.probability")).alias("kept"), "_odds.gap")
+    return out.select(*own, f"{held}.weight", f"{held}.probability", (draw(F.col("doc_id"), p.seed) < F.col(f"{held}.probability")).alias("kept"), f"{held}.gap")
 
 
 def word_count(text: Column) -> Column:

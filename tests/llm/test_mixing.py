@@ -73,3 +73,17 @@ def test_targets_that_contradict_each_other_are_told(spark):
 def test_word_count(spark):
     df = spark.createDataFrame([(None,), ("",), (" a\tb \n",), ("é",)], "t string")
     assert [r[0] for r in df.select(word_count(F.col("t"))).collect()] == [0, 0, 2, 1]
+
+
+def test_names_clash_with_nothing_and_targets_are_given(spark):
+    """Dimensions and columns of any name; target tables instead of powers, null among their values."""
+    rows = [(i, 10, ["a", "b", None][i % 3], ["x", "y"][i % 2], i, "o", 0.5, 1) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long, target string, sum string, _cell_target long, _odds string, _dim0 double, dim1 int")
+    shares = spark.createDataFrame([("a", 0.5), (None, 0.5), ("absent", 9.0)], "target string, target_share double").withColumnRenamed("target_share", "share")
+    given = shares.select(shares["target"].alias("kind"), shares["share"].alias("target"))
+    out = mix(df.withColumnRenamed("target", "kind"), {"kind": given, "sum": 1.0}).collect()
+    assert len(out) == 600 and {r._odds for r in out} == {"o"} and {r._dim0 for r in out} == {0.5} and {r["_cell_target"] for r in out} == set(range(600))
+    mass = {k: sum(r.weight * r.tokens for r in out if r.kind == k) for k in ("a", "b", None)}
+    assert mass["b"] == 0 and mass["a"] == pytest.approx(mass[None], rel=1e-3) == pytest.approx(3000, rel=1e-3)
+    assert not any(r.kept for r in out if r.kind == "b")
+    assert len(mix(df, {"target": 1.0, "sum": 0.5}).collect()) == 600
