@@ -2,11 +2,11 @@
 
 Every document is tokenised once into a table. Whole windows of a document stand alone, since they have no
 room; its tail (what is left) joins the retrieval. BM25 statistics are counted over all documents by token id, so the table
-of document frequencies is bounded by the vocabulary. Tails are range partitioned by their rarest token
-that other documents share, which puts likely neighbours into one shard of bounded tokens; each shard
-holds an inverted index of its tails. The longest unused tail seeds a window; all its tokens are the query, and its unused neighbours
-follow by descending score until the window is full. The last one is cut and its rest stays in the
-index. Only a shard's last window can be short.
+of document frequencies is bounded by the vocabulary. Tails are placed by a projection of their BM25 weights: the nearest of at
+most ``cells`` centroids (fitted on about ``fit_tails`` distinct tails), then the signs of what is left, which puts likely neighbours side by
+side; ranges of that order are shards of bounded tokens, and each holds an inverted index of its tails. The longest unused tail seeds
+a window; all its tokens are the query, and its unused neighbours follow by descending score until the window is full. The last one
+is cut and its rest stays in the index. Only a shard's last window can be short.
 """
 
 from __future__ import annotations
@@ -34,6 +34,9 @@ class PackingParams:
     k1: float = 1.2
     b: float = 0.75
     min_df: int = 2  # least document frequency of a token that places a tail
+    dimensions: int = 64  # of the projection that places tails
+    cells: int = 1024
+    fit_tails: int = 20_000
     cached_words: int = 2_000_000
 
 
@@ -53,14 +56,31 @@ class WordTokens:
     The tokenizer lower-cases and never joins text across ASCII white space, nor a letter or digit with
     full stops and commas after it; so a word's ids are those of its lower-cased stem and of that tail. Stems and tails are
     the units of the cache, told apart by 64-bit hashes; new ones are encoded many together and separated by their offsets.
+    A tokenizer that doesn't do so to the sample texts encodes whole texts instead.
     """
 
+    #: Case, full stops and commas, special names, marks that join, scripts without spaces, digits, kinds of space, long words.
+    SAMPLES = (
+        "Hello, World...  it's 1.5% of\n\n\"THAT\".", "a.b,c <|endoftext|>x <|EndOfText|> y", "é e\u0301 \u0301x ﬁ ß İ ǅ ÉCOLE", "\u3000全角 \u00a0nbsp\u00a0 \x1c \x85 日本語。中文",
+        "don't DON'T ...,,, .,a .a. (b.), c.)", " lead\tand\r\ntrail ", "x" * 300, "😀😀. ١٢٣, 12345,678.90", "",
+    )
+
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.hasher = Tokenizer.from_file(path), limit, ByteHasher()
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._clear()
+        self.by_word = True
+        texts = [x.encode() for x in self.SAMPLES]
+        ids, bound = self.encode(texts)
+        want, ends = self._whole(texts)
+        self.by_word = np.array_equal(ids, want) and np.array_equal(bound, ends)
+        self._clear()
+
+    def _whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        return np.fromiter((i for g in got for i in g), self.pool.dtype), np.cumsum([0, *map(len, got)])
 
     def _clear(self) -> None:
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -104,6 +124,8 @@ class WordTokens:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of each)."""
+        if not self.by_word:
+            return self._whole(texts)
         joined = b"\n".join([*texts, b""])
         raw = np.frombuffer(joined, np.uint8)
         low = _LOWER[raw]
@@ -193,15 +215,85 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["term", "df"])
 
 
-def _placer(rank: np.ndarray, unshared: int):
-    """Tails with the token of least ``rank`` that they hold."""
+def _weights(idf: np.ndarray, tf: np.ndarray, size: np.ndarray, mean: float, p: PackingParams) -> np.ndarray:
+    """BM25 weights of terms in tails of ``size`` tokens."""
+    return (idf * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * size / mean))).astype(np.float32)
+
+
+@lru_cache(maxsize=2)
+def _directions(vocab: int, dimensions: int) -> np.ndarray:
+    return np.random.default_rng(17).standard_normal((vocab, dimensions), np.float32)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def tail_vectors(tails: list[np.ndarray], idf: np.ndarray, mean: float, p: PackingParams) -> np.ndarray:
+    """A unit row for each tail: its BM25 weights along random directions of the terms. Zero if all its terms have idf 0."""
+    size = np.fromiter(map(len, tails), np.int64, len(tails))
+    s = np.sort(np.concatenate(tails).astype(np.int64) + np.repeat(np.arange(len(tails)) * len(idf), size))
+    at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    row, term = np.divmod(s[at], len(idf))
+    weight = _weights(idf[term], np.diff(at, append=len(s)), size[row], mean, p)
+    return _unit(np.add.reduceat(_directions(len(idf), p.dimensions)[term] * weight[:, None], np.searchsorted(row, np.arange(len(tails)))))
+
 
+def _batch_vectors(batch: pa.RecordBatch, idf: np.ndarray, mean: float, p: PackingParams) -> np.ndarray:
+    tails = [np.frombuffer(x.as_buffer(), f"<u{w}") for x, w in zip(batch.column("tail"), batch.column("width").to_pylist(), strict=True)]
+    return np.concatenate([tail_vectors(tails[lo:hi], idf, mean, p) for lo, hi in passes(np.fromiter(map(len, tails), np.int64, len(tails)), 200_000)])
+
+
+def _sampler(idf: np.ndarray, mean: float, p: PackingParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tails = [np.frombuffer(x.as_buffer(), f"<u{w}") for x, w in zip(batch.column("tail"), batch.column("width").to_pylist(), strict=True)]
-            if tails:
-                least = np.minimum.reduceat(rank[np.concatenate(tails)], np.cumsum([0, *map(len, tails[:-1])]))
-                yield batch.append_column("place", pa.array(np.where(least == unshared, -1, least), pa.int64()))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in _batch_vectors(batch, idf, mean, p)], pa.binary())], ["v"])
+
+    return run
+
+
+def fit_cells(vectors: np.ndarray, cells: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, unit centroids of the rows less it, like ones side by side). The order of the rows doesn't matter."""
+    vectors = np.unique(vectors[vectors.any(axis=1)], axis=0)
+    mean = vectors.mean(axis=0) if len(vectors) else np.zeros(vectors.shape[1], np.float32)
+    x = _unit(vectors - mean)
+    c = x[np.random.default_rng(19).permutation(len(x))[:cells]]
+    for _ in range(rounds if len(c) else 0):
+        at = (x @ c.T).argmax(axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, at, x)
+        c = np.where(np.bincount(at, minlength=len(c))[:, None] > 0, _unit(total), c)
+
+    # Average linkage: the two likest groups join, and lie side by side in the order.
+    like, size, order = c @ c.T, np.ones(len(c)), [[i] for i in range(len(c))]
+    np.fill_diagonal(like, -np.inf)
+    for _ in range(len(c) - 1):
+        i, j = sorted(np.unravel_index(like.argmax(), like.shape))
+        joined = (like[i] * size[i] + like[j] * size[j]) / (size[i] + size[j])
+        like[i], like[:, i] = joined, joined
+        like[i, i] = like[j] = like[:, j] = -np.inf
+        size[i] += size[j]
+        order[i] += order[j]
+    return mean, c[order[0]] if len(c) else c
+
+
+def places(vectors: np.ndarray, mean: np.ndarray, cells: np.ndarray, bits: int = 12) -> np.ndarray:
+    """Where tails go in the order of shards: by cell, then by the signs of what the cell leaves; -1 for those without a direction."""
+    if not len(cells):
+        return np.full(len(vectors), -1)
+    x = _unit(vectors - mean)
+    cell = (x @ cells.T).argmax(axis=1)
+    signs = (x - cells[cell])[:, :bits] > 0
+    return np.where(vectors.any(axis=1), (cell << bits) + signs @ (1 << np.arange(signs.shape[1])), -1)
+
+
+def _placer(idf: np.ndarray, mean: float, p: PackingParams, centre: np.ndarray, cells: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.append_column("place", pa.array(places(_batch_vectors(batch, idf, mean, p), centre, cells), pa.int64()))
 
     return run
 
@@ -218,7 +310,7 @@ class ShardIndex:
         at = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])))
         tf = np.diff(at, append=len(s))
         term, self.doc = np.divmod(s[at], len(tails))
-        self.weight = (idf[term] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * size[self.doc] / mean))).astype(np.float32)
+        self.weight = _weights(idf[term], tf, size[self.doc], mean, p)
         df = np.bincount(term, minlength=vocab)
         self.first = np.concatenate(([0], np.cumsum(df)))
         self.row = np.full(vocab, -1)
@@ -288,6 +380,7 @@ def _packer(idf: np.ndarray, mean: float, p: PackingParams):
 
         def shard() -> Iterator[pa.RecordBatch]:
             nonlocal number
+            rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
             tails = [np.frombuffer(r[2], f"<u{r[3]}") for r in rows]
             out: list[tuple] = []
             for window in pack_shard(tails, idf, mean, p):
@@ -367,13 +460,14 @@ def pack(docs: DataFrame, p: PackingParams) -> DataFrame:
     df = np.zeros(int(counts["term"].max()) + 1)
     df[counts["term"].to_numpy()] = counts["df"].to_numpy()
     idf = np.log1p((every - df + 0.5) / (df + 0.5))
-    shared = (df >= p.min_df) & (df < every)
-    rank = np.full(len(df), len(df))
-    order = np.argsort(df, kind="stable")
-    rank[order] = np.arange(len(df))
-    rank[~shared] = len(df)
-    placed = tails.mapInArrow(_placer(rank, len(df)), "doc_id long, doc_tokens long, tail binary, width int, place long")
+    telling = np.where((df >= p.min_df) & (df < every), idf, 0)
+    mean = total / n
+    share = int(min(1.0, p.fit_tails / n) * (1 << 40))
+    fitted = tails.where(F.pmod(F.xxhash64("doc_id", "tail"), F.lit(1 << 40)) < share).mapInArrow(_sampler(telling, mean, p), "v binary").distinct().toPandas()
+    centre, cells = fit_cells(np.frombuffer(b"".join(fitted["v"]), np.float32).reshape(-1, p.dimensions), p.cells)
+    with batch_rows(docs.sparkSession):
+        placed = materialise(tails.mapInArrow(_placer(telling, mean, p, centre, cells), "doc_id long, doc_tokens long, tail binary, width int, place long"))
     shards = max(1, -(-total // p.shard_tokens))
     spread = F.xxhash64("doc_id", "tail")  # parts a place that a large share of all tails has
     ranged = placed.repartitionByRange(shards, "place", spread).sortWithinPartitions("place", "doc_id", "doc_tokens")
-    return windows.union(ranged.mapInArrow(_packer(idf, total / n, p), _PIECES))
+    return windows.union(ranged.mapInArrow(_packer(idf, mean, p), _PIECES))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from cuelake.llm.packing import PackingParams, ShardIndex, WordTokens, pack, pack_shard
+from cuelake.llm.packing import PackingParams, ShardIndex, WordTokens, fit_cells, pack, pack_shard, places, tail_vectors
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -121,3 +121,74 @@ def test_neighbours_share_words(spark):
     for r in pack(df, PackingParams(PATH, window=256, min_df=2)).collect():
         seqs.setdefault(r.sequence_id, set()).add(r.doc_id % 2)
     assert sum(len(s) == 1 for s in seqs.values()) >= len(seqs) - 2
+
+
+def test_other_tokenizers_encode_whole_texts():
+    """A file that keeps case, or joins text across spaces, gives its own ids."""
+    from tokenizers import Tokenizer
+
+    import os
+
+    folder = os.path.dirname(PATH)
+    assert WordTokens(PATH, 100).by_word
+    others = [f for f in sorted(os.listdir(folder)) if f.endswith(".json") and f != os.path.basename(PATH)]
+    for name in others:
+        path = os.path.join(folder, name)
+        try:
+            plain = Tokenizer.from_file(path)
+        except Exception:
+            continue
+        ids, bound = WordTokens(path, 1000).encode([t.encode() for t in ODD])
+        for t, a, b in zip(ODD, bound[:-1], bound[1:]):
+            assert ids[a:b].tolist() == plain.encode(t, add_special_tokens=False).ids, (name, t)
+
+
+def test_best_neighbour_lies_in_the_shard(spark):
+    """With twenty shards, the best BM25 neighbour over all tails is found in the seed's own shard in 0.9 or more of cases."""
+    rng = random.Random(8)
+    common = [f"common{i}" for i in range(60)]
+    rows = []
+    for topic in range(240):
+        own = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(25)]
+        rows += [" ".join(rng.choice(own if rng.random() < 0.5 else common) for _ in range(60)) for _ in range(4)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    words = WordTokens(PATH, 100_000)
+    ids, bound = words.encode([t.encode() for t in rows])
+    tails = [np.append(ids[a:b], 1) for a, b in zip(bound[:-1], bound[1:])]
+    total = sum(map(len, tails))
+    p = PackingParams(PATH, window=512, shard_tokens=-(-total // 20))
+    task = {}
+    for r in pack(df, p).select("doc_id", "sequence_id").collect():
+        task.setdefault(r.doc_id, set()).add(r.sequence_id >> 32)
+    assert len(set().union(*task.values())) >= 18 and all(len(t) == 1 for t in task.values())
+    vocab = words.vocab
+    dfs = np.bincount(np.concatenate([np.unique(t) for t in tails]), minlength=vocab)
+    idf = np.log1p((len(tails) - dfs + 0.5) / (dfs + 0.5))
+    weight = np.zeros((len(tails), vocab), np.float32)
+    for i, t in enumerate(tails):
+        w, f = np.unique(t, return_counts=True)
+        weight[i, w] = idf[w] * f * (p.k1 + 1) / (f + p.k1 * (1 - p.b + p.b * len(t) / (total / len(tails))))
+    hits = []
+    for seed in range(0, len(tails), 3):
+        score = (weight[:, np.unique(tails[seed])]).sum(axis=1)
+        score[seed] = -1
+        hits.append(task[seed] == task[int(score.argmax())])
+    assert np.mean(hits) >= 0.9, np.mean(hits)
+
+
+def test_places():
+    """Copies share a place, tails of untelling tokens have none, and the order of the sample does not matter."""
+    rng = np.random.default_rng(4)
+    p = PackingParams(PATH, dimensions=8)
+    idf = np.where(np.arange(50) < 40, 1.0, 0.0)
+    tails = [rng.integers(0, 40, 30).astype("<u2") for _ in range(30)]
+    tails += [tails[3].copy(), np.array([45, 46, 47], "<u2")]
+    v = tail_vectors(tails, idf, 30.0, p)
+    centre, cells = fit_cells(v, 5)
+    again = fit_cells(v[::-1], 5)
+    assert np.array_equal(centre, again[0]) and np.array_equal(cells, again[1]) and cells.shape == (5, 8)
+    at = places(v, centre, cells)
+    assert at[3] == at[30] and at[31] == -1 and (at[:31] >= 0).all()
+    assert (places(v[31:], *fit_cells(v[31:], 5)) == -1).all()
+    assert len(set(places(v[:1].repeat(3, axis=0), *fit_cells(v[:1], 5)).tolist())) == 1
