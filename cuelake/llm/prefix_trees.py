@@ -6,7 +6,8 @@
    theirs another document has too; only suffixes with one of those can have an equal window elsewhere.
 3. The suffixes are split by variable-length prefixes: prefixes of one word whose suffixes are too many for a part of a tree are
    extended by a word, and so on to ``length`` words. How many there are is estimated from one suffix in ``sample``, whatever the size; it
-   decides where a suffix goes and nothing else.
+   decides where a suffix goes and nothing else. A suffix is sent as the numbers of its words: ranges of the word hash give every distinct word,
+   told apart as text, a number of its own in the whole corpus, frequent words small ones. So what a suffix takes doesn't depend on how many go the same way.
 4. Each group of prefixes becomes one suffix tree over words, as suffix array and common prefixes. The trees are cut at ``length`` words, below
    which no node changes the result, so the deep internal nodes are those where neighbours share ``length`` words. They are the places
    of one repeated window; the least document of a node is the one that keeps it.
@@ -190,8 +191,74 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "v"])
 
 
-def _planner(p: PrefixTreeParams, trees: int, heavy: list[np.ndarray]):
-    """A block's suffixes that another document may have: their places, the number of each one's class of equal windows, the place of each class and its tree.
+def _distinct(text: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """Words (a space after each) by number, in the order of their first place."""
+    offsets = np.concatenate((np.zeros(1, np.int64), ends))
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text))]).dictionary_encode()
+
+
+@dataclass
+class _Spelling:
+    """The distinct words of a block's windows: the number of each covered word (others: 0), and text, first bytes, range and frequency of each distinct one."""
+
+    code: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+    owner: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, words: _Words, lead: np.ndarray, length: int, ranges: int) -> _Spelling:
+        edge = np.zeros(len(words.start) + 1, np.int32)
+        edge[lead] += 1
+        edge[lead + length] -= 1
+        covered = np.cumsum(edge[:-1]) > 0
+        text, first = words.spaced(covered)
+        every = _distinct(text, first[1:])
+        index, code = every.indices.to_numpy(), np.zeros(len(words.start), np.int32)
+        code[covered] = index
+        buffers = every.dictionary.buffers()
+        first = np.frombuffer(buffers[1], np.int64)[: len(every.dictionary) + 1]
+        text = np.frombuffer(buffers[2], np.uint8)[: first[-1]]
+        hashes = _Words(text, first[:-1], first[1:] - 1, np.zeros(len(first) - 1, np.int64)).hashes()
+        return cls(code, text, first, (hashes >> np.uint64(32)).astype(np.int64) * ranges >> 32, np.bincount(index))
+
+    def dealt(self) -> list[dict]:
+        """The words of each range, and how often they occur."""
+        turn = np.argsort(self.owner, kind="stable")
+        held, begin = np.unique(self.owner[turn], return_index=True)
+        size, rows = np.diff(self.first), []
+        for r, a, b in zip(held.tolist(), begin.tolist(), [*begin[1:].tolist(), len(turn)], strict=True):
+            own = turn[a:b]
+            rows.append({"range": r, "text": _zip(_cut_strings(self.text, self.first[own], size[own])), "times": squeeze(self.times[own].astype(np.int64))})
+        return rows
+
+    def numbered(self, codes: np.ndarray) -> np.ndarray:
+        """The number in the corpus of each covered word, from those of the ranges, one range after the other."""
+        number = np.empty(len(codes), np.int64)
+        number[np.argsort(self.owner, kind="stable")] = codes
+        return number.astype(np.uint32 if int(number.max()) < 2**32 else np.int64)[self.code]
+
+
+def _numberer(ranges: int):
+    """Numbers of the distinct words of a range, the most frequent first; ranges take turns, so no number is given twice."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        each = [_unzip(x) for x in pdf["text"]]
+        text, r = np.concatenate(each), int(pdf["range"].iloc[0])
+        index = _distinct(text, np.flatnonzero(text == 0x20) + 1).indices.to_numpy()
+        total = np.bincount(index, np.concatenate([_longs(x) for x in pdf["times"]]))
+        rank = np.empty(len(total), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+        codes = np.split((rank * ranges + r)[index], np.cumsum([np.count_nonzero(x == 0x20) for x in each])[:-1])
+        return pd.DataFrame({"block": pdf["block"], "range": r, "codes": [squeeze(c) for c in codes]})
+
+    return run
+
+
+def _planner(p: PrefixTreeParams, trees: int, heavy: list[np.ndarray], ranges: int):
+    """A block's suffixes that another document may have: their places, the number of each one's class of equal windows, the place of each class and its tree,
+    and the distinct words of the classes, for the ranges that number them.
 
     Classes come in the order of trees. Equal windows with other white space between their words can be two classes; the tree brings them together.
     """
@@ -208,7 +275,7 @@ def _planner(p: PrefixTreeParams, trees: int, heavy: list[np.ndarray]):
         return out
 
     def run(key, packed: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        columns = ["block", "places", "numbers", "leads", "trees", "amounts"]
+        columns = ["block", "places", "numbers", "leads", "trees", "amounts", "words"]
         if not len(packed) or not len(shared):
             return pd.DataFrame([], columns=columns)
         buf, starts, sizes = _opened(packed["text"].iloc[0], packed["sizes"].iloc[0])
@@ -236,7 +303,7 @@ def _planner(p: PrefixTreeParams, trees: int, heavy: list[np.ndarray]):
         back = np.empty(len(turn), np.int64)
         back[turn] = np.arange(len(turn))
         held, amounts = np.unique(tree, return_counts=True)
-        return pd.DataFrame([(int(key[0]), squeeze(np.diff(at, prepend=0)), squeeze(back[number]), squeeze(lead[turn]), squeeze(held), squeeze(amounts.astype(np.int64)))], columns=columns)
+        return pd.DataFrame([(int(key[0]), squeeze(np.diff(at, prepend=0)), squeeze(back[number]), squeeze(lead[turn]), squeeze(held), squeeze(amounts.astype(np.int64)), _Spelling.of(words, lead, p.length, ranges).dealt())], columns=columns)
 
     return run
 
@@ -245,22 +312,22 @@ def _longs(x: bytes) -> np.ndarray:
     return unsqueeze(x, np.int64, 8)
 
 
-def _sender(p: PrefixTreeParams):
-    """The classes of a block for each tree: least documents, and their windows' words, a space after each."""
+def _sender(p: PrefixTreeParams, ranges: int):
+    """The classes of a block for each tree: least documents, and the numbers of their windows' words, the first words of all before the second ones."""
 
-    def run(key, packed: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
-        columns = ["block", "tree", "docs", "text"]
-        if not len(packed) or not len(plan):
+    def run(key, packed: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        columns = ["block", "tree", "docs", "width", "symbols"]
+        if not len(packed) or not len(found):
             return pd.DataFrame([], columns=columns)
         buf, starts, sizes = _opened(packed["text"].iloc[0], packed["sizes"].iloc[0])
-        words = _Words.of(buf, starts, sizes)
-        text, first = words.spaced()
+        words, plan = _Words.of(buf, starts, sizes), found[found["range"] < 0]
         ids, lead = _unzip(packed["ids"].iloc[0], "i8"), _longs(plan["leads"].iloc[0])
+        codes = found[found["range"] >= 0].sort_values("range")["codes"]
+        number = _Spelling.of(words, lead, p.length, ranges).numbered(np.concatenate([_longs(x) for x in codes]))
         doc, ends = ids[words.doc[lead]], np.cumsum(_longs(plan["amounts"].iloc[0]))
-        rows = []
+        step, rows = np.arange(p.length)[:, None], []
         for tree, a, b in zip(_longs(plan["trees"].iloc[0]).tolist(), np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
-            own = lead[a:b]
-            rows.append((int(key[0]), tree, squeeze(doc[a:b]), _zip(_cut_strings(text, first[own], first[own + p.length] - first[own]))))
+            rows.append((int(key[0]), tree, squeeze(doc[a:b]), number.itemsize, squeeze(number[step + lead[a:b]].reshape(-1))))
         return pd.DataFrame(rows, columns=columns)
 
     return run
@@ -269,28 +336,27 @@ def _sender(p: PrefixTreeParams):
 class SuffixTree:
     """A suffix tree cut at ``depth`` words, as an array: suffixes in the order of their words, and the words each shares with the one before it.
 
-    ``text`` holds the suffixes one after the other, ``depth`` words each, a space after every word.
+    ``text`` holds the suffixes one after the other, ``depth`` words each, a space after every word; or it is the words by number, (depth, suffixes).
     """
 
     def __init__(self, text: np.ndarray, depth: int):
-        ends = np.flatnonzero(text == 0x20) + 1
-        offsets = np.concatenate((np.zeros(1, np.int64), ends))
-        every = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text))]).dictionary_encode()
-        self.symbols = every.indices.to_numpy().reshape(-1, depth)  # words by number: exact, in the order of their first place
-        bits = max(len(every.dictionary) - 1, 1).bit_length()
+        if text.ndim == 1:
+            text = _distinct(text, np.flatnonzero(text == 0x20) + 1).indices.to_numpy().reshape(-1, depth).T
+        self.symbols = text
+        bits = max(int(text.max()) if text.size else 0, 1).bit_length()
         step = max(63 // bits, 1)
         keys = []
         for lo in range(0, depth, step):
-            key = np.zeros(len(self.symbols), np.int64)
-            for column in self.symbols[:, lo : lo + step].T:
-                key = key << bits | column
+            key = np.zeros(text.shape[1], np.int64)
+            for column in text[lo : lo + step]:
+                key = key << bits | column.astype(np.int64)
             keys.append(key)
         self.order = np.lexsort(keys[::-1])
-        near = self.symbols[self.order]
-        shared = np.ones(max(len(near) - 1, 0), bool)
-        self.common = np.zeros(len(near), np.int16)
-        for column in near.T:
-            shared &= column[1:] == column[:-1]
+        shared = np.ones(max(len(self.order) - 1, 0), bool)
+        self.common = np.zeros(len(self.order), np.int16)
+        for column in text:
+            near = column[self.order]
+            shared &= near[1:] == near[:-1]
             self.common[1:] += shared
 
     def deep_nodes(self, length: int) -> np.ndarray:
@@ -306,7 +372,8 @@ def _resolver(p: PrefixTreeParams):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         each = [_longs(x) for x in pdf["docs"]]
         doc = np.concatenate(each)
-        node = SuffixTree(np.concatenate([_unzip(x) for x in pdf["text"]]), p.length).deep_nodes(p.length)
+        symbols = [unsqueeze(x, np.uint32 if w == 4 else np.int64, w).reshape(p.length, -1) for x, w in zip(pdf["symbols"], pdf["width"].tolist(), strict=True)]
+        node = SuffixTree(np.concatenate(symbols, axis=1), p.length).deep_nodes(p.length)
         least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, node, doc)
         bits = np.split(least[node] < doc, np.cumsum([len(x) for x in each])[:-1])
@@ -387,8 +454,11 @@ def remove_repeated_passages(docs: DataFrame, params: PrefixTreeParams = PrefixT
     often = prefixes.where(F.col("count") * p.sample > p.tree_suffixes // 4).collect()  # at most 4 * length * n_windows / tree_suffixes
     heavy = [np.array([r["h"] for r in often if r["depth"] == j], np.int64).view(np.uint64) for j in range(p.length - 1)]
 
-    plans = materialise(texts.cogroup(shared.groupBy("block")).applyInPandas(_planner(p, trees, heavy), "block long, places binary, numbers binary, leads binary, trees binary, amounts binary"), "none")
-    sent = texts.cogroup(plans.select("block", "leads", "trees", "amounts").groupBy("block")).applyInPandas(_sender(p), "block long, tree long, docs binary, text binary")
+    plans = materialise(texts.cogroup(shared.groupBy("block")).applyInPandas(_planner(p, trees, heavy, ranges), "block long, places binary, numbers binary, leads binary, trees binary, amounts binary, words array<struct<range:long,text:binary,times:binary>>"), "none")
+    codes = plans.select("block", F.inline("words")).groupBy("range").applyInPandas(_numberer(ranges), "block long, range long, codes binary")
+    none = [F.lit(None).cast("binary").alias(c) for c in ("leads", "trees", "amounts")]
+    told = plans.select("block", F.lit(-1).cast("long").alias("range"), F.lit(None).cast("binary").alias("codes"), "leads", "trees", "amounts").union(codes.select("block", "range", "codes", *none))
+    sent = texts.cogroup(told.groupBy("block")).applyInPandas(_sender(p, ranges), "block long, tree long, docs binary, width int, symbols binary")
     replies = materialise(sent.groupBy("tree").applyInPandas(_resolver(p), "block long, tree long, bits binary"), "none")
     nothing = [F.lit(None).cast("binary").alias(c) for c in ("places", "numbers", "leads", "amounts")]
     found = plans.select("block", F.lit(-1).cast("long").alias("tree"), F.lit(None).cast("binary").alias("bits"), "places", "numbers", "leads", "amounts").union(replies.select("block", "tree", "bits", *nothing))

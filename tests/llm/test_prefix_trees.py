@@ -2,8 +2,10 @@ import os
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from cuelake.llm import prefix_trees as pt
 from cuelake.llm.prefix_trees import PrefixTreeParams, SuffixTree, _Words, remove_repeated_passages
 
 SMALL = PrefixTreeParams(length=4, k=2, block_bytes=300, range_bytes=500, tree_suffixes=40, sample=2, bucket_blocks=1)
@@ -70,6 +72,44 @@ def test_tree_nodes_are_classes_of_equal_prefixes():
         assert len({(r[:depth], n) for r, n in zip(rows, node.tolist(), strict=True)}) == len({r[:depth] for r in rows}) == len(set(node.tolist()))
 
 
+def test_what_a_suffix_takes_does_not_grow_with_the_trees():
+    """Suffixes are sent as numbers of words: half as much as their text where a tree gets 100 of a block, and as much a suffix where it gets 4,000."""
+    rng, p, ranges = np.random.default_rng(6), PrefixTreeParams(), 3
+    vocabulary = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 10)))) for _ in range(20_000)]
+    drawn = np.minimum(rng.zipf(1.3, 40_000) - 1, len(vocabulary) - 1).tolist()
+    text = " ".join(vocabulary[i] for i in drawn).encode()
+    packed = pd.DataFrame({"text": [pt._zip(text + b"\n")], "sizes": [pt._zip(np.array([len(text)]))], "ids": [pt._zip(np.array([5]))]})
+    words = _Words.of(np.frombuffer(text + b"\n", np.uint8), np.array([0]), np.array([len(text)]))
+    lead = rng.permutation(words.windows(p.length))[:8000]
+    spelled = pd.DataFrame([{"block": 1, **r} for r in pt._Spelling.of(words, lead, p.length, ranges).dealt()])
+    codes = pd.concat([pt._numberer(ranges)(g) for _, g in spelled.groupby("range")]).assign(leads=None, trees=None, amounts=None)
+    sent, texts = {}, 0
+    for each in (100, 4000):
+        n = len(lead) // each
+        plan = pd.DataFrame({"block": [1], "range": [-1], "codes": [None], "leads": [pt.squeeze(lead)], "trees": [pt.squeeze(np.arange(n))], "amounts": [pt.squeeze(np.full(n, each))]})
+        found = pt._sender(p, ranges)((1,), packed, pd.concat([plan, codes]))
+        sent[each] = found["symbols"].map(len).sum()
+    joined = text.split(b" ")
+    for a in range(0, len(lead), 100):
+        texts += len(pt._zip(b"".join(b" ".join(joined[i : i + p.length]) + b" " for i in lead[a : a + 100].tolist())))
+    assert sent[100] < 0.55 * texts and sent[100] < 1.2 * sent[4000]
+
+
+def test_words_have_one_number_each_in_the_corpus():
+    """Blocks agree on the number of a word, and no two words share one, whatever the range."""
+    rng, ranges, number = np.random.default_rng(2), 4, {}
+    texts = [b" ".join(b"w%d" % i for i in rng.integers(0, 300, 500)) for _ in range(3)]
+    words = [_Words.of(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)])) for t in texts]
+    spellings = [pt._Spelling.of(w, w.windows(4), 4, ranges) for w in words]
+    spelled = pd.DataFrame([{"block": b, **r} for b, x in enumerate(spellings) for r in x.dealt()])
+    codes = pd.concat([pt._numberer(ranges)(g) for _, g in spelled.groupby("range")]).sort_values("range")
+    for b, (t, x) in enumerate(zip(texts, spellings, strict=True)):
+        own = x.numbered(np.concatenate([pt._longs(c) for c in codes["codes"][codes["block"] == b]]))
+        for w, n in zip(t.split(), own.tolist(), strict=True):
+            assert number.setdefault(w, n) == n
+    assert len(set(number.values())) == len(number) > 250
+
+
 def test_equals_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as block", "2 as tree", "3 as v", "4 as kept").repartition(5)
