@@ -352,47 +352,52 @@ class ContextMixer:
             out[doc[own]] = self._advance(buf, inputs, first[own], size[doc[own]])
         return out
 
-    def _inputs(self, inputs: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray) -> np.ndarray:
-        """The logits of the bytes at ``at`` (steps, lanes), plain and gated: (steps, 2 * predictors, 8, lanes)."""
-        k = len(inputs)
-        x = np.empty((at.shape[0], 2 * k, 8, at.shape[1]), np.float32)
+    def _inputs(self, inputs: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logits of the bytes at ``at`` (steps, lanes): (steps, predictors, lanes * 8); and 1 where the second weights count, 0 elsewhere: (steps, lanes * 8)."""
+        k, steps = len(inputs), at.shape[0]
+        x = np.empty((steps, k, 8 * at.shape[1]), np.float32)
         for i, (paths, place) in enumerate(inputs):
-            x[:, i] = paths.take(place.take(at), 0).transpose(0, 2, 1)
-        gate = (np.abs(x[:, min(_WORD_PREDICTOR, k - 1), :1]) >= _KNOWN).astype(np.float32)
-        np.multiply(x[:, :k], gate[:, None], out=x[:, k:])
-        return x
+            x[:, i] = paths.take(place.take(at), 0).reshape(steps, -1)
+        gate = (np.abs(x[:, min(_WORD_PREDICTOR, k - 1), ::8]) >= _KNOWN).astype(np.float32)
+        return x, np.ascontiguousarray(np.broadcast_to(gate[:, :, None], (*gate.shape, 8))).reshape(steps, -1)
 
     def _advance(self, buf: np.ndarray, inputs: list[tuple[np.ndarray, np.ndarray]], start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """-log2 probability of every lane, the longest first. The bits of a byte have weights and maps of their own, so all eight advance at once."""
         p, k, n = self.p, len(inputs), len(start)
         cells = 2 * _TOP + 1
-        weights = np.zeros((2 * k, 8, n), np.float32)
+        weights = np.zeros((2 * k, 8 * n), np.float32)
         weights[:k] = p.first_weight / 8  # the inputs' eighths are part of the weights
         grid = np.arange(-_TOP, _TOP + 1, dtype=np.float32)
-        refined = np.tile(np.repeat(1 / (1 + np.exp(-grid)), n), 8)  # a chance for each bit and whole logit
-        across = (np.arange(8)[:, None] * cells + _TOP) * n + np.arange(n)
+        refined = np.repeat(1 / (1 + np.exp(-grid)), 8 * n)  # a chance for each whole logit and bit
         cost = np.zeros(n)
-        top, one = np.float32(_TOP - 0.1), np.float32(1)
-        rate, map_rate, stay = np.float32(p.rate / 64), np.float32(p.map_rate), np.float32(1 - p.map_rate)
+        top, one = (np.array(v, np.float32) for v in (_TOP - 0.1, 1))
+        rate, map_rate, stay = (np.array(v, np.float32) for v in (p.rate / 64, p.map_rate, 1 - p.map_rate))
         most, t = int(size[0]) if n else 0, 0
         while t < most:
             m = int(np.searchsorted(-size, -t, "left"))  # lanes that still have a byte
-            steps = min(most - t, max(4, min(64, 32768 // m)))
-            at = np.minimum(start[:m] + (t + np.arange(steps))[:, None], len(buf) - 1)
-            x = self._inputs(inputs, at)
-            zeros = np.unpackbits(~buf[at][:, None, :], axis=1).astype(np.float32)
+            if m < 0.95 * n:  # the others go, so that every pass runs over memory without gaps; a few ended ones run along
+                weights, refined = weights[:, : 8 * m].copy(), refined.reshape(cells, -1)[:, : 8 * m].flatten()
+                n, start, size = m, start[:m], size[:m]
+            steps = min(most - t, max(4, min(64, 32768 // n)))
+            at = np.minimum(start + (t + np.arange(steps))[:, None], len(buf) - 1)
+            x, gates = self._inputs(inputs, at)
+            zeros = np.unpackbits(~buf[at], axis=1).astype(np.float32)
             drift = map_rate * (one - zeros)
-            missed, mapped = np.empty((steps, 8, m), np.float32), np.empty((steps, 8, m), np.float32)
-            part = np.empty((2 * k, 8, m), np.float32)
-            logit, error, place = np.empty((8, m), np.float32), np.empty((8, m), np.float32), np.empty((8, m), np.int64)
-            w, lane = weights[:, :, :m], across[:, :m]
+            missed, mapped = np.empty_like(zeros), np.empty_like(zeros)
+            part, gated = np.empty((k, 8 * n), np.float32), np.empty(8 * n, np.float32)
+            logit, error, place = np.empty(8 * n, np.float32), np.empty(8 * n, np.float32), np.empty(8 * n, np.int64)
+            w, v, lane, apart = weights[:k], weights[k:], np.arange(8 * n) + _TOP * 8 * n, np.array(8 * n, np.float32)
             for s in range(steps):
-                np.multiply(w, x[s], part)
-                np.add.reduce(part, 0, None, logit)
+                own_x, gate = x[s], gates[s]
+                np.einsum("ij,ij->j", w, own_x, out=logit)
+                np.einsum("ij,ij->j", v, own_x, out=gated)
+                gated *= gate
+                logit += gated
                 np.minimum(logit, top, logit)
                 np.maximum(logit, -top, logit)
                 np.rint(logit, error)
-                np.multiply(error, n, place, casting="unsafe")
+                error *= apart  # whole numbers below 2 ** 24
+                place[...] = error
                 place += lane
                 own = refined.take(place, None, mapped[s], "clip")
                 np.exp(logit, logit)
@@ -403,16 +408,20 @@ class ContextMixer:
                 logit += drift[s]
                 refined[place] = logit
                 error *= rate
-                np.multiply(x[s], error, part)
+                np.multiply(own_x, error, part)
                 w += part
+                part *= gate
+                v += part
             missed *= np.float32(-0.75)
             missed += np.float32(0.75)
             mapped *= np.float32(0.25)
             missed += mapped
             missed -= zeros
-            chance = np.multiply.reduce(np.abs(missed, missed), 1)
-            chance[(t + np.arange(steps))[:, None] >= size[:m]] = 1  # past a lane's end
-            cost[:m] -= np.log2(np.maximum(chance, 1e-30)).sum(axis=0, dtype=np.float64)
+            chance = np.abs(missed, missed)
+            for _ in range(3):  # the product of a byte's eight
+                chance = chance[:, ::2] * chance[:, 1::2]
+            chance[(t + np.arange(steps))[:, None] >= size] = 1  # past a lane's end
+            cost[:n] -= np.log2(np.maximum(chance, 1e-30)).sum(axis=0, dtype=np.float64)
             t += steps
         return cost
 

@@ -168,6 +168,27 @@ def test_mixer_equals_a_plain_learner():
     assert ContextMixer(p).mixed([short, text, short], around)[1] == pytest.approx(bits, rel=1e-3)
 
 
+def test_inputs_are_held_once_and_ended_texts_leave():
+    """The mixer's work for a byte: four logits and one gate for each bit, with few lanes that run on beyond their text."""
+
+    class Watched(ContextMixer):
+        held = 0
+
+        def _inputs(self, inputs, at):
+            found = super()._inputs(inputs, at)
+            self.held += sum(x.size for x in found) if isinstance(found, tuple) else found.size
+            return found
+
+    texts = [bytes([97 + i % 7]) * (300 + 15 * i) for i in range(150)]
+    size = sum(len(t) + 1 for t in texts)
+    rng = np.random.default_rng(3)
+    inputs = [(rng.integers(-30, 30, (size, 8)).astype(np.int8), np.arange(size, dtype=np.int32)) for _ in range(lm.PREDICTORS)]
+    mixer = Watched(MixingLmParams())
+    together = mixer.mixed(texts, inputs)
+    assert mixer.held < 1.1 * size * 8 * (lm.PREDICTORS + 1)
+    assert ContextMixer(MixingLmParams(lanes=7)).mixed(texts, inputs) == pytest.approx(together, rel=1e-9)
+
+
 def test_places_and_pairs_agree():
     rng = random.Random(2)
     texts = ["".join(rng.choice("ab \u00e9") for _ in range(rng.randint(0, 90))).encode() for _ in range(50)] + [b"a" * 3000]
