@@ -52,7 +52,9 @@ _CONTEXT_BITS = 36
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_SLICE = 1 << 20  # bytes whose contexts are held at once; a key and a place below this fit 64 bits
+_SLICE = 1 << 20  # bytes whose keys are held at once; a key and a count up to this fit 64 bits
+_CHUNK = 1 << 17  # bytes whose contexts are worked out at once, small enough for a core's cache
+_FREE = np.uint64(2**64 - 1)  # no key
 _HASHERS: dict[int, ByteHasher] = {}
 
 
@@ -76,26 +78,18 @@ class Contexts:
         cut = np.flatnonzero(_SPACE[buf[:-1]] | (buf[:-1] == END)) + 1 if n else np.zeros(0, np.int64)
         self.word = np.concatenate((np.zeros(min(1, n), np.int64), cut))
         self.letters = np.diff(self.word, append=n)
-        self.recent: dict[int, np.ndarray] = {}
-        self.runs: dict[int, np.ndarray] = {}
-
-    def _lag(self, d: int) -> np.ndarray:
-        """The byte ``d`` places before; the end symbol before a text begins."""
-        if d not in self.recent:
-            n = len(self.buf)
-            x = self.padded[4 - d : 4 - d + n].copy()
-            for k in range(d - 1):
-                at = self.origin + k
-                x[at[at < n]] = END
-            self.recent[d] = x.astype(np.uint64)
-        return self.recent[d]
-
-    def _last(self, d: int) -> np.ndarray:
-        if d < 2:
-            return self._lag(1)
-        if d not in self.runs:
-            self.runs[d] = self._last(d - 1) | self._lag(d) << np.uint64(8 * d - 8)
-        return self.runs[d]
+        self.last = self._last_four()
+
+    def _last_four(self) -> np.ndarray:
+        """The four bytes before each byte, the nearest highest; the end symbol before a text begins."""
+        n = len(self.buf)
+        x = np.empty(n, np.uint32)
+        for k in range(min(4, n)):
+            x[k::4] = np.frombuffer(self.padded, "<u4", (n - k + 3) // 4, k)
+        for k in range(3):
+            at = self.origin + k
+            x[at[at < n]] |= np.uint32(0xFFFFFFFF >> 8 * k)
+        return x
 
     def _before(self) -> np.ndarray:
         """The last two bytes of the word before, for each word."""
@@ -114,15 +108,15 @@ class Contexts:
 
     def keys(self, k: int) -> np.ndarray:
         if k == 0:
-            x = self._last(4)
+            x = self.last.astype(np.uint64)
         elif k == 1:
-            x = self._last(2) | np.repeat(self._before() << np.uint64(16), self.letters)
+            x = np.repeat(self._before() << np.uint64(16), self.letters)
+            x |= self.last >> np.uint32(16)
         elif k == _WORD_PREDICTOR:
             x = self._word_so_far()
         else:
-            x = self._last(3)
-        x = x * _SPREAD  # an odd factor: contexts stay apart, and their high bits deal them evenly
-        x <<= np.uint64(64 - _CONTEXT_BITS)
+            x = (self.last >> np.uint32(8)).astype(np.uint64)
+        x *= _SPREAD << np.uint64(64 - _CONTEXT_BITS)  # an odd factor: contexts stay apart, and their high bits deal them evenly
         x >>= np.uint64(64 - _CONTEXT_BITS - 8)
         x |= self.buf
         return x
@@ -141,49 +135,98 @@ def _runs(s: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])))
 
 
+def _keys(texts: list[bytes]) -> np.ndarray:
+    """Keys of every byte of the texts, for each predictor."""
+    out, at = np.empty((PREDICTORS, sum(map(len, texts)) + len(texts)), np.uint64), 0
+    for lo, hi in passes([len(t) + 1 for t in texts], _CHUNK):
+        contexts = Contexts(_joined(texts[lo:hi]))
+        for k in range(PREDICTORS):
+            out[k, at : at + len(contexts.buf)] = contexts.keys(k)
+        at += len(contexts.buf)
+    return out
+
+
 def block_pairs(texts: list[bytes], learn: list[bool]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each predictor: (keys of the distinct pairs of context and byte, in order; their counts in the texts to learn from)."""
     found: list[list] = [[] for _ in range(PREDICTORS)]
     for known in (True, False):
         own = [t for t, h in zip(texts, learn, strict=True) if h == known]
         for lo, hi in passes([len(t) + 1 for t in own], _SLICE):
-            contexts = Contexts(_joined(own[lo:hi]))
-            for k in range(PREDICTORS):
-                s = np.sort(contexts.keys(k))
-                first = _runs(s)
-                found[k].append((s[first], np.diff(first, append=len(s)) * known))
-    return [_sums(np.concatenate([v for v, _ in f]), np.concatenate([n for _, n in f])) for f in found]
+            for k, keys in enumerate(_keys(own[lo:hi])):
+                for a in range(0, len(keys), _SLICE - 1):
+                    s = np.sort(keys[a : a + _SLICE - 1])
+                    first = _runs(s)
+                    v = s[first] << np.uint64(20)
+                    found[k].append(v | np.diff(first, append=len(s)).astype(np.uint64) if known else v)
+    out = []
+    for parts in found:
+        s = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        n = (s & np.uint64(_SLICE - 1)).astype(np.int64)
+        s >>= np.uint64(20)
+        first = _runs(s)
+        out.append((s[first], np.add.reduceat(n, first) if len(first) else n))
+        parts.clear()
+    return out
+
+
+class Numbers:
+    """Numbers of keys, the same for equal keys. A key's number is its slot in the first table where no other key came before it."""
+
+    def __init__(self, n: int):
+        self.bits = max(8, n.bit_length() - 4)
+        self.random = np.random.default_rng(5)
+        self.tables: list[tuple[np.uint64, np.ndarray]] = []
+
+    def of(self, v: np.ndarray, out: np.ndarray) -> None:
+        """Writes the numbers of ``v`` to ``out``."""
+        rest, level = None, 0
+        while len(v):
+            if level == len(self.tables):
+                self.tables.append((self.random.integers(0, 2**64, dtype=np.uint64) | np.uint64(1), np.full(1 << self.bits, _FREE)))
+            factor, table = self.tables[level]
+            at = v * factor
+            at >>= np.uint64(64 - self.bits)
+            at = at.view(np.int64)
+            missed = np.flatnonzero(table.take(at) != v)
+            slot, own = at[missed], v[missed]
+            free = table[slot] == _FREE
+            table[slot[free]] = own[free]
+            missed = missed[table[slot] != own]
+            at += level << self.bits
+            if rest is None:
+                out[...] = at
+            else:
+                out[rest] = at
+            rest, v = missed if rest is None else rest[missed], v[missed]
+            level += 1
+
+    def sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys in order, place among them by number)."""
+        taken = [np.flatnonzero(t != _FREE) for _, t in self.tables]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(t[at] for (_, t), at in zip(self.tables, taken, strict=True))])
+        order, place = np.argsort(keys), np.empty(len(self.tables) << self.bits, np.int32)
+        place[np.concatenate([np.zeros(0, np.int64), *(at + (i << self.bits) for i, at in enumerate(taken))])[order]] = np.arange(len(keys), dtype=np.int32)
+        return keys[order], place
 
 
 def block_places(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each predictor: (distinct pairs in order, place of every byte's pair among them)."""
-    local: list[list] = [[] for _ in range(PREDICTORS)]
-    values: list[list] = [[] for _ in range(PREDICTORS)]
+    size = sum(map(len, texts)) + len(texts)
+    numbers = [Numbers(size) for _ in range(PREDICTORS)]
+    places = np.empty((PREDICTORS, size), np.int32 if size < 1 << 27 else np.int64)
+    at = 0
     for lo, hi in passes([len(t) + 1 for t in texts], _SLICE):
-        contexts = Contexts(_joined(texts[lo:hi]))
-        for k in range(PREDICTORS):
-            keys = contexts.keys(k)
-            for a in range(0, len(keys), _SLICE):
-                s = keys[a : a + _SLICE] << np.uint64(20)
-                s |= np.arange(len(s), dtype=np.uint64)
-                s.sort()
-                at = (s & np.uint64(_SLICE - 1)).astype(np.int32)
-                s >>= np.uint64(20)
-                first = _runs(s)
-                place = np.empty(len(s), np.int32)
-                place[at] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(s)))
-                local[k].append(place)
-                values[k].append(s[first])
+        for k, keys in enumerate(_keys(texts[lo:hi])):
+            for a in range(0, len(keys), _CHUNK):
+                numbers[k].of(keys[a : a + _CHUNK], places[k, at + a : at + min(a + _CHUNK, len(keys))])
+        at += len(keys)
     out = []
-    for own, parts in zip(values, local, strict=True):
-        every = np.sort(np.concatenate(own))
-        every = every[_runs(every)]
-        place, at = np.empty(sum(map(len, parts)), np.int32), 0
-        for i, v in enumerate(own):
-            place[at : at + len(parts[i])] = np.searchsorted(every, v).astype(np.int32)[parts[i]]
-            at += len(parts[i])
-            parts[i] = None  # what is put together is not held twice
-        out.append((every, place))
+    for k in range(PREDICTORS):
+        keys, place = numbers[k].sorted()
+        numbers[k] = None
+        for a in range(0, size, _SLICE):  # in place, so that they are held once
+            places[k, a : a + _SLICE] = place.take(places[k, a : a + _SLICE])
+        out.append((keys, places[k]))
     return out
 
 
@@ -241,7 +284,7 @@ def _by_range(v: np.ndarray, shift: int, ranges: int) -> np.ndarray:
 
 def _block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes of all texts, first word of each)."""
-    parts = [hashed_words(texts[lo:hi], _hasher()) for lo, hi in passes([len(t) + 1 for t in texts])]
+    parts = [hashed_words(texts[lo:hi], _hasher()) for lo, hi in passes([len(t) + 1 for t in texts], _CHUNK)]
     count = np.concatenate([np.diff(f) for _, f in parts])
     return np.concatenate([w for w, _ in parts]), np.concatenate(([0], np.cumsum(count)))
 
@@ -251,7 +294,11 @@ def _word_sender(ranges: int):
         for batch in batches:
             for block, held, lens, text in zip(*(batch.column(c).to_pylist() for c in ("block", "held", "lens", "text")), strict=True):
                 words, first = _block_words(_texts(lens, text))
-                v, n = _sums(words, np.repeat(~np.array(held, bool), np.diff(first)).astype(np.uint32))
+                known, parts = np.repeat(~np.array(held, bool), np.diff(first)), []
+                for s, learned in ((np.sort(words[known]), True), (np.sort(words[~known]), False)):
+                    at = _runs(s)
+                    parts.append((s[at], np.diff(at, append=len(s)) * learned))
+                v, n = _sums(*map(np.concatenate, zip(*parts, strict=True)))
                 bound = _by_range(v, 32, ranges)
                 rows = [(r, block, squeeze(np.diff(v[a:b], prepend=np.uint64(0))), squeeze(n[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["range", "block", "v", "n"])
@@ -263,10 +310,11 @@ def _totals(each: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """(distinct values, their sums of ``n``, place of every value among them)."""
     every = np.concatenate(each)
     order = np.argsort(every)
-    first = _runs(every[order])
-    place = np.empty(len(every), np.int64)
-    place[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(every)))
-    return every[order][first], np.add.reduceat(n[order].astype(np.int64), first), place
+    every = every[order]
+    first = _runs(every)
+    place = np.empty(len(every), np.int32)
+    place[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(every)))
+    return every[first], np.add.reduceat(n[order], first, dtype=np.int64), place
 
 
 def _word_counter(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -370,7 +418,7 @@ class ContextMixer:
         grid = np.arange(-_TOP, _TOP + 1, dtype=np.float32)
         refined = np.repeat(1 / (1 + np.exp(-grid)), 8 * n)  # a chance for each whole logit and bit
         cost = np.zeros(n)
-        top, one = (np.array(v, np.float32) for v in (_TOP - 0.1, 1))
+        one = np.array(1, np.float32)
         rate, map_rate, stay = (np.array(v, np.float32) for v in (p.rate / 64, p.map_rate, 1 - p.map_rate))
         most, t = int(size[0]) if n else 0, 0
         while t < most:
@@ -378,7 +426,7 @@ class ContextMixer:
             if m < 0.95 * n:  # the others go, so that every pass runs over memory without gaps; a few ended ones run along
                 weights, refined = weights[:, : 8 * m].copy(), refined.reshape(cells, -1)[:, : 8 * m].flatten()
                 n, start, size = m, start[:m], size[:m]
-            steps = min(most - t, max(4, min(64, 32768 // n)))
+            steps = min(most - t, max(4, min(64, 16384 // n)))
             at = np.minimum(start + (t + np.arange(steps))[:, None], len(buf) - 1)
             x, gates = self._inputs(inputs, at)
             zeros = np.unpackbits(~buf[at], axis=1).astype(np.float32)
@@ -387,6 +435,8 @@ class ContextMixer:
             part, gated = np.empty((k, 8 * n), np.float32), np.empty(8 * n, np.float32)
             logit, error, place = np.empty(8 * n, np.float32), np.empty(8 * n, np.float32), np.empty(8 * n, np.int64)
             w, v, lane, apart = weights[:k], weights[k:], np.arange(8 * n) + _TOP * 8 * n, np.array(8 * n, np.float32)
+            top = np.full(8 * n, _TOP - 0.1, np.float32)  # comparing with a whole array is faster than with one number
+            bottom = -top
             for s in range(steps):
                 own_x, gate = x[s], gates[s]
                 np.einsum("ij,ij->j", w, own_x, out=logit)
@@ -394,7 +444,7 @@ class ContextMixer:
                 gated *= gate
                 logit += gated
                 np.minimum(logit, top, logit)
-                np.maximum(logit, -top, logit)
+                np.maximum(logit, bottom, logit)
                 np.rint(logit, error)
                 error *= apart  # whole numbers below 2 ** 24
                 place[...] = error

@@ -199,3 +199,32 @@ def test_places_and_pairs_agree():
         assert (own == v).all() and (v[place] == keys).all()
         count = Counter(keys[learn].tolist())
         assert n.tolist() == [count[x] for x in v.tolist()]
+
+
+def test_numbers_tell_keys_apart():
+    """However many keys meet in a slot, equal keys have equal numbers and others don't; in order they are the distinct keys."""
+    rng = np.random.default_rng(6)
+    keys = rng.integers(0, 2**44, 20_000, dtype=np.uint64)
+    keys = np.concatenate((keys, rng.choice(keys, 30_000), keys[:1] + np.arange(300, dtype=np.uint64)))
+    for expected in (len(keys), 4096 * 16, 1):
+        numbers, out = lm.Numbers(expected), np.empty(len(keys), np.int32)
+        for a in range(0, len(keys), 7001):
+            numbers.of(keys[a : a + 7001], out[a : a + 7001])
+        every, place = numbers.sorted()
+        assert (every == np.unique(keys)).all() and (every[place[out]] == keys).all()
+
+
+def test_places_are_held_once():
+    """What placing holds grows by less than 27 bytes for each byte of a block: four places of four bytes, and the distinct pairs."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(400)).encode() for _ in range(1700)]
+    size = sum(len(t) + 1 for t in texts)
+    lm.block_places(texts[:9])
+    tracemalloc.start()
+    lm.block_places(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 3 << 20 and peak < 27 * size + (64 << 20)
