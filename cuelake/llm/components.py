@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise
+from .common import drop_table, materialise, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,21 +24,32 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and what tells edge sets apart (their number and hash sum), which is counted while they are written."""
+    seen = Observation()
+    out = materialise(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hash")))
+    return out, (seen.get["n"], seen.get["hash"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) of every node of ``edges(a, b)``; the component is its least node.
 
     Nulls and self loops are ignored; nodes without an edge do not appear. The loop ends when a
-    round of both star steps leaves the edge set (its size and hash sum) as it was.
+    round of both star steps leaves the edge set (its size and hash sum) as it was. Each step is written by
+    itself, so the driver plans one star at a time.
     """
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, mark = _written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(max_rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
         seen, old = mark, now
-        now = materialise(_star(_star(now, True), False))
+        half = materialise(_star(old, True))
         drop_table(old)
+        now, mark = _written(_star(half, False))
+        drop_table(half)
+        del old, half
+        release(now.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

@@ -158,10 +158,11 @@ def _fit(docs: DataFrame, p: LanguageParams) -> LanguageModel | None:
     if not counts:
         return None
     classes = sorted(counts)
-    stats = docs.select("text").mapInArrow(_document_frequencies(p), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas().set_index("slot")["n"]
+    stats = docs.select("text").mapInArrow(_document_frequencies(p), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    slot, count = stats["slot"].to_numpy(), stats["n"].to_numpy()
     df = np.zeros(1 << p.bits)
-    n = int(stats.pop(-1))
-    df[stats.index.to_numpy()] = stats.to_numpy()
+    n = int(count[slot < 0].sum())
+    df[slot[slot >= 0]] = count[slot >= 0]
     idf = np.log((1 + n) / (1 + df)) + 1
     share = F.lit(0.0)
     for c in classes:

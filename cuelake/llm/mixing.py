@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, free_names, materialise
+from .common import drop_table, free_names, materialise, release
 
 
 @dataclass(frozen=True)
@@ -45,27 +45,30 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], p: MixingParams = Mixi
     Targets are renormalised over the values that occur; a value without a target gets none. The last
     dimension is met exactly, the others within ``tolerance`` if the rounds settle. ``gap``, the same in every row,
     is the largest part of all tokens by which a marginal misses its target; where it is above the tolerance, the targets
-    contradict each other or want more rounds. Cells of no tokens keep weight 0.
+    contradict each other or want more rounds. Cells of no tokens keep weight 0. Each dimension's step is written
+    by itself: a step reads the one before it twice, so a plan of several would double with each dimension.
     """
-    state = cells.where("tokens > 0")
+    base = state = cells.where("tokens > 0")
     total = state.agg(F.sum("tokens")).first()[0]
     if not total:
         return cells.withColumns({"weight": F.lit(0.0), "gap": F.lit(0.0)})
-    for d, t in targets.items():
-        present = state.select(d).distinct().join(t, d)
+    found = {d: materialise(base.select(d).distinct().join(t, d).select(d, "target")) for d, t in targets.items()}
+    for d, present in found.items():
         whole = present.agg(F.sum("target")).first()[0] or 1.0
         state = state.join(present.select(d, (F.col("target") * (float(total) / whole)).alias(f"t_{d}")), d, "left").fillna({f"t_{d}": 0.0})
     state = materialise(state.withColumn("weight", F.col("tokens").cast("double")))
+    for present in found.values():
+        drop_table(present)
     for r in range(1, p.rounds + 1):
-        before = state
         for d in targets:
-            sums = state.groupBy(d).agg(F.sum("weight").alias("sum"))
-            state = state.join(sums, d).withColumn("weight", F.when(F.col("sum") > 0, F.col("weight") * F.col(f"t_{d}") / F.col("sum")).otherwise(0.0)).drop("sum")
-        state = materialise(state)
-        drop_table(before)
+            before = state
+            sums = before.groupBy(d).agg(F.sum("weight").alias("sum"))
+            state = materialise(before.join(sums, d).withColumn("weight", F.when(F.col("sum") > 0, F.col("weight") * F.col(f"t_{d}") / F.col("sum")).otherwise(0.0)).drop("sum"))
+            drop_table(before)
         if r % p.check_every == 0 or r == p.rounds:
             worst = [state.groupBy(d).agg((F.abs(F.sum("weight") - F.first(f"t_{d}")) / total).alias("gap")).agg(F.max("gap").alias("gap")) for d in list(targets)[:-1]]
             gap = reduce(DataFrame.union, worst).agg(F.max("gap")).first()[0] or 0.0 if worst else 0.0
+            release(state.sparkSession)
             if gap <= p.tolerance:
                 break
     return state.select(*targets, "tokens", "weight", F.lit(float(gap)).alias("gap"))

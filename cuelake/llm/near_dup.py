@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, batch_rows, drop_table, hashed_words, materialise, mix64, odd_constants, passes
+from .common import ByteHasher, batch_rows, drop_table, hashed_words, materialise, mix64, odd_constants, passes, release
 from .components import components
 
 
@@ -117,25 +117,33 @@ def _part_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(each, pa.list_(pa.int32()))], ["id", "whole"])
 
 
-def _across(placed: DataFrame, sets: DataFrame, sides: DataFrame, p: NearDupParams) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of one bucket and different components that may be linked, each once; and the scratch table that they are read from."""
+def _across(placed: DataFrame, sets: DataFrame, sides: DataFrame, p: NearDupParams) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b) of one bucket and different components that may be linked, each once; and the scratch tables that they are read from.
+
+    Each table is written before the next is planned, so the driver doesn't hold one plan with the stages of all.
+    """
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = scratch = materialise(placed.join(mixed, "key").select("key", "i", "j", "id", "component", "n"))
-    own = sets.join(rest.select("id").distinct(), "id").mapInArrow(_exploded, "shingle long, id long")
+    rest = materialise(placed.join(mixed, "key").select("key", "i", "j", "id", "component", "n"))
+    sizes = materialise(rest.select("id", "n").distinct())
+    held = sets.join(sizes, "id")
+    own = held.select("id", "shingles").mapInArrow(_exploded, "shingle long, id long")
     part = F.pmod("shingle", F.lit(_PARTS))
     lone = own.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").select("id", part.alias("part"))
-    lone = lone.groupBy("id").agg(F.array(*[F.count_if(F.col("part") == i).cast("int") for i in range(_PARTS)]).alias("lone"))
-    whole = sets.join(rest.select("id").distinct(), "id").mapInArrow(_part_counts, "id long, whole array<int>")
+    lone = materialise(lone.groupBy("id").agg(F.array(*[F.count_if(F.col("part") == i).cast("int") for i in range(_PARTS)]).alias("lone")))
+    whole = held.select("id", "shingles").mapInArrow(_part_counts, "id long, whole array<int>")
     shared = F.transform("whole", lambda x, i: x - F.coalesce(F.col("lone")[i], F.lit(0)))
     free = whole.join(lone, "id", "left").select("id", shared.alias("parts")).withColumn("free", F.aggregate("parts", F.lit(0), lambda acc, x: acc + x))
-    free = free.join(rest.select("id", "n").distinct(), "id").where(f"100 * free >= {p.percent} * n").join(sides, "id").select("id", "free", "parts", "sides")
-    rest = rest.join(free, "id")
+    free = materialise(free.join(sizes, "id").where(f"100 * free >= {p.percent} * n").join(sides, "id").select("id", "free", "parts", "sides"))
+    drop_table(lone)
+    drop_table(sizes)
+    release(sets.sparkSession)
+    both = rest.join(free, "id")
     fits = f"{100 + p.percent} * least(x.free, y.free) >= {p.percent} * (x.n + y.n)"
     earlier = lambda at, shift: f"exists(sequence(1, greatest(x.{at}, 1)), t -> t <= x.{at} and x.sides[{shift} + t - 1] = y.sides[{shift} + t - 1])"
     first = f"not {earlier('i', 0)} and not {earlier('j', p.side)}"
     close = f"{100 + p.percent} * aggregate(zip_with(x.parts, y.parts, (a, b) -> least(a, b)), 0, (s, v) -> s + v) >= {p.percent} * (x.n + y.n)"
     on = F.expr(f"x.key = y.key and x.id > y.id and x.component <> y.component and {fits} and {first} and {close}")
-    return rest.alias("x").join(rest.alias("y"), on).select(F.expr("x.id").alias("a"), F.expr("y.id").alias("b")), scratch
+    return both.alias("x").join(both.alias("y"), on).select(F.expr("x.id").alias("a"), F.expr("y.id").alias("b")), [rest, free]
 
 
 def _confirmer(percent: int):
@@ -187,12 +195,15 @@ def _near_duplicates(docs: DataFrame, p: NearDupParams) -> DataFrame:
 
     sizes = reps.select("id", F.col("n_shingles").alias("n"))
     where = materialise(ids.select("id", F.col("id").alias("component")).join(sizes, "id"))
-    done, used = None, [members, sets]
+    done, used, settled = None, [members, sets], False
     for last in (False, False, False, True):
+        if settled and not last:
+            continue
+        release(docs.sparkSession)
         placed = members.join(where, "id")
         if last:
             pairs, scratch = _across(placed, sets, reps.select("id", "sides"), p)
-            used.append(scratch)
+            used += scratch
             pairs = pairs.distinct()
         else:
             first = placed.groupBy("key").agg(F.min(F.struct("component", "id", "n")).alias("lo"), F.max("component").alias("hi")).where("lo.component < hi")
@@ -201,6 +212,8 @@ def _near_duplicates(docs: DataFrame, p: NearDupParams) -> DataFrame:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
         used.append(pairs)
+        if settled := pairs.isEmpty():  # the next round of this kind would have none either
+            continue
         sa, sb = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
         links = pairs.join(sa, "a").join(sb, "b").mapInArrow(_confirmer(p.percent), "a long, b long")
         at = where.select("id", "component")

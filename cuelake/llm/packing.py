@@ -261,7 +261,7 @@ def fit_cells(vectors: np.ndarray, cells: int, rounds: int = 8) -> tuple[np.ndar
     x = _unit(vectors - mean)
     c = x[np.random.default_rng(19).permutation(len(x))[:cells]]
     for _ in range(rounds if len(c) else 0):
-        at = (x @ c.T).argmax(axis=1)
+        at = np.concatenate([(x[i : i + 2048] @ c.T).argmax(axis=1) for i in range(0, len(x), 2048)])  # all at once: 80 MB in the driver
         total = np.zeros_like(c)
         np.add.at(total, at, x)
         c = np.where(np.bincount(at, minlength=len(c))[:, None] > 0, _unit(total), c)
@@ -456,15 +456,16 @@ def pack(docs: DataFrame, p: PackingParams) -> DataFrame:
     every, n, total = documents.agg(F.count("*"), F.count_if(rest > 0), F.coalesce(F.sum(rest), F.lit(0))).first()
     if not n:
         return windows
-    counts = tokens.where(F.col("width") == _COUNTS).mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
-    df = np.zeros(int(counts["term"].max()) + 1)
-    df[counts["term"].to_numpy()] = counts["df"].to_numpy()
+    counts = tokens.where(F.col("width") == _COUNTS).mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    term = counts["term"].to_numpy()
+    df = np.zeros(int(term.max()) + 1)
+    df[term] = counts["df"].to_numpy()
     idf = np.log1p((every - df + 0.5) / (df + 0.5))
     telling = np.where((df >= p.min_df) & (df < every), idf, 0)
     mean = total / n
     share = int(min(1.0, p.fit_tails / n) * (1 << 40))
-    fitted = tails.where(F.pmod(F.xxhash64("doc_id", "tail"), F.lit(1 << 40)) < share).mapInArrow(_sampler(telling, mean, p), "v binary").distinct().toPandas()
-    centre, cells = fit_cells(np.frombuffer(b"".join(fitted["v"]), np.float32).reshape(-1, p.dimensions), p.cells)
+    fitted = tails.where(F.pmod(F.xxhash64("doc_id", "tail"), F.lit(1 << 40)) < share).mapInArrow(_sampler(telling, mean, p), "v binary").distinct().toArrow()
+    centre, cells = fit_cells(np.frombuffer(b"".join(fitted["v"].to_pylist()), np.float32).reshape(-1, p.dimensions), p.cells)
     with batch_rows(docs.sparkSession):
         placed = materialise(tails.mapInArrow(_placer(telling, mean, p, centre, cells), "doc_id long, doc_tokens long, tail binary, width int, place long"))
     shards = max(1, -(-total // p.shard_tokens))

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cuelake.llm import mixing
+from cuelake.llm.common import materialise
 from cuelake.llm.mixing import MixingParams, calibrate, mix, rake, word_count
 
 
@@ -87,3 +89,19 @@ def test_names_clash_with_nothing_and_targets_are_given(spark):
     assert mass["b"] == 0 and mass["a"] == pytest.approx(mass[None], rel=1e-3) == pytest.approx(3000, rel=1e-3)
     assert not any(r.kept for r in out if r.kind == "b")
     assert len(mix(df, {"target": 1.0, "sum": 0.5}).collect()) == 600
+
+
+def test_each_plan_is_small(spark, monkeypatch):
+    """A dimension more doesn't double the plan of a round."""
+    seen = []
+
+    def counted(df, *args):
+        seen.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return materialise(df, *args)
+
+    monkeypatch.setattr(mixing, "materialise", counted)
+    rng = random.Random(4)
+    rows = [(i, rng.randint(1, 50), *(rng.choice("xyz") for _ in range(4))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long, a string, b string, c string, d string")
+    assert mix(df, dict.fromkeys("abcd", 0.5)).count() == 300
+    assert len(seen) > 8 and max(seen) <= 10

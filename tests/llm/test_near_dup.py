@@ -1,5 +1,7 @@
 import random
 
+from cuelake.llm import components, near_dup
+from cuelake.llm.common import materialise
 from cuelake.llm.near_dup import NearDupParams, near_duplicates
 
 
@@ -50,3 +52,19 @@ def test_null_ids_repeats_and_empty(spark):
     got = sorted((tuple(r) for r in near_duplicates(df).collect()), key=str)
     assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 2, None, True)]
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_each_plan_is_small(spark, monkeypatch):
+    """The driver holds a plan with all its stages, once for each change of it; no write has many exchanges."""
+    seen = []
+
+    def counted(df, *args):
+        seen.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return materialise(df, *args)
+
+    for module in (components, near_dup):
+        monkeypatch.setattr(module, "materialise", counted)
+    rows = corpus(2, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in near_dup.near_duplicates(df, NearDupParams(shingle_words=4)).collect()} == brute(rows, 4, 80)
+    assert len(seen) > 10 and max(seen) <= 10

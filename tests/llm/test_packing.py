@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -192,3 +193,13 @@ def test_places():
     assert at[3] == at[30] and at[31] == -1 and (at[:31] >= 0).all()
     assert (places(v[31:], *fit_cells(v[31:], 5)) == -1).all()
     assert len(set(places(v[:1].repeat(3, axis=0), *fit_cells(v[:1], 5)).tolist())) == 1
+
+
+def test_cells_are_fitted_in_little_memory():
+    """Tails are measured against all centroids some at a time: at once, they took four bytes for each pair in the driver."""
+    x = np.random.default_rng(5).normal(size=(20_000, 8)).astype(np.float32)
+    tracemalloc.start()
+    fit_cells(x, 256, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6
