@@ -46,11 +46,12 @@ class PrefixTreeParams:
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_SLICE = 1 << 18  # bytes or words that one pass over a block works on; only its result is as large as the block
 
 
 @dataclass
 class _Words:
-    """The words of a block's texts: first byte and end of each, and its document's number in the block."""
+    """The words of a block's texts: first byte and end of each, and its document's number in the block. Places take 32 bits where the block allows it."""
 
     buf: np.ndarray
     start: np.ndarray
@@ -59,17 +60,26 @@ class _Words:
 
     @classmethod
     def of(cls, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> _Words:
+        kind = np.int32 if len(buf) < 2**31 - 2 * _SLICE else np.int64
         space = np.ones(len(buf) + 2, bool)
-        space[1:-1] = _SPACE[buf]
+        for lo in range(0, len(buf), _SLICE):
+            space[1 + lo : 1 + min(lo + _SLICE, len(buf))] = _SPACE[buf[lo : lo + _SLICE]]
         space[1 + starts + sizes] = True  # a text ends, whatever byte stands between texts
-        edges = np.flatnonzero(space[1:] != space[:-1])
+        edges = np.concatenate([(np.flatnonzero(space[lo + 1 : lo + 1 + _SLICE] != space[lo : lo + _SLICE][: len(space) - 1 - lo]) + lo).astype(kind) for lo in range(0, len(space) - 1, _SLICE)])
         start, end = edges[0::2], edges[1::2]
-        return cls(buf, start, end, np.searchsorted(starts, start, "right") - 1)
+        first = np.searchsorted(start, starts.astype(kind))
+        return cls(buf, start, end, np.repeat(np.arange(len(starts), dtype=kind), np.diff(first, append=len(start))))
 
-    def hashes(self, slice_bytes: int = 1_000_000) -> np.ndarray:
+    @staticmethod
+    def _slices(start: np.ndarray, slice_bytes: int = _SLICE) -> Iterator[tuple[int, int]]:
+        """Ranges of words that begin within a slice of bytes."""
+        if len(start):
+            cuts = np.unique(np.searchsorted(start, np.arange(0, int(start[-1]) + 1 + slice_bytes, slice_bytes, dtype=start.dtype)))
+            yield from zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+    def hashes(self, slice_bytes: int = _SLICE) -> np.ndarray:
         hasher, out = ByteHasher(), np.empty(len(self.start), np.uint64)
-        cuts = np.unique(np.searchsorted(self.start, np.arange(0, len(self.buf) + slice_bytes, slice_bytes)))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for a, b in self._slices(self.start, slice_bytes):
             lo = int(self.start[a])
             out[a:b] = hasher.ranges(hasher.prefix(self.buf[lo : int(self.end[b - 1])]), self.start[a:b] - lo, self.end[a:b] - lo) + (self.end[a:b] - self.start[a:b]).astype(np.uint64)
         return out
@@ -82,12 +92,18 @@ class _Words:
     def spaced(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(the words, one space after each; first byte of each there and the end), or of those to keep."""
         start, end = (self.start, self.end) if keep is None else (self.start[keep], self.end[keep])
-        edge = np.zeros(len(self.buf) + 2, np.int8)
-        edge[start] += 1
-        np.add.at(edge, end + 1, -1)
-        text = np.append(np.where(_SPACE[self.buf], np.uint8(0x20), self.buf), np.uint8(0x20))
-        text[end] = 0x20
-        return text[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)], np.concatenate(([0], np.cumsum(end - start + 1)))
+        parts = [np.zeros(0, np.uint8)]
+        for a, b in self._slices(start):
+            lo, hi = int(start[a]), int(end[b - 1])
+            edge = np.zeros(hi - lo + 2, np.int8)
+            edge[start[a:b] - lo] += 1
+            edge[end[a:b] - lo + 1] -= 1
+            text = np.append(self.buf[lo:hi], np.uint8(0x20))
+            text[end[a:b] - lo] = 0x20
+            parts.append(text[np.cumsum(edge[:-1], dtype=np.int8).view(bool)])
+        offsets = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(end - start + 1, out=offsets[1:])
+        return np.concatenate(parts), offsets
 
 
 def _prefix_hashes(words: np.ndarray, at: np.ndarray, depth: int) -> Iterator[np.ndarray]:
@@ -100,19 +116,22 @@ def _prefix_hashes(words: np.ndarray, at: np.ndarray, depth: int) -> Iterator[np
 
 def _minimizers(words: np.ndarray, p: PrefixTreeParams) -> np.ndarray:
     """48-bit minimizer of every ``length`` words in a row."""
-    n = len(words) - p.k + 1
-    if len(words) < p.length:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(p.k):
-        h = h * _STEP + words[j : j + n]
-    least, w, span = mix64(h), p.length - p.k + 1, 1
-    while 2 * span <= w:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if span < w:
-        least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
-    return mix64(least + np.uint64(0x2545F491)) >> np.uint64(16)  # minima are small numbers; ranges need even ones
+    out = np.empty(max(len(words) - p.length + 1, 0), np.uint64)
+    for lo in range(0, len(out), _SLICE):
+        own = words[lo : lo + _SLICE + p.length - 1]
+        n = len(own) - p.k + 1
+        h = np.zeros(n, np.uint64)
+        for j in range(p.k):
+            h *= _STEP
+            h += own[j : j + n]
+        least, w, span = mix64(h), p.length - p.k + 1, 1
+        while 2 * span <= w:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if span < w:
+            least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
+        out[lo : lo + _SLICE] = mix64(least + np.uint64(0x2545F491)) >> np.uint64(16)  # minima are small numbers; ranges need even ones
+    return out
 
 
 def _blocks(p: PrefixTreeParams):
@@ -121,17 +140,19 @@ def _blocks(p: PrefixTreeParams):
     def row(block: int, ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         packed = b"\n".join([*texts, b""])
+        texts.clear()
         words = _Words.of(np.frombuffer(packed, np.uint8), np.cumsum(sizes + 1) - sizes - 1, sizes)
-        hashes, at = words.hashes(), words.windows(p.length)
-        v, doc = _minimizers(hashes, p)[at], words.doc[at]
+        hashes, at = words.hashes(), words.windows(p.length).astype(words.start.dtype)
+        drawn = np.concatenate([at[:0], *(x[mix64(x.astype(np.uint64) + np.uint64((block * 0x9E3779B9 + 7) % 2**64)) % np.uint64(p.sample) == 0] for x in np.split(at, range(_SLICE, len(at), _SLICE)))])
+        sampled = np.stack(list(_prefix_hashes(hashes, drawn, p.length - 1)), axis=1).reshape(-1)
+        v, doc, n_windows = _minimizers(hashes, p)[at], words.doc[at], len(at)
+        del words, hashes, at
         fresh = np.flatnonzero(np.concatenate((np.ones(min(1, len(v)), bool), (v[1:] != v[:-1]) | (doc[1:] != doc[:-1]))))
         order = fresh[np.lexsort((doc[fresh], v[fresh]))]
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), v[order][1:] != v[order][:-1])))
         last = np.append(first[1:], len(order)) - 1
         several = doc[order[first]] != doc[order[last]] if len(order) else np.zeros(0, bool)
-        drawn = at[mix64(at.astype(np.uint64) + np.uint64((block * 0x9E3779B9 + 7) % 2**64)) % np.uint64(p.sample) == 0]
-        sampled = np.stack(list(_prefix_hashes(hashes, drawn, p.length - 1)), axis=1).reshape(-1)
-        values = [block, len(packed), len(at), _zip(np.array(ids, np.int64)), _zip(sizes), _zip(packed), squeeze(np.diff(v[order[first]], prepend=np.uint64(0))), np.packbits(several).tobytes()]
+        values = [block, len(packed), n_windows, _zip(np.array(ids, np.int64)), _zip(sizes), _zip(packed), squeeze(np.diff(v[order[first]], prepend=np.uint64(0))), np.packbits(several).tobytes()]
         kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([*(pa.array([x], k) for x, k in zip(values, kinds, strict=True)), pa.array([sampled.view(np.int64)], pa.list_(pa.int64()))], _BLOCK_NAMES)
 
@@ -212,7 +233,7 @@ class _Spelling:
         edge = np.zeros(len(words.start) + 1, np.int32)
         edge[lead] += 1
         edge[lead + length] -= 1
-        covered = np.cumsum(edge[:-1]) > 0
+        covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
         text, first = words.spaced(covered)
         every = _distinct(text, first[1:])
         index, code = every.indices.to_numpy(), np.zeros(len(words.start), np.int32)
@@ -280,30 +301,33 @@ def _planner(p: PrefixTreeParams, trees: int, heavy: list[np.ndarray], ranges: i
             return pd.DataFrame([], columns=columns)
         buf, starts, sizes = _opened(packed["text"].iloc[0], packed["sizes"].iloc[0])
         words = _Words.of(buf, starts, sizes)
-        ids, hashes, at = _unzip(packed["ids"].iloc[0], "i8"), words.hashes(), words.windows(p.length)
+        ids, hashes, at = _unzip(packed["ids"].iloc[0], "i8"), words.hashes(), words.windows(p.length).astype(words.start.dtype)
         known = np.sort(np.concatenate([_values(x) for x in shared["v"]]))
-        v = _minimizers(hashes, p)[at]
-        at = at[known[np.minimum(np.searchsorted(known, v), len(known) - 1)] == v]
+        v = _minimizers(hashes, p)
+        at = np.concatenate([x[known[np.minimum(np.searchsorted(known, v[x]), len(known) - 1)] == v[x]] for x in np.split(at, range(_SLICE, len(at), _SLICE))])
+        del v
         if not len(at):
             return pd.DataFrame([], columns=columns)
         for h in _prefix_hashes(hashes, at, p.length):
             pass
-        order = np.lexsort((ids[words.doc[at]], h))
-        x, y = at[order[1:]], at[order[:-1]]
-        size = words.end[at + p.length - 1] - words.start[at]
-        same = (h[order[1:]] == h[order[:-1]]) & (size[order[1:]] == size[order[:-1]])
-        pairs = np.flatnonzero(same)
-        same[pairs] = equal_strings(buf, words.start[x[pairs]], words.start[y[pairs]], size[order[1:]][pairs])
+        order = np.lexsort((ids[words.doc[at]], h)).astype(at.dtype)
+        h, size, begin = h[order], (words.end[at + p.length - 1] - words.start[at])[order], words.start[at[order]]
+        same = (h[1:] == h[:-1]) & (size[1:] == size[:-1])
+        del h
+        for pairs in np.split(np.flatnonzero(same), range(_SLICE, np.count_nonzero(same), _SLICE)):
+            same[pairs] = equal_strings(buf, begin[pairs + 1], begin[pairs], size[pairs])
+        del size, begin
         fresh = np.concatenate(([True], ~same))
-        number = np.empty(len(at), np.int64)
-        number[order] = np.cumsum(fresh) - 1
+        number = np.empty(len(at), at.dtype)
+        number[order] = np.cumsum(fresh, dtype=at.dtype) - 1
         lead = at[order[fresh]]
+        del order, same, fresh
         tree = tree_of(hashes, lead)
         turn = np.lexsort((lead, tree))
         back = np.empty(len(turn), np.int64)
         back[turn] = np.arange(len(turn))
         held, amounts = np.unique(tree, return_counts=True)
-        return pd.DataFrame([(int(key[0]), squeeze(np.diff(at, prepend=0)), squeeze(back[number]), squeeze(lead[turn]), squeeze(held), squeeze(amounts.astype(np.int64)), _Spelling.of(words, lead, p.length, ranges).dealt())], columns=columns)
+        return pd.DataFrame([(int(key[0]), squeeze(np.diff(at.astype(np.int64), prepend=0)), squeeze(back[number]), squeeze(lead[turn].astype(np.int64)), squeeze(held), squeeze(amounts.astype(np.int64)), _Spelling.of(words, lead, p.length, ranges).dealt())], columns=columns)
 
     return run
 
@@ -397,22 +421,24 @@ def _cutter(p: PrefixTreeParams):
             smaller = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(replies["bits"], amounts.tolist(), strict=True)]).astype(bool)
             at, number = np.cumsum(_longs(plan["places"].iloc[0])), _longs(plan["numbers"].iloc[0])
             gone = at[smaller[number] | (ids[words.doc[lead]][number] < ids[words.doc[at]])]
-            np.add.at(edge, gone, 1)
-            np.add.at(edge, gone + p.length, -1)
-        covered = np.cumsum(edge[:-1]) > 0
-        first = np.searchsorted(words.doc, np.arange(len(ids) + 1))  # a document's first word
+            edge[gone] += 1  # a place stands there once
+            edge[gone + p.length] -= 1
+        covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        first = np.searchsorted(words.doc, np.arange(len(ids) + 1, dtype=words.doc.dtype))  # a document's first word
         begin = covered.copy()
         begin[1:] &= ~covered[:-1] | (words.doc[1:] != words.doc[:-1])
         over = covered.copy()
         over[:-1] &= ~covered[1:] | (words.doc[1:] != words.doc[:-1])
         lo, hi = np.flatnonzero(begin), np.flatnonzero(over) + 1
         where = np.searchsorted(lo, first)
+        del edge, begin, over
         text, offsets = words.spaced(~covered)
-        place = offsets[np.concatenate(([0], np.cumsum(~covered)))[first]]
-        raw, rows = text.tobytes(), []
+        place = offsets[np.concatenate(([0], np.cumsum(~covered, dtype=words.doc.dtype)))[first]]
+        del words, buf, offsets, covered
+        rows = []
         for i, d in enumerate(ids.tolist()):
             spans = [{"start": int(a - first[i]), "length": int(b - a)} for a, b in zip(lo[where[i] : where[i + 1]], hi[where[i] : where[i + 1]], strict=True)]
-            rows.append((d, int(first[i + 1] - first[i]), spans, raw[place[i] : max(place[i + 1] - 1, place[i])]))
+            rows.append((d, int(first[i + 1] - first[i]), spans, text[place[i] : max(place[i + 1] - 1, place[i])].tobytes()))
         return pd.DataFrame(rows, columns=["doc_id", "n_words", "spans", "kept"])
 
     return run

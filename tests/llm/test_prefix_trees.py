@@ -145,3 +145,33 @@ def test_query_equals_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
     want = sorted(con.execute(Q.ORACLES["op12_substring_dedup"]).fetchall())
     assert sorted(tuple(r) for r in Q.op12_substring_dedup(spark, path).collect()) == want
+
+
+def test_memory_of_a_block(monkeypatch):
+    """Passes over a block hold few bytes for each of its bytes, since they work in slices with 32-bit places."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(map(chr, rng.integers(97, 123, int(rng.integers(1, 10))))) for _ in range(20_000)]
+    draw = lambda n: " ".join(np.array(vocabulary)[rng.integers(0, len(vocabulary), n)])
+    shared = [draw(400) for _ in range(20)]
+    texts = [draw(400) + " " + shared[i % 20] for i in range(1700)]
+    n = sum(map(len, texts))
+    p = PrefixTreeParams(block_bytes=1 << 40)
+    monkeypatch.setattr(pt, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})())}))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1700)), "text": texts, "n": [len(t) for t in texts]})
+
+    def peak(run):
+        tracemalloc.start()
+        out = run()
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert held < 11 * n
+        return out
+
+    block = pa.Table.from_batches(peak(lambda: list(pt._blocks(p)(iter([batch]))))).to_pandas()
+    plan = peak(lambda: pt._planner(p, 1, [], 1)((0,), block, pt._shared(block)))
+    cut = peak(lambda: pt._cutter(p)((0,), block, plan.assign(tree=-1, bits=None)[["block", "tree", "bits", "places", "numbers", "leads", "amounts"]].iloc[:0]))
+    assert cut["kept"].tolist() == [t.encode() for t in texts] and cut["n_words"].tolist() == [len(t.split()) for t in texts]
