@@ -135,9 +135,12 @@ def _runs(s: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])))
 
 
-def _keys(texts: list[bytes]) -> np.ndarray:
-    """Keys of every byte of the texts, for each predictor."""
-    out, at = np.empty((PREDICTORS, sum(map(len, texts)) + len(texts)), np.uint64), 0
+def _keys(texts: list[bytes], room: list[np.ndarray]) -> np.ndarray:
+    """Keys of every byte of the texts, for each predictor; valid until the next call with this ``room``, since fresh memory costs more than the keys."""
+    n, at = sum(map(len, texts)) + len(texts), 0
+    if not room or room[0].shape[1] < n:
+        room[:] = [np.empty((PREDICTORS, n), np.uint64)]
+    out = room[0][:, :n]
     for lo, hi in passes([len(t) + 1 for t in texts], _CHUNK):
         contexts = Contexts(_joined(texts[lo:hi]))
         for k in range(PREDICTORS):
@@ -149,12 +152,14 @@ def _keys(texts: list[bytes]) -> np.ndarray:
 def block_pairs(texts: list[bytes], learn: list[bool]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each predictor: (keys of the distinct pairs of context and byte, in order; their counts in the texts to learn from)."""
     found: list[list] = [[] for _ in range(PREDICTORS)]
+    room: list[np.ndarray] = []
     for known in (True, False):
         own = [t for t, h in zip(texts, learn, strict=True) if h == known]
         for lo, hi in passes([len(t) + 1 for t in own], _SLICE):
-            for k, keys in enumerate(_keys(own[lo:hi])):
+            for k, keys in enumerate(_keys(own[lo:hi], room)):
                 for a in range(0, len(keys), _SLICE - 1):
-                    s = np.sort(keys[a : a + _SLICE - 1])
+                    s = keys[a : a + _SLICE - 1]
+                    s.sort()
                     first = _runs(s)
                     v = s[first] << np.uint64(20)
                     found[k].append(v | np.diff(first, append=len(s)).astype(np.uint64) if known else v)
@@ -214,9 +219,9 @@ def block_places(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     size = sum(map(len, texts)) + len(texts)
     numbers = [Numbers(size) for _ in range(PREDICTORS)]
     places = np.empty((PREDICTORS, size), np.int32 if size < 1 << 27 else np.int64)
-    at = 0
+    at, room = 0, []
     for lo, hi in passes([len(t) + 1 for t in texts], _SLICE):
-        for k, keys in enumerate(_keys(texts[lo:hi])):
+        for k, keys in enumerate(_keys(texts[lo:hi], room)):
             for a in range(0, len(keys), _CHUNK):
                 numbers[k].of(keys[a : a + _CHUNK], places[k, at + a : at + min(a + _CHUNK, len(keys))])
         at += len(keys)
@@ -376,6 +381,9 @@ def _context_counter(p: MixingLmParams):
 
 
 _TOP = 12  # the adaptive map has a cell for each whole logit up to this, of either sign
+_STRETCH = 64  # steps whose places are read at once, lane by lane, since lanes lie far apart in memory
+_NARROW = 512  # lanes below which fewer calls count for more than less memory
+_EIGHT_ONES = np.uint64(0x0101010101010101)
 _KNOWN = 20  # eighths of the word predictor's first logit from which the word so far counts as known
 
 
@@ -400,68 +408,86 @@ class ContextMixer:
             out[doc[own]] = self._advance(buf, inputs, first[own], size[doc[own]])
         return out
 
-    def _inputs(self, inputs: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The logits of the bytes at ``at`` (steps, lanes): (steps, predictors, lanes * 8); and 1 where the second weights count, 0 elsewhere: (steps, lanes * 8)."""
-        k, steps = len(inputs), at.shape[0]
-        x = np.empty((steps, k, 8 * at.shape[1]), np.float32)
+    def _inputs(self, inputs: list[tuple[np.ndarray, np.ndarray]], at: tuple[slice, slice]) -> tuple[np.ndarray, np.ndarray]:
+        """The logits of the bytes whose places are given by (step, lane), for the steps and lanes ``at``: (steps, predictors, lanes * 8); and 1 where the second weights count, 0 elsewhere: (steps, lanes * 8)."""
+        x = None
         for i, (paths, place) in enumerate(inputs):
-            x[:, i] = paths.take(place.take(at), 0).reshape(steps, -1)
-        gate = (np.abs(x[:, min(_WORD_PREDICTOR, k - 1), ::8]) >= _KNOWN).astype(np.float32)
-        return x, np.ascontiguousarray(np.broadcast_to(gate[:, :, None], (*gate.shape, 8))).reshape(steps, -1)
+            found = paths.take(place[at], 0)
+            if x is None:
+                x = np.empty((len(found), len(inputs), 8 * found.shape[1]), np.float32)
+            x[:, i] = found.reshape(len(found), -1)
+            if i == min(_WORD_PREDICTOR, len(inputs) - 1):
+                known = (found[:, :, 0] >= _KNOWN) | (found[:, :, 0] <= -_KNOWN)
+        return x, (known.astype(np.uint64) * _EIGHT_ONES).view(np.uint8).astype(np.float32)  # a one for each bit
 
     def _advance(self, buf: np.ndarray, inputs: list[tuple[np.ndarray, np.ndarray]], start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """-log2 probability of every lane, the longest first. The bits of a byte have weights and maps of their own, so all eight advance at once."""
         p, k, n = self.p, len(inputs), len(start)
         cells = 2 * _TOP + 1
-        weights = np.zeros((2 * k, 8 * n), np.float32)
-        weights[:k] = p.first_weight / 8  # the inputs' eighths are part of the weights
+        weights = np.zeros((2, k, 8 * n), np.float32)
+        weights[0] = p.first_weight / 8  # the inputs' eighths are part of the weights
         grid = np.arange(-_TOP, _TOP + 1, dtype=np.float32)
         refined = np.repeat(1 / (1 + np.exp(-grid)), 8 * n)  # a chance for each whole logit and bit
         cost = np.zeros(n)
         one = np.array(1, np.float32)
         rate, map_rate, stay = (np.array(v, np.float32) for v in (p.rate / 64, p.map_rate, 1 - p.map_rate))
-        most, t = int(size[0]) if n else 0, 0
+        room: list[np.ndarray] = []
+        most, t, begun, until = int(size[0]) if n else 0, 0, 0, 0
         while t < most:
             m = int(np.searchsorted(-size, -t, "left"))  # lanes that still have a byte
             if m < 0.95 * n:  # the others go, so that every pass runs over memory without gaps; a few ended ones run along
-                weights, refined = weights[:, : 8 * m].copy(), refined.reshape(cells, -1)[:, : 8 * m].flatten()
+                weights, refined = weights[..., : 8 * m].copy(), refined.reshape(cells, -1)[:, : 8 * m].flatten()
                 n, start, size = m, start[:m], size[:m]
-            steps = min(most - t, max(4, min(64, 16384 // n)))
-            at = np.minimum(start + (t + np.arange(steps))[:, None], len(buf) - 1)
-            x, gates = self._inputs(inputs, at)
-            zeros = np.unpackbits(~buf[at], axis=1).astype(np.float32)
+            if t == until:
+                begun, until = t, min(most, t + _STRETCH)
+                at = np.minimum(start[:, None] + np.arange(begun, until), len(buf) - 1)
+                near = [(paths, np.ascontiguousarray(place.take(at).T)) for paths, place in inputs]
+                wrong = ~np.ascontiguousarray(buf.take(at).T)
+            steps = min(until - t, max(4, min(_STRETCH, 16384 // n)))
+            at = slice(t - begun, t - begun + steps), slice(0, n)
+            x, gates = self._inputs(near, at)
+            zeros = np.unpackbits(wrong[at], axis=1).astype(np.float32)
             drift = map_rate * (one - zeros)
+            narrow = n < _NARROW
             missed, mapped = np.empty_like(zeros), np.empty_like(zeros)
-            part, gated = np.empty((k, 8 * n), np.float32), np.empty(8 * n, np.float32)
-            logit, error, place = np.empty(8 * n, np.float32), np.empty(8 * n, np.float32), np.empty(8 * n, np.int64)
-            w, v, lane, apart = weights[:k], weights[k:], np.arange(8 * n) + _TOP * 8 * n, np.array(8 * n, np.float32)
-            top = np.full(8 * n, _TOP - 0.1, np.float32)  # comparing with a whole array is faster than with one number
-            bottom = -top
-            for s in range(steps):
-                own_x, gate = x[s], gates[s]
-                np.einsum("ij,ij->j", w, own_x, out=logit)
-                np.einsum("ij,ij->j", v, own_x, out=gated)
-                gated *= gate
-                logit += gated
+            if not room or len(room[0]) != 8 * n:
+                room = [np.empty(8 * n, np.float32), np.empty(8 * n, np.float32), np.empty(8 * n, np.int64), np.empty((2, 8 * n), np.float32), np.empty((2, k, 8 * n), np.float32)]
+                room += [np.arange(8 * n, dtype=np.float32) + _TOP * 8 * n, np.full(8 * n, _TOP - 0.1, np.float32), np.full(8 * n, 0.1 - _TOP, np.float32)]
+            logit, error, place, both, part, lane, top, bottom = room  # comparing with a whole array is faster than with one number
+            apart, (first, second) = np.array(8 * n, np.float32), both
+            each, (w, v), half = both[:, None], weights, part[0]
+            for own_x, gate, zero, own_drift, q, own in zip(x, gates, zeros, drift, missed, mapped, strict=True):
+                if narrow:
+                    np.einsum("sij,ij->sj", weights, own_x, out=both)
+                else:
+                    np.einsum("ij,ij->j", w, own_x, out=first)
+                    np.einsum("ij,ij->j", v, own_x, out=second)
+                second *= gate
+                np.add(first, second, logit)
                 np.minimum(logit, top, logit)
                 np.maximum(logit, bottom, logit)
                 np.rint(logit, error)
                 error *= apart  # whole numbers below 2 ** 24
+                error += lane
                 place[...] = error
-                place += lane
-                own = refined.take(place, None, mapped[s], "clip")
+                refined.take(place, None, own, "clip")
                 np.exp(logit, logit)
                 logit += one
-                q = np.reciprocal(logit, missed[s])  # chance of a zero
-                np.subtract(q, zeros[s], error)
+                np.reciprocal(logit, q)  # chance of a zero
+                np.subtract(q, zero, error)
                 np.multiply(own, stay, logit)
-                logit += drift[s]
+                logit += own_drift
                 refined[place] = logit
-                error *= rate
-                np.multiply(own_x, error, part)
-                w += part
-                part *= gate
-                v += part
+                np.multiply(error, rate, first)
+                if narrow:
+                    np.multiply(first, gate, second)
+                    np.multiply(own_x, each, part)
+                    weights += part
+                else:
+                    np.multiply(own_x, first, half)
+                    w += half
+                    half *= gate
+                    v += half
             missed *= np.float32(-0.75)
             missed += np.float32(0.75)
             mapped *= np.float32(0.25)

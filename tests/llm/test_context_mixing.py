@@ -228,3 +228,26 @@ def test_places_are_held_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert size > 3 << 20 and peak < 27 * size + (64 << 20)
+
+
+def test_memory_is_read_in_long_stretches_and_reused():
+    """A lane's places are read 64 steps at a time however many lanes there are, and keys are made where those of the slice before were."""
+
+    class Counted(np.ndarray):
+        reads = 0
+
+        def take(self, *args, **more):
+            Counted.reads += 1
+            return np.asarray(self).take(*args, **more)
+
+    texts, rng = [bytes([97 + i % 5]) * 127 for i in range(2000)], np.random.default_rng(2)
+    paths = [rng.integers(-30, 30, (500, 8)).astype(np.int8) for _ in range(lm.PREDICTORS)]
+    places = [rng.integers(0, 500, 2000 * 128).astype(np.int32) for _ in paths]
+    wide = ContextMixer(MixingLmParams()).mixed(texts, [(q, at.view(Counted)) for q, at in zip(paths, places, strict=True)])
+    assert Counted.reads <= 2 * lm.PREDICTORS
+    few = ContextMixer(MixingLmParams(lanes=100)).mixed(texts, list(zip(paths, places, strict=True)))
+    assert few == pytest.approx(wide, rel=1e-5)  # the forms for few and many lanes
+    room: list[np.ndarray] = []
+    first = lm._keys([b"one two", b""], room).copy()
+    again = lm._keys([b"one"], room)
+    assert np.shares_memory(again, room[0]) and again.shape == (lm.PREDICTORS, 4) and np.array_equal(again[:, :3], first[:, :3])
