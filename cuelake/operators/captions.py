@@ -112,7 +112,11 @@ def speaker_cues(cues: DataFrame, gap: float = 0.08, label: str | None = None) -
 
 
 def split_limit(n: Column, duration: Column, p: CueParams) -> Column:
-    """Most characters that a piece may have by the triggers that fire; null if the cue stays whole (so with a duration of 0)."""
+    """Most characters that a piece may have by the triggers that fire; null if the cue stays whole (so with a duration of 0).
+
+    Durations count in whole microseconds, since the difference of two times in seconds is mostly a little off, and a limit is rounded down.
+    """
+    duration = F.round(duration, 6)
     rate = n / duration
     options = []
     if p.cps_threshold:

@@ -144,6 +144,14 @@ def test_long_split(spark):
     assert texts("short", 0.0, 20.0, CueParams(max_duration=None)) == ["short"]
 
 
+# 0.2 and 2.8 are 2.5999999999999996 apart, and 15 characters a second allow 39 in 2.6 s, so this cue stays whole (its sentence end is the 40th).
+SHORT_BY_A_BIT = ("Ha eron ble halyed orannd tiealy ontion.", 0.2, 2.8)
+
+
+def test_long_split_of_inexact_duration(spark):
+    assert [r.text for r in C.split_long_cues(cue(spark, *SHORT_BY_A_BIT)).collect()] == [SHORT_BY_A_BIT[0]]
+
+
 def test_order_check(spark):
     rows = [(1, 1, 0.0, 2.0, "a"), (1, 2, 1.0, 3.0, "b"), (1, 3, 3.0, 2.5, "c")]
     df = spark.createDataFrame(rows, "doc_id int, cue_idx int, start_sec double, end_sec double, text string")
