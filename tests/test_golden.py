@@ -152,6 +152,12 @@ def test_long_split_of_inexact_duration(spark):
     assert [r.text for r in C.split_long_cues(cue(spark, *SHORT_BY_A_BIT)).collect()] == [SHORT_BY_A_BIT[0]]
 
 
+def test_split_limit_of_inexact_duration(spark):
+    text, start, end = SHORT_BY_A_BIT
+    rows = cue(spark, text, start, end).select(C.split_limit(F.length("text"), F.col("end_sec") - F.col("start_sec"), CueParams()).alias("most"))
+    assert rows.first().most == 39
+
+
 def test_order_check(spark):
     rows = [(1, 1, 0.0, 2.0, "a"), (1, 2, 1.0, 3.0, "b"), (1, 3, 3.0, 2.5, "c")]
     df = spark.createDataFrame(rows, "doc_id int, cue_idx int, start_sec double, end_sec double, text string")
