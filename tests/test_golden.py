@@ -158,6 +158,11 @@ def test_split_limit_of_inexact_duration(spark):
     assert rows.first().most == 39
 
 
+def test_times_of_pieces_of_inexact_duration(spark):
+    rows = C.split_long_cues(cue(spark, *SHORT_BY_A_BIT), CueParams(max_chars=None)).collect()
+    assert [(r.start_sec, r.end_sec, r.text) for r in rows] == [(0.2, 2.8, SHORT_BY_A_BIT[0])]
+
+
 def test_order_check(spark):
     rows = [(1, 1, 0.0, 2.0, "a"), (1, 2, 1.0, 3.0, "b"), (1, 3, 3.0, 2.5, "c")]
     df = spark.createDataFrame(rows, "doc_id int, cue_idx int, start_sec double, end_sec double, text string")
