@@ -163,6 +163,11 @@ def test_times_of_pieces_of_inexact_duration(spark):
     assert [(r.start_sec, r.end_sec, r.text) for r in rows] == [(0.2, 2.8, SHORT_BY_A_BIT[0])]
 
 
+def test_postprocess_of_inexact_duration(spark):
+    text = f"1\n00:00:00,200 --> 00:00:02,800\n{SHORT_BY_A_BIT[0]}\n"
+    assert C.postprocess_srt(spark.createDataFrame([(1, text)], "doc_id int, text string")).first().text == text
+
+
 def test_order_check(spark):
     rows = [(1, 1, 0.0, 2.0, "a"), (1, 2, 1.0, 3.0, "b"), (1, 3, 3.0, 2.5, "c")]
     df = spark.createDataFrame(rows, "doc_id int, cue_idx int, start_sec double, end_sec double, text string")
