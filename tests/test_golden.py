@@ -168,6 +168,11 @@ def test_postprocess_of_inexact_duration(spark):
     assert C.postprocess_srt(spark.createDataFrame([(1, text)], "doc_id int, text string")).first().text == text
 
 
+def test_split_report_of_inexact_duration(spark):
+    cues = cue(spark, *SHORT_BY_A_BIT)
+    assert C.split_report(cues, C.split_long_cues(cues)).count() == 0
+
+
 def test_order_check(spark):
     rows = [(1, 1, 0.0, 2.0, "a"), (1, 2, 1.0, 3.0, "b"), (1, 3, 3.0, 2.5, "c")]
     df = spark.createDataFrame(rows, "doc_id int, cue_idx int, start_sec double, end_sec double, text string")
