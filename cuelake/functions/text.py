@@ -1,10 +1,12 @@
-"""Time and text column functions; all are built-in expressions."""
+"""Time and text column functions; all but the edit distance are built-in expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .distance import edit_distance
+
 # Unicode white space as one class, in a syntax that Java and RE2 share (Java's \s is ASCII only).
 WS = r"[\s\x0B\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TIMESTAMP = r"(\d+):(\d{2}):(\d{2}),(\d{3})"
@@ -157,11 +159,7 @@ def cer_form(text: Column) -> Column:
 def cer(ref: Column, hyp: Column) -> Column:
     """Character error rate of comparison forms; against an empty reference 0 for an empty hypothesis, else 1."""
     n = F.length(ref)
-    distance = F.levenshtein(ref, hyp)
-    for limit in (128, 16):  # within a limit only a band is computed; -1 is beyond it
-        near = F.levenshtein(ref, hyp, limit)
-        distance = F.when(near >= 0, near).otherwise(distance)
-    return F.when(n == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).when(ref == hyp, 0.0).otherwise(distance / n)
+    return F.when(n == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(edit_distance(ref, hyp) / n)
 
 
 def plain_prompt(language: Column) -> Column:
