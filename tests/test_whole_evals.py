@@ -5,6 +5,7 @@ import unicodedata
 
 import pytest
 
+from cuelake.operators import evaluation as E
 from cuelake.plans import QUERIES
 
 TURNS = [(1, 0, "then on we go, over the moon"), (1, 1, "thé café on the córner — là"), (2, 0, "日本語 on 東京, the 都"), (2, 1, "😀 on the way"), (3, 0, "ß")]
@@ -38,3 +39,12 @@ def test_rates_of_all_turns(spark, tmp_path):
         own = [v for k, v in expected.items() if lang is None or k // 100 % 3 == lang]
         assert got[lang].n == len(own)
         assert tuple(got[lang])[2:] == pytest.approx([sum(x) / len(own) for x in zip(*own)], abs=2e-6)
+
+
+def test_means_take_each_distance_once(spark):
+    """The rows of languages and of all are made of the rates, not of the texts: distances are computed below the rollup, in one pass, and not cell by cell."""
+    rows = spark.createDataFrame([(1, 0, "abc", "abd", "abc")], "sample_id long, lang_id long, ref string, hyp_auto string, hyp_hinted string")
+    means = E.mean_cer(E.paired_cer(rows))
+    plan = means._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("Expand") < plan.index("ArrowEvalPython") and "levenshtein" not in plan.lower()
+    assert sorted(r.auto_raw for r in means.collect()) == [pytest.approx(1 / 3)] * 2
