@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -28,59 +28,78 @@ def _all_known(*columns: Column) -> Column:
     return F.size(F.array_compact(F.array(*[c.cast("string") for c in columns]))) == len(columns)
 
 
+#: A row that the session merger tells.
+SESSION = Row("job_id", "start_us", "end_us", "n", "late")
+
+
 class SessionMerger(StatefulProcessor):
     """Speech sessions of one job (times in microseconds): events merge while the gap is at most ``silence``.
 
     A session is told once the watermark is past its end and the silence. An event that comes later than the watermark still joins a session that is
     open; else it opens one of its own, told at once as late (those of one batch merge with each other).
 
-    State: the open sessions by their start, with end, number of events and timer.
+    State: starts, ends, numbers of events and due times of the open sessions, in order of starts, as one value, and one timer a job, at the first
+    of the due times; so a batch takes few calls of the state, however many sessions a job has.
     """
 
+    MERGED = 10_000
+
     def __init__(self, silence: int):
         self.silence = silence
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start long", "end long, n long, timer long")
-
-    def _due(self, end: int) -> int:
-        return (end + self.silence) // 1000 + 1
-
-    def _told(self, key, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["job_id", "start_us", "end_us", "n", "late"])
+        self.open = handle.getValueState("open", "starts array<long>, ends array<long>, counts array<long>, due array<long>")
+
+    def _held(self) -> list[tuple]:
+        return list(zip(*(self.open.get() or ()), strict=True))
+
+    def _hold(self, sessions: list[tuple], before: int | None) -> None:
+        """Keep sessions, and a timer for the first of them in place of the one at ``before``."""
+        first = min((s[3] for s in sessions), default=None)
+        if sessions:
+            self.open.update(tuple(map(list, zip(*sessions, strict=True))))
+        else:
+            self.open.clear()
+        if before is not None and before != first:
+            self.handle.deleteTimer(before)
+        if first is not None and before != first:
+            self.handle.registerTimer(first)
+
+    def _merged(self, spans: list[tuple]) -> list[tuple]:
+        merged: list[tuple] = []
+        for a, b, n, known in sorted(spans):
+            if merged and a - merged[-1][1] <= self.silence:
+                first = merged[-1]
+                merged[-1] = (first[0], max(first[1], b), first[2] + n, first[3] or known)
+            else:
+                merged.append((a, b, n, known))
+        return merged
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = sorted((k[0], *v) for k, v in self.open.iterator())
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self._held()
         spans = [(a, b, n, True) for a, b, n, _ in held]  # with an open session in it, or not
-        for pdf in rows:
-            fresh = [(int(a), int(b), 1, False) for a, b in zip(pdf["start_us"], pdf["end_us"], strict=True)]
-            merged: list[tuple] = []
-            for a, b, n, known in sorted(spans + fresh):
-                if merged and a - merged[-1][1] <= self.silence:
-                    first = merged[-1]
-                    merged[-1] = (first[0], max(first[1], b), first[2] + n, first[3] or known)
-                else:
-                    merged.append((a, b, n, known))
-            spans = merged
-        now, late = timerValues.getCurrentWatermarkInMs(), []
-        for start, _, _, timer in held:  # all go first, since sessions may share a time
-            self.open.removeKey((start,))
-            self.handle.deleteTimer(timer)
-        for a, b, n, known in spans:
-            due = self._due(b)
+        fresh: list[tuple] = []
+        for r in rows:
+            fresh.append((r.start_us, r.end_us, 1, False))
+            if len(fresh) >= self.MERGED:
+                spans, fresh = self._merged(spans + fresh), []
+        now, late, kept = timerValues.getCurrentWatermarkInMs(), [], []
+        for a, b, n, known in self._merged(spans + fresh):
+            due = (b + self.silence) // 1000 + 1
             if due <= now and not known:
-                late.append((a, b, n, True))
+                late.append(SESSION(key[0], a, b, n, True))
             else:
-                self.open.updateValue((a,), (b, n, max(due, now + 1)))
-                self.handle.registerTimer(max(due, now + 1))
-        yield self._told(key, late)
+                kept.append((a, b, n, max(due, now + 1)))
+        if kept or held:
+            self._hold(kept, min((s[3] for s in held), default=None))
+        yield from late
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        over = [(k[0], v[0], v[1], False) for k, v in self.open.iterator() if v[2] <= expiredTimerInfo.getExpiryTimeInMs()]
-        for start, *_ in over:
-            self.open.removeKey((start,))
-        yield self._told(key, sorted(over))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        expiry, held = expiredTimerInfo.getExpiryTimeInMs(), self._held()
+        now = max(expiry, timerValues.getCurrentWatermarkInMs())
+        self._hold([s for s in held if s[3] > now], None)
+        yield from [SESSION(key[0], a, b, n, False) for a, b, n, due in held if due <= now]
 
     def close(self) -> None:
         pass
@@ -94,7 +113,7 @@ def speech_sessions(events: DataFrame, min_silence_ms: int, watermark: str) -> D
     """
     kind = events.schema["job_id"].dataType.simpleString()
     rows = _clocked(events, "ts", watermark).where(_all_known(F.col("job_id"), F.col("ts"), F.col("end_ts"))).select("job_id", F.unix_micros("ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"))
-    told = rows.groupBy("job_id").transformWithStateInPandas(SessionMerger(1000 * min_silence_ms), f"job_id {kind}, start_us long, end_us long, n long, late boolean", "Append", "EventTime")
+    told = rows.groupBy("job_id").transformWithState(SessionMerger(1000 * min_silence_ms), f"job_id {kind}, start_us long, end_us long, n long, late boolean", "Append", "EventTime")
     return told.select("job_id", F.timestamp_micros("start_us").alias("start_ts"), F.timestamp_micros("end_us").alias("end_ts"), "n", "late")
 
 

@@ -1,5 +1,6 @@
 """Streams give what their batch twins give, also when rows come late or out of order."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cuelake.operators.segments import merge_silences
@@ -131,3 +132,57 @@ def test_a_long_stream_reads_few_files(spark, tmp_path):
     bucket = next(b for b in range(2) if store._numbers("base", b))
     (tmp_path / "attempts" / "base" / f"bucket={bucket}" / "upto=99").mkdir()
     assert not any("upto=99" in f for f in store.folders(bucket)[0])
+
+
+class Counted:
+    """States and timers of one key, kept in memory, that count their calls."""
+
+    def __init__(self):
+        self.calls, self.kept = 0, {}
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    getMapState = getValueState  # noqa: N815
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return None if name in ("get", "getValue") else False if name in ("exists", "containsKey") else iter(()) if name in ("iterator", "keys") else None
+
+        return call
+
+
+class Times:
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+    getCurrentProcessingTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+
+def test_sessions_of_a_job_take_few_state_calls():
+    """Each call is a message to the JVM, so there are as many for a thousand sessions as for one."""
+    merger, state = J.SessionMerger(500), Counted()
+    merger.init(state)
+    row = Row("start_us", "end_us")
+    assert list(merger.handleInputRows((1,), iter([row(10_000 * i, 10_000 * i + 1) for i in range(1000)]), Times())) == []
+    assert state.calls <= 4
+
+
+def test_many_sessions_close_at_once(spark, tmp_path):
+    """Sessions of a job lie in one value with one timer, so many more than are merged at a time come out whole, some now and some later."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    n, kind = 300, "job_id int, ts timestamp, end_ts timestamp"
+
+    def feed(rows):
+        df = spark.createDataFrame(rows, "job_id int, a long, b long").select("job_id", F.timestamp_millis("a").alias("ts"), F.timestamp_millis("b").alias("end_ts"))
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        q = J.speech_sessions(J.result_stream(spark, str(tmp_path / "in"), kind), 500, "1 second").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = spark.read.schema("job_id int, start_ts timestamp, end_ts timestamp, n long, late boolean").parquet(f"{tmp_path}/out")
+        return q.lastProgress.stateOperators[0].numRowsTotal, sorted((r.a, r.n, r.late) for r in got.select(F.unix_millis("start_ts").alias("a"), "n", "late").collect())
+
+    held, got = feed([(1, 1000 * i, 1000 * i + k) for i in range(n) for k in (10, 20)])
+    assert got == [(1000 * i, 2, False) for i in range(n - 2)] and held <= 4
+    held, got = feed([(1, 10**9, 10**9 + 1)])
+    assert got == [(1000 * i, 2, False) for i in range(n)] and held <= 4
