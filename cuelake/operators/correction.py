@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,24 +56,34 @@ def correction_map(chunks: DataFrame, groups: DataFrame, blocks: DataFrame, call
 
     The chunks of a group are cut into runs of ``run_chunks`` neighbours, and the block goes once to each run; so a long job is spread over tasks, and
     calls with one block still follow each other in the order of chunks. A request is put together only for its call: no
-    block is copied into the rows of its chunks.
+    block is copied into the rows of its chunks. Runs are streamed one after the other, each a block and then its chunks, so many short jobs cost no call of Python each.
     """
     own = F.concat(F.lit("\n\n<CURRENT>\n"), F.col("chunk_id").cast("string"), F.lit(" "), collapse(F.coalesce("text", F.lit(""))), F.lit("\n</CURRENT>"))
     place = F.row_number().over(Window.partitionBy("job_id", "group_id").orderBy("chunk_id")) - 1
     rows = chunks.join(groups, ["job_id", "chunk_id"]).select("job_id", "group_id", F.floor(place / run_chunks).alias("run"), F.col("chunk_id").cast("long").alias("chunk_id"), own.alias("own"))
     runs = groups.groupBy("job_id", "group_id").agg(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.count("*") - 1) / run_chunks))).alias("run"))
 
-    def run(block: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [(j, c, *asked_on(board, block["block"].iloc[0] + text, call, retries)) for j, c, text in pdf.sort_values("chunk_id")[["job_id", "chunk_id", "own"]].itertuples(index=False)] if len(block) else []
+    # Renaming to the same names gives columns of their own: blocks come from the same chunks.
+    spread = blocks.toDF(*blocks.columns).join(runs.toDF(*runs.columns), ["job_id", "group_id"])
+    key, kind = ["job_id", "group_id", "run"], chunks.schema["job_id"].dataType.simpleString()
+    heads = spread.select(*key, F.lit(True).alias("head"), F.lit(0).cast("long").alias("chunk_id"), F.col("block").alias("text"))
+    ordered = heads.union(rows.toDF(*rows.columns).select(*key, F.lit(False), "chunk_id", "own")).repartition(*key).sortWithinPartitions(*key, F.desc("head"), "chunk_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = block = None
+        for pdf in batches:
+            out = []
+            for j, g, r, head, c, text in zip(*[pdf[n].tolist() for n in (*key, "head", "chunk_id", "text")], strict=True):
+                if head:
+                    at, block = (j, g, r), text
+                elif at == (j, g, r):
+                    out.append((j, c, *asked_on(board, block + text, call, retries)))
+            if out:
+                yield pd.DataFrame(out, columns=["job_id", "chunk_id", "ok", "raw", "error", "attempts", "elapsed_ms"])
         if board:
             board.tell(last=True)
-        return pd.DataFrame(out, columns=["job_id", "chunk_id", "ok", "raw", "error", "attempts", "elapsed_ms"])
 
-    kind = chunks.schema["job_id"].dataType.simpleString()
-    key = ["job_id", "group_id", "run"]
-    # Renaming to the same names gives columns of their own: blocks come from the same chunks.
-    spread = blocks.toDF(*blocks.columns).join(runs.toDF(*runs.columns), ["job_id", "group_id"])
-    return spread.groupBy(*key).cogroup(rows.toDF(*rows.columns).groupBy(*key)).applyInPandas(run, f"job_id {kind}, chunk_id long, {CALLED}")
+    return ordered.mapInPandas(run, f"job_id {kind}, chunk_id long, {CALLED}")
 
 
 def corrected_texts(answers: DataFrame, chunks: DataFrame, allow_unclosed: bool = False) -> DataFrame:

@@ -288,6 +288,17 @@ def test_correction_map(spark):
         assert got == want and len(got) == 5
 
 
+def test_correction_map_streams_its_runs(spark):
+    """Many short jobs are streamed through a task's one function, not passed to Python group by group; each call still gets its own job's block."""
+    df = spark.createDataFrame([(j, c, "transcribed", f"{j}.{c}") for j in range(200) for c in (2**60, 2**60 + 1)], "job_id int, chunk_id long, status string, text string")
+    groups = K.context_groups(df)
+    out = K.correction_map(df, groups, K.transcript_blocks(df, groups), lambda request: request, run_chunks=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "CoGroups" not in plan
+    want = {(j, c): f"<FULL_TRANSCRIPT>\n{2**60} {j}.{2**60}\n{2**60 + 1} {j}.{2**60 + 1}\n</FULL_TRANSCRIPT>\n\n<CURRENT>\n{c} {j}.{c}\n</CURRENT>" for j in range(200) for c in (2**60, 2**60 + 1)}
+    assert {(r.job_id, r.chunk_id): r.raw for r in out.collect()} == want
+
+
 def test_translation_tells_failed_batches(spark):
     def model(request):
         if "rope" in request:
