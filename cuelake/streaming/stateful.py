@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,8 +27,9 @@ def _all_known(*columns: Column) -> Column:
     return F.size(F.array_compact(F.array(*[c.cast("string") for c in columns]))) == len(columns)
 
 
-#: A row that the session merger tells.
+#: Rows that the processors tell.
 SESSION = Row("job_id", "start_us", "end_us", "n", "late")
+TOLD = Row("job_id", "chunk_id", "status", "text", "echo", "failures", "late")
 
 
 class SessionMerger(StatefulProcessor):
@@ -131,11 +131,14 @@ class EchoFilter(StatefulProcessor):
     it; what followed stays as it was told. Once nothing came for ``keep_ms``, all state of the job is dropped; a chunk that comes then begins it anew.
 
     State: next id, form of the last genuine text, length of the run of failures; the chunks that wait; for each chunk that failed or was passed
-    over, the form before it; when the job's timers are due.
+    over, the form before it; when the job's timers are due. Each call of the state is a message to the JVM, so a batch's chunks are put in order in
+    memory (``HELD`` at most, the others wait in state as well), and only those that wait for a later batch are written.
     """
 
+    HELD = 10_000
+
     def __init__(self, first_id: int = 1, patience: int | None = None, hole_ms: int | None = None, keep_ms: int | None = None):
-        self.first_id, self.patience, self.hole_ms, self.keep_ms = first_id, patience, hole_ms, keep_ms
+        self.first_id, self.patience, self.hole_ms, self.keep_ms, self.held = first_id, patience, hole_ms, keep_ms, self.HELD
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -144,56 +147,66 @@ class EchoFilter(StatefulProcessor):
         self.missed = handle.getMapState("missed", "chunk_id long", "form string")
         self.due = handle.getValueState("due", "hole long, keep long")
 
-    def _told(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["job_id", "chunk_id", "status", "text", "echo", "failures", "late"])
+    def _wait(self, fresh: dict[int, tuple]) -> None:
+        for i, chunk in fresh.items():
+            self.waiting.updateValue((i,), chunk)
+        fresh.clear()
 
-    def _advance(self, key, patience: int | None) -> list[tuple]:
-        """Chunks whose turn has come, told in order."""
-        following, last, failures = self.place.get() if self.place.exists() else (self.first_id, "", 0)
+    def _advance(self, key, patience: int | None, place: tuple | None, fresh: dict[int, tuple], stored: bool) -> list[Row]:
+        """Chunks whose turn has come, told in order: ``fresh`` ones, which replace those of one id that wait, and if any are ``stored`` those. What is left of the fresh ones waits."""
+        following, last, failures = place or (self.first_id, "", 0)
         out = []
         while True:
-            if not self.waiting.containsKey((following,)):
-                ids = sorted(k[0] for k in self.waiting.keys()) if patience is not None else []
+            chunk = self.waiting.getValue((following,)) if stored else None
+            if chunk is not None:
+                self.waiting.removeKey((following,))
+            chunk = fresh.pop(following, chunk)
+            if chunk is None:
+                ids = {*fresh, *([k[0] for k in self.waiting.keys()] if stored else [])} if patience is not None else ()
                 if not ids or len(ids) < patience:
                     break
-                for i in range(following, ids[0]):
+                for i in range(following, min(ids)):
                     self.missed.updateValue((i,), (last,))
-                following = ids[0]
-            status, text, form = self.waiting.getValue((following,))
-            self.waiting.removeKey((following,))
+                following = min(ids)
+                continue
+            status, text, form = chunk
             echo = status != "failed" and form != "" and form == last
             failures = failures + 1 if status == "failed" else 0
             if status == "failed":
                 self.missed.updateValue((following,), (last,))
             elif not echo:
                 last = form
-            out.append((key[0], following, status, "" if echo else text, echo, failures, False))
+            out.append(TOLD(key[0], following, status, "" if echo else text, echo, failures, False))
             following += 1
+        self._wait(fresh)
         self.place.update((following, last, failures))
         return out
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        following = self.place.get()[0] if self.place.exists() else self.first_id
-        out, came = [], 0
-        for pdf in rows:
-            for r in pdf.itertuples():
-                i, text, form = int(r.chunk_id), r.text or "", r.form or ""
-                came = max(came, int(r.came_ms))
-                if i >= following:
-                    self.waiting.updateValue((i,), (r.status, text, form))
-                elif self.missed.containsKey((i,)) and r.status != "failed":
-                    (before,) = self.missed.getValue((i,))
-                    self.missed.removeKey((i,))
-                    echo = form != "" and form == before
-                    out.append((key[0], i, r.status, "" if echo else text, echo, 0, True))
-        out += self._advance(key, self.patience)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        place = self.place.get()
+        following = place[0] if place else self.first_id
+        stored = place is not None and self.waiting.exists()
+        out, came, fresh = [], 0, {}
+        for r in rows:
+            i, text, form = r.chunk_id, r.text or "", r.form or ""
+            came = max(came, r.came_ms)
+            if i >= following:
+                fresh[i] = (r.status, text, form)
+                if len(fresh) >= self.held:
+                    self._wait(fresh)
+                    stored = True
+            elif place and r.status != "failed" and (missed := self.missed.getValue((i,))) is not None:
+                self.missed.removeKey((i,))
+                echo = form != "" and form == missed[0]
+                out.append(TOLD(key[0], i, r.status, "" if echo else text, echo, 0, True))
+        out += self._advance(key, self.patience, place, fresh, stored)
         self._rearm(came or timerValues.getCurrentProcessingTimeInMs())
-        yield self._told(out)
+        yield from out
 
     def _rearm(self, came: int) -> None:
         if self.hole_ms is None and self.keep_ms is None:
             return
-        old = self.due.get() if self.due.exists() else (None, None)
+        old = self.due.get() or (None, None)
         # Timers of one time are one; the later may be due at the time of an earlier one that is deleted, so all go first.
         for timer in {t for t in old if t is not None}:
             self.handle.deleteTimer(timer)
@@ -202,17 +215,17 @@ class EchoFilter(StatefulProcessor):
             self.handle.registerTimer(timer)
         self.due.update(tuple(times))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        hole, keep = self.due.get() if self.due.exists() else (None, None)
+        hole, keep = self.due.get() or (None, None)
         if hole is not None and hole <= now:
-            out += self._advance(key, 1)
+            out += self._advance(key, 1, self.place.get(), {}, True)
             self.due.update((None, keep))
         if keep is not None and keep <= now:
-            out += self._advance(key, 1)  # nothing waits for a job that is over
+            out += self._advance(key, 1, self.place.get(), {}, True)  # nothing waits for a job that is over
             for state in (self.place, self.waiting, self.missed, self.due):
                 state.clear()
-        yield self._told(out)
+        yield from out
 
     def close(self) -> None:
         pass
@@ -235,7 +248,7 @@ def filter_echoes(results: DataFrame, first_id: int = 1, patience: int | None =
     known = _all_known(F.col("job_id"), F.coalesce(F.col(clock).cast("string"), F.lit(""))) if timed and clock else F.col("job_id").isNotNull()
     rows = results.where(known).select("job_id", F.col("chunk_id").cast("long").alias("chunk_id"), "status", "text", dedup_form(F.coalesce("text", F.lit(""))).alias("form"), came.alias("came_ms"))
     mode = "None" if not timed else "EventTime" if clock else "ProcessingTime"
-    return rows.groupBy("job_id").transformWithStateInPandas(EchoFilter(first_id, patience, hole_ms, keep_ms), f"job_id {kind}, chunk_id long, status string, text string, echo boolean, failures int, late boolean", "Append", mode)
+    return rows.groupBy("job_id").transformWithState(EchoFilter(first_id, patience, hole_ms, keep_ms), f"job_id {kind}, chunk_id long, status string, text string, echo boolean, failures int, late boolean", "Append", mode)
 
 
 class AttemptStore:

@@ -140,7 +140,7 @@ class Counted:
     def __init__(self):
         self.calls, self.kept = 0, {}
 
-    def getValueState(self, name, schema):  # noqa: N802
+    def getValueState(self, *args):  # noqa: N802
         return self
 
     getMapState = getValueState  # noqa: N815
@@ -186,3 +186,16 @@ def test_many_sessions_close_at_once(spark, tmp_path):
     assert got == [(1000 * i, 2, False) for i in range(n - 2)] and held <= 4
     held, got = feed([(1, 10**9, 10**9 + 1)])
     assert got == [(1000 * i, 2, False) for i in range(n)] and held <= 4
+
+
+def chunk_rows(n, failed=()):
+    row = Row("chunk_id", "status", "text", "form", "came_ms")
+    return [row(i, "failed" if i in failed else "transcribed", f"t{i}", f"t{i}", 0) for i in range(1, n + 1)]
+
+
+def test_chunks_of_one_batch_take_few_state_calls():
+    """Chunks of a batch are put in order in memory, so a thousand that come backwards take as many calls of the state as one."""
+    echoes, state = J.EchoFilter(), Counted()
+    echoes.init(state)
+    told = list(echoes.handleInputRows((1,), iter(chunk_rows(1000)[::-1]), Times()))
+    assert [r.chunk_id for r in told] == list(range(1, 1001)) and state.calls <= 3
