@@ -199,3 +199,22 @@ def test_chunks_of_one_batch_take_few_state_calls():
     echoes.init(state)
     told = list(echoes.handleInputRows((1,), iter(chunk_rows(1000)[::-1]), Times()))
     assert [r.chunk_id for r in told] == list(range(1, 1001)) and state.calls <= 3
+
+
+def test_a_batch_that_memory_does_not_hold_waits_in_state(spark, tmp_path, monkeypatch):
+    """Chunks in any order with echoes and failures, one chunk in memory at a time or all: the same rows; retries replace the failed ones that wait, or come late."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    schema = "job_id int, chunk_id int, status string, text string"
+    rows = [(1, i, "failed" if i % 4 == 0 else "transcribed", None if i % 4 == 0 else f"t{i // 2}") for i in (5, 3, 9, 1, 2, 4, 6, 7)]
+    later = [(1, 4, "transcribed", "x"), (1, 9, "transcribed", "y"), (1, 8, "failed", None)]
+    seen = []
+    for most in (1, 2, 100_000):
+        monkeypatch.setattr(J.EchoFilter, "HELD", most)
+        at = tmp_path / str(most)
+        for part in (rows, later):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(at / "in"))
+            out = drain(J.filter_echoes(J.result_stream(spark, str(at / "in"), schema)), at)
+        seen.append(sorted(tuple(r) for r in out.collect()))
+    a = [(1, 1, "transcribed", "t0", False, 0, False), (1, 2, "transcribed", "t1", False, 0, False), (1, 3, "transcribed", "", True, 0, False), (1, 4, "failed", "", False, 1, False)]
+    b = [(1, 4, "transcribed", "x", False, 0, True), (1, 5, "transcribed", "t2", False, 0, False), (1, 6, "transcribed", "t3", False, 0, False), (1, 7, "transcribed", "", True, 0, False)]
+    assert seen == [a + b + [(1, 8, "failed", "", False, 1, False), (1, 9, "transcribed", "y", False, 0, False)]] * 3
