@@ -201,6 +201,14 @@ def test_chunks_of_one_batch_take_few_state_calls():
     assert [r.chunk_id for r in told] == list(range(1, 1001)) and state.calls <= 3
 
 
+def test_lines_of_their_own_take_few_state_calls():
+    """As above with failed chunks: each is kept for its retry, by one call, and no other chunk takes any."""
+    echoes, state = J.EchoFilter(), Counted()
+    echoes.init(state)
+    told = list(echoes.handleInputRows((1,), iter(chunk_rows(1000, failed=(3, 500))), Times()))
+    assert len(told) == 1000 and state.calls <= 5
+
+
 def test_a_batch_that_memory_does_not_hold_waits_in_state(spark, tmp_path, monkeypatch):
     """Chunks in any order with echoes and failures, one chunk in memory at a time or all: the same rows; retries replace the failed ones that wait, or come late."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
